@@ -36,6 +36,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kit, language_id
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = kit.crc_text("doc_id") % 3
+    model = language_id.train(docs, F.coalesce(remainder != 1, F.lit(True)))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
