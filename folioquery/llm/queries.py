@@ -36,6 +36,16 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, share=85)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import kit, lm_scoring
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    remainder = kit.crc_text("doc_id") % 7
+    model = lm_scoring.train(docs, F.coalesce(remainder != 2, F.lit(True)))
+    held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
+    return lm_scoring.score(docs, model).select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
