@@ -52,6 +52,15 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item it leaks."""
+    from . import decontamination
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import kit, language_id
 
