@@ -30,6 +30,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings."""
+    from . import chat_format
+
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat_format.read_back(chat_format.format_turns(turns))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
 
@@ -59,6 +69,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: all documents under one tokenizer version, then under another, then the toxic ones
+    leave, then the first batch is replayed and must change nothing."""
+    from . import token_rollup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    store = token_rollup.RollupStore(spark)
+    store.commit("load", token_rollup.counts(docs, "words-1"))
+    store.commit("recount", token_rollup.counts(docs, "alnum-2"))
+    store.commit("purge", deletes=table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
+    store.commit("load", token_rollup.counts(docs, "words-1"))
+    return store.totals()
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item it leaks."""
     from . import decontamination
@@ -99,5 +123,33 @@ FROM marked GROUP BY doc_id
 """
 
 
+# ORDER BY on text is by code point in both engines. formatted_chars repeats the template's arithmetic: a turn is
+# "### role: text\n</turn>\n"; where the text holds an escaped control string, each ### gets one backslash. The
+# tables hold no other texts that need escapes; the tests cover those.
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + length(role) + 2 + length(text) + 9 + CASE
+         WHEN regexp_matches(text, '\\(###|</turn>)') THEN len(regexp_extract_all(text, '###'))
+         ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+OP8_SQL = """
+SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens
+FROM (
+  SELECT doc_id, source, lang, 'words-1' AS tokenizer,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents
+  UNION ALL
+  SELECT doc_id, source, lang, 'alnum-2', len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+')) FROM documents)
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+GROUP BY source, lang, tokenizer
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL}
+    return {"op3_chat_format": OP3_SQL, "op8_token_rollup": OP8_SQL, "op2_line_dedup": OP2_SQL}
