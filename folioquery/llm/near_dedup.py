@@ -9,8 +9,9 @@ shares no value is below 1e-6 (0.85) or 3e-5 (0.8).
 Groups of equal values never emit all their pairs. Sets that are equal form classes first, found by
 their fingerprints. Then each class in a group is compared with the group's smallest id only, links are
 confirmed on the full sets, and components computed. Groups that still hold several components then
-compare members across components: by signature first, and what is left on the full sets. Pairs within
-a component need no look, so no link that could change a component is missed.
+compare members across components, within a task and in blocks: by signature first, and what is left on
+the full sets; only links that join components come out. Pairs within a component need no look, so no
+link that could change a component is missed.
 
 Defined cases: a document without words has an empty set and is linked with nothing; a null text is one.
 Rows that share a doc_id are one node. A null doc_id is linked with nothing, its component is null and
@@ -148,45 +149,117 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, share: int, per_task: in
     return met.mapInArrow(compare, "p long, q long").distinct()
 
 
-def _across(rows: DataFrame, share: int, most: int) -> DataFrame:
-    """Pairs of different components within a key whose sizes and signatures allow a link; rows (key, id, comp, n, sig)."""
+def _streamed(rows: DataFrame, by: list[str], work, schema: str) -> DataFrame:
+    """Apply ``work`` to the table of each group of ``by`` as the groups of a sorted partition go by."""
 
-    def pairs_of(ids: np.ndarray, comps: np.ndarray, n: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(n, kind="stable")
-        ids, comps, n, sig = ids[order], comps[order], n[order], sig[order]
-        stop = np.searchsorted(n * share, n * 100, "right")
-        for i in range(len(ids)):
-            j = np.arange(i + 1, stop[i])
-            j = j[comps[j] != comps[i]]
-            j = j[(sig[j] != sig[i]).sum(1) <= most]
-            if len(j):
-                yield np.full(len(j), ids[i]), ids[j]
-
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(group: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids, comps, n = (kit.ints(group.column(c), 0) for c in ("id", "comp", "n"))
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, POSITIONS)
-            keys = kit.ints(group.column("key"), 0)
-            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            for a, b in zip(edge, np.append(edge[1:], len(keys)), strict=True):
-                for p, q in pairs_of(ids[a:b], comps[a:b], n[a:b], sig[a:b]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], ["p", "q"])
-
+        now = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = kit.ints(batch.column("key"), 0)
-            cut = int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on in the next batch
-            if cut or (held and kit.ints(held[-1].column("key"), 0)[-1] != keys[-1]):
-                yield from done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held = []
-            held.append(batch.slice(cut))
+            keys = np.stack([kit.ints(batch.column(c), 0) for c in by], 1)
+            edge = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+            for i, j in zip(edge, np.append(edge[1:], len(keys)), strict=True):
+                key = tuple(keys[i].tolist())
+                if key != now and held:
+                    yield from work(now, pa.Table.from_batches(held))
+                    held = []
+                now = key
+                held.append(batch.slice(i, j - i))
         if held:
-            yield from done(pa.Table.from_batches(held))
+            yield from work(now, pa.Table.from_batches(held))
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(go, schema)
+
+
+def _open_pairs(key: int, slot: int, table: pa.Table, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows in different components that sizes and signatures leave open, closest first.
+
+    A pair that shares several keys belongs to the first of them; a pair of two blocks to their common slot.
+    """
+    n, comps, blocks = (kit.ints(table.column(c), 0) for c in ("n", "comp", "block"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, POSITIONS)
+    values = index_values(sig)
+    single = slot >> 32 == slot & 0xFFFFFFFF
+    order = np.argsort(n, kind="stable")
+    stop = np.searchsorted(n[order] * share, n[order] * 100, "right")
+    left, right, far = [], [], []
+    for at in range(len(order)):
+        i, j = order[at], order[at + 1 : stop[at]]
+        j = j[comps[j] != comps[i]]
+        if not single:
+            j = j[blocks[j] != blocks[i]]
+        d = (sig[j] != sig[i]).sum(1)
+        j, d = j[d <= most], d[d <= most]
+        if len(j):
+            common = values[j] == values[i]
+            mine = values[i][common.argmax(1)] == key
+            left.append(np.full(int(mine.sum()), i))
+            right.append(j[mine])
+            far.append(d[mine])
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right, far = (np.concatenate(x) for x in (left, right, far))
+    order = np.argsort(far, kind="stable")
+    return left[order], right[order]
+
+
+def _across(members: DataFrame, docs: DataFrame, k: int, share: int, most: int, block: int = 2000) -> DataFrame:
+    """Links (p, q) that join components within a key; members are rows (key, id, comp, n, sig).
+
+    Groups of more than ``block`` members are compared block by block. A first pass on signatures finds who has an open
+    pair; only their texts travel. Within a task a pair that earlier links have joined already is not compared, and
+    only joining links come out, so rows stay in proportion to members.
+    """
+    size = members.groupBy("key").agg(F.count("*").alias("m"))
+    dealt = members.join(size, "key").withColumn("nb", F.expr(f"cast(ceil(m / {block}) as bigint)")).withColumn("block", F.expr("pmod(xxhash64(id), nb)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(cast(0 as bigint), nb - 1)")))
+    dealt = dealt.withColumn("slot", F.expr("shiftleft(least(block, other), 32) + greatest(block, other)")).select("key", "slot", "id", "comp", "n", "sig", "block")
+
+    def who(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right = _open_pairs(*key, table, share, most)
+        rows = np.unique(np.concatenate([left, right]))
+        if len(rows):
+            yield from table.take(pa.array(rows)).combine_chunks().to_batches()
+
+    kind = "key long, slot long, id long, comp long, n long, sig binary, block long"
+    asked = kit.written(_streamed(dealt, ["key", "slot"], who, kind), "open")
+    ids = asked.select("id").distinct()
+    few = ids.count() <= 1_000_000  # 8 MB of ids
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    met = asked.join(texts, "id").select("key", "slot", "id", "comp", "n", "sig", "block", "text")
+
+    def compare(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right = _open_pairs(*key, table, share, most)
+        if not len(left):
+            return
+        sets = list(shingle_sets(table.column("text"), k))
+        ids, comps = kit.ints(table.column("id"), 0).tolist(), kit.ints(table.column("comp"), 0)
+        _, node = np.unique(comps, return_inverse=True)
+        node, up = node.tolist(), list(range(len(comps)))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        out = []
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            a, b = top(node[i]), top(node[j])
+            if a == b:
+                continue
+            s, t = sets[i], sets[j]
+            both = np.intersect1d(s, t, assume_unique=True).size
+            if both and 100 * both >= share * (len(s) + len(t) - both):
+                up[a] = b
+                out.append((ids[i], ids[j]))
+        if out:
+            p, q = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["p", "q"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(cross, "p long, q long").distinct()
+    return _streamed(met, ["key", "slot"], compare, "p long, q long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
@@ -219,10 +292,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
     labelled = keys.join(labels, keys["id"] == labels["node"], "left").select("key", "id", comp.alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     members = labelled.join(mixed, "key", "left_semi").join(open_reps.select("id", "n", "sig"), "id").select("key", "id", "comp", "n", "sig")
-    more = kit.written(_across(members, share, most).join(tried.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")), ["p", "q"], "left_anti"), "pairs")
+    more = kit.written(_across(members, docs, k, share, most), "links")
     if more.limit(1).count():
-        again = _confirm(more, docs, k, share)
-        labels = connected_components(again.unionByName(labels.select(F.col("component").alias("p"), F.col("node").alias("q"))))
+        labels = connected_components(more.unionByName(labels.select(F.col("component").alias("p"), F.col("node").alias("q"))))
 
     found = signed.select("doc_id", "n", "a", "b").join(reps.select("a", "b", "id"), ["a", "b"], "left")
     found = found.join(labels, found["id"] == labels["node"], "left")
