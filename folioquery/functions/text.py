@@ -86,8 +86,13 @@ def occurrences(toks: Column, term: Term) -> Column:
     if len(words) == 1:
         return F.size(F.filter(toks, lambda t: t.startswith(words[0]) if term.prefix else t == words[0]))
     n = len(words)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(toks) - n + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda i: reduce(lambda a, b: a & b, (F.coalesce(F.get(toks, i - 1 + k) == w, F.lit(False)) for k, w in enumerate(words)))))
+
+    def runs(k: Column) -> Column:  # the tokens bound once; n shifted copies side by side
+        last = F.greatest(F.size(k) - n + 1, F.lit(0))
+        zipped = F.arrays_zip(*[F.slice(k, F.lit(i + 1), last).alias(f"w{i}") for i in range(n)])
+        return F.size(F.filter(zipped, lambda z: reduce(lambda a, b: a & b, (z[f"w{i}"] == w for i, w in enumerate(words)))))
+
+    return F.element_at(F.transform(F.array(toks), runs), 1)
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[Term]) -> DataFrame:

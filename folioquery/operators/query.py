@@ -76,10 +76,10 @@ class Query(Filters):
             raise SchemaError(f"{column} is not searchable")
         return column
 
-    def keyword_search(self, query: str, column: str | None = None, topk: int = 50) -> Query:
+    def keyword_search(self, query: str, column: str | None = None, topk: int | None = 50) -> Query:
         return replace(self, search=("keyword", tx.parse_keywords(query), self._fts_column(column)), keys=(), most=topk)
 
-    def fts(self, query: str, column: str | None = None, topk: int = 50) -> Query:
+    def fts(self, query: str, column: str | None = None, topk: int | None = 50) -> Query:
         """The whole query as one phrase."""
         words = tx.analyze(query)
         return replace(self, search=("keyword", [tx.Term(words)] if words else [], self._fts_column(column)), keys=(), most=topk)

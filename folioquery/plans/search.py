@@ -1 +1,228 @@
-"""Plans."""
+"""Full-text, vector and hybrid search; reranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import hybrid, vector
+from .fixtures import database, loader, query_vector
+from .registry import query
+
+_TOKENS = "regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')"
+
+
+def _bm25_sql(terms: list[str], keep: str = "true", limit: int | None = 50) -> str:
+    """BM25 over all documents; each term is a test of a token t."""
+    tf = ", ".join(f"len(list_filter(k, lambda t: {c})) AS tf{i}" for i, c in enumerate(terms))
+    df = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    idf = lambda i: f"ln((n - df{i} + 0.5) / (df{i} + 0.5))"
+    part = " + ".join(f"(CASE WHEN {idf(i)} <= 0 THEN 1e-6 ELSE {idf(i)} END) * (tf{i} * 2.2) / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(terms)))
+    hit = " OR ".join(f"tf{i} > 0" for i in range(len(terms)))
+    return f"""
+WITH k AS (SELECT doc_id, lang, {_TOKENS} AS k FROM documents),
+c AS (SELECT doc_id, lang, len(k) AS dl, {tf} FROM k),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, {df} FROM c),
+r AS (SELECT doc_id AS id, lang, {part} AS raw FROM c, s WHERE ({hit}))
+SELECT id, round(raw, 6) AS score FROM r WHERE {keep} ORDER BY raw DESC, id {f"LIMIT {limit}" if limit else ""}
+"""
+
+
+@query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens_md5 FROM documents")
+def text_tokens(spark, d):
+    k = tx.tokens(F.coalesce("text", F.lit("")))
+    return loader(spark, d)("documents").select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", k)).alias("tokens_md5"))
+
+
+def _keyword(spark, d, text, limit=50, **filters):
+    q = database(spark, d).table("docs")
+    for name, value in filters.items():
+        q = q.eq(name, value)
+    ranked = q.keyword_search(text, "content", limit).select("id").frame()
+    return ranked.select("id", F.round("_score", 6).alias("score"))
+
+
+@query(_bm25_sql(["starts_with(t, 'idiot')", "starts_with(t, 'worthless')"]))
+def text_keyword_bm25(spark, d):
+    return _keyword(spark, d, "idiot worthless")
+
+
+@query(_bm25_sql(["starts_with(t, 'tion')", "starts_with(t, '2025')", "t = 'fy'"]))
+def text_keyword_prefix(spark, d):
+    return _keyword(spark, d, "tion FY2025")
+
+
+@query(_bm25_sql(["starts_with(t, 'worth')", "starts_with(t, 'moron')"], "lang = 'en'"))
+def text_keyword_filtered(spark, d):
+    """Statistics stay those of the whole column; the filter only restricts what comes out."""
+    return _keyword(spark, d, "worth moron", lang="en")
+
+
+@query("""
+WITH k AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS k FROM documents),
+c AS (SELECT id, len(k) AS dl, CAST(len(list_filter(range(1, greatest(len(k), 1)), lambda i: k[i] = 'of' AND k[i + 1] = 'the')) AS BIGINT) AS tf FROM k),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE tf > 0) AS df FROM c)
+SELECT id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE tf > 0
+""")
+def text_phrase(spark, d):
+    ranked = database(spark, d).table("docs").fts("Of the", "content", None).select("id").frame()
+    return ranked.select("id", F.round("_score", 6).alias("score"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)\\bidiot\\b')")
+def text_regex(spark, d):
+    return database(spark, d).table("docs").regex_search(r"\bidiot\b", "content").select("id").frame()
+
+
+@query("SELECT id, 1 - CAST(n - 1 AS DOUBLE) / (total - 1) AS score FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents), (SELECT count(*) AS total FROM documents)")
+def text_position_score(spark, d):
+    """The fallback score by position, 1 to 0: ranks from per-bucket counts, so that no task orders all rows."""
+    docs = loader(spark, d)("documents").select("doc_id", F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").alias("b")).alias("key"))
+    ranged = docs.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    local = ranged.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("key")))
+    sizes = local.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"), F.sum("n").over(W.partitionBy()).alias("total"))
+    ranked = local.join(F.broadcast(before), "part")  # one row a partition
+    return ranked.select(F.col("doc_id").alias("id"), F.when(F.col("total") == 1, 1.0).otherwise(1 - (F.col("at") + F.col("r") - 1) / (F.col("total") - 1)).alias("score"))
+
+
+_UNIT = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+_QV = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+_COS = "list_cosine_similarity(v, q)"
+
+
+@query(f"SELECT id, round(list_dot_product(u, u), 6) AS norm, round(u[1], 6) AS first FROM (SELECT id, list_transform(v, lambda x: x / CASE WHEN s = 0 THEN 1 ELSE s END) AS u FROM (SELECT id, v, sqrt(list_dot_product(v, v)) AS s FROM ({_UNIT})))")
+def vec_normalize(spark, d):
+    u = loader(spark, d)("embeddings").select(F.col("vec_id").alias("id"), vector.normalize(F.col("embedding")).alias("u"))
+    square = F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x)
+    return u.select("id", F.round(square, 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+@query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV} ORDER BY {_COS} DESC, id LIMIT 20")
+def vec_topk(spark, d):
+    rows = loader(spark, d)("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vector.top_k(rows, "id", "vector", query_vector(spark, d), 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV}")
+def vec_cosine_builtin(spark, d):
+    """The same score by built-in array functions, for all rows."""
+    rows = loader(spark, d)("embeddings")
+    return rows.select(F.col("vec_id").alias("id"), F.round(vector.cosine(F.col("embedding"), query_vector(spark, d)), 6).alias("score"))
+
+
+@query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV} WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY {_COS} DESC, id LIMIT 15")
+def vec_topk_filtered(spark, d):
+    q = database(spark, d).table("docs").eq("lang", "en").order("n_chars").vector_search(query_vector(spark, d), "embedding", 15)
+    return q.select("id").frame().select("id", F.round("_score", 6).alias("score"))
+
+
+@query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV} WHERE id % 3 <> 0 ORDER BY {_COS} DESC, id LIMIT 20")
+def vec_tombstone(spark, d):
+    """A version with a third of all vectors removed; removed ids never come out."""
+    base = loader(spark, d)("embeddings").select(F.col("vec_id").alias("id"), F.lit(1).cast("long").alias("version"), F.col("embedding").cast("array<float>").alias("vector"))
+    gone = base.where("id % 3 = 0").select("id", F.lit(2).cast("long").alias("version"), F.lit(None).cast("array<float>").alias("vector"))
+    rows = vector.latest(base.unionByName(gone))
+    return vector.top_k(rows, "id", "vector", query_vector(spark, d), 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id AS id, CAST(label + 1 AS BIGINT) AS version FROM embeddings WHERE label % 2 = 1 UNION ALL SELECT vec_id, 0 FROM embeddings WHERE label % 2 = 0")
+def dedupe_latest_version(spark, d):
+    base = loader(spark, d)("embeddings").select(F.col("vec_id").alias("id"), F.lit(0).cast("long").alias("version"), F.col("embedding").alias("vector"), "label")
+    newer = base.where("label % 2 = 1").withColumn("version", (F.col("label") + 1).cast("long"))
+    both = base.unionByName(newer).withColumn("was", F.col("version"))
+    return vector.latest(both).select("id", F.col("was").alias("version"))
+
+
+_LEGS = f"""
+WITH base AS (SELECT doc_id AS id FROM documents WHERE lang = 'en'),
+v AS (SELECT id, {_COS} AS cos FROM ({_UNIT}), {_QV} WHERE id IN (SELECT id FROM base) ORDER BY cos DESC, id LIMIT 60),
+kk AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') AS k FROM documents),
+c AS (SELECT id, len(k) AS dl, len(list_filter(k, lambda t: starts_with(t, 'idiot'))) AS tf0, len(list_filter(k, lambda t: starts_with(t, 'moron'))) AS tf1 FROM kk),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE tf0 > 0) AS df0, count(*) FILTER (WHERE tf1 > 0) AS df1 FROM c),
+w AS (SELECT id, greatest(ln((n - df0 + 0.5) / (df0 + 0.5)), 1e-6) * tf0 * 2.2 / (tf0 + 1.2 * (0.25 + 0.75 * dl / avgdl))
+             + greatest(ln((n - df1 + 0.5) / (df1 + 0.5)), 1e-6) * tf1 * 2.2 / (tf1 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS bm
+      FROM c, s WHERE (tf0 > 0 OR tf1 > 0) AND id IN (SELECT id FROM base) ORDER BY bm DESC, id LIMIT 60),
+vn AS (SELECT id, cos, CASE WHEN max(cos) OVER () = min(cos) OVER () THEN 1 ELSE (cos - min(cos) OVER ()) / (max(cos) OVER () - min(cos) OVER ()) END AS v FROM v),
+wn AS (SELECT id, bm, CASE WHEN max(bm) OVER () = min(bm) OVER () THEN 1 ELSE (bm - min(bm) OVER ()) / (max(bm) OVER () - min(bm) OVER ()) END AS k FROM w),
+f AS (SELECT coalesce(vn.id, wn.id) AS id, coalesce(v, 0) AS v, coalesce(k, 0) AS k, cos, bm FROM vn FULL JOIN wn ON vn.id = wn.id)
+"""
+
+
+def _fused(alpha: float) -> str:
+    score = f"({alpha} * v + {1 - alpha} * k)"
+    return _LEGS + f"SELECT id, round({score}, 6) AS score FROM f ORDER BY {score} DESC, cos IS NULL, cos DESC, bm DESC, id LIMIT 20"
+
+
+def _hybrid(spark, d, alpha):
+    q = database(spark, d).table("docs").eq("lang", "en")
+    out = q.hybrid_search("idiot moron", "embedding", "content", 20, alpha, vector_query=query_vector(spark, d)).select("id").frame()
+    return out.select("id", F.round("_score", 6).alias("score"))
+
+
+@query(_fused(0.75))
+def hybrid_fusion(spark, d):
+    return _hybrid(spark, d, 0.75)
+
+
+@query(_fused(0.0))
+def hybrid_alpha0(spark, d):
+    return _hybrid(spark, d, 0.0)
+
+
+@query(_fused(1.0))
+def hybrid_alpha1(spark, d):
+    return _hybrid(spark, d, 1.0)
+
+
+@query("SELECT doc_id AS id, round(CASE WHEN hi = lo THEN 1 ELSE (n_chars - lo) / CAST(hi - lo AS DOUBLE) END, 9) AS scaled FROM documents, (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents)")
+def hybrid_minmax(spark, d):
+    rows = loader(spark, d)("documents").select(F.col("doc_id").alias("id"), "n_chars")
+    return hybrid.minmax(rows, "n_chars", "scaled").select("id", F.round("scaled", 9).alias("scaled"))
+
+
+@query(f"""
+WITH t AS (SELECT id, {_COS} AS cos FROM ({_UNIT}), {_QV} ORDER BY cos DESC, id LIMIT 100),
+r AS (SELECT t.id, cos, len(list_intersect(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+')), ['idiot', 'moron', 'the'])) / 3.0 AS rel FROM t JOIN documents ON doc_id = t.id)
+SELECT id, round(rel, 6) AS score, round(cos, 6) AS original_score FROM r ORDER BY rel DESC, cos DESC, id LIMIT 10
+""")
+def rerank_lexical(spark, d):
+    q = database(spark, d).table("docs").vector_search(query_vector(spark, d), "embedding", 100).rerank("the idiot moron", "content", 10)
+    return q.select("id").frame().select("id", F.round("_score", 6).alias("score"), F.round("original__score", 6).alias("original_score"))
+
+
+@query(f"""
+WITH a AS (SELECT id, {_COS} AS cos FROM ({_UNIT}), {_QV} WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY cos DESC, id LIMIT 20),
+b AS (SELECT id, {_COS} AS cos FROM ({_UNIT}), {_QV} WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'fr') ORDER BY cos DESC, id LIMIT 20),
+u AS (SELECT 'english' AS type, * FROM a UNION ALL SELECT 'french', * FROM b)
+SELECT type, id, round(cos, 6) AS score FROM u ORDER BY cos DESC, type, id LIMIT 10
+""")
+def union_legs_topk(spark, d):
+    db, q = database(spark, d), query_vector(spark, d)
+    leg = lambda lang: db.table("docs").eq("lang", lang).vector_search(q, "embedding", 20).select("id").frame().withColumnRenamed("_score", "score")
+    best = hybrid.union_legs({"english": leg("en"), "french": leg("fr")}, 10)
+    return best.select("type", "id", F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH cache AS (SELECT DISTINCT sha256(coalesce(text, '')) AS sha FROM documents WHERE doc_id % 3 = 0)
+SELECT doc_id AS id, sha256(coalesce(text, '')) IN (SELECT sha FROM cache) AS hit FROM documents
+""")
+def embed_cache_split(spark, d):
+    """Texts whose hash is cached, and those to embed."""
+    docs = loader(spark, d)("documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    cache = docs.where("id % 3 = 0").select(F.sha2("text", 256).alias("sha256"), F.array(F.lit(1.0)).alias("vector"))
+    hit, miss = vector.split_cached(docs, cache)
+    return hit.select("id", F.lit(True).alias("hit")).unionByName(miss.select("id", F.lit(False).alias("hit")))
+
+
+@query("SELECT doc_id AS row_id FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0")
+def outbox_retry(spark, d):
+    """Failed texts recorded twice stay once; those embedded later leave."""
+    docs = loader(spark, d)("documents").where("doc_id % 5 = 0")
+    failed = docs.select(F.lit("documents").alias("table_name"), F.lit("text").alias("column_name"), F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
+    empty = spark.createDataFrame([], "table_name string, column_name string, row_id long, text string, text_sha256 string, created_at timestamp")
+    once = vector.outbox_add(empty, failed.unionByName(failed))
+    twice = vector.outbox_add(once, failed)
+    return vector.outbox_done(twice, twice.where("row_id % 10 = 0")).select("row_id")
