@@ -122,11 +122,12 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[Term]) -> DataFrame:
 
 
 def _scaled(v: Column, steps: list[tuple[float, str]], digits: int) -> Column:
+    shown = lambda x: F.translate(F.format_number(x, digits), ",", "")  # noqa: E731  rounds the binary value, ties to even
     out = None
     for size, mark in steps:
-        text = F.concat(F.lit("$"), F.format_string(f"%.{digits}f", v / size), F.lit(mark))
+        text = F.concat(F.lit("$"), shown(v / size), F.lit(mark))
         out = F.when(F.abs(v) >= size, text) if out is None else out.when(F.abs(v) >= size, text)
-    return out.otherwise(F.concat(F.lit("$"), F.format_string(f"%.{digits}f", v)))
+    return out.otherwise(F.concat(F.lit("$"), shown(v)))
 
 
 def format_value(v: Column) -> Column:

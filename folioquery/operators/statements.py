@@ -69,7 +69,7 @@ def ytd_to_quarter(facts: DataFrame) -> DataFrame:
     A quarter whose predecessor's statement is missing keeps its year-to-date value; a key missing from the predecessor becomes null.
     (Some systems subtract the already normalised Q2 from Q3, which leaves Q1 + Q3; this does not.)
     """
-    q = F.substring("fiscal_period", 2, 1).cast("int")
+    q = F.substring("fiscal_period", 2, 1).try_cast("int")
     facts = facts.withColumn("__q", q)
     have = facts.select("company_id", "fiscal_year", F.col("__q").alias("__have")).distinct()
     prior = F.col("__q") - 1

@@ -1 +1,97 @@
-"""Plans."""
+"""Writes: inserts, updates, deletes, upserts, and validation, shown on customers and orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import schema as sc
+from ..operators import writes as wr
+from .fixtures import loader, star_catalog
+from .registry import query
+
+
+def _changes(spark, d):
+    """Suppliers as incoming customers: keys 1..n meet existing ones, others are new."""
+    s = loader(spark, d)("supplier")
+    return s.select((F.col("s_suppkey") * 40).alias("c_custkey"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+
+
+_SRC = "SELECT s_suppkey * 40 AS c_custkey, s_name AS c_name, s_acctbal AS c_acctbal FROM supplier"
+
+
+@query(f"SELECT coalesce(c.c_custkey, s.c_custkey) AS c_custkey, coalesce(s.c_name, c.c_name) AS c_name, coalesce(s.c_acctbal, c.c_acctbal) AS c_acctbal, c_nationkey FROM customer c FULL JOIN ({_SRC}) s ON c.c_custkey = s.c_custkey")
+def upsert_update(spark, d):
+    out = wr.upsert(loader(spark, d)("customer"), _changes(spark, d), ["c_custkey"])
+    return out.select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+
+
+@query(f"SELECT c_custkey, c_name, c_acctbal FROM customer UNION ALL SELECT * FROM ({_SRC}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)")
+def upsert_nothing(spark, d):
+    return wr.upsert_nothing(loader(spark, d)("customer"), _changes(spark, d), ["c_custkey"]).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query(f"SELECT c.c_custkey, coalesce(s.c_name, c.c_name) AS c_name, c_mktsegment FROM customer c LEFT JOIN ({_SRC}) s USING (c_custkey)")
+def upsert_partial(spark, d):
+    return wr.upsert_partial(loader(spark, d)("customer"), _changes(spark, d).select("c_custkey", "c_name"), "c_custkey").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def update_where(spark, d):
+    out = wr.update_where(loader(spark, d)("orders"), {"o_orderstatus": "X"}, F.col("o_totalprice") > 100000, star_catalog()["orders"])
+    return out.select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL OR quality <> 0")
+def delete_where(spark, d):
+    """Rows where the predicate is unknown stay."""
+    load = loader(spark, d)
+    rows = load("documents").join(load("labels"), "doc_id", "left").select("doc_id", "quality")
+    return wr.delete_where(rows, F.col("quality") == 0)
+
+
+_KEPT = "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING'))"
+
+
+@query(f"SELECT 'orders' AS tbl, o_orderkey AS k, CAST(0 AS BIGINT) AS n FROM ({_KEPT}) UNION ALL SELECT 'lineitem', l_orderkey, count(*) FROM lineitem WHERE l_orderkey IN ({_KEPT}) GROUP BY 2")
+def delete_cascade(spark, d):
+    load = loader(spark, d)
+    tables = {t: load(t) for t in ("customer", "orders", "lineitem")}
+    out = wr.delete_cascade(star_catalog(), tables, "customer", F.col("c_mktsegment") == "BUILDING")
+    orders = out["orders"].select(F.lit("orders").alias("tbl"), F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("n"))
+    lines = out["lineitem"].groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"))
+    return orders.unionByName(lines.select(F.lit("lineitem").alias("tbl"), "k", "n"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT c_custkey) AS ids, min(c_custkey) AS low, max(c_custkey) AS high FROM (SELECT c_custkey FROM customer UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY s_suppkey) FROM supplier)")
+def insert_allocate(spark, d):
+    """New keys follow the largest one without gaps."""
+    load = loader(spark, d)
+    rows = load("supplier").select(F.col("s_name").alias("c_name"), F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
+    out = wr.insert(load("customer"), rows, star_catalog()["customer"], ["c_name", "c_acctbal"])
+    return out.agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("ids"), F.min("c_custkey").alias("low"), F.max("c_custkey").alias("high"))
+
+
+@query("SELECT o_orderkey, 'check: o_orderpriority' AS _reason FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW')")
+def validate_rows(spark, d):
+    """Rows that break a declared rule, with the reason."""
+    spec = sc.define("orders", "o_orderkey serial\no_orderpriority enum ! of:1-URGENT|2-HIGH|5-LOW")
+    return sc.violations(loader(spark, d)("orders").select("o_orderkey", "o_orderpriority"), spec).select("o_orderkey", "_reason")
+
+
+@query("""
+SELECT event_id, CASE WHEN regexp_full_match(s, '\\d+') THEN CAST(s AS BIGINT) END AS as_int,
+       CASE WHEN lower(s) IN ('1', 't', 'true', 'y', 'yes') THEN true WHEN lower(s) IN ('0', 'f', 'false', 'n', 'no') THEN false END AS as_bool
+FROM (SELECT event_id, ['12', '-1', 'yes', 'F', '0', '1', 'x'][event_id % 7 + 1] AS s FROM events)
+""")
+def coerce_values(spark, d):
+    s = F.get(F.array(*map(F.lit, ("12", "-1", "yes", "F", "0", "1", "x"))), (F.col("event_id") % 7).cast("int"))
+    return loader(spark, d)("events").select("event_id", sc.coerce(s, "integer").alias("as_int"), sc.coerce(s, "boolean").alias("as_bool"))
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id")
+def stream_incremental_upsert(spark, d):
+    """Events stream in by file; each micro-batch upserts the newest state of its users."""
+    from ..streaming.ingest import incremental_upsert
+
+    events = loader(spark, d)("events").select("event_id", "ts", "user_id", "value")
+    return incremental_upsert(spark, events, f"{d}/events.parquet", key="user_id", newest=["ts", "event_id"]).select("user_id", "ts", "value")
