@@ -1 +1,177 @@
-"""Plans."""
+"""End-to-end queries: company and filing lists, page reads, searches within filings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.text import expand_forms
+from ..operators import hybrid
+from ..sources import companies as co
+from .fixtures import database, loader, query_vector
+from .registry import query
+
+PAGE_CAP, LIST_CAP = 20, 50
+# Forms by kind of document, exhibits by focus, results by depth.
+FORMS = {"annual_reports": ["10-K", "20-F"], "quarterly_reports": ["10-Q"], "current_reports": ["8-K", "6-K"], "proxy_statements": ["DEF 14A"]}
+FOCUS = {"financing_terms": ["underwriting_agreement", "certificate_of_designations"], "debt_terms": ["indenture", "supplemental_indenture", "debt_instrument"], "merger_terms": ["merger_agreement"], "press_releases_and_investor_presentations": ["press_or_investor"]}
+DEPTH = {"sections": {"low": 5, "medium": 15, "high": 30}, "notes": {"low": 10, "medium": 15, "high": 30}, "current": {"low": 5, "medium": 10, "high": 20}}
+
+
+def forms_of(kinds: list[str]) -> list[str]:
+    return list(dict.fromkeys(f for k in kinds for f in expand_forms(FORMS.get(k, []))))
+
+
+def exhibits_of(focus: list[str]) -> list[str]:
+    return list(dict.fromkeys(x for f in focus for x in FOCUS.get(f, [])))
+
+
+def list_by_name_or_symbol(companies: DataFrame, text: str, name: str, symbols: str, key: str, most: int = 10) -> DataFrame:
+    """Name hits, then symbol hits not seen yet; ``most`` rows."""
+    from ..operators.predicates import Leaf
+
+    at = lambda c: (F.col(c), companies.schema[c].dataType)
+    by_name = companies.where(Leaf("ilike", name, text).column(at)).withColumn("_leg", F.lit(0))
+    by_symbol = companies.where(Leaf("contains", symbols, text.upper()).column(at)).withColumn("_leg", F.lit(1))
+    both = by_name.unionByName(by_symbol)
+    rest = [c for c in both.columns if c not in (key, "_leg")]
+    once = both.groupBy(key).agg(F.min("_leg").alias("_leg"), F.first(F.struct(*rest)).alias("r"))
+    return once.select(key, "r.*", "_leg").orderBy("_leg", key).limit(most).drop("_leg")
+
+
+def read_pages(pages: DataFrame, parent: str, first: int, last: int, cap: int = PAGE_CAP) -> DataFrame:
+    """Text of pages first..last of each parent, at most ``cap`` of them, in order, with separators."""
+    last = min(last, first + cap - 1)
+    rows = pages.where(F.col("page").between(first, last)).groupBy(parent).agg(F.array_sort(F.collect_list(F.struct("page", "content"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.concat(F.lit("--- Page "), x["page"].cast("string"), F.lit(" ---\n"), x["content"])), "\n\n")
+    return rows.select(parent, F.size("p").cast("long").alias("n_pages"), text.alias("content"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey, c_name, 'C' || (c_custkey % 97) AS symbol FROM customer),
+h AS (SELECT c_custkey, c_name, 0 AS leg FROM c WHERE lower(c_name) LIKE '%c5%' UNION ALL SELECT c_custkey, c_name, 1 FROM c WHERE symbol = 'C5')
+SELECT c_custkey, any_value(c_name) AS c_name FROM h GROUP BY c_custkey ORDER BY min(leg), c_custkey LIMIT 10
+""")
+def list_companies(spark: SparkSession, d: str) -> DataFrame:
+    rows = loader(spark, d)("customer").select("c_custkey", "c_name", F.array(F.concat(F.lit("C"), (F.col("c_custkey") % 97).cast("string"))).alias("symbols"))
+    return list_by_name_or_symbol(rows, "c5", "c_name", "symbols", "c_custkey").select("c_custkey", "c_name")
+
+
+@query("""
+SELECT o_orderkey AS id, o_orderpriority AS form, CAST(o_orderdate AS DATE) AS filing_date, c_name AS company_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND c_mktsegment = 'BUILDING' AND o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate <= TIMESTAMP '1997-12-31'
+ORDER BY o_orderdate DESC, o_orderkey LIMIT 50
+""")
+def list_filings(spark: SparkSession, d: str) -> DataFrame:
+    """The newest filings of some forms in a range of dates, with their company."""
+    from datetime import datetime
+
+    q = database(spark, d).table("filings_view").in_("form", ["1-URGENT", "2-HIGH"]).eq("company_sector", "BUILDING").between("filing_date", datetime(1994, 1, 1), datetime(1997, 12, 31))
+    return q.order("filing_date", desc=True).order("id").limit(LIST_CAP).select("id", "form", "cast(filing_date as date) AS filing_date", "company_name").frame()
+
+
+_PAGE = "'line ' || l_linenumber || ' of ' || l_orderkey"
+
+
+@query(f"""
+SELECT l_orderkey AS filing_id, count(*) AS n_pages, string_agg('--- Page ' || l_linenumber || ' ---' || chr(10) || {_PAGE}, chr(10) || chr(10) ORDER BY l_linenumber, {_PAGE}) AS content
+FROM lineitem WHERE l_linenumber BETWEEN 2 AND 5 GROUP BY 1
+""")
+def read_filing_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = loader(spark, d)("lineitem").select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string"), F.lit(" of "), F.col("l_orderkey").cast("string")).alias("content"))
+    return read_pages(pages, "filing_id", 2, 5)
+
+
+@query("SELECT l_orderkey AS filing_id, count(*) AS n_pages FROM lineitem WHERE l_linenumber BETWEEN 1 AND 20 GROUP BY 1")
+def page_cap(spark: SparkSession, d: str) -> DataFrame:
+    """A range of a thousand pages is cut to twenty."""
+    pages = loader(spark, d)("lineitem").select(F.col("l_orderkey").alias("filing_id"), F.col("l_linenumber").alias("page"), F.lit("").alias("content"))
+    return read_pages(pages, "filing_id", 1, 1000).select("filing_id", "n_pages")
+
+
+@query("SELECT l_orderkey AS filing_id, list(exhibit ORDER BY exhibit) AS exhibits FROM (SELECT l_orderkey, CAST(l_linenumber * 3 % 11 AS VARCHAR) || '.' || l_linenumber AS exhibit FROM lineitem) GROUP BY 1")
+def list_attachments(spark: SparkSession, d: str) -> DataFrame:
+    """Attachments of each filing in the text order of their exhibit numbers."""
+    n = F.col("l_linenumber")
+    rows = loader(spark, d)("lineitem").select(F.col("l_orderkey").alias("filing_id"), F.concat((n * 3 % 11).cast("string"), F.lit("."), n.cast("string")).alias("exhibit"))
+    return rows.groupBy("filing_id").agg(F.array_sort(F.collect_list("exhibit")).alias("exhibits"))
+
+
+_COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)"
+_QV = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
+
+
+def _leg(source: str, limit: int) -> str:
+    return f"(SELECT '{source}' AS type, vec_id AS id, {_COS} AS cos FROM embeddings, {_QV} WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = '{source}') ORDER BY cos DESC, id LIMIT {limit})"
+
+
+@query(f"SELECT type, id, round(cos, 6) AS score FROM ({_leg('src0', 20)} UNION ALL {_leg('src1', 20)}) ORDER BY cos DESC, type, id LIMIT 10")
+def search_filing(spark: SparkSession, d: str) -> DataFrame:
+    """Two legs of twice the limit, the best of both."""
+    db, q = database(spark, d), query_vector(spark, d)
+    legs = {s: db.table("docs").eq("source", s).vector_search(q, "embedding", 20).select("id").frame().withColumnRenamed("_score", "score") for s in ("src0", "src1")}
+    return hybrid.union_legs(legs, 10).select("type", "id", F.round("score", 6).alias("score"))
+
+
+_FOUR = " UNION ALL ".join(_leg(s, 20) for s in ("src0", "src1", "src2", "src3"))
+
+
+@query(f"""
+WITH u AS (SELECT type, id, cos FROM ({_FOUR})),
+r AS (SELECT u.*, len(list_intersect(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+')), ['of', 'the', 'worthless'])) / 3.0 AS rel FROM u JOIN documents ON doc_id = id)
+SELECT type, id, round(rel, 6) AS score FROM r ORDER BY rel DESC, cos DESC, id LIMIT 10
+""")
+def semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Four filtered legs, tagged and united, then reranked."""
+    db, q = database(spark, d), query_vector(spark, d)
+    legs = {s: db.table("docs").eq("source", s).vector_search(q, "embedding", 20).select("id", "content").frame().withColumnRenamed("_score", "score") for s in ("src0", "src1", "src2", "src3")}
+    best = hybrid.rerank(hybrid.union_legs(legs, 80), "worthless of the", "content", 10)
+    return best.select("type", "id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT count(DISTINCT source) AS filings, count(*) AS hits FROM documents WHERE lang = 'en'")
+def count_filings_in_results(spark: SparkSession, d: str) -> DataFrame:
+    return loader(spark, d)("documents").where("lang = 'en'").agg(F.count_distinct("source").alias("filings"), F.count("*").alias("hits"))
+
+
+@query("SELECT o_custkey AS id, count(*) AS filings, max(l_linenumber) AS max_page FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+def filing_overview(spark: SparkSession, d: str) -> DataFrame:
+    """Children counted, with the largest page."""
+    load = loader(spark, d)
+    met = load("orders").join(load("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return met.groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("filings"), F.max("l_linenumber").alias("max_page"))
+
+
+@query("SELECT * FROM (VALUES ('annual_reports', '10-K'), ('annual_reports', '10-K/A'), ('annual_reports', '20-F'), ('annual_reports', '20-F/A'), ('quarterly_reports', '10-Q'), ('quarterly_reports', '10-Q/A'), ('current_reports', '8-K'), ('current_reports', '8-K/A'), ('current_reports', '6-K'), ('current_reports', '6-K/A'), ('proxy_statements', 'DEF 14A'), ('proxy_statements', 'DEF 14A/A')) t(kind, form)")
+def form_expand(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, f) for k in FORMS for f in forms_of([k])], "kind string, form string")
+
+
+@query("""
+WITH s AS (SELECT upper(trim(s_name)) AS symbol, s_name AS name, s_suppkey AS pos, s_acctbal AS cap, s_nationkey AS g FROM supplier),
+m AS (SELECT lpad(CAST(g AS VARCHAR), 10, '0') AS cik, * FROM s WHERE g % 5 <> 0)
+SELECT cik, arg_min(name, pos) AS name, round(arg_min(cap, pos), 2) AS market_cap, list(symbol ORDER BY pos) AS symbols, list_distinct(list('EX' || g)) AS exchanges FROM m WHERE g % 2 = 0 GROUP BY cik
+UNION ALL SELECT cik, arg_min(name, pos), round(arg_min(cap, pos), 2), list(symbol ORDER BY pos), [] FROM m WHERE g % 2 = 1 GROUP BY cik
+""")
+def company_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as screener rows: even nations are in the exchange file, odd ones only in the ticker file, every fifth in neither."""
+    s = loader(spark, d)("supplier")
+    raw = s.select(F.concat(F.lit(" "), F.lower("s_name")).alias("symbol"), F.col("s_name").alias("name"), F.lit(None).cast("string").alias("country"), F.lit(None).cast("string").alias("sector"), F.lit(None).cast("string").alias("industry"), F.col("s_acctbal").cast("string").alias("marketCap"), F.lit(None).cast("string").alias("delisted"), F.col("s_suppkey").alias("at"))
+    known = s.where("s_nationkey % 5 <> 0").select(F.upper("s_name").alias("symbol"), F.lpad(F.col("s_nationkey").cast("string"), 10, "0").alias("cik"), "s_name", "s_nationkey")
+    listed = known.where("s_nationkey % 2 = 0").select("symbol", "cik", F.col("s_name").alias("name"), F.concat(F.lit("EX"), F.col("s_nationkey").cast("string")).alias("exchange"))
+    out = co.merge_companies(co.clean_screener(raw), listed, known.where("s_nationkey % 2 = 1").select("symbol", "cik"))
+    return out.select("cik", "name", F.round("market_cap", 2).alias("market_cap"), "symbols", "exchanges")
+
+
+@query("SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE DATE '1996-06-01' END) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
+def filings_by_date(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = loader(spark, d)("orders").select(k, F.when(k % 3 != 0, F.col("o_orderdate").cast("date")).alias("report_date"), F.when(k % 2 != 0, F.lit("1996-06-01").cast("date")).alias("filing_date"))
+    return co.filings_between(rows, "1996-01-01", "1996-12-31").select("o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def latest_per_company(spark: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return loader(spark, d)("orders").withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", "o_orderkey", "o_totalprice")

@@ -1 +1,141 @@
-"""Plans."""
+"""Document processing on pages, documents and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions.documents import chunker, flat_map, headers, html, sections, tables, transcripts
+from .fixtures import loader
+from .registry import query
+
+
+@query()
+def html_pages(spark, d):
+    """Every page as markdown, one row a page of its document."""
+    rows = loader(spark, d)("pages").select("page_id", "html")
+    return flat_map(rows, lambda r: [{"page_id": r["page_id"], **p} for p in html.to_pages(r["html"])], "page_id long, page int, content string")
+
+
+@query()
+def html_retention(spark, d):
+    """How much of each document's visible text comes out."""
+    rows = loader(spark, d)("pages").select("page_id", "html")
+    return flat_map(rows, lambda r: [{"page_id": r["page_id"], "retention": html.retention(r["html"], html.to_pages(r["html"]))}], "page_id long, retention double")
+
+
+@query()
+def html_tables(spark, d):
+    """Order lines laid out as HTML tables with split cells, rebuilt as markdown."""
+    line = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>$</td><td>"), F.format_string("%.2f", F.col("l_extendedprice")), F.lit("</td><td>"), F.format_string("%.0f", F.col("l_discount") * 100), F.lit("</td><td>%</td></tr>"))
+    rows = loader(spark, d)("lineitem").select("l_orderkey", F.struct("l_linenumber", line.alias("html")).alias("r"))
+    made = rows.groupBy("l_orderkey").agg(F.concat(F.lit("<table><tr><th>line</th><th colspan=2>price</th><th colspan=2>discount</th></tr>"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["html"]), ""), F.lit("</table>")).alias("html"))
+    return flat_map(made, lambda r: [{"l_orderkey": r["l_orderkey"], "markdown": html.to_pages(r["html"])[0]["content"]}], "l_orderkey long, markdown string")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n, CASE WHEN starts_with(line, '#') THEN 'header' WHEN contains(line, '|') THEN 'table' ELSE 'text' END AS kind FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents)")
+def chunk_lines(spark, d):
+    """Every line and its kind; natively, without a shuffle."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line")
+    rows = loader(spark, d)("documents").select("doc_id", lines)
+    kind = F.when(F.col("line").startswith("#"), "header").when(F.contains(F.col("line"), F.lit("|")), "table").otherwise("text")
+    return rows.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), kind.alias("kind"))
+
+
+@query()
+def chunk_blocks(spark, d):
+    rows = loader(spark, d)("documents").select("doc_id", "text")
+    work = lambda r: [{"doc_id": r["doc_id"], "n": i, "kind": b.kind, "text": b.text} for i, b in enumerate(chunker.blocks_of([{"page": 1, "content": r["text"]}]))]
+    return flat_map(rows, work, "doc_id long, n int, kind string, text string")
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[.!?][\\t\\n\\f\\r ]+[A-Z]')) + 1 AS BIGINT) AS n FROM documents")
+def chunk_sentences(spark, d):
+    pieces = F.split(F.coalesce("text", F.lit("")), r"(?<=[.!?])[\t\n\f\r ]+(?=[A-Z])")
+    return loader(spark, d)("documents").select("doc_id", F.size(pieces).cast("long").alias("n"))
+
+
+@query()
+def chunk_pack(spark, d):
+    """Documents in chunks of at most 1024 tokens, as in production."""
+    rows = loader(spark, d)("documents")
+    pages = F.array(F.struct(F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("content")))
+    head = headers.header(headers.company_line(F.col("source"), F.array(F.col("lang")), F.array(F.lit("X"))))
+    return chunker.chunk_pages(rows.select(F.col("doc_id").alias("id"), pages.alias("pages"), head.alias("header")))
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS BIGINT) AS tokens FROM documents")
+def token_count(spark, d):
+    return loader(spark, d)("documents").select("doc_id", tx.count_tokens(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"))
+
+
+@query()
+def table_minify(spark, d):
+    rows = loader(spark, d)("documents").where(F.contains(F.col("text"), F.lit("|"))).select("doc_id", "text")
+    return flat_map(rows, lambda r: [{"doc_id": r["doc_id"], "text": tables.minify(r["text"])}], "doc_id long, text string")
+
+
+_EXHIBIT = "(l_linenumber * 7 + l_partkey) % 30 || '.' || l_linenumber"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, exhibit, CASE split_part(exhibit, '.', 1) WHEN '1' THEN 'underwriting_agreement' WHEN '5' THEN 'legal_opinion' WHEN '10' THEN 'material_contract' WHEN '21' THEN 'subsidiaries' WHEN '23' THEN 'consent' WHEN '99' THEN 'press_or_investor'
+  WHEN '2' THEN CASE split_part(exhibit, '.', 2) WHEN '1' THEN 'merger_agreement' ELSE 'other' END
+  WHEN '3' THEN CASE split_part(exhibit, '.', 2) WHEN '1' THEN 'certificate_of_designations' WHEN '2' THEN 'bylaws' ELSE 'charter' END
+  WHEN '4' THEN CASE split_part(exhibit, '.', 2) WHEN '1' THEN 'indenture' WHEN '2' THEN 'supplemental_indenture' ELSE 'debt_instrument' END ELSE 'other' END AS kind
+FROM (SELECT l_orderkey, l_linenumber, {_EXHIBIT} AS exhibit FROM lineitem)
+""")
+def attachment_type(spark, d):
+    n = F.col("l_linenumber")
+    exhibit = F.concat(((n * 7 + F.col("l_partkey")) % 30).cast("string"), F.lit("."), n.cast("string"))
+    rows = loader(spark, d)("lineitem").select("l_orderkey", "l_linenumber", exhibit.alias("exhibit"))
+    return rows.withColumn("kind", sections.attachment_type(F.col("exhibit")))
+
+
+@query()
+def sections_extract(spark, d):
+    """Orders as 10-K filings: three pages of items made from each order, sections cut from them."""
+    o = loader(spark, d)("orders")
+    k = F.col("o_orderkey").cast("string")
+    page = lambda n, *parts: F.struct(F.lit(n).alias("page"), F.concat(*parts).alias("content"))
+    pages = F.array(page(1, F.lit("PART I\nITEM 1. Business\nWe fill order "), k), page(2, F.lit("and more of it.\nITEM 1A. Risk Factors\nStatus "), F.col("o_orderstatus")), page(3, F.lit("PART II\nITEM 7. Analysis\nTotal "), F.col("o_totalprice").cast("string")))
+    return sections.extract_sections(o.select(F.col("o_orderkey").alias("filing_id"), F.lit("10-K").alias("form"), pages.alias("pages")))
+
+
+def _transcripts(spark, d):
+    """Conversations as transcripts: roles are speakers, each conversation's first turn is the Operator's."""
+    rows = loader(spark, d)("conversations")
+    speaker = F.when(F.col("turn") == 0, "Operator").otherwise(F.initcap("role"))
+    line = F.concat(speaker, F.lit(": "), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
+    made = rows.groupBy(F.col("conv_id").alias("transcript_id")).agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("l"))
+    return made.select("transcript_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+
+
+@query()
+def transcript_parse(spark, d):
+    return transcripts.parse_transcripts(_transcripts(spark, d))
+
+
+@query()
+def transcript_split(spark, d):
+    return transcripts.chunk_transcripts(transcripts.parse_transcripts(_transcripts(spark, d)), 256, 64)
+
+
+@query("""
+SELECT c_custkey, '# ' || c_name || ' (C' || c_custkey || ' - NYSE)' || chr(10) || 'Sector: ' || c_mktsegment || chr(10) || 'Form 10-K | FY 2024 | Filed: 2024-02-01 | Period Ending: 2023-12-31' AS header FROM customer
+""")
+def chunk_headers(spark, d):
+    c = loader(spark, d)("customer")
+    none = F.lit(None).cast("string")
+    head = headers.header(
+        headers.company_line(F.col("c_name"), F.array(F.concat(F.lit("C"), F.col("c_custkey").cast("string"))), F.array(F.lit("NYSE"))),
+        headers.sector_line(F.col("c_mktsegment"), none),
+        headers.filing_line(F.lit("10-K"), F.lit(2024), F.lit("FY"), F.lit("2024-02-01"), F.lit("2023-12-31")),
+    )
+    return c.select("c_custkey", head.alias("header"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%m%d') AS mmdd, strftime(o_orderdate, '%B ') || day(o_orderdate) AS shown FROM orders")
+def fiscal_year_end(spark, d):
+    mmdd = F.date_format("o_orderdate", "MMdd")
+    return loader(spark, d)("orders").select("o_orderkey", mmdd.alias("mmdd"), tx.format_year_end(mmdd).alias("shown"))

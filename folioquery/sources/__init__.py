@@ -1 +1 @@
-"""Sources of the engine."""
+"""Sources and sinks: company files, filing and transcript listings, statements, caches."""
