@@ -24,7 +24,7 @@ def parse(text: str | None) -> list[dict]:
         if text.startswith(lead):
             text = text.partition("\n")[2]
     found = list(_TURN.finditer(text))
-    ends = [m.start() for m in found[1:]] + [len(text)]
+    ends = [*(m.start() for m in found[1:]), len(text)] if found else []
     turns = [{"speaker": m[1].strip(), "content": text[m.end() : end].strip()} for m, end in zip(found, ends, strict=True)]
     return [t for t in turns if t["speaker"] and t["content"]]
 

@@ -57,7 +57,7 @@ class Query(Filters):
 
     def select(self, *items: str) -> Query:
         """Names or raw expressions, also comma-separated in one string; nothing selects all."""
-        flat = [x for i in items for x in ([i] if "(" in i else i.split(","))]
+        flat = [x for i in items for x in re.split(r",(?![^()]*\))", i)]
         return replace(self, items=tuple(x.strip() for x in flat if x.strip()))
 
     def order(self, item: str, desc: bool = False) -> Query:

@@ -41,8 +41,8 @@ def select_mode(questions: DataFrame, mode: str = "standard") -> DataFrame:
 
 def tickers(questions: DataFrame) -> DataFrame:
     """Distinct tickers of comma-separated lists, trimmed and upper-cased."""
-    each = F.upper(F.trim(F.explode(F.split("ticker", ","))))
-    return questions.select(each.alias("ticker")).where("ticker <> ''").distinct()
+    each = questions.select(F.explode(F.split("ticker", ",")).alias("ticker"))
+    return each.select(F.upper(F.trim("ticker")).alias("ticker")).where("ticker <> ''").distinct()
 
 
 def write_report(results: DataFrame, path: str) -> str:
