@@ -183,7 +183,7 @@ def hybrid_minmax(spark, d):
 
 
 @query(f"""
-WITH t AS (SELECT id, {_COS} AS cos FROM ({_UNIT}), {_QV} ORDER BY cos DESC, id LIMIT 100),
+WITH t AS (SELECT id, {_COS} AS cos FROM ({_UNIT}), {_QV} WHERE id IN (SELECT doc_id FROM documents) ORDER BY cos DESC, id LIMIT 100),
 r AS (SELECT t.id, cos, len(list_intersect(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+')), ['idiot', 'moron', 'the'])) / 3.0 AS rel FROM t JOIN documents ON doc_id = t.id)
 SELECT id, round(rel, 6) AS score, round(cos, 6) AS original_score FROM r ORDER BY rel DESC, cos DESC, id LIMIT 10
 """)
