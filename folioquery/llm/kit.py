@@ -6,6 +6,7 @@ non-ASCII character above 0x7F, so byte work never cuts a character.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -26,7 +27,9 @@ _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text handled at once, so that the 8-byte arrays beside them stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of text in an Arrow batch, so that a batch and its copy in the JVM stay small.
+BATCH_ROWS = 2000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -152,6 +155,13 @@ def crc_text(column: str) -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -166,10 +176,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them back."""
+    """Cut the lineage: write the rows as a table in the shared folder and read them back.
+
+    The driver then collects garbage: what the rows came from is no longer needed, and Spark removes shuffle files and broadcasts
+    only once their handles are collected.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(at)
 
 

@@ -163,7 +163,7 @@ class Model:
         return out.tolist(), score
 
 
-def train(docs: DataFrame, usable: Column | None = None, per_language: int = 500, dims: int = 1 << 13) -> Model:
+def train(docs: DataFrame, usable: Column | None = None, per_language: int = 300, dims: int = 1 << 13) -> Model:
     """Fit on at most about ``per_language`` documents of each language where ``usable`` holds.
 
     ``docs`` needs doc_id, text and lang.
@@ -194,8 +194,10 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 500
     if not got:
         return Model([], [], dims)
     open_ = zstandard.ZstdDecompressor()
-    x = np.stack([np.frombuffer(open_.decompress(bytes(r[1])), "<f4") for r in got])
-    y = np.array([r[0] for r in got])
+    y, x = np.array([r[0] for r in got]), np.empty((len(got), dims), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(open_.decompress(bytes(r[1])), "<f4")
+    del got
     mean, spread = x.mean(0), x.std(0) + np.float32(1e-4)
     x -= mean
     x /= spread
@@ -220,6 +222,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, then ``lang_pred`` and ``score``; where these names clash, the input's come first."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     text_at = [c.lower() for c in docs.columns].index("text")
+    kit.bound_batches(docs.sparkSession)
     kept = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -271,6 +271,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     Input columns of these names come first, unchanged; select by position where names clash.
     """
     spark = docs.sparkSession
+    kit.bound_batches(spark)
     index = kit.written(build_index(docs, min_chars, min_docs), "line-index")
     size = index.agg(F.sum(F.length("bits") + F.length("prints") + F.length("last"))).first()[0] or 0
     shards = 2 * kit.partitions(spark)

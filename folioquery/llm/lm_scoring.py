@@ -178,6 +178,7 @@ def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 def train(docs: DataFrame, usable: Column | None = None, flush_tokens: int = 3_000_000) -> Model:
     """Count the model over all rows where ``usable`` holds; ``docs`` needs doc_id and text."""
     spark = docs.sparkSession
+    kit.bound_batches(spark)
     shards = kit.partitions(spark)
     root = f"{kit.shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
     rows = docs if usable is None else docs.where(usable)
@@ -196,7 +197,7 @@ def train(docs: DataFrame, usable: Column | None = None, flush_tokens: int = 3_0
                 yield _rows([row])
 
         for batch in batches:
-            for a, b, data, bounds in kit.slices(batch.column(0), 4 << 20):
+            for a, b, data, bounds in kit.slices(batch.column(0), 2 << 20):
                 keys, extra = keys_of(*tokens(data, bounds))
                 docs_seen += b - a
                 order = np.argsort(keys, kind="stable")
@@ -365,7 +366,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for a, b, data, bounds in kit.slices(batch.column(1), 4 << 20):
+            for a, b, data, bounds in kit.slices(batch.column(1), 2 << 20):
                 n, known, base, total = scorer.score(data, bounds)
                 cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(b - a, model.tokens), pa.int64()), pa.array(base), pa.array(total), pa.array(10.0 ** (-total / n))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])

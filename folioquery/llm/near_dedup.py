@@ -267,6 +267,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: int = 80) -> DataFrame:
 
     Documents are linked where 100 * intersection >= ``share`` * union of their sets of ``k``-word shingles.
     """
+    kit.bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = kit.written(_signatures(docs, k), "signatures")
     solid = signed.where("n > 0 AND doc_id IS NOT NULL")

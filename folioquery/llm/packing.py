@@ -231,6 +231,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
 
     ``with_ids`` adds ``ids``: the piece's ids as little-endian unsigned 32-bit integers.
     """
+    kit.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_cut(tokenizer_path, capacity, end_id, with_ids), PIECES + ", ids binary" * with_ids)
 
