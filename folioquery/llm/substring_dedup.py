@@ -62,9 +62,11 @@ def super_kmers(words: kit.Words, width: int, inner: int) -> tuple[np.ndarray, .
 
 def intervals(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Per document the merged word intervals, packed as pairs of 32-bit integers."""
+    if not len(doc):
+        return
     order = np.lexsort((start, tie, doc))
     doc, tie, start, end = doc[order], tie[order], start[order], end[order]
-    edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])]) if len(doc) else []
+    edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])])
     for a, b in zip(edge, np.append(edge[1:], len(doc)), strict=True):
         s, e = start[a:b], np.maximum.accumulate(end[a:b])
         new = np.r_[True, s[1:] > e[:-1]]
@@ -178,6 +180,8 @@ def repeats_in_bucket(blocks: list[bytes], width: int, most: int) -> Iterator[tu
             tos.append(words.end[at + width - 1])
             which.append(np.full(len(at), b))
         h = np.concatenate(hashes)
+        if not len(h):
+            continue
         order = np.argsort(h, kind="stable")
         same = h[order[1:]] == h[order[:-1]]
         order = order[np.r_[False, same] | np.r_[same, False]]
@@ -250,6 +254,7 @@ def repeated_intervals(docs: DataFrame, width: int = 20, inner: int = 4, flush_b
 
 def remove_repeats(docs: DataFrame, width: int = 20, inner: int = 4, **limits: int) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space), removed (array of word intervals)."""
+    kit.bound_batches(docs.sparkSession)
     spans = kit.written(repeated_intervals(docs, width, inner, **limits), "repeats")
     spans = spans.groupBy(F.col("doc_id").alias("__d"), F.col("tie").alias("__t")).agg(F.collect_list("spans").alias("__s"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
