@@ -95,14 +95,18 @@ def occurrences(toks: Column, term: Term) -> Column:
     return F.element_at(F.transform(F.array(toks), runs), 1)
 
 
-def bm25(docs: DataFrame, key: str, text: str, terms: list[Term]) -> DataFrame:
+def bm25(docs: DataFrame, key: str, text: str | dict[str, float], terms: list[Term]) -> DataFrame:
     """(key, rank) of matching rows; rank is negative and lower is better.
 
     Statistics cover all rows of ``docs``, also those a caller filters away later: one pass for counts (a single
-    row, so its broadcast has a fixed size), one for scores.
+    row, so its broadcast has a fixed size), one for scores. Several columns may be given with weights: occurrences then
+    count by their column's weight, lengths add up, and a term is in a row if it is in any column.
     """
-    counted = docs.select(F.col(key), tokens(F.coalesce(F.col(text), F.lit(""))).alias("__k"))
-    counted = counted.select(key, F.size("__k").alias("__dl"), *[occurrences(F.col("__k"), t).alias(f"__tf{i}") for i, t in enumerate(terms)])
+    weights = {text: 1.0} if isinstance(text, str) else text
+    names = [f"__k{j}" for j in range(len(weights))]
+    counted = docs.select(F.col(key), *[tokens(F.coalesce(F.col(c), F.lit(""))).alias(n) for c, n in zip(weights, names, strict=True)])
+    found = lambda t: reduce(lambda a, b: a + b, (F.lit(float(w)) * occurrences(F.col(n), t) for n, w in zip(names, weights.values(), strict=True)))
+    counted = counted.select(key, reduce(lambda a, b: a + b, (F.size(n) for n in names)).alias("__dl"), *[found(t).alias(f"__tf{i}") for i, t in enumerate(terms)])
     if not terms:
         return counted.where(F.lit(False)).select(key, F.lit(0.0).alias("rank"))
     facts = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])

@@ -31,6 +31,12 @@ class Database:
             raise SchemaError(f"unknown table or view {name}")
         return Query(self, name)
 
+    def register_views(self) -> list[str]:
+        """Create a temporary view for each of the catalog's views; returns their names."""
+        for view in self.catalog.views.values():
+            view_frame(self.catalog, view, self.load).createOrReplaceTempView(view.name)
+        return list(self.catalog.views)
+
     def fetch_by_key(self, name: str, ids: Sequence[int]) -> DataFrame:
         """Point look-up by primary key."""
         return self.load(name).where(F.col(self.catalog[name].key.name).isin(list(ids)))

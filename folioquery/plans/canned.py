@@ -175,3 +175,38 @@ def filings_by_date(spark: SparkSession, d: str) -> DataFrame:
 def latest_per_company(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     return loader(spark, d)("orders").withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+def by_depth(q, vector, kind: str, depth: str, column: str = "embedding"):
+    """A filtered vector search whose k follows from the depth asked for."""
+    return q.vector_search(vector, column, DEPTH[kind][depth])
+
+
+@query(f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_QV} WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'de') ORDER BY {_COS} DESC, id LIMIT 15")
+def search_by_depth(spark: SparkSession, d: str) -> DataFrame:
+    found = by_depth(database(spark, d).table("docs").eq("lang", "de"), query_vector(spark, d), "sections", "medium")
+    return found.select("id").frame().select("id", F.round("_score", 6).alias("score"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) IN ((1, 1), (1, 3), (2, 1), (33, 2))")
+def curate_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Keep the pages chosen from an earlier result."""
+    chosen = spark.createDataFrame([(1, 1), (1, 3), (2, 1), (33, 2)], "l_orderkey long, l_linenumber int")
+    return loader(spark, d)("lineitem").join(F.broadcast(chosen), ["l_orderkey", "l_linenumber"], "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT g, array_to_string(list(p ORDER BY k), ',') AS seen FROM (SELECT o_custkey % 25 AS g, o_orderpriority AS p, min(o_orderkey) AS k FROM orders GROUP BY 1, 2) GROUP BY g")
+def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values in order of first appearance: the smallest key of each value, then order."""
+    o = loader(spark, d)("orders").groupBy((F.col("o_custkey") % 25).alias("g"), "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
+    listed = o.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "o_orderpriority"))), lambda x: x["o_orderpriority"]).alias("v"))
+    return listed.select("g", F.array_join("v", ",").alias("seen"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling event-time counts; the same plan runs on a stream with a watermark."""
+    from ..streaming.ingest import windowed_counts
+
+    events = loader(spark, d)("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return windowed_counts(events, "1 day").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")

@@ -76,3 +76,11 @@ def test_builder(db):
     assert q.count().first()[0] == len(TEXTS)
     assert db.table("t").select("count(*) AS n, max(id) AS m").frame().first().asDict() == {"n": 8, "m": 8}
     assert [r.x for r in db.table("t").order("x").select("x").frame().collect()][0] is None
+
+
+def test_views_are_registered(spark, sf):
+    from folioquery.plans.fixtures import database
+
+    names = database(spark, sf).register_views()
+    assert "filings_by_region" in names
+    assert spark.sql("SELECT count(*) FROM filings_by_region").first()[0] == spark.read.parquet(f"{sf}/orders.parquet").count()

@@ -80,3 +80,17 @@ def test_formats(spark):
     got = row.select(tx.format_value(F.col("a")), tx.format_value(F.col("b")), tx.format_value(F.col("c")), tx.format_year_end(F.col("d")), tx.format_year_end(F.col("e")), tx.format_market_cap(F.col("f"))).first()
     assert tuple(got) == ("$1.235B", "-", "$-2.500K", "December 31", "x", "$3.1T")
     assert tx.expand_forms(["10-K", "8-K/A"]) == ["10-K", "10-K/A", "8-K/A"]
+
+
+def test_weighted_columns_like_fts5(spark):
+    rows = [(1, "apple pie", "banana"), (2, "plain", "apple apple"), (3, "none", "none at all"), (4, "x", "y z")]
+    con = sqlite3.connect(":memory:")
+    try:
+        con.execute("CREATE VIRTUAL TABLE f USING fts5(a, b)")
+    except sqlite3.OperationalError:
+        pytest.skip("no FTS5 here")
+    con.executemany("INSERT INTO f(rowid, a, b) VALUES (?, ?, ?)", rows)
+    want = dict(con.execute("SELECT rowid, bm25(f, 10.0, 5.0) FROM f WHERE f MATCH 'apple'").fetchall())
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    got = {r.id: r.rank for r in tx.bm25(df, "id", {"a": 10.0, "b": 5.0}, [tx.Term(("apple",))]).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
