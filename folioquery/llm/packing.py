@@ -125,12 +125,24 @@ class WordPieces:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _ids(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece) of pieces of ``codes``: encoded as one text, a space after each."""
+        end = np.cumsum(size + 1)
+        joined = np.full(int(end[-1]), 0x20, np.uint16)
+        joined[kit.ragged(end - size - 1, size)] = codes[kit.ragged(start, size)]
+        text = joined.tobytes().decode("utf-16-le")
+        got = self.tokenizer.encode(text, add_special_tokens=False)
+        counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(size))
+        if len(counts) == len(size):
+            return np.array(got.ids, np.uint32), counts
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(text.split(" ")[:-1], add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids])
+
+    def _learn(self, keys: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         if len(self.keys) + len(keys) > self.cache:
             raise OverflowError
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        parts = [self._ids(codes, start[k : k + 2000], size[k : k + 2000]) for k in range(0, len(keys), 2000)]
+        new, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         if self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, 2 * len(new)), np.uint32)])
         self.flat[self.used : self.used + len(new)] = new
@@ -158,9 +170,8 @@ class WordPieces:
             if known.all():
                 break
             new = np.flatnonzero(~known)
-            raw = codes.tobytes()
             try:
-                self._learn(found[new], [raw[2 * start[i] : 2 * end[i]].decode("utf-16-le") for i in first[new]])
+                self._learn(found[new], codes, start[first[new]], (end - start)[first[new]])
             except OverflowError:
                 if not len(self.keys):
                     self.cache = 2 * len(found)
