@@ -90,12 +90,12 @@ def page_cap(spark: SparkSession, d: str) -> DataFrame:
     return read_pages(pages, "filing_id", 1, 1000).select("filing_id", "n_pages")
 
 
-@query("SELECT l_orderkey AS filing_id, list(exhibit ORDER BY exhibit) AS exhibits FROM (SELECT l_orderkey, CAST(l_linenumber * 3 % 11 AS VARCHAR) || '.' || l_linenumber AS exhibit FROM lineitem) GROUP BY 1")
+@query("SELECT l_orderkey AS filing_id, string_agg(exhibit, ' ' ORDER BY exhibit) AS exhibits FROM (SELECT l_orderkey, CAST(l_linenumber * 3 % 11 AS VARCHAR) || '.' || l_linenumber AS exhibit FROM lineitem) GROUP BY 1")
 def list_attachments(spark: SparkSession, d: str) -> DataFrame:
     """Attachments of each filing in the text order of their exhibit numbers."""
     n = F.col("l_linenumber")
     rows = loader(spark, d)("lineitem").select(F.col("l_orderkey").alias("filing_id"), F.concat((n * 3 % 11).cast("string"), F.lit("."), n.cast("string")).alias("exhibit"))
-    return rows.groupBy("filing_id").agg(F.array_sort(F.collect_list("exhibit")).alias("exhibits"))
+    return rows.groupBy("filing_id").agg(F.array_join(F.array_sort(F.collect_list("exhibit")), " ").alias("exhibits"))
 
 
 _COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)"
@@ -151,8 +151,8 @@ def form_expand(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH s AS (SELECT upper(trim(s_name)) AS symbol, s_name AS name, s_suppkey AS pos, s_acctbal AS cap, s_nationkey AS g FROM supplier),
 m AS (SELECT lpad(CAST(g AS VARCHAR), 10, '0') AS cik, * FROM s WHERE g % 5 <> 0)
-SELECT cik, arg_min(name, pos) AS name, round(arg_min(cap, pos), 2) AS market_cap, list(symbol ORDER BY pos) AS symbols, list_distinct(list('EX' || g)) AS exchanges FROM m WHERE g % 2 = 0 GROUP BY cik
-UNION ALL SELECT cik, arg_min(name, pos), round(arg_min(cap, pos), 2), list(symbol ORDER BY pos), [] FROM m WHERE g % 2 = 1 GROUP BY cik
+SELECT cik, arg_min(name, pos) AS name, round(arg_min(cap, pos), 2) AS market_cap, string_agg(symbol, ' ' ORDER BY pos) AS symbols, any_value('EX' || g) AS exchanges FROM m WHERE g % 2 = 0 GROUP BY cik
+UNION ALL SELECT cik, arg_min(name, pos), round(arg_min(cap, pos), 2), string_agg(symbol, ' ' ORDER BY pos), '' FROM m WHERE g % 2 = 1 GROUP BY cik
 """)
 def company_merge(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers as screener rows: even nations are in the exchange file, odd ones only in the ticker file, every fifth in neither."""
@@ -161,7 +161,7 @@ def company_merge(spark: SparkSession, d: str) -> DataFrame:
     known = s.where("s_nationkey % 5 <> 0").select(F.upper("s_name").alias("symbol"), F.lpad(F.col("s_nationkey").cast("string"), 10, "0").alias("cik"), "s_name", "s_nationkey")
     listed = known.where("s_nationkey % 2 = 0").select("symbol", "cik", F.col("s_name").alias("name"), F.concat(F.lit("EX"), F.col("s_nationkey").cast("string")).alias("exchange"))
     out = co.merge_companies(co.clean_screener(raw), listed, known.where("s_nationkey % 2 = 1").select("symbol", "cik"))
-    return out.select("cik", "name", F.round("market_cap", 2).alias("market_cap"), "symbols", "exchanges")
+    return out.select("cik", "name", F.round("market_cap", 2).alias("market_cap"), F.array_join("symbols", " ").alias("symbols"), F.array_join("exchanges", " ").alias("exchanges"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE DATE '1996-06-01' END) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")

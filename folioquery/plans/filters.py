@@ -193,8 +193,8 @@ def join_full_coalesce(spark, d):
     return a.join(b, "nation", "full").select("nation", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
 
 
-@query("SELECT o_custkey AS c, list(o_orderkey ORDER BY o_orderkey) AS filings FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
+@query("SELECT o_custkey AS c, string_agg(o_orderkey::VARCHAR, ' ' ORDER BY o_orderkey) AS filings FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
 def group_children(spark, d):
     """Children grouped under their parent, in order; a parent has few children here."""
     rows = loader(spark, d)("orders").where("o_totalprice > 100000")
-    return rows.groupBy(F.col("o_custkey").alias("c")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("filings"))
+    return rows.groupBy(F.col("o_custkey").alias("c")).agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), " ").alias("filings"))
