@@ -116,7 +116,7 @@ def format_turns(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
             more = [pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64()), pa.array([r == loss_role for r in roles], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["conv_id", "turn", "role", "text", "rendered", "start", "end", "in_loss"])
 
-    return rows.mapInArrow(go, TURN)
+    return rows.transform(kit.mapping, go, TURN)
 
 
 class _Reader:
@@ -165,4 +165,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     order = [F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc(), F.col("text").asc()]
     dealt = formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "rendered", "in_loss", "start", "end")
-    return dealt.mapInArrow(go, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.transform(kit.mapping, go, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -62,7 +62,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
             node, low = smallest_reachable(u, v)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(low)], ["node", "component"])
 
-    return edges.select("u", "v").repartition(1).mapInArrow(join, "node long, component long")
+    return edges.select("u", "v").repartition(1).transform(kit.mapping, join, "node long, component long")
 
 
 def connected_components(edges: DataFrame, few: int = 2_000_000, rounds: int = 60) -> DataFrame:

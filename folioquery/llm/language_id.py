@@ -190,7 +190,7 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 300
                     out.append(squeeze.compress((x[:-1] / max(1.0, x[:-1].sum())).astype("<f4").tobytes()) if letters[i] else None)
             yield pa.RecordBatch.from_arrays([batch.column(1), kit.binaries(out)], ["lang", "x"])
 
-    got = chosen.select("text", "lang").mapInArrow(grams, "lang string, x binary").where("x IS NOT NULL").collect()  # the bounded sample
+    got = chosen.select("text", "lang").transform(kit.mapping, grams, "lang string, x binary").where("x IS NOT NULL").collect()  # the bounded sample
     if not got:
         return Model([], [], dims)
     open_ = zstandard.ZstdDecompressor()
@@ -235,4 +235,4 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.string()), pa.array(np.concatenate(scores), pa.float64())], [*names, "__lang", "__score"])
 
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    return docs.toDF(*names).mapInArrow(label, f"{kinds}, __lang string, __score double").toDF(*docs.columns, "lang_pred", "score")
+    return docs.toDF(*names).transform(kit.mapping, label, f"{kinds}, __lang string, __score double").toDF(*docs.columns, "lang_pred", "score")

@@ -223,8 +223,8 @@ def build_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, flush_l
             yield index(now, blocks)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sent = rows.mapInArrow(split, "shard int, block binary")
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(gather, INDEX)
+    sent = rows.transform(kit.mapping, split, "shard int, block binary")
+    return sent.repartition("shard").sortWithinPartitions("shard").transform(kit.mapping, gather, INDEX)
 
 
 class Shard:
@@ -310,7 +310,7 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
                 out = _apply(batch, drop_of, min_chars, text_at)
                 yield pa.RecordBatch.from_arrays([*out.columns[:n], *out.columns[n + 1 :]], [*names, "__n_lines", "__n_dropped", "__kept"])
 
-        done = inside.mapInArrow(probe, f"{kinds}, {made}")
+        done = inside.transform(kit.mapping, probe, f"{kinds}, {made}")
     else:
         done = _probe_by_shuffle(inside, index, names, kinds, made, doc_at, text_at, shards, salts, min_chars)
     return done.toDF(*docs.columns, "n_lines", "n_dropped", "kept_text")
@@ -346,10 +346,10 @@ def _probe_by_shuffle(inside: DataFrame, index: DataFrame, names: list[str], kin
             yield pa.RecordBatch.from_arrays([pa.array(r["doc"]), pa.array(r["tie"]), kit.binaries([x.tobytes() for x in key])], ["doc", "tie", "key"])
 
     ids = inside.select("__id", "__tie", F.col(names[text_at]).cast("string").alias("text"))
-    probes = ids.mapInArrow(send, "shard int, block binary").withColumn("salt", F.expr(f"cast(pmod(xxhash64(block), {salts}) as int)"))
+    probes = ids.transform(kit.mapping, send, "shard int, block binary").withColumn("salt", F.expr(f"cast(pmod(xxhash64(block), {salts}) as int)"))
     tables = index.where("served > 0").select("shard", "levels", "bits", "prints", "last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = probes.join(tables, ["shard", "salt"]).select("shard", "block", "levels", "bits", "prints", "last")
-    hits = met.mapInArrow(answer, "doc long, tie long, key binary").groupBy(F.col("doc").alias("__d"), F.col("tie").alias("__t")).agg(F.collect_set("key").alias("__k"))
+    hits = met.transform(kit.mapping, answer, "doc long, tie long, key binary").groupBy(F.col("doc").alias("__d"), F.col("tie").alias("__t")).agg(F.collect_set("key").alias("__k"))
     joined = inside.join(hits, (F.coalesce("__id", F.lit(int(_NONE))) == F.col("__d")) & (F.col("__tie") == F.col("__t")), "left").select(*names, "__k")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,4 +364,4 @@ def _probe_by_shuffle(inside: DataFrame, index: DataFrame, names: list[str], kin
             out = _apply(batch, drop_of, min_chars, text_at)
             yield pa.RecordBatch.from_arrays([*out.columns[:n], *out.columns[n + 1 :]], [*names, "__n_lines", "__n_dropped", "__kept"])
 
-    return joined.mapInArrow(cut, f"{kinds}, {made}")
+    return joined.transform(kit.mapping, cut, f"{kinds}, {made}")

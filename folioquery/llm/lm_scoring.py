@@ -101,7 +101,7 @@ def _grouped(sent: DataFrame, finish: Callable[[int, list[bytes]], Iterator[pa.R
         if blocks:
             yield from finish(now, blocks)
 
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(gather, schema)
+    return sent.repartition("shard").sortWithinPartitions("shard").transform(kit.mapping, gather, schema)
 
 
 class Vocabulary:
@@ -227,7 +227,7 @@ def train(docs: DataFrame, usable: Column | None = None, flush_tokens: int = 3_0
         kit.put_file(f"{root}/counts-{shard}", n.astype("<u8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "n", "total"])
 
-    sent = rows.mapInArrow(lambda batches: flushed(batches, unigrams, lambda k, _: Vocabulary.shard(k, shards)), "shard int, block binary")
+    sent = rows.transform(kit.mapping, lambda batches: flushed(batches, unigrams, lambda k, _: Vocabulary.shard(k, shards)), "shard int, block binary")
     made = {r[0]: (r[1], r[2]) for r in _grouped(sent, vocabulary_shard, "shard int, n long, total long").collect()}  # one row a shard
     documents = made.pop(-1, (0, 0))[0]
     sizes = [made.get(s, (0, 0))[0] for s in range(shards)]
@@ -286,7 +286,7 @@ def train(docs: DataFrame, usable: Column | None = None, flush_tokens: int = 3_0
         summary = np.array([-1, int(follow.sum()), *counts, int((follow >= 3).sum())], "<i8")
         yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), kit.binaries([summary.tobytes()])], ["shard", "block"])
 
-    pairs = rows.mapInArrow(count_bigrams, "shard int, block binary")
+    pairs = rows.transform(kit.mapping, count_bigrams, "shard int, block binary")
     partial = kit.written(_grouped(pairs, bigram_file, "shard int, block binary"), "ngram-stats")
     facts = _grouped(partial, stats_file, "shard int, block binary").collect()  # one short row a shard
     of_pairs = [np.frombuffer(bytes(r[1]), "<i8") for r in facts if r[0] == -1]
@@ -371,4 +371,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(b - a, model.tokens), pa.int64()), pa.array(base), pa.array(total), pa.array(10.0 ** (-total / n))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return rows.mapInArrow(label, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return rows.transform(kit.mapping, label, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

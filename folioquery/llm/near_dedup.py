@@ -85,7 +85,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), kit.binaries(sig)], ["doc_id", "n", "a", "b", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, a long, b long, sig binary")
+    return docs.transform(kit.mapping, sign, "doc_id long, n long, a long, b long, sig binary")
 
 
 def _index(reps: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def _index(reps: DataFrame) -> DataFrame:
                 ids = np.repeat(kit.ints(batch.column(0), 0), POSITIONS)
                 yield pa.RecordBatch.from_arrays([pa.array(index_values(sig).ravel()), pa.array(ids)], ["key", "id"])
 
-    return reps.select("id", "sig").mapInArrow(values, "key long, id long")
+    return reps.select("id", "sig").transform(kit.mapping, values, "key long, id long")
 
 
 def _close(pairs: DataFrame, reps: DataFrame, share: int, most: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _close(pairs: DataFrame, reps: DataFrame, share: int, most: int) -> DataFram
                 keep = pa.array((x != y).sum(1) <= most)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["p", "q"])
 
-    return met.mapInArrow(near, "p long, q long").distinct()
+    return met.transform(kit.mapping, near, "p long, q long").distinct()
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, k: int, share: int, per_task: int = 500, broadcast_ids: int = 1_000_000) -> DataFrame:
@@ -146,7 +146,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, k: int, share: int, per_task: in
                         break
             yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int64()), pa.array(out_q, pa.int64())], ["p", "q"])
 
-    return met.mapInArrow(compare, "p long, q long").distinct()
+    return met.transform(kit.mapping, compare, "p long, q long").distinct()
 
 
 def _streamed(rows: DataFrame, by: list[str], work, schema: str) -> DataFrame:
@@ -170,7 +170,7 @@ def _streamed(rows: DataFrame, by: list[str], work, schema: str) -> DataFrame:
         if held:
             yield from work(now, pa.Table.from_batches(held))
 
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(go, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by).transform(kit.mapping, go, schema)
 
 
 def _open_pairs(key: int, slot: int, table: pa.Table, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:

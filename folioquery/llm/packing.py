@@ -244,7 +244,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, en
     """
     kit.bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_cut(tokenizer_path, capacity, end_id, with_ids), PIECES + ", ids binary" * with_ids)
+    return rows.transform(kit.mapping, _cut(tokenizer_path, capacity, end_id, with_ids), PIECES + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -272,4 +272,4 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "__r")
-    return ranked.mapInArrow(look_up, kept + ", sequence_id long, offset long")
+    return ranked.transform(kit.mapping, look_up, kept + ", sequence_id long, offset long")

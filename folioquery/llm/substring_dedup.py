@@ -245,10 +245,10 @@ def repeated_intervals(docs: DataFrame, width: int = 20, inner: int = 4, flush_b
 
     kind = "bucket int, doc long, tie long, block binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
-    blocks = rows.mapInArrow(split, kind)
+    blocks = rows.transform(kit.mapping, split, kind)
     # Known repeats carry bucket -1: deal them by document, so that they do not meet in one task.
     dealt = blocks.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.hash("doc", "tie"))).sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(count, kind)
+    found = dealt.transform(kit.mapping, count, kind)
     return found.select(F.col("doc").alias("doc_id"), "tie", F.col("block").alias("spans"))
 
 
@@ -289,4 +289,4 @@ def remove_repeats(docs: DataFrame, width: int = 20, inner: int = 4, **limits: i
                 ["doc_id", "n_words", "n_removed", "kept_text", "removed"],
             )
 
-    return rows.mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
+    return rows.transform(kit.mapping, keep, "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:int,end:int>>")
