@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kit
+
 # Fixed values of the template.
 OPEN, CLOSE = "### ", "\n</turn>\n"
 CONTROLS = ("###", "</turn>")
