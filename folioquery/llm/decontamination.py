@@ -6,7 +6,9 @@ bounded sample of the corpus) runs distributed: workers multiply their rows, the
 orthonormalises matrices of terms x rank. The rank doubles until it keeps ``least_energy`` of every benchmark passage.
 
 Every document is then cut into overlapping windows of 32 or 64 words, folded into the latent space and
-compared with the passages by cosine. Candidates are checked on words: the longest common subsequence with the passage,
+compared with the passages by cosine. The cosine of a window sinks with the weight of the passage's terms, and so with every
+further copy of an item in the corpus. So a second route goes by words alone: where a window and its margins hold enough of a passage's
+words for ``least_overlap``, whatever these weigh, it is a candidate too. Candidates are checked on words: the longest common subsequence with the passage,
 summed over an item's passages, must cover ``least_overlap`` of the item, and the item's answer (its ``answer`` column, else
 its last eight words) must be there to ``least_answer``, so shared phrases alone are no leak.
 
@@ -93,6 +95,66 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
+@dataclass
+class Counted:
+    """Passages by their words, for candidates that no weight can hide."""
+
+    #: Rows of ``passages`` and ``times`` of each term: the passages that count it, and how often at most.
+    first: np.ndarray
+    passages: np.ndarray
+    times: np.ndarray
+    #: Sorted passage x terms + term, and the term's places in the passage, a bit each.
+    keys: np.ndarray
+    places: np.ndarray
+    sizes: np.ndarray
+    #: How many of its most frequent words a passage does not count: these alone are in most windows.
+    left_out: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[np.ndarray], terms: Terms, seen: np.ndarray, least_overlap: float) -> Counted:
+        sizes = np.array([len(p) for p in words], np.int64)
+        passage = np.repeat(np.arange(len(words)), sizes)
+        place = kit.ragged(np.zeros(len(words), np.int64), sizes)
+        t = terms.find(np.concatenate([np.zeros(0, np.uint64), *words]))
+        keys, at = np.unique(passage * len(terms) + t, return_inverse=True)
+        places = np.zeros(len(keys), np.uint64)
+        np.bitwise_or.at(places, at, np.uint64(1) << place.astype(np.uint64))
+        left_out = (least_overlap * sizes / 2).astype(np.int64)
+        order = np.lexsort((-seen[t], passage))
+        counted, times = np.unique((t * len(words) + passage)[order][place >= left_out[passage]], return_counts=True)
+        first = np.searchsorted(counted, np.arange(len(terms) + 1) * len(words))
+        return cls(first, counted % max(1, len(words)), times, keys, places, sizes, left_out)
+
+    def blocks(self, t: np.ndarray, block: np.ndarray, n_blocks: int) -> np.ndarray:
+        """(blocks, passages): how many counted words of the passage the block holds."""
+        n_terms, n = len(self.first) - 1, len(self.sizes)
+        known = t >= 0
+        keys, held = np.unique(block[known] * n_terms + t[known], return_counts=True)
+        block, t = keys // n_terms, keys % n_terms
+        out = np.zeros((n_blocks, n), np.uint8)
+        step = max(1, (1 << 22) // n)
+        for lo in range(0, n_blocks, step):
+            hi = min(n_blocks, lo + step)
+            a, b = np.searchsorted(block, [lo, hi])
+            many = np.diff(self.first)[t[a:b]]
+            rows = kit.ragged(self.first[t[a:b]], many)
+            at = np.repeat((block[a:b] - lo) * n, many) + self.passages[rows]
+            out[lo:hi] = np.bincount(at, np.minimum(self.times[rows], np.repeat(held[a:b], many)), (hi - lo) * n).reshape(-1, n)
+        return out
+
+    def common(self, passage: np.ndarray, lo: np.ndarray, hi: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """``common_subsequence`` of many passages with words lo .. hi - 1 at once."""
+        full = (np.uint64(1) << self.sizes[passage].astype(np.uint64)) - np.uint64(1)
+        v = full.copy()
+        for k in range(int((hi - lo).max()) if len(passage) else 0):
+            word = np.where(lo + k < hi, t[np.minimum(lo + k, len(t) - 1)], -1)
+            key = passage * (len(self.first) - 1) + word
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            u = v & np.where((word >= 0) & (self.keys[at] == key), self.places[at], np.uint64(0))
+            v = ((v + u) | (v - u)) & full
+        return self.sizes[passage] - np.bitwise_count(v)
+
+
 @dataclass
 class Index:
     terms: Terms
@@ -110,6 +172,7 @@ class Index:
     #: Weighted terms by passages where there are few passages, else weighted terms by basis.
     table: np.ndarray
     direct: bool | None
+    counted: Counted
 
 
 #: An array that all tasks add to is cut into so many blocks, each summed by one task.
@@ -201,7 +264,7 @@ def _cut_passages(h: np.ndarray) -> list[np.ndarray]:
     return [p for p in np.array_split(h, max(1, -(-len(h) // LONG))) if len(p)]
 
 
-def fit(docs: DataFrame, items: list[tuple], rank: int = 512, sample: int = 4096, least_energy: float = 0.9, stop_share: float = 0.1, least_terms: int = 6) -> Index:
+def fit(docs: DataFrame, items: list[tuple], rank: int = 512, sample: int = 4096, least_energy: float = 0.9, stop_share: float = 0.1, least_terms: int = 6, least_overlap: float = 0.6) -> Index:
     """Build the index for a block of items (item_id, text, answer or None)."""
     spark = docs.sparkSession
     all_words = terms_of([x[1] for x in items])
@@ -255,7 +318,7 @@ def fit(docs: DataFrame, items: list[tuple], rank: int = 512, sample: int = 4096
     table = (weights[:, None] * (basis @ folded.T if direct else basis)).astype(np.float32)
     if direct:
         basis = basis[:0]  # not needed by searches
-    return Index(terms, weights, rest, basis, folded, scale, [w.tolist() for w in words], np.array(item_of, np.int64), [x[0] for x in items], np.array([len(w) for w in all_words]), [a.tolist() for a in answers], energy, table, direct)
+    return Index(terms, weights, rest, basis, folded, scale, [w.tolist() for w in words], np.array(item_of, np.int64), [x[0] for x in items], np.array([len(w) for w in all_words]), [a.tolist() for a in answers], energy, table, direct, Counted.of(words, terms, seen, least_overlap))
 
 
 def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: float, least_overlap: float, least_answer: float) -> list[list[dict]]:
@@ -289,6 +352,10 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
             break
         parts[block[one]] += index.table[t[one]]
     sums, last = np.concatenate([[0], np.cumsum(total)]), first_block[1:][block_doc]
+    alone = np.bincount(index.item_of, minlength=len(index.items)) == 1
+    counted = index.counted
+    least = np.maximum(1, np.ceil(least_overlap * counted.sizes - 1e-9)).astype(np.int64)
+    matched = counted.blocks(t, block, first_block[-1])
     for s, width in enumerate(SCALES):
         rows = np.flatnonzero(index.scale == s)
         if not len(rows):
@@ -307,8 +374,30 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
         near = x >= least_cosine * norm[:, None]
         for i, k in zip(*np.nonzero(near), strict=True):
             hits.setdefault((int(block_doc[i]), int(rows[k])), []).append((float(x[i, k] / norm[i]), int(i), int(stop[i])))
+        # by words alone: windows with their margins, a block at each side
+        held = matched[:, rows]
+        y = held.copy()
+        for k in (-1, *range(1, width + 1)):
+            inside = (begin + k < last) & (begin + k >= first_block[:-1][block_doc])
+            y[inside] += held[begin[inside] + k]
+        from_word = np.maximum(words.first[block_doc], word_edge[begin] - BLOCK)
+        to_word = np.minimum(words.first[block_doc + 1], word_edge[stop] + BLOCK)
+        apart = ~alone[index.item_of[rows]]
+        i, k = np.nonzero((y >= np.maximum(1, least - counted.left_out)[rows]) & (~near | apart))
+        common = counted.common(rows[k], from_word[i], to_word[i], t)
+        enough = common >= least[rows[k]]
+        new = enough & ~near[i, k]
+        more = list(zip(i[new].tolist(), k[new].tolist(), strict=True))
+        # the other passages of an item in parts: their best window
+        parted = enough & apart[k]
+        for d, item in set(zip(block_doc[i[parted]].tolist(), index.item_of[rows[k[parted]]].tolist(), strict=True)):
+            at = np.arange(first_block[d], first_block[d + 1])
+            for other in np.flatnonzero(index.item_of[rows] == item):
+                length = counted.common(np.full(len(at), rows[other]), from_word[at], to_word[at], t)
+                more.append((int(at[np.argmax(length)]), int(other)))
+        for i, k in more:
+            hits.setdefault((int(block_doc[i]), int(rows[k])), []).append((float(x[i, k] / norm[i]), int(i), int(stop[i])))
     best: dict[tuple[int, int], dict[int, tuple]] = {}
-    alone = np.bincount(index.item_of, minlength=len(index.items)) == 1
     for (d, p), windows in hits.items():
         item, wanted = int(index.item_of[p]), index.words[p]
         for cosine, b, e in windows:
@@ -348,7 +437,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.35
     corpus = docs.toDF(*names).select(F.col(names[where["doc_id"]]).alias("doc_id"), F.col(names[where["text"]]).cast("string").alias("text"))
 
     def with_block(out: DataFrame, block: list[tuple]) -> DataFrame:
-        index = docs.sparkSession.sparkContext.broadcast(fit(corpus, block, **limits))  # a block of items: bounded
+        index = docs.sparkSession.sparkContext.broadcast(fit(corpus, block, least_overlap=least_overlap, **limits))  # a block of items: bounded
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

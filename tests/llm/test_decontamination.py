@@ -56,6 +56,45 @@ def test_paraphrases_against_brute_force(spark):
     assert len(got & brute) >= 0.95 * len(brute) and len(got - brute) <= 1
 
 
+def test_items_held_by_a_third_of_the_documents(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7))) for _ in range(4000)]
+    items = [(k, " ".join(rng.sample(vocabulary, n))) for k, n in enumerate((15, 18, 40, 80))]
+    items += [(k, " ".join(f"rare{k}x{i}" for i in range(30))) for k in range(4, 40)]  # no document holds these
+    rows, truth = [], set()
+    for d in range(240):
+        body = rng.choices(vocabulary, k=rng.randint(100, 250))
+        k = rng.randrange(3) if d < 80 else 3
+        if d < 160 and d % 2:
+            at = rng.randrange(len(body))
+            body[at:at] = items[k][1].split()
+        elif d % 3 == 0:  # the short item is everywhere
+            at, k = rng.randrange(len(body)), 0
+            body[at:at] = items[0][1].split()
+        else:
+            k = None
+        if k is not None:
+            truth.add((d, k))
+        rows.append((d, " ".join(body)))
+    assert truth == {(d, k) for d, t in rows for k, x in items if f" {x} " in f" {t} "}
+    assert sum(k == 0 for _, k in truth) > 40 and sum(k == 3 for _, k in truth) > 30
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, x.item_id) for r in op.find_leaks(docs(spark, rows), bench).collect() for x in r.leaks}
+    assert got == truth
+
+
+def test_many_subsequences_at_once():
+    rng = random.Random(3)
+    words = [np.array([rng.randrange(1, 9) for _ in range(rng.randint(1, 48))], np.uint64) for _ in range(30)]
+    terms = op.Terms(np.concatenate(words))
+    counted = op.Counted.of(words, terms, np.arange(len(terms)), 0.6)
+    region = np.array([rng.randrange(1, 12) for _ in range(90)], np.uint64)
+    lo = np.array([rng.randrange(40) for _ in words])
+    hi = lo + np.array([rng.randrange(50) for _ in words])
+    got = counted.common(np.arange(len(words)), lo, hi, terms.find(region))
+    assert got.tolist() == [op.common_subsequence(w.tolist(), region[a:b].tolist()) for w, a, b in zip(words, lo, hi, strict=True)]
+
+
 def test_answer_must_be_there(spark):
     rng = random.Random(2)
     w = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
