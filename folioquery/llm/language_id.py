@@ -88,17 +88,17 @@ class Machine:
     bias: float = 0.0
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, epochs: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Linear SVM (squared hinge, L2) by full gradient steps with momentum; y is +1 or -1."""
-    n, w, b = len(y), np.zeros(x.shape[1], np.float32), 0.0
+def fit_svm(yes: np.ndarray, no: np.ndarray, epochs: int = 60, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Linear SVM (squared hinge, L2) by full gradient steps with momentum; the two classes' rows are read in place."""
+    n, w, b = len(yes) + len(no), np.zeros(yes.shape[1], np.float32), 0.0
     step = np.zeros_like(w)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    rate = 1.0 / (2 * float(np.einsum("ij,ij->i", x, x).mean()) + penalty) if n else 0.0
+    half = np.float32(0.5 / max(1, len(yes))), np.float32(0.5 / max(1, len(no)))
+    rate = 1.0 / (2 * float(sum(np.einsum("ij,ij->i", x, x).sum() for x in (yes, no)) / n) + penalty) if n else 0.0
     back = 0.0
     for _ in range(epochs):
-        loss = np.maximum(0, 1 - y * (x @ w + b)) * y * weight
-        step = 0.9 * step + rate * (2 * (loss @ x) - penalty * w)
-        back = 0.9 * back + rate * 2 * float(loss.sum())
+        up, down = np.maximum(0, 1 - (yes @ w + b)) * half[0], np.maximum(0, 1 + (no @ w + b)) * half[1]
+        step = 0.9 * step + rate * (2 * (up @ yes - down @ no) - penalty * w)
+        back = 0.9 * back + rate * 2 * float(up.sum() - down.sum())
         w, b = w + step.astype(np.float32), b + back
     return w, b
 
@@ -163,7 +163,7 @@ class Model:
         return out.tolist(), score
 
 
-def train(docs: DataFrame, usable: Column | None = None, per_language: int = 300, dims: int = 1 << 13) -> Model:
+def train(docs: DataFrame, usable: Column | None = None, per_language: int = 500, dims: int = 1 << 13) -> Model:
     """Fit on at most about ``per_language`` documents of each language where ``usable`` holds.
 
     ``docs`` needs doc_id, text and lang.
@@ -194,12 +194,15 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 300
     if not got:
         return Model([], [], dims)
     open_ = zstandard.ZstdDecompressor()
+    got.sort(key=lambda r: (family(r[0]), r[0]))  # a family's rows, and a language's, are one slice of the matrix
     y, x = np.array([r[0] for r in got]), np.empty((len(got), dims), np.float32)
     for i, r in enumerate(got):
         x[i] = np.frombuffer(open_.decompress(bytes(r[1])), "<f4")
     del got
-    mean, spread = x.mean(0), x.std(0) + np.float32(1e-4)
+    mean = x.mean(0)
     x -= mean
+    # by rows: numpy's std would copy the matrix
+    spread = np.sqrt(np.einsum("ij,ij->j", x, x) / np.float32(len(x))) + np.float32(1e-4)
     x /= spread
     x /= np.float32(np.sqrt(dims))
     languages, machines = sorted(set(y.tolist())), []
@@ -207,8 +210,8 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 300
 
     def pairs(level: str, names: list[str], labels: np.ndarray) -> None:
         for a, b in itertools.combinations(names, 2):
-            rows = np.flatnonzero((labels == a) | (labels == b))
-            w, bias = fit_svm(x[rows], np.where(labels[rows] == a, 1, -1).astype(np.float32))
+            yes, no = (x[rows[0] : rows[-1] + 1] for rows in (np.flatnonzero(labels == c) for c in (a, b)))
+            w, bias = fit_svm(yes, no)
             w = w / spread / np.float32(np.sqrt(dims))
             machines.append(Machine(a, b, level, w, bias - float(w @ mean)))
 

@@ -51,3 +51,21 @@ def test_prediction_does_not_depend_on_slices(spark, sf):
     whole = model.margins(*kit.text_arrays(texts))
     parts = np.concatenate([model.margins(d, b) for _, _, d, b in kit.slices(texts, 100)])
     assert np.abs(whole - parts).max() < 1e-5
+
+
+def test_fitting_takes_500_documents_a_language_without_copies_of_the_matrix(spark, monkeypatch):
+    import numpy as np
+
+    sizes, fit = [], op.fit_svm
+
+    def watched(yes, no):
+        sizes.extend((len(yes), len(no)))
+        assert yes.base is not None and yes.base is no.base
+        return fit(yes, no)
+
+    monkeypatch.setattr(op, "fit_svm", watched)
+    rows = [(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") + str(i)) for i in range(1000)]
+    df = docs(spark, rows).withColumn("lang", F.expr("if(doc_id % 2 = 1, 'en', 'de')"))
+    model = op.train(df, dims=256)
+    assert sizes == [500, 500] and np.isfinite(model.machines[0].weights).all()
+    assert all(r.lang_pred == r.lang for r in op.predict(df.select("doc_id", "text", "lang"), model).collect())
