@@ -70,16 +70,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four commits: all documents under one tokenizer version, then under another, then the toxic ones
-    leave, then the first batch is replayed and must change nothing."""
+    """Totals after five commits: all documents with stale counts (characters) in a stale group, then under another tokenizer
+    version, then every stale count is revised and moves to its group, then the toxic ones leave, then the first batch is
+    replayed and must change nothing."""
     from . import token_rollup
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     store = token_rollup.RollupStore(spark)
-    store.commit("load", token_rollup.counts(docs, "words-1"))
+    moved = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.col("lang").alias("source"), F.col("source").alias("lang"))
+    stale = token_rollup.counts(moved, "words-1", F.length(F.coalesce("text", F.lit(""))))
+    store.commit("load", stale)
     store.commit("recount", token_rollup.counts(docs, "alnum-2"))
+    store.commit("revise", token_rollup.counts(docs, "words-1"))
     store.commit("purge", deletes=table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
-    store.commit("load", token_rollup.counts(docs, "words-1"))
+    store.commit("load", stale)
     return store.totals()
 
 

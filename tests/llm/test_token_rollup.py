@@ -1,6 +1,7 @@
 import pytest
 from helpers import docs
 
+from folioquery.llm import queries
 from folioquery.llm import token_rollup as op
 
 
@@ -47,3 +48,18 @@ def test_unfinished_batches_do_not_count(spark, tmp_path):
     assert totals(s) == {("s", "en", "words-1"): (1, 1)}
     with pytest.raises(ValueError):
         s.commit("a~b")
+
+
+def test_query_revises_every_count(spark, sf, monkeypatch):
+    stores, made = [], op.RollupStore
+
+    def kept(*args):
+        stores.append(made(*args))
+        return stores[-1]
+
+    monkeypatch.setattr(op, "RollupStore", kept)
+    queries.op8_token_rollup(spark, sf).collect()
+    states = stores[0]._read("state", op.STATE).where("live AND tokenizer = 'words-1'")
+    found = states.groupBy("doc_id").agg({"seq": "count"}).collect()
+    assert len(found) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r[1] == 2 for r in found)
+    assert states.groupBy("doc_id", "source", "lang", "tokens").count().count() == 2 * len(found)
