@@ -45,7 +45,7 @@ def term_hashes(words: kit.Words) -> np.ndarray:
     for _ in range(4):
         s += (s < e - 1) & _PUNCT[words.data[np.minimum(s, len(words.data) - 1)]] if len(s) else 0
         e -= (s < e - 1) & _PUNCT[words.data[e - 1]] if len(e) else 0
-    return kit.Spans(kit._BYTE[words.data]).of(s, e)
+    return kit.string_hashes(words.data, s, e)
 
 
 def terms_of(texts: list[str | None]) -> list[np.ndarray]:

@@ -23,8 +23,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SEED = np.random.Generator(np.random.PCG64(20240917))
-_BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a little-endian block
 _BASE, _BASE2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Bytes of text handled at once, so that the 8-byte arrays beside them stay small.
@@ -52,8 +51,70 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[base]
 
 
+def block_keys(seed: int, k: np.ndarray) -> np.ndarray:
+    """The key that the k-th block of a string is scrambled with."""
+    with np.errstate(over="ignore"):
+        return mix(U64(seed) + k.astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = _BASE) -> np.ndarray:
+    """Hashes of the byte strings [start, end): each 8-byte block is scrambled with a key of its place, then the blocks add up.
+
+    Scrambling is not linear, so no pattern of text collides by algebra, whatever its length; strings of up to 8 bytes and equal length
+    never collide. Strings of one hash differ with a chance of 2**-64 a pair; a second seed gives an independent hash.
+    """
+    size = end - start
+    out = np.zeros(len(size), U64)
+    if not len(size):
+        return out
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = data
+    block = np.ndarray((len(data) + 1,), "<u8", raw, strides=(1,))  # the 8 bytes from every place on
+
+    def part(at: np.ndarray, left: np.ndarray, key) -> np.ndarray:
+        return mix((block[at] & _KEEP[np.minimum(left, 8)]) ^ key)
+
+    keys = block_keys(seed, np.arange(4))
+    out = part(start, size, keys[0])
+    rows = np.flatnonzero(size > 8)
+    with np.errstate(over="ignore"):
+        for k in (1, 2, 3):
+            if not len(rows):
+                break
+            out[rows] += part(start[rows] + 8 * k, size[rows] - 8 * k, keys[k])
+            rows = rows[size[rows] > 8 * (k + 1)]
+        if len(rows):  # all further blocks of long strings at once
+            many = (size[rows] - 25) // 8
+            k = ragged(np.full(len(rows), 4), many)
+            at, left = np.repeat(start[rows], many) + 8 * k, np.repeat(size[rows], many) - 8 * k
+            out[rows] += np.add.reduceat(part(at, left, block_keys(seed, k)), np.cumsum(many) - many)
+        return mix(out + size.astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def equal_strings(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, size: np.ndarray) -> bool:
+    """Whether a[at_a : at_a + size] is b[at_b : at_b + size] for every row; bytes are compared 8 at a time."""
+    tail = np.zeros(8, np.uint8)
+    left, right = (np.ndarray((len(x) + 1,), "<u8", np.concatenate([x, tail]), strides=(1,)) for x in (a, b))
+    done = 0
+    while len(size):
+        if done == 32:  # what is left of long strings at once
+            many = size - done
+            return bool((a[ragged(at_a + done, many)] == b[ragged(at_b + done, many)]).all())
+        keep = _KEEP[np.minimum(size - done, 8)]
+        if ((left[at_a + done] ^ right[at_b + done]) & keep).any():
+            return False
+        done += 8
+        rows = np.flatnonzero(size > done)
+        at_a, at_b, size = at_a[rows], at_b[rows], size[rows]
+    return True
+
+
 class Spans:
-    """Polynomial prefix hashes over a sequence of 64-bit values; any span's hash in constant time."""
+    """Polynomial prefix hashes over a sequence of 64-bit hashes; any span's hash in constant time.
+
+    For runs of a few words, whose hashes are scrambled already. Long runs of a regular pattern lose bits modulo 2**64, so they need a look at
+    the words themselves; strings go through ``string_hashes``.
+    """
 
     def __init__(self, values: np.ndarray, base: int = _BASE):
         self.base = base
@@ -86,13 +147,16 @@ class Words:
         self.end = np.flatnonzero(solid & (after | cut[1:])) + 1
         #: Word number at which each document starts, with the total last.
         self.first = np.searchsorted(self.start, bounds)
+        self._hashes: dict[int, np.ndarray] = {}
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self, base: int = _BASE) -> np.ndarray:
-        return Spans(_BYTE[self.data], base).of(self.start, self.end)
+    def hashes(self, seed: int = _BASE) -> np.ndarray:
+        if seed not in self._hashes:
+            self._hashes[seed] = string_hashes(self.data, self.start, self.end, seed)
+        return self._hashes[seed]
 
     def packed(self) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The words joined by single spaces, and each word's start and end in that string."""

@@ -118,8 +118,7 @@ class Lines:
         long = points[e] - points[s] >= min_chars
         #: Numbers of the lines with a key that counts, and the key's two hashes.
         self.keyed, s, e = solid[long], s[long], e[long]
-        values = kit._BYTE[words.data]
-        self.a, self.b = kit.Spans(values).of(s, e), kit.Spans(values, kit._BASE2).of(s, e)
+        self.a, self.b = kit.string_hashes(words.data, s, e), kit.string_hashes(words.data, s, e, kit._BASE2)
         self.doc = np.searchsorted(self.first, self.keyed, "right") - 1
 
 

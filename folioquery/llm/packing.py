@@ -104,7 +104,8 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
 class WordPieces:
     """Token ids of whole texts; pre-tokens are encoded once each and then gathered from a cache.
 
-    Texts outside the plain range, or holding apostrophes or special-token markers, go through
+    The cache goes by hash, and every pre-token is compared with the one that was encoded: where a hash stands for two, the run goes
+    through the tokenizer itself. Texts outside the plain range, or holding apostrophes or special-token markers, go through
     the tokenizer itself.
     """
 
@@ -118,12 +119,12 @@ class WordPieces:
             kind = unicodedata.category(chr(c))[0]
             kinds[c] = 0 if c in (0x20, 0x85, 0xA0) or 9 <= c <= 13 else {"L": 1, "N": 2}.get(kind, 3)
         self.kinds = kinds
-        self.values = kit.mix(np.arange(1, _PLAIN + 1, dtype=np.uint64)) | np.uint64(1)
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size, self.of, self.length = np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(4))
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.pieces, self.end = np.zeros(1 << 16, np.uint16), 0
 
     def _ids(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each piece) of pieces of ``codes``: encoded as one text, a space after each."""
@@ -142,17 +143,22 @@ class WordPieces:
         if len(self.keys) + len(keys) > self.cache:
             raise OverflowError
         parts = [self._ids(codes, start[k : k + 2000], size[k : k + 2000]) for k in range(0, len(keys), 2000)]
-        new, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, 2 * len(new)), np.uint32)])
-        self.flat[self.used : self.used + len(new)] = new
-        at = np.cumsum(size) - size + self.used
-        self.used += len(new)
-        keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.size = keys[order], at[order], size[order]
-
-    def _plain(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        spelled = codes[kit.ragged(start, size)]
+        self.flat, self.pieces = self._room(self.flat, self.used, len(new)), self._room(self.pieces, self.end, len(spelled))
+        self.flat[self.used : self.used + len(new)], self.pieces[self.end : self.end + len(spelled)] = new, spelled
+        more = keys, np.cumsum(n) - n + self.used, n, np.cumsum(size) - size + self.end, size
+        self.used, self.end = self.used + len(new), self.end + len(spelled)
+        merged = [np.concatenate(x) for x in zip((self.keys, self.at, self.size, self.of, self.length), more, strict=True)]
+        order = np.argsort(merged[0], kind="stable")
+        self.keys, self.at, self.size, self.of, self.length = (x[order] for x in merged)
+
+    @staticmethod
+    def _room(held: np.ndarray, used: int, more: int) -> np.ndarray:
+        return held if used + more <= len(held) else np.concatenate([held[:used], np.zeros(max(used, 2 * more), held.dtype)])
+
+    def _plain(self, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of all texts and where each begins; None where a hash stands for two pre-tokens."""
         kind = self.kinds[codes]
         cut = np.zeros(len(codes) + 1, bool)
         cut[bounds] = True
@@ -161,7 +167,7 @@ class WordPieces:
         start, end = edge[:-1], edge[1:]
         solid = kind[start] > 0
         start, end = start[solid], end[solid]
-        found, first, back = np.unique(kit.Spans(self.values[codes]).of(start, end), return_index=True, return_inverse=True)
+        found, first, back = np.unique(kit.string_hashes(codes.view(np.uint8), 2 * start, 2 * end), return_index=True, return_inverse=True)
         while True:
             where = np.searchsorted(self.keys, found)
             known = np.zeros(len(found), bool)
@@ -176,6 +182,12 @@ class WordPieces:
                 if not len(self.keys):
                     self.cache = 2 * len(found)
                 self.reset()
+        length, as_bytes = end - start, (codes.view(np.uint8), self.pieces[: self.end].view(np.uint8))
+        if (self.length[where][back] != length).any():
+            return None
+        rows = np.flatnonzero(length > 4)  # up to 8 bytes a hash is exact
+        if not kit.equal_strings(as_bytes[0], 2 * start[rows], as_bytes[1], 2 * self.of[where][back[rows]], 2 * length[rows]):
+            return None
         at, size = self.at[where][back], self.size[where][back]
         ends = np.concatenate([[0], np.cumsum(size)])
         return self.flat[kit.ragged(at, size)], ends[np.searchsorted(start, bounds)]
@@ -193,9 +205,9 @@ class WordPieces:
                 parts.append(codes)
         if parts:
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-            ids, ends = self._plain(np.concatenate(parts), bounds)
+            got = self._plain(np.concatenate(parts), bounds)
             for k, i in enumerate(plain):
-                out[i] = ids[ends[k] : ends[k + 1]]
+                out[i] = got[0][got[1][k] : got[1][k + 1]] if got else np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
 
