@@ -10,7 +10,8 @@ compared with the passages by cosine. The cosine of a window sinks with the weig
 further copy of an item in the corpus. So a second route goes by words alone: where a window and its margins hold enough of a passage's
 words for ``least_overlap``, whatever these weigh, it is a candidate too. Candidates are checked on words: the longest common subsequence with the passage,
 summed over an item's passages, must cover ``least_overlap`` of the item, and the item's answer (its ``answer`` column, else
-its last eight words) must be there to ``least_answer``, so shared phrases alone are no leak.
+its last eight words) must be there to ``least_answer``, so shared phrases alone are no leak. Every candidate window is judged on both,
+so a copy without the answer does not hide another one that has it.
 
 The benchmark is the stated query set: it is read in blocks of ``block_items`` items, each block against all rows.
 
@@ -394,10 +395,12 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
             at = np.arange(first_block[d], first_block[d + 1])
             for other in np.flatnonzero(index.item_of[rows] == item):
                 length = counted.common(np.full(len(at), rows[other]), from_word[at], to_word[at], t)
-                more.append((int(at[np.argmax(length)]), int(other)))
+                length[np.argmax(length)] = least[rows[other]]  # the best one, and all that are enough by themselves
+                more += [(int(i), int(other)) for i in at[length >= least[rows[other]]]]
         for i, k in more:
             hits.setdefault((int(block_doc[i]), int(rows[k])), []).append((float(x[i, k] / norm[i]), int(i), int(stop[i])))
-    best: dict[tuple[int, int], dict[int, tuple]] = {}
+    # every candidate window is judged, for overlap and for the answer: a longer copy may lack the answer that another has
+    judged: dict[tuple[int, int], dict[tuple[int, int], tuple]] = {}
     for (d, p), windows in hits.items():
         item, wanted = int(index.item_of[p]), index.words[p]
         for cosine, b, e in windows:
@@ -407,16 +410,22 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
             if alone[item] and sum(map(set(region).__contains__, wanted)) < least_overlap * len(wanted):
                 continue  # too few words in common for the subsequence
             length = common_subsequence(wanted, region)
-            old = best.setdefault((d, item), {}).get(p)
-            if old is None or (length, cosine) > old[:2]:
-                best[d, item][p] = (length, cosine, lo, hi)
-    for (d, item), parts in sorted(best.items()):
-        overlap = sum(x[0] for x in parts.values()) / index.lengths[item]
-        lo, hi = min(x[2] for x in parts.values()), max(x[3] for x in parts.values())
-        answer = index.answers[item]
-        there = max(common_subsequence(answer, h[x[2] : x[3]].tolist()) for x in parts.values()) / max(1, len(answer))
+            if alone[item] and length < least_overlap * len(wanted):
+                continue
+            there = common_subsequence(index.answers[item], region) / max(1, len(index.answers[item]))
+            judged.setdefault((d, item), {})[p, b] = (length, cosine, -lo, hi, there)
+    for (d, item), seen_at in sorted(judged.items()):
+        if alone[item]:
+            parts = [max((x for x in seen_at.values() if x[4] >= least_answer), default=None)]
+            if parts[0] is None:
+                continue
+        else:
+            parts = [max(x for (q, _), x in seen_at.items() if q == p) for p in sorted({q for q, _ in seen_at})]
+        overlap = sum(x[0] for x in parts) / index.lengths[item]
+        there = parts[0][4] if alone[item] else max(x[4] for x in seen_at.values())
         if overlap >= least_overlap and there >= least_answer:
-            found[d].append({"item_id": index.items[item], "start": lo - int(words.first[d]), "end": hi - int(words.first[d]), "cosine": max(x[1] for x in parts.values()), "overlap": float(overlap), "answer": float(there)})
+            lo, hi = min(-x[2] for x in parts), max(x[3] for x in parts)
+            found[d].append({"item_id": index.items[item], "start": lo - int(words.first[d]), "end": hi - int(words.first[d]), "cosine": max(x[1] for x in parts), "overlap": float(overlap), "answer": float(there)})
     return found
 
 

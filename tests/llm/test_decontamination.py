@@ -104,6 +104,24 @@ def test_answer_must_be_there(spark):
     assert got == {1: 0, 2: 1}
 
 
+def test_a_copy_without_the_answer_hides_no_other(spark):
+    """The longest copy lacks the answer; a shorter one further on, or before it, has it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    items, rows, truth = [], [], {}
+    for k, n in enumerate((30, 40, 90)):
+        w, answer = [word() for _ in range(n)], [word() for _ in range(4)]
+        items.append((k, " ".join(w), " ".join(answer)))
+        gap = [[word() for _ in range(m)] for m in (50, 170, 333)]
+        short = [x for i, x in enumerate(w) if i % 5]
+        for j, parts in enumerate(((w, gap[1], short, answer), (short, answer, gap[2], w), (w, gap[0], short), (w, gap[1], answer), (short, answer), (gap[0], w, answer))):
+            rows.append((10 * k + j, " ".join(x for p in (gap[0], *parts, gap[2]) for x in p)))
+            truth[10 * k + j] = [k] if j not in (2, 3) else []
+    bench = spark.createDataFrame(items, "item_id long, text string, answer string")
+    got = {r.doc_id: [x.item_id for x in r.leaks] for r in op.find_leaks(docs(spark, rows), bench).collect()}
+    assert got == truth
+
+
 def test_edges(spark):
     bench = spark.createDataFrame([(1, "only words here"), (2, None), (3, ""), (1, "only words here")], "item_id long, text string")
     rows = [(1, None), (2, ""), (None, "Only words, here!"), (4, "only words here"), (4, "only words here")]
