@@ -7,6 +7,7 @@ one and becomes current by one rename, so readers never see half a write and no
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import STAGE, Folder, WriteConflict
 from .schema import Catalog, SchemaError, TableSpec, check_constraints, split_valid
 
 
@@ -29,10 +31,12 @@ def _default(spec: TableSpec, name: str) -> Column:
 
 
 def allocate_ids(rows: DataFrame, target: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Consecutive keys after the largest one. Ranks come from per-bucket counts, so no single task orders all rows."""
+    """Consecutive keys after the largest one. Ranks come from per-bucket counts, so no single task orders all rows; there are as many buckets
+    as shuffle partitions."""
     top = target.agg(F.coalesce(F.max(key), F.lit(0)).alias("__top"))
-    buckets = rows.withColumn("__b", F.expr(f"pmod(xxhash64({', '.join(order)}), 64)"))
-    sizes = buckets.groupBy("__b").agg(F.count("*").alias("__n"))  # at most 64 rows
+    many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = rows.withColumn("__b", F.expr(f"pmod(xxhash64({', '.join(order)}), {many})"))
+    sizes = buckets.groupBy("__b").agg(F.count("*").alias("__n"))  # one row a bucket
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
     ranked = buckets.withColumn("__r", F.row_number().over(W.partitionBy("__b").orderBy(*order)))
@@ -137,19 +141,14 @@ def upsert_partial(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 class VersionedTable:
-    """A folder of versions ``v=N`` and committed names; the largest committed version is current."""
+    """A folder of versions ``v=N``; the largest committed version is current. Readers never see half a write."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._p = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.folder = Folder(spark, self.path)
 
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._p(self.path)):
-            return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(self._p(self.path))]
-        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+        return sorted(int(n[2:]) for n in self.folder.names() if n.startswith("v="))
 
     def read(self, version: int | None = None) -> DataFrame:
         found = self.versions()
@@ -157,20 +156,105 @@ class VersionedTable:
             raise SchemaError(f"no committed version at {self.path}")
         return self.spark.read.parquet(f"{self.path}/v={found[-1] if version is None else version}")
 
-    def write(self, df: DataFrame) -> int:
-        """Write the next version beside the current one, then rename it into place."""
-        stage = f"{self.path}/_stage-{uuid.uuid4().hex}"
-        df.write.parquet(stage)
-        version = (self.versions() or [0])[-1] + 1
-        if not self._fs.rename(self._p(stage), self._p(f"{self.path}/v={version}")):
-            raise RuntimeError(f"version {version} of {self.path} was not committed")
+    def write(self, df: DataFrame, after: int | None = None) -> int:
+        """Write the version that follows ``after`` (the one that ``df`` was made from; else the newest before writing).
+
+        It is written beside the others and renamed into place. If another writer has taken that version, nothing is lost: the call
+        raises WriteConflict and leaves no trace.
+        """
+        version = ((self.versions() or [0])[-1] if after is None else after) + 1
+        stage = f"{STAGE}{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(f"{self.path}/{stage}")
+            self.folder.commit(stage, f"v={version}")
+        except BaseException:
+            self.folder.delete(stage)
+            raise
         return version
 
+    def change(self, make: Callable[[DataFrame], DataFrame], attempts: int = 5) -> int:
+        """Commit ``make(current rows)``; after a conflict it is made again from what the other writer left."""
+        for left in reversed(range(attempts)):
+            now = (self.versions() or [0])[-1]
+            try:
+                return self.write(make(self.read(now)), now)
+            except WriteConflict:
+                if not left:
+                    raise
+        raise ValueError("attempts must be at least 1")
+
     def provision(self, spec: TableSpec) -> None:
         """Create an empty first version unless there is one."""
         if not self.versions():
-            self.write(self.spark.createDataFrame([], spec.struct))
+            try:
+                self.write(self.spark.createDataFrame([], spec.struct), 0)
+            except WriteConflict:
+                pass  # another writer has just created it
 
     def vacuum(self, keep: int = 2) -> None:
+        """Remove all but the newest versions, and stages that a day has not touched."""
         for v in self.versions()[:-keep]:
-            self._fs.delete(self._p(f"{self.path}/v={v}"), True)
+            self.folder.delete(f"v={v}")
+        self.folder.sweep()
+
+
+def newest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The row with the largest ``order`` for each key."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__s")).select(key, "__s.*")
+
+
+class MergeTable:
+    """Rows by key, of which the newest wins, for many small batches.
+
+    A batch is appended as a part of its own, so its cost follows its own size. Once the parts outweigh the base they are folded
+    into a new base, so all folds together write each row a number of times that grows with the logarithm of the table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, like: DataFrame, key: str, newest: list[str]):
+        self.spark, self.path, self.schema, self.key, self.newest = spark, path.rstrip("/"), like.schema, key, newest
+        self.folder = Folder(spark, self.path)
+
+    def _live(self) -> tuple[list[str], list[str]]:
+        """(the base, if there is one; the parts after it): a part N is covered by any base of N or more."""
+        names = [n for n in self.folder.names() if n[:1].isdigit()]
+        base = max((n for n in names if n.endswith("-base")), default="")
+        return [base] if base else [], [n for n in names if not n.endswith("-base") and n > base.removesuffix("-base")]
+
+    def versions(self) -> list[str]:
+        base, parts = self._live()
+        return base + parts
+
+    def _rows(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{n}" for n in names])
+
+    def read(self) -> DataFrame:
+        base, parts = self._live()
+        return newest_by(self._rows(base + parts), self.key, self.newest) if parts else self._rows(base)
+
+    def _commit(self, rows: DataFrame, name: str) -> None:
+        stage = f"{STAGE}{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(f"{self.path}/{stage}")
+            self.folder.commit(stage, name)
+        except BaseException:
+            self.folder.delete(stage)
+            raise
+
+    def append(self, rows: DataFrame) -> None:
+        """Commit the newest row of each key in ``rows`` as a part; appending it again changes nothing."""
+        base, parts = self._live()
+        after = int((base + parts)[-1].removesuffix("-base")) if base + parts else 0
+        self._commit(newest_by(rows.select(*self.schema.names), self.key, self.newest), f"{after + 1:012d}")
+        base, parts = self._live()
+        if len(parts) > 1 and self.folder.bytes(parts) > self.folder.bytes(base):
+            self.fold()
+
+    def fold(self) -> None:
+        base, parts = self._live()
+        if parts:
+            self._commit(self.read(), f"{parts[-1]}-base")
+            for n in base + parts:  # readers take the new base from here on
+                self.folder.delete(n)

@@ -2,53 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.writes import VersionedTable
+from ..operators.writes import MergeTable, newest_by
+from ..storage import shared_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share; without one (tests), a new local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="folioquery-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def newest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The row with the largest ``order`` for each key."""
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__s")).select(key, "__s.*")
-
-
-def incremental_upsert(spark: SparkSession, like: DataFrame, path: str, key: str, newest: list[str], table: VersionedTable | None = None, checkpoint: str | None = None) -> DataFrame:
+def incremental_upsert(spark: SparkSession, like: DataFrame, path: str, key: str, newest: list[str], table: MergeTable | None = None, checkpoint: str | None = None) -> DataFrame:
     """Read new files at ``path`` once each and upsert the newest row of every key; returns the table.
 
-    The checkpoint remembers what was read, so a second run with the same checkpoint sees only new files. A batch that is
-    replayed after a failure changes nothing, as the newest row wins again.
+    The checkpoint remembers what was read, so a second run with the same checkpoint sees only new files. A micro-batch writes its own rows
+    and never the whole table; one that is replayed after a failure changes nothing, as the newest row wins again.
     """
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
-    table = table or VersionedTable(spark, f"{root}/table")
+    table = table or MergeTable(spark, f"{root}/table", like, key, newest)
     stream = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 64)
     # a single file is read through its folder and a name filter
     folder, _, name = path.rpartition("/")
     source = stream.option("pathGlobFilter", name).option("recursiveFileLookup", "false").parquet(folder) if not _is_folder(spark, path) else stream.parquet(path)
-
-    def merge(batch: DataFrame, _: int) -> None:
-        rows = newest_by(batch.select(*like.columns), key, newest)
-        if table.versions():
-            rows = newest_by(table.read().select(*like.columns).unionByName(rows), key, newest)
-        table.write(rows)
-
-    run = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint or f"{root}/checkpoint").trigger(availableNow=True).start()
+    run = source.writeStream.foreachBatch(lambda batch, _: table.append(batch)).option("checkpointLocation", checkpoint or f"{root}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return table.read() if table.versions() else spark.createDataFrame([], like.schema)
+    return table.read()
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

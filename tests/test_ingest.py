@@ -1,23 +1,41 @@
 from pyspark.sql import functions as F
 
-from folioquery.operators.writes import VersionedTable
+from folioquery.operators.writes import MergeTable
 from folioquery.sources import companies, evals
 from folioquery.streaming import ingest
 
 
 def test_incremental_upsert_sees_new_files_once(spark, tmp_path):
     src, like = f"file://{tmp_path}/in", spark.createDataFrame([], "k long, ts long, v string")
-    table = VersionedTable(spark, f"file://{tmp_path}/t")
+    table = MergeTable(spark, f"file://{tmp_path}/t", like, "k", ["ts"])
     run = lambda: ingest.incremental_upsert(spark, like, src, "k", ["ts"], table, f"file://{tmp_path}/c")
     spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], like.schema).write.parquet(src)
     assert sorted(map(tuple, run().select("k", "v").collect())) == [(1, "b"), (2, "c")]
-    versions = len(table.versions())
+    versions = table.versions()
     run()
-    assert len(table.versions()) == versions
+    assert table.versions() == versions
     spark.createDataFrame([(2, 5, "d"), (1, 0, "old")], like.schema).write.mode("append").parquet(src)
     assert sorted(map(tuple, run().select("k", "v").collect())) == [(1, "b"), (2, "d")]
 
 
+def test_batches_write_themselves_and_fold_as_they_outgrow_the_base(spark, tmp_path):
+    like = spark.createDataFrame([], "k long, ts long, v string")
+    table = MergeTable(spark, f"file://{tmp_path}/t", like, "k", ["ts"])
+    assert table.read().collect() == [] and table.versions() == []
+    folds, want = 0, {}
+    for ts in range(1, 13):
+        rows = [(k, ts, f"{k}-{ts}") for k in range(ts % 4, 40, 4)]
+        want |= {k: v for k, _, v in rows}
+        table.append(spark.createDataFrame(rows + rows, like.schema))
+        folds += len(table.versions()) == 1 and table.versions()[0].endswith("-base")
+        assert {r.k: r.v for r in table.read().collect()} == want
+    assert 1 <= folds <= 6
+    table.append(spark.createDataFrame([(0, 0, "old"), (None, 5, "no key")], like.schema))
+    assert {r.k: r.v for r in table.read().collect()} == want | {None: "no key"}
+    table.fold()
+    assert len(table.versions()) == 1 and {r.k: r.v for r in table.read().collect()} == want | {None: "no key"}
+
+
 def test_isolation_and_sync(spark):
     rows = spark.createDataFrame([(1, "x"), (2, None)], "id long, accession_number string")
     good, bad = ingest.isolate(rows, {"no number": F.col("accession_number").isNotNull()})

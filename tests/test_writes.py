@@ -1,8 +1,12 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioquery.operators import schema as sc
 from folioquery.operators import writes as wr
+from folioquery.storage import WriteConflict, shared_dir
 
 SPEC = sc.define("t", "id serial\nname text ! unique\nn integer default:7\ncreated_at timestamp ! default:CURRENT_TIMESTAMP\nupdated_at timestamp ! default:CURRENT_TIMESTAMP touch")
 
@@ -62,3 +66,52 @@ def test_versions(spark, target, tmp_path):
     assert t.versions() == [3]
     with pytest.raises(sc.SchemaError):
         wr.VersionedTable(spark, f"file://{tmp_path}/none").read()
+
+
+def test_two_writers_lose_nothing(spark, target, tmp_path):
+    at = f"file://{tmp_path}/t"
+    a, b = wr.VersionedTable(spark, at), wr.VersionedTable(spark, at)
+    a.write(target)
+    before = a.versions()[-1]
+    assert a.write(target.where("id = 1"), before) == 2
+    with pytest.raises(WriteConflict):
+        b.write(target.where("id = 2"), before)
+    assert b.versions() == [1, 2] and rows(b.read(), "id") == [(1,)]
+    assert not any("_stage" in x.name for x in (tmp_path / "t").rglob("*"))
+    turn = []
+
+    def late(now):  # another writer commits while this change is being made
+        if not turn:
+            turn.append(1)
+            a.write(a.read().unionByName(target.where("id = 2")))
+        return now.where("id = 2")
+
+    assert b.change(late) == 4 and rows(b.read(), "id") == [(2,)]
+    with pytest.raises(WriteConflict):
+        b.change(lambda now: (a.write(target), now)[1], attempts=2)
+
+
+def test_stages_of_dead_writers_go(spark, target, tmp_path):
+    t = wr.VersionedTable(spark, f"file://{tmp_path}/t")
+    t.write(target)
+    for name, age in (("_stage-old", 100_000), ("_stage-new", 10)):
+        (tmp_path / "t" / name).mkdir()
+        os.utime(tmp_path / "t" / name, (time.time() - age,) * 2)
+    t.vacuum()
+    assert sorted(x.name for x in (tmp_path / "t").iterdir() if x.name.startswith("_stage")) == ["_stage-new"] and t.versions() == [1]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        getConf = staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        Context.master = master
+        with pytest.raises(RuntimeError):
+            shared_dir(Session)
