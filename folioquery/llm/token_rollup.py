@@ -4,10 +4,10 @@ A rollup store is a folder of committed batches. Each batch holds signed changes
 tokenizer) the sums of documents and tokens it adds or takes away, and per (doc_id, tokenizer) the
 state it leaves. Totals are the sum of all committed batches' rollups: additive, and never recounted from text.
 
-A batch is staged under a name of its own and committed by one rename to its batch id. A batch id that is
-there already is done: committing it again changes nothing, whatever happened to the first attempt's
-writer. ``compact`` folds committed batches into one and keeps their ids. The newest state of a document decides what a delete or a revised count takes
-away, so both need only the ids.
+A batch is staged under a name of its own and committed by one exclusive rename to the next sequence number, so of two writers one gets
+a WriteConflict. A batch id that is there already is done: committing it again changes nothing, whatever happened to the first
+attempt's writer. ``compact`` folds committed batches into one and keeps their ids. The newest state of a document decides what a
+delete or a revised count takes away, so both need only the ids, and a commit groups the states of its own documents alone.
 
 Counting is partial before each shuffle, so a source that holds a third of all rows costs one row a task.
 
@@ -21,11 +21,11 @@ An empty batch commits and changes nothing. Other input columns are ignored.
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import STAGE, Folder
 from . import kit
 
 #: Token counters by version: built-in expressions over a text column.
@@ -34,6 +34,9 @@ COUNTERS = {
     "alnum-2": lambda text: F.regexp_count(text, F.lit("[\\p{L}\\p{N}]+")),
 }
 STATE = "doc_id long, tokenizer string, source string, lang string, tokens long, live boolean, seq long"
+STATE_COLUMNS = ("doc_id", "tokenizer", "source", "lang", "tokens", "live", "seq")
+CHANGE = "doc_id long, tokenizer string, source string, lang string, tokens long, live boolean"
+IDS = "batch_id string, seq long"
 DELTA = "source string, lang string, tokenizer string, d_documents long, d_tokens long"
 KEYS = ("source", "lang", "tokenizer")
 
@@ -46,62 +49,79 @@ def counts(docs: DataFrame, version: str, counter: Column | None = None) -> Data
 
 
 class RollupStore:
-    """Committed batches under ``root``; one writer at a time."""
+    """Committed batches under ``root``: folders named by their sequence number, each with the batch ids it stands for, its rollup and its states.
+
+    A folder that ``compact`` made ends in ``-base`` and stands for all up to its number.
+    """
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or f"{kit.shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.root))
-
-    def _names(self) -> list[str]:
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(self.root)))
-
-    def committed(self) -> dict[str, int]:
-        """Batch ids and their sequence numbers; folders are named <sequence>~<id>[~<id>...]."""
-        out = {}
-        for name in self._names():
-            seq, *ids = name.split("~")
-            if seq.isdigit():
-                out |= dict.fromkeys(ids, int(seq))
-        return out
+        self.folder = Folder(spark, self.root)
+        self.folder.create()
 
     def _live(self) -> list[str]:
-        """Folders to read: the newest of those that hold a batch id."""
-        found = [n for n in self._names() if n.split("~")[0].isdigit()]
-        holds = {n: set(n.split("~")[1:]) for n in found}
-        return [f"{self.root}/{n}" for n in found if not any(holds[n] < holds[m] for m in found)]
+        """Folders to read: the newest base and what came after it."""
+        names = [n for n in self.folder.names() if n[:1].isdigit()]
+        base = max((n for n in names if n.endswith("-base")), default="")
+        return [base] * bool(base) + [n for n in names if not n.endswith("-base") and n > base.removesuffix("-base")]
 
     def _read(self, part: str, schema: str) -> DataFrame:
         live = self._live()
         if not live:
             return self.spark.createDataFrame([], schema)
-        return reduce(DataFrame.unionByName, (self.spark.read.schema(schema).parquet(f"{x}/{part}") for x in live))
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{n}/{part}" for n in live])
+
+    def committed(self) -> DataFrame:
+        """(batch_id, seq) of all committed batches."""
+        return self._read("ids", IDS)
 
-    def state(self) -> DataFrame:
-        """The newest state of each (doc_id, tokenizer)."""
-        newest = self._read("state", STATE).groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "tokens", "live", "seq"), "seq").alias("s"))
+    def state(self, ids: DataFrame | None = None) -> DataFrame:
+        """The newest state of each (doc_id, tokenizer); of the documents in ``ids`` (doc_id) alone, nothing else is grouped."""
+        rows = self._read("state", STATE)
+        rows = rows if ids is None else rows.join(ids, "doc_id", "left_semi")
+        newest = rows.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "tokens", "live", "seq"), "seq").alias("s"))
         return newest.select("doc_id", "tokenizer", "s.*")
 
     def commit(self, batch_id: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
-        """Apply inserts, revised counts and deletes (doc_id[, tokenizer]); False if the id was committed before."""
-        if not batch_id or set(batch_id) & set("~/"):
-            raise ValueError("a batch id is a non-empty name without ~ and /")
-        done = self.committed()
-        if batch_id in done:
+        """Apply inserts, revised counts and deletes (doc_id[, tokenizer]); False if the id was committed before.
+
+        Where another writer commits meanwhile, WriteConflict is raised and nothing is left: what this batch takes away was computed
+        from states that are no longer the newest.
+        """
+        if not batch_id:
+            raise ValueError("a batch id is a non-empty name")
+        live = self._live()
+        if live and self.committed().where(F.col("batch_id") == batch_id).limit(1).count():
             return False
-        seq = max(done.values(), default=0) + 1
+        seq = int(live[-1].removesuffix("-base")) + 1 if live else 1
+        stage = f"{STAGE}{uuid.uuid4().hex}"
+        try:
+            self._write(stage, batch_id, seq, upserts, deletes)
+            self.folder.commit(stage, f"{seq:012d}")
+        except BaseException:
+            self.folder.delete(stage)
+            raise
+        return True
+
+    def _write(self, stage: str, batch_id: str, seq: int, upserts: DataFrame | None, deletes: DataFrame | None) -> None:
+        at = f"{self.root}/{stage}"
+        self.spark.createDataFrame([(batch_id, seq)], IDS).coalesce(1).write.parquet(f"{at}/ids")
         columns = ["doc_id", "tokenizer", "source", "lang", "tokens"]
-        changes = upserts.select(*columns, F.lit(True).alias("live")) if upserts is not None else self.spark.createDataFrame([], "doc_id long, tokenizer string, source string, lang string, tokens long, live boolean")
+        changes = self.spark.createDataFrame([], CHANGE)
+        if upserts is not None:  # counted once: the ids and the changes are both read from here
+            upserts.select(*columns, F.lit(True).alias("live")).write.parquet(f"{at}/changes")
+            changes = self.spark.read.schema(CHANGE).parquet(f"{at}/changes")
         lost = changes.where("doc_id IS NULL")
         changes = changes.where("doc_id IS NOT NULL")
-        old = self.state()
+        touched = changes.select("doc_id")
+        if deletes is not None:
+            ids = deletes.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+            touched = touched.unionByName(ids.select("doc_id"))
+        old = self.state(touched)
         if deletes is not None:
-            ids = deletes.where("doc_id IS NOT NULL")
             if "tokenizer" not in deletes.columns:
-                ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(old.select("doc_id", "tokenizer"), "doc_id")
+                ids = ids.select("doc_id").distinct().join(old.select("doc_id", "tokenizer"), "doc_id")
             gone = ids.select("doc_id", "tokenizer", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(0).cast("long").alias("tokens"), F.lit(False).alias("live"))
             changes = changes.unionByName(gone)
         best = F.max_by(F.struct("source", "lang", "tokens", "live"), F.struct(~F.col("live"), "tokens", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit(""))))
@@ -109,34 +129,34 @@ class RollupStore:
         o = old.select("doc_id", "tokenizer", *[F.col(c).alias(f"o_{c}") for c in ("source", "lang", "tokens", "live")])
         both = changes.join(o, ["doc_id", "tokenizer"], "left")
         both = both.where("live OR coalesce(o_live, false)")
-        stage = f"{self.root}/_stage-{uuid.uuid4().hex}"
-        both.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{stage}/joined")
-        joined = self.spark.read.parquet(f"{stage}/joined")
+        both.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{at}/joined")
+        joined = self.spark.read.parquet(f"{at}/joined")
         added = joined.where("live").select(*KEYS, F.lit(1).alias("d"), F.col("tokens").alias("t"))
         taken = joined.where("o_live").select(F.col("o_source").alias("source"), F.col("o_lang").alias("lang"), "tokenizer", F.lit(-1).alias("d"), (-F.col("o_tokens")).alias("t"))
         loose = lost.select(*KEYS, F.lit(1).alias("d"), F.col("tokens").alias("t"))
         delta = added.unionByName(taken).unionByName(loose).groupBy(*KEYS).agg(F.sum("d").cast("long").alias("d_documents"), F.sum("t").cast("long").alias("d_tokens"))
-        delta.write.parquet(f"{stage}/delta")
-        joined.select("doc_id", "tokenizer", "source", "lang", "tokens", "live", "seq").write.parquet(f"{stage}/state")
-        self._fs.delete(self._path(f"{stage}/joined"), True)
-        return self._rename(stage, f"{seq:012d}~{batch_id}")
-
-    def _rename(self, stage: str, name: str) -> bool:
-        if not self._fs.rename(self._path(stage), self._path(f"{self.root}/{name}")):
-            raise RuntimeError(f"batch {name} could not be committed")
-        return True
+        delta.write.parquet(f"{at}/delta")
+        joined.select(*STATE_COLUMNS).write.parquet(f"{at}/state")
+        for name in ("joined", "changes"):
+            self.folder.delete(f"{stage}/{name}")
 
     def compact(self) -> None:
-        """Fold all committed batches into one folder; until its rename the old ones count, and afterwards it alone."""
-        done, live = self.committed(), self._live()
+        """Fold all committed batches into one folder, with their ids as a table; until its rename the old ones count, and afterwards it alone."""
+        live = self._live()
         if len(live) < 2:
             return
-        stage = f"{self.root}/_stage-{uuid.uuid4().hex}"
-        self.totals(False).select(*KEYS, F.col("documents").alias("d_documents"), F.col("tokens").alias("d_tokens")).write.parquet(f"{stage}/delta")
-        self.state().select("doc_id", "tokenizer", "source", "lang", "tokens", "live", "seq").write.parquet(f"{stage}/state")
-        self._rename(stage, f"{max(done.values()):012d}~" + "~".join(sorted(done)))
-        for path in live:
-            self._fs.delete(self._path(path), True)
+        stage = f"{STAGE}{uuid.uuid4().hex}"
+        at = f"{self.root}/{stage}"
+        try:
+            self.committed().coalesce(1).write.parquet(f"{at}/ids")  # a short row a batch
+            self.totals(False).select(*KEYS, F.col("documents").alias("d_documents"), F.col("tokens").alias("d_tokens")).write.parquet(f"{at}/delta")
+            self.state().select(*STATE_COLUMNS).write.parquet(f"{at}/state")
+            self.folder.commit(stage, f"{live[-1].removesuffix('-base')}-base")
+        except BaseException:
+            self.folder.delete(stage)
+            raise
+        for name in live:
+            self.folder.delete(name)
 
     def totals(self, present: bool = True) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens); with ``present``, only groups that have documents."""

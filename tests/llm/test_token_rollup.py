@@ -3,6 +3,7 @@ from helpers import docs
 
 from folioquery.llm import queries
 from folioquery.llm import token_rollup as op
+from folioquery.storage import WriteConflict
 
 
 def totals(store):
@@ -27,7 +28,7 @@ def test_deltas_follow_changes(spark, tmp_path):
     assert totals(s) == want
     s.commit("none", op.counts(docs(spark, []), "words-1"))
     s.compact()
-    assert totals(s) == want and len(s._live()) == 1 and set(s.committed()) == {"b1", "b2", "b3", "b4", "b5", "none"}
+    assert totals(s) == want and len(s._live()) == 1 and {r.batch_id for r in s.committed().collect()} == {"b1", "b2", "b3", "b4", "b5", "none"}
     assert not s.commit("b2", op.counts(revised, "words-1"))
     s.commit("b6", deletes=spark.createDataFrame([(1, "alnum-2")], "doc_id long, tokenizer string"))
     assert totals(s) == {("s", "en", "words-1"): (4, 5)}
@@ -47,7 +48,60 @@ def test_unfinished_batches_do_not_count(spark, tmp_path):
     s.commit("1", op.counts(docs(spark, [(1, "a")]), "words-1"))
     assert totals(s) == {("s", "en", "words-1"): (1, 1)}
     with pytest.raises(ValueError):
-        s.commit("a~b")
+        s.commit("")
+
+
+def test_compaction_of_many_batches_with_long_ids(spark, tmp_path):
+    """A thousand ids of 130 characters, of which three are batches with rows."""
+    s = op.RollupStore(spark, f"file://{tmp_path}/r")
+    name = lambda k: "a/~" * 42 + f"{k:04d}"
+    s.commit(name(0), op.counts(docs(spark, [(1, "a b")]), "words-1"))
+    parts = {x: (tmp_path / "r" / f"{1:012d}" / x) for x in ("ids", "delta", "state")}
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    for k in range(2, 999):  # batches without changes, written as commit would
+        for x, of in parts.items():
+            at = tmp_path / "r" / f"{k:012d}" / x
+            at.mkdir(parents=True)
+            if x == "ids":
+                pq.write_table(pa.table({"batch_id": [name(k)], "seq": [k]}), at / "part.parquet")
+            else:
+                schema = pq.read_schema(next(of.glob("*.parquet")))
+                pq.write_table(schema.empty_table(), at / "part.parquet")
+    assert s.commit(name(999), op.counts(docs(spark, [(1, "a b c"), (2, "d")]), "words-1"))
+    assert not s.commit(name(500), op.counts(docs(spark, [(3, "e")]), "words-1"))
+    want = {("s", "en", "words-1"): (2, 4)}
+    assert totals(s) == want
+    s.compact()
+    assert totals(s) == want and len(s._live()) == 1 and s.committed().count() == 999
+    assert not s.commit(name(2)) and s.commit("new", op.counts(docs(spark, [(2, None)]), "words-1"))
+    assert totals(s) == {("s", "en", "words-1"): (2, 3)}
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    a, b = (op.RollupStore(spark, f"file://{tmp_path}/r") for _ in range(2))
+    write = b._write
+
+    def late(*args):  # the other one commits while this batch is being written
+        a.commit("first", op.counts(docs(spark, [(1, "a b c")]), "words-1"))
+        write(*args)
+
+    monkeypatch.setattr(b, "_write", late)
+    with pytest.raises(WriteConflict):
+        b.commit("second", op.counts(docs(spark, [(1, "z")]), "words-1"))
+    monkeypatch.undo()
+    assert totals(b) == {("s", "en", "words-1"): (1, 3)}
+    assert b.commit("second", op.counts(docs(spark, [(1, "z")]), "words-1")) and totals(a) == {("s", "en", "words-1"): (1, 1)}
+
+
+def test_columns_that_clash(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a b", "s", "en", "x", 9, 1)], "doc_id long, text string, source string, lang string, tokenizer string, tokens long, live int")
+    s = op.RollupStore(spark, f"file://{tmp_path}/r")
+    s.commit("1", op.counts(rows, "words-1"))
+    assert totals(s) == {("s", "en", "words-1"): (1, 2)}
+    s.commit("2", deletes=rows.drop("tokenizer"))
+    assert totals(s) == {}
 
 
 def test_query_revises_every_count(spark, sf, monkeypatch):
