@@ -10,6 +10,7 @@ import ctypes
 import gc
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -301,13 +302,63 @@ def put_file(uri: str, content: bytes) -> None:
     files.move(part, at)
 
 
-def map_file(uri: str, dtype) -> np.ndarray:
-    """A file as an array: memory-mapped where the shared folder is mounted, else read through its file system."""
+class Paged:
+    """An array in a file that only a file system client reaches: pages are read as they are asked for, and the last ones kept."""
+
+    PAGE = 1 << 16
+    KEPT = 1024
+    _pages: OrderedDict[tuple, bytes] = OrderedDict()
+
+    def __init__(self, uri: str, dtype, offset: int, count: int):
+        self.uri, self.dtype, self.offset, self.count = uri, np.dtype(dtype), offset, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def _read(self, pages: list[int]) -> Iterator[bytes]:
+        file = None
+        for p in pages:
+            if (self.uri, p) not in self._pages:
+                if file is None:
+                    from pyarrow import fs
+
+                    files, at = fs.FileSystem.from_uri(self.uri)
+                    file = files.open_input_file(at)
+                self._pages[self.uri, p] = file.read_at(self.PAGE, p * self.PAGE)
+                if len(self._pages) > self.KEPT:
+                    self._pages.popitem(last=False)
+            yield self._pages[self.uri, p]
+
+    def take(self, at) -> np.ndarray:
+        at = np.asarray(at, np.int64)
+        width = self.dtype.itemsize
+        byte = self.offset + at.reshape(-1) * width
+        out = np.zeros(len(byte) * width, np.uint8)
+        each = (byte[:, None] + np.arange(width)).reshape(-1)
+        pages, back = np.unique(each // self.PAGE, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        edge = np.searchsorted(back[order], np.arange(len(pages) + 1))
+        for k, page in enumerate(self._read(pages.tolist())):
+            rows = order[edge[k] : edge[k + 1]]
+            out[rows] = np.frombuffer(page, np.uint8)[each[rows] % self.PAGE]
+        return out.view(self.dtype).reshape(at.shape)
+
+
+def map_file(uri: str, dtype, offset: int, count: int) -> np.ndarray | Paged:
+    """``count`` values of a file from a byte on, for ``take``: memory-mapped where the shared folder is mounted, else read by the page."""
+    if not count:
+        return np.zeros(0, dtype)
     path = local_path(uri)
-    if path is not None:
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    from pyarrow import fs
-
-    files, at = fs.FileSystem.from_uri(uri)
-    with files.open_input_file(at) as f:
-        return np.frombuffer(f.read(), dtype)
+    return np.memmap(path, dtype, "r", offset, (count,)) if path is not None else Paged(uri, dtype, offset, count)
+
+
+def search_sorted(array: np.ndarray | Paged, n: int, wanted: np.ndarray) -> np.ndarray:
+    """``np.searchsorted`` that reads only what it compares."""
+    if isinstance(array, np.ndarray):
+        return np.searchsorted(array, wanted)
+    low, high = np.zeros(len(wanted), np.int64), np.full(len(wanted), n)
+    for _ in range(int(n).bit_length()):
+        middle = (low + high) >> 1
+        less = (array.take(np.minimum(middle, n - 1)) < wanted) & (low < high)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+    return low

@@ -1,20 +1,24 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, kept as sorted hash arrays, memory-mapped.
 
-Order 2. A word's id is the rank of its 64-bit hash in the vocabulary's sorted array, so an n-gram's key
-(context id << 32 | word id) is exact. Both counting passes collapse equal keys in the map task before
-the shuffle. Vocabulary shards are ranges of hashes; bigram shards go by context, but the bigrams of
-a frequent context are dealt by the whole key, so a word that is a third of the corpus fills no task.
+The order is 2 or 3. A word's id follows from the rank of its 64-bit hash in the vocabulary's sorted array, and an n-gram is a row of ids until
+it is stored under a 64-bit hash of them. Ids, counts and sums are 64 bits wide. Both counting passes collapse equal keys in the
+map task before the shuffle. N-grams go to shards by their middle word, so that a shard has all that Kneser-Ney needs of them: how
+often a context occurs and with how many words, and before a pair how many words. The n-grams of a frequent
+middle word are dealt over as many shards as its share of the corpus asks for; what they say of contexts and pairs is merged in a second, small step.
 
 Shards are written as flat files in the shared folder (a temporary name, then a rename, so a retried
-task leaves one copy) and mapped read-only by the scoring workers; nothing that grows with the corpus
-reaches the driver but shard sizes and the counts of counts.
+task leaves one copy) and mapped read-only by the scoring workers; where the folder is no mount, workers read the pages that they need. Nothing
+that grows with the corpus reaches the driver but shard sizes, counts of counts and the frequent words, of which there are at most ``_DEAL`` a shard.
 
-    p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + gamma(v) * p(w)
-    p(w)     = max(N(.w) - D'(N(.w)), 0) / N(..) + gamma' / (V + 1)
+    p(w | uv) = max(c(uvw) - D(c(uvw)), 0) / c(uv.) + gamma(uv) * p(w | v)
+    p(w | v)  = max(N(.vw) - D'(N(.vw)), 0) / N(.v.) + gamma'(v) * p(w)
+    p(w)      = max(N(.w) - D''(N(.w)), 0) / N(..) + gamma'' / (V + 1)
 
-N counts distinct left neighbours; D and D' are the modified discounts from counts of counts. A text
-starts in the sentence-start context and ends with an end token, which is scored too. An unknown word
-gets the uniform share; after an unknown context p(w) alone is used.
+N counts distinct left neighbours (for order 2, and for pairs at a text's start, which nothing precedes: occurrences); D are the modified discounts from
+counts of counts. A text starts in the sentence-start context, so its first word is scored by pairs, and ends with an end token, which is
+scored too. An unknown word gets the uniform share; after an unknown context the shorter one is used.
+
+Two of n words share a hash with a chance of about n * n / 2**65, and an n-gram that was never seen is taken for one that was with a chance of about 2**-28.
 
 Defined cases: a null or empty text is the end token alone; every row trains and is scored on its own, so
 repeated rows count each; without any training text every token is unknown (score 0 for V = 0, as p = 1/(V + 1)). A null
@@ -30,15 +34,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kit
 
-#: Hashes of the end token and ids of the start context; no word is empty, so the end's hash is free.
+#: Hash of the end token; no word is empty, so it is free.
 END = np.uint64(0xE17A1465B9C04D2F)
-START = np.int64(2**32 - 1)
-UNKNOWN = np.int64(2**32 - 2)
+#: Ids: the start context, nothing (before the start), and words that were not seen; words count from ``FIRST``.
+START, NONE, UNKNOWN, FIRST = 0, 1, -1, 2
+#: A word of 1 / (_DEAL * shards) of the corpus or more is dealt over several shards.
+_DEAL = 4
+_KEY = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,37 +60,78 @@ def tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, first
 
 
-def _squeeze(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
+def gram(*ids: np.ndarray) -> np.ndarray:
+    """The hash of an n-gram of ids."""
+    out = np.full(len(ids[0]), len(ids), np.uint64)
+    with np.errstate(over="ignore"):
+        for x in ids:
+            out = kit.mix(out * _KEY + x.astype(np.uint64))
+    return out
 
 
-def _open(block: bytes, *dtypes: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(block)
-    n, out, at = len(raw) // sum(np.dtype(t).itemsize for t in dtypes), [], 0
-    for t in dtypes:
-        out.append(np.frombuffer(raw, t, n, at))
-        at += n * np.dtype(t).itemsize
-    return out
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """64-bit columns byte by byte: the high bytes of small numbers vanish, and those of sorted ones nearly."""
+    planes = [np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes() for x in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed values."""
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[edge], np.add.reduceat(values, edge) if len(edge) else values
+def _open(block: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(columns, 8, -1)
+    return [np.ascontiguousarray(x.T).view("<u8").reshape(-1).astype(np.int64) for x in raw]
+
+
+def _runs(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of the (sorted) keys begins."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(keys[0]), bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
+def _collapse(keys: list[np.ndarray], n: np.ndarray | None, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ids, sorted by the first key first, and the sums of their counts (None: one each); ids are below 2**bits."""
+    total = len(keys[0])
+    if bits * len(keys) <= 64:
+        packed = np.zeros(total, np.uint64)
+        for k in keys:
+            packed = packed << np.uint64(bits) | k.astype(np.uint64)
+        if n is None:
+            packed.sort()
+        else:
+            order = np.argsort(packed, kind="stable")
+            packed, n = packed[order], n[order]
+        edge = _runs(packed)
+        packed, keys = packed[edge], [None] * len(keys)
+        for i in reversed(range(len(keys))):
+            keys[i] = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+            packed = packed >> np.uint64(bits)
+    else:
+        order = np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        n = None if n is None else n[order]
+        edge = _runs(*keys)
+        keys = [k[edge] for k in keys]
+    if n is None:
+        return keys, np.diff(np.append(edge, total))
+    return keys, np.add.reduceat(n, edge) if total else n
 
 
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), kit.binaries([r[1] for r in rows])], ["shard", "block"])
 
 
-def _shards(keys: np.ndarray, shard: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _dealt(shard: np.ndarray, *columns: np.ndarray, kind: bytes = b"") -> Iterator[pa.RecordBatch]:
+    """Rows to their shards, a block each, in the order they are in."""
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
-    shard, columns = shard[order], [keys[order], *(c[order] for c in columns)]
-    cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else []
+    shard, columns = shard[order], [c[order] for c in columns]
+    cut = _runs(shard)
     for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True):
-        yield int(shard[a]), _squeeze(*(c[a:b] for c in columns))
+        yield _rows([(int(shard[a]), kind + _squeeze(*(c[a:b] for c in columns)))])
 
 
 def _grouped(sent: DataFrame, finish: Callable[[int, list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -104,13 +152,91 @@ def _grouped(sent: DataFrame, finish: Callable[[int, list[bytes]], Iterator[pa.R
     return sent.repartition("shard").sortWithinPartitions("shard").transform(kit.mapping, gather, schema)
 
 
+# ---------------------------------------------------------------- stored arrays
+
+
+def pack_table(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """A sorted array of distinct 64-bit keys with rows of values, as bytes.
+
+    The top bits of a key are its bucket, of which an array holds the starts; the next 32 bits are stored. Rows of values repeat a
+    lot, so each key has the number of its row among the distinct ones.
+    """
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], np.ascontiguousarray(values[order].astype("<u8"))
+    n = len(keys)
+    bits = min(48, max(0, n.bit_length() - 4))
+    number = kit.mix(values[:, 0])
+    for k in range(1, values.shape[1]):
+        number = kit.mix(number + values[:, k])
+    _, at, code = np.unique(number, return_index=True, return_inverse=True)
+    narrow = next(t for t in ("<u1", "<u2", "<u4", "<u8") if len(at) <= 1 << 8 * np.dtype(t).itemsize)
+    start = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
+    wide = "<u4" if n < 2**32 else "<u8"
+    deepest = int(np.diff(start).max()) if n else 0
+    head = np.array([n, bits, np.dtype(wide).itemsize, np.dtype(narrow).itemsize, len(at), values.shape[1], deepest, 0], "<i8")
+    rest = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+    return b"".join([head.tobytes(), values[at].tobytes(), start.astype(wide).tobytes(), rest.tobytes(), code.astype(narrow).tobytes()])
+
+
+class Table:
+    """Look-ups in a stored table; only what a look-up touches is read."""
+
+    def __init__(self, uri: str):
+        head = kit.map_file(uri, "<i8", 0, 8).take(np.arange(8))
+        n, bits, wide, narrow, rows, columns, deepest, _ = head.tolist()
+        self.n, self.bits, self.steps = n, bits, deepest.bit_length()
+        at = 64 + 8 * rows * columns
+        self.book = kit.map_file(uri, "<u8", 64, rows * columns).take(np.arange(rows * columns)).reshape(rows, columns).astype(np.int64)
+        self.start = kit.map_file(uri, f"<u{wide}", at, (1 << bits) + 1)
+        at += wide * ((1 << bits) + 1)
+        self.rest = kit.map_file(uri, "<u4", at, n)
+        self.code = kit.map_file(uri, f"<u{narrow}", at + 4 * n, n)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are there, the rows of values of those); sorted keys are read in order."""
+        if not self.n or not len(keys):
+            return np.zeros(len(keys), bool), np.zeros((0, self.book.shape[1]), np.int64)
+        bucket = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        low, high = self.start.take(bucket).astype(np.int64), self.start.take(bucket + 1).astype(np.int64)
+        want, end = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32), high
+        for _ in range(self.steps):
+            middle = (low + high) >> 1
+            less = (self.rest.take(np.minimum(middle, self.n - 1)) < want) & (low < high)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        hit = (low < end) & (self.rest.take(np.minimum(low, self.n - 1)) == want)
+        return hit, self.book[self.code.take(low[hit]).astype(np.int64)]
+
+
+class Tables:
+    """The shards' tables of one kind, opened when they are first asked."""
+
+    def __init__(self, root: str, kind: str, columns: int):
+        self.root, self.kind, self.columns = root, kind, columns
+        self.open: dict[int, Table] = {}
+
+    def find(self, keys: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
+        """Rows of values of distinct sorted keys; zeros where a key is unknown."""
+        out = np.zeros((len(keys), self.columns), np.int64)
+        order = np.argsort(shard, kind="stable")
+        edge = np.searchsorted(shard[order], np.arange(shards + 1))
+        for s in np.flatnonzero(np.diff(edge)).tolist():
+            at = order[edge[s] : edge[s + 1]]
+            if s not in self.open:
+                if len(self.open) >= 2000:  # maps a process may hold
+                    self.open.pop(next(iter(self.open)))
+                self.open[s] = Table(f"{self.root}/{self.kind}-{s}")
+            hit, values = self.open[s].find(keys[at])
+            out[at[hit]] = values
+        return out
+
+
 class Vocabulary:
-    """Word hashes to ids (ranks), with counts; shards are equal ranges of hashes."""
+    """Word hashes to ids (ranks, from ``FIRST``), with counts; shards are equal ranges of hashes."""
 
     def __init__(self, root: str, sizes: list[int]):
-        self.sizes, self.base = sizes, np.concatenate([[0], np.cumsum(sizes)])
-        self.hashes = [kit.map_file(f"{root}/words-{s}", "<u8") if n else np.zeros(0, "<u8") for s, n in enumerate(sizes)]
-        self.counts = [kit.map_file(f"{root}/counts-{s}", "<u8") if n else np.zeros(0, "<u8") for s, n in enumerate(sizes)]
+        self.sizes, self.base = sizes, np.concatenate([[0], np.cumsum(sizes)]) + FIRST
+        self.hashes = [kit.map_file(f"{root}/words-{s}", "<u8", 0, n) for s, n in enumerate(sizes)]
+        self.counts = [kit.map_file(f"{root}/counts-{s}", "<u8", 0, n) for s, n in enumerate(sizes)]
 
     @staticmethod
     def shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -118,16 +244,15 @@ class Vocabulary:
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id or UNKNOWN, count) of sorted hashes."""
-        ids, counts = np.full(len(hashes), UNKNOWN), np.zeros(len(hashes), np.int64)
+        ids, counts = np.full(len(hashes), UNKNOWN, np.int64), np.zeros(len(hashes), np.int64)
         edge = np.searchsorted(self.shard(hashes, len(self.sizes)), np.arange(len(self.sizes) + 1))
-        for s, mine in enumerate(self.hashes):
+        for s, n in enumerate(self.sizes):
             a, b = edge[s], edge[s + 1]
-            if a < b and len(mine):
-                at = np.searchsorted(mine, hashes[a:b])
-                at[at == len(mine)] = 0
-                hit = mine[at] == hashes[a:b]
+            if a < b and n:
+                at = kit.search_sorted(self.hashes[s], n, hashes[a:b])
+                hit = self.hashes[s].take(np.minimum(at, n - 1)) == hashes[a:b]
                 ids[a:b][hit] = at[hit] + self.base[s]
-                counts[a:b][hit] = self.counts[s][at[hit]]
+                counts[a:b][hit] = self.counts[s].take(at[hit])
         return ids, counts
 
     def ids_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,33 +261,46 @@ class Vocabulary:
         return ids[back], counts[back]
 
 
-def bigram_shard(keys: np.ndarray, counts: np.ndarray, shards: int, heavy: int) -> np.ndarray:
-    """By context; by the whole key where the context occurs at least ``heavy`` times (counts: the contexts' counts)."""
-    by = np.where(counts >= heavy, keys, keys >> np.uint64(32))
-    return (kit.mix(by + np.uint64(0x51)) % np.uint64(shards)).astype(np.int64)
-
-
-def _bigrams(ids: np.ndarray, counts: np.ndarray, first: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all tokens with their left neighbour, and the neighbours' counts; the start's count is the number of documents."""
-    left, often = np.empty_like(ids), np.empty_like(counts)
-    left[1:], often[1:] = ids[:-1], counts[:-1]
-    left[first[:-1]], often[first[:-1]] = START, documents
-    return left.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64), often
+# ---------------------------------------------------------------- counting
 
 
 @dataclass
 class Model:
     root: str
+    order: int
     vocabulary: list[int]
-    shards: list[int]
-    heavy: int
-    documents: int
+    shards: int
+    #: Sorted ids of frequent words (and the start), and over how many shards each is dealt.
+    heavy: np.ndarray
+    spread: np.ndarray
     tokens: int
+    #: How many different pairs there are.
     bigrams: int
-    discount_1: tuple[float, float, float]
-    discount_2: tuple[float, float, float]
+    #: By length of the n-gram, from 1.
+    discounts: list[tuple[float, float, float]]
+    #: How many words follow one, two, and three or more others.
     singles: tuple[int, int, int]
 
+    def spread_of(self, v: np.ndarray) -> np.ndarray:
+        """Over how many shards the n-grams with these middle words are dealt."""
+        if not len(self.heavy):
+            return np.ones(len(v), np.int64)
+        at = np.minimum(np.searchsorted(self.heavy, v), len(self.heavy) - 1)
+        return np.where(self.heavy[at] == v, self.spread[at], 1)
+
+    def shard(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """By the middle word; where that is dealt, by both others too."""
+        spread = self.spread_of(v)
+        part, many = np.zeros(len(v), np.int64), np.flatnonzero(spread > 1)
+        part[many] = (gram(u[many], w[many]) % spread[many].astype(np.uint64)).astype(np.int64)
+        return (gram(v, part) % np.uint64(self.shards)).astype(np.int64)
+
+    def pair_shard(self, keys: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shard of a pair's or context's row, whether it is merged from several shards)."""
+        apart = self.spread_of(middle) > 1
+        shard = (gram(middle, np.zeros(len(middle), np.int64)) % np.uint64(self.shards)).astype(np.int64)
+        return np.where(apart, (keys % np.uint64(self.shards)).astype(np.int64), shard), apart
+
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more, from counts of counts n1..n4; kept within 0..count."""
@@ -175,8 +313,34 @@ def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.where(c > 0, c - np.choose(np.minimum(c, 3).astype(np.int64), [0.0, *d]), 0.0)
 
 
-def train(docs: DataFrame, usable: Column | None = None, flush_tokens: int = 3_000_000) -> Model:
+def _of_counts(values: np.ndarray) -> list[int]:
+    """How many values are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(values, 5), minlength=6)[1:5].tolist()
+
+
+def _sums(values: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+    """Per run: the total, and how many values are one, two, and more."""
+    return [np.add.reduceat(x.astype(np.int64), edge) for x in (values, values == 1, values == 2, values >= 3)] if len(edge) else [np.zeros(0, np.int64)] * 4
+
+
+def _left(ids: np.ndarray, first: np.ndarray, by: int) -> np.ndarray:
+    """The id ``by`` tokens before each token: START just before a document, NONE beyond."""
+    out = np.full(len(ids), NONE, np.int64)
+    out[by:] = ids[: len(ids) - by]
+    for k in range(by):  # the first tokens of each document
+        at = first[:-1] + k
+        at = at[at < first[1:]]
+        out[at] = START if k == by - 1 else NONE
+    return out
+
+
+_SUMMARY, _CONTEXTS, _PAIRS, _WORDS = b"s", b"c", b"p", b"w"
+
+
+def train(docs: DataFrame, usable: Column | None = None, order: int = 3, flush_tokens: int = 2_000_000) -> Model:
     """Count the model over all rows where ``usable`` holds; ``docs`` needs doc_id and text."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     kit.bound_batches(spark)
     shards = kit.partitions(spark)
@@ -184,119 +348,217 @@ def train(docs: DataFrame, usable: Column | None = None, flush_tokens: int = 3_0
     rows = docs if usable is None else docs.where(usable)
     rows = rows.select(F.col("text").cast("string").alias("text"))
 
-    def flushed(batches: Iterator[pa.RecordBatch], keys_of: Callable, shard_of: Callable) -> Iterator[pa.RecordBatch]:
-        held, size, docs_seen = [], 0, 0
+    sizes, total, documents = _count_words(rows, root, shards, flush_tokens)
+    model = Model(root, order, sizes, shards, np.zeros(0, np.int64), np.zeros(0, np.int64), total, 0, [(0.0, 0.0, 0.0)] * order, (0, 0, 0))
+    if not total:
+        return model
+    model.heavy, model.spread = _frequent(spark, root, sizes, documents, max(1000, total // (_DEAL * shards)))
+
+    partial = kit.written(_grouped(_count_grams(rows, model, flush_tokens), _gram_shard(model), "shard int, block binary"), "ngram-stats", "none")
+    kinds = F.expr("cast(substring(block, 1, 1) as string)")
+    merged = kit.written(_grouped(partial.where(kinds.isin("c", "p")), _merged_shard(model), "shard int, block binary"), "ngram-stats", "none")
+    both = partial.unionByName(merged).where(kinds.isin("w", "s"))
+    summary = np.zeros((4, 6), np.int64)  # counts of counts by length; for words also how many pairs there are, and words that follow three or more
+    for _, block in _grouped(both, _stats_shard(model), "shard int, block binary").collect():  # one short row a shard
+        summary += np.frombuffer(bytes(block), "<i8").reshape(4, 6)
+    model.bigrams = int(summary[1, 4])
+    model.discounts = [discounts(summary[k, :4].tolist()) for k in range(1, order + 1)]
+    model.singles = (int(summary[1, 0]), int(summary[1, 1]), int(summary[1, 5]))
+    return model
+
+
+def _count_words(rows: DataFrame, root: str, shards: int, flush_tokens: int) -> tuple[list[int], int, int]:
+    """Write the vocabulary; (words a shard, tokens, documents)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, documents = [], 0, 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys, extra, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(keys, kind="stable")
-            keys, extra, n = keys[order], extra[order], n[order]
-            edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            keys, extra, n = keys[edge], extra[edge], np.add.reduceat(n, edge)
-            for row in _shards(keys, shard_of(keys, extra), n.astype("<u4")):
-                yield _rows([row])
+            hashes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            hashes, n = hashes[order], n[order]
+            edge = _runs(hashes)
+            hashes, n = hashes[edge], np.add.reduceat(n, edge)
+            yield from _dealt(Vocabulary.shard(hashes, shards), hashes, n)
 
         for batch in batches:
             for a, b, data, bounds in kit.slices(batch.column(0), 2 << 20):
-                keys, extra = keys_of(*tokens(data, bounds))
-                docs_seen += b - a
-                order = np.argsort(keys, kind="stable")
-                keys, extra = keys[order], extra[order]
-                edge = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                held.append((keys[edge], extra[edge], np.diff(np.append(edge, len(keys)))))
-                size += len(edge)
+                held.append(np.unique(tokens(data, bounds)[0], return_counts=True))
+                size += len(held[-1][0])
+                documents += b - a
                 if size > flush_tokens:
                     yield from send()
                     held, size = [], 0
         if held:
             yield from send()
-        if docs_seen and keys_of is unigrams:
-            yield _rows([(-1, docs_seen.to_bytes(8, "little"))])
-
-    def unigrams(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return hashes, np.zeros(len(hashes), np.int8)
+            yield _rows([(-1, _squeeze(np.array([documents])))])
 
-    def vocabulary_shard(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def write(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         if shard < 0:
-            n = sum(int.from_bytes(x, "little") for x in blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([n], pa.int64()), pa.array([0], pa.int64())], ["shard", "n", "total"])
-            return
-        parts = [_open(x, "<u8", "<u4") for x in blocks]
-        keys, n = _totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.uint64))
-        kit.put_file(f"{root}/words-{shard}", keys.astype("<u8").tobytes())
-        kit.put_file(f"{root}/counts-{shard}", n.astype("<u8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["shard", "n", "total"])
-
-    sent = rows.transform(kit.mapping, lambda batches: flushed(batches, unigrams, lambda k, _: Vocabulary.shard(k, shards)), "shard int, block binary")
-    made = {r[0]: (r[1], r[2]) for r in _grouped(sent, vocabulary_shard, "shard int, n long, total long").collect()}  # one row a shard
+            n, total = sum(int(_open(x, 1)[0][0]) for x in blocks), 0
+        else:
+            hashes, n = (np.concatenate(x) for x in zip(*(_open(x, 2) for x in blocks), strict=True))
+            order = np.argsort(hashes.view(np.uint64), kind="stable")
+            hashes, n = hashes.view(np.uint64)[order], n[order]
+            edge = _runs(hashes)
+            hashes, n = hashes[edge], np.add.reduceat(n, edge)
+            kit.put_file(f"{root}/words-{shard}", hashes.astype("<u8").tobytes())
+            kit.put_file(f"{root}/counts-{shard}", n.astype("<u8").tobytes())
+            n, total = len(hashes), int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([total], pa.int64())], ["shard", "n", "total"])
+
+    sent = rows.transform(kit.mapping, count, "shard int, block binary")
+    made = {r[0]: (r[1], r[2]) for r in _grouped(sent, write, "shard int, n long, total long").collect()}  # one row a shard
     documents = made.pop(-1, (0, 0))[0]
     sizes = [made.get(s, (0, 0))[0] for s in range(shards)]
-    total = sum(x[1] for x in made.values())
-    if not total:
-        return Model(root, sizes, [0] * shards, 1, 0, 0, 0, (0, 0, 0), (0, 0, 0), (0, 0, 0))
-    if sum(sizes) >= UNKNOWN:
-        raise ValueError("the vocabulary exceeds 32-bit ids")
-    heavy = max(1000, total // (8 * shards))
-
-    def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(root, sizes)
-        return flushed(batches, lambda h, first: _bigrams(*words.ids_of(h), first, documents), lambda k, often: bigram_shard(k, often, shards, heavy))
-
-    def bigram_file(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        parts = [_open(x, "<u8", "<u4") for x in blocks]
-        keys, n = _totals(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-        kit.put_file(f"{root}/pairs-{shard}", keys.astype("<u8").tobytes())
-        kit.put_file(f"{root}/pair-counts-{shard}", n.astype("<u4").tobytes())
-        # per context: total and how many words follow once, twice, more often; per word: left neighbours
-        left = (keys >> np.uint64(32)).astype(np.int64)
-        edge = np.flatnonzero(np.r_[True, left[1:] != left[:-1]])
-        by_left = [np.add.reduceat(x.astype(np.int64), edge) for x in (n, n == 1, n == 2, n >= 3)]
-        right, follow = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        yield from stat_rows(left[edge], by_left, right, follow)
-        counts = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), kit.binaries([np.array([shard, len(keys), *counts], "<i8").tobytes()])], ["shard", "block"])
-
-    base = np.concatenate([[0], np.cumsum(sizes)])
-
-    def stat_rows(left: np.ndarray, by_left: list[np.ndarray], right: np.ndarray, follow: np.ndarray) -> Iterator[pa.RecordBatch]:
-        zero = lambda x: np.zeros(len(x), np.int64)
-        ids = np.concatenate([left, right])
-        cols = [np.concatenate([x, zero(right)]) for x in by_left] + [np.concatenate([zero(left), follow])]
-        order = np.argsort(ids, kind="stable")
-        ids, cols = ids[order], [c[order] for c in cols]
-        for s in range(shards + 1):  # the start context comes after all ids
-            a, b = np.searchsorted(ids, [base[s], base[s + 1] if s < shards else 2**32])
-            if a < b:
-                narrow = [np.where(c[a:b] < 2**32, c[a:b], 2**32 - 1).astype("<u4") for c in cols[1:]]
-                yield _rows([(s, _squeeze(ids[a:b].astype("<i8"), cols[0][a:b].astype("<i8"), *narrow))])
+    return sizes, sum(x[1] for x in made.values()), documents
+
+
+def _frequent(spark: SparkSession, root: str, sizes: list[int], documents: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted ids, shares of a shard) of words with at least ``least`` occurrences and of a start that has as many."""
+    base = np.concatenate([[0], np.cumsum(sizes)]) + FIRST
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                if not sizes[s]:
+                    continue
+                counts = kit.map_file(f"{root}/counts-{s}", "<u8", 0, sizes[s]).take(np.arange(sizes[s]))
+                at = np.flatnonzero(counts >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(at + base[s], pa.int64()), pa.array(counts[at].astype(np.int64))], ["id", "n"])
+
+    got = sorted((r[0], r[1]) for r in spark.range(len(sizes)).transform(kit.mapping, look, "id long, n long").collect())  # at most total / least
+    got = [(START, documents)] * (documents >= least) + got
+    ids, n = np.array(got, np.int64).reshape(-1, 2).T
+    return ids, 1 + n // least
+
+
+def _count_grams(rows: DataFrame, model: Model, flush_tokens: int) -> DataFrame:
+    """Blocks (v, u, w, count) of n-grams by their shard; u is NONE where only the pair counts."""
+    bits = int(sum(model.vocabulary) + FIRST).bit_length()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Vocabulary(model.root, model.vocabulary)
+        held, size = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            keys = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            (v, u, w), n = _collapse(keys, None, bits)
+            yield from _dealt(model.shard(u, v, w), v, u, w, n)
+
+        for batch in batches:
+            for _, _, data, bounds in kit.slices(batch.column(0), 2 << 20):
+                hashes, first = tokens(data, bounds)
+                w = words.ids_of(hashes)[0]
+                u = _left(w, first, 2) if model.order == 3 else np.full(len(w), NONE, np.int64)
+                v = _left(w, first, 1)
+                held.append((v, u, w))
+                size += len(w)
+                if size > flush_tokens:
+                    yield from send()
+                    size = 0
+        if held:
+            yield from send()
 
-    def stats_file(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        if shard < 0:  # shard sizes and counts of counts pass through
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(blocks), pa.int32()), kit.binaries(blocks)], ["shard", "block"])
+    return rows.transform(kit.mapping, count, "shard int, block binary")
+
+
+def _summary(level: int, values: np.ndarray, more: tuple[int, int] = (0, 0)) -> pa.RecordBatch:
+    out = np.zeros((4, 6), "<i8")
+    out[level] = [*_of_counts(values), *more]
+    return _rows([(-1, _SUMMARY + out.tobytes())])
+
+
+def _pair_stats(model: Model, v: np.ndarray, w: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What pairs (sorted by v) say of single words, to the words' shards; and their counts of counts."""
+    yield _summary(2, value)
+    edge = _runs(v)
+    right, follow = np.unique(w, return_counts=True)
+    ids = np.concatenate([v[edge], right])
+    none = np.zeros(len(right), np.int64)
+    columns = [np.concatenate([x, none]) for x in _sums(value, edge)] + [np.concatenate([np.zeros(len(edge), np.int64), follow])]
+    base = np.concatenate([[0], np.cumsum(model.vocabulary)]) + FIRST
+    shard = np.searchsorted(base, ids, "right") - 1  # START: -1
+    yield from _dealt(np.where(ids == START, model.shards, shard), ids, *columns, kind=_WORDS)
+
+
+def _gram_shard(model: Model) -> Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]:
+    bits = int(sum(model.vocabulary) + FIRST).bit_length()
+
+    def finish(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        keys = [np.concatenate(x) for x in zip(*(_open(x, 4) for x in blocks), strict=True)]
+        (v, u, w), n = _collapse(keys[:3], keys[3], bits)
+        del keys, blocks
+        if model.order == 3:
+            real = np.flatnonzero(u != NONE)
+            v3, u3, n3 = v[real], u[real], n[real]
+            kit.put_file(f"{model.root}/grams-{shard}", pack_table(gram(u3, v3, w[real]), n3[:, None]))
+            yield _summary(3, n3)
+            edge = _runs(v3, u3)
+            keys, sums = gram(u3[edge], v3[edge]), _sums(n3, edge)
+            to, apart = model.pair_shard(keys, v3[edge])
+            whole = np.flatnonzero(~apart)
+            kit.put_file(f"{model.root}/contexts-{shard}", pack_table(keys[whole], np.stack(sums, 1)[whole]))
+            yield from _dealt(to[apart], keys[apart], *(x[apart] for x in sums), kind=_CONTEXTS)
+            del v3, u3, n3, keys, sums, to
+        # a pair's value: its different left neighbours, or its occurrences where it is the longest there is
+        (v, w), value = _collapse([v, w], np.where(u == NONE, n, 1), bits)
+        keys = gram(v, w)
+        to, apart = model.pair_shard(keys, v)
+        whole = ~apart
+        kit.put_file(f"{model.root}/pairs-{shard}", pack_table(keys[whole], value[whole][:, None]))
+        yield from _pair_stats(model, v[whole], w[whole], value[whole])
+        yield from _dealt(to[apart], v[apart], w[apart], value[apart], kind=_PAIRS)
+
+    return finish
+
+
+def _merged_shard(model: Model) -> Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]:
+    """Contexts and pairs of dealt middle words, from all their shards."""
+    bits = int(sum(model.vocabulary) + FIRST).bit_length()
+
+    def finish(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        parts = [_open(x[1:], 5) for x in blocks if x[:1] == _CONTEXTS]
+        keys, *sums = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
+        order = np.argsort(keys.view(np.uint64), kind="stable")
+        keys = keys.view(np.uint64)[order]
+        edge = _runs(keys)
+        sums = [np.add.reduceat(x[order], edge) if len(edge) else x for x in sums]
+        kit.put_file(f"{model.root}/dealt-contexts-{shard}", pack_table(keys[edge], np.stack(sums, 1)))
+        parts = [_open(x[1:], 3) for x in blocks if x[:1] == _PAIRS]
+        keys = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
+        (v, w), value = _collapse(keys[:2], keys[2], bits)
+        kit.put_file(f"{model.root}/dealt-pairs-{shard}", pack_table(gram(v, w), value[:, None]))
+        yield from _pair_stats(model, v, w, value)
+
+    return finish
+
+
+def _stats_shard(model: Model) -> Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]:
+    """Per word: as a context its total and how many words follow once, twice and more often; and how many words it follows."""
+    base = np.concatenate([[0], np.cumsum(model.vocabulary)]) + FIRST
+
+    def finish(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if shard < 0:
+            yield _rows([(-1, sum(np.frombuffer(x, "<i8", offset=1) for x in blocks).tobytes())])
             return
-        n, low = (sizes[shard], base[shard]) if shard < shards else (1, START)
-        table = np.zeros((5, n), "<f8")
+        n, low = (model.vocabulary[shard], base[shard]) if shard < model.shards else (1, START)
+        table = np.zeros((n, 5), np.int64)
         for block in blocks:
-            ids, *cols = _open(block, "<i8", "<i8", "<u4", "<u4", "<u4", "<u4")
-            for k, c in enumerate(cols):
-                np.add.at(table[k], ids - low, c)
-        kit.put_file(f"{root}/stats-{shard}", table.tobytes())
-        follow = table[4]
-        counts = np.bincount(np.minimum(follow, 5).astype(np.int64), minlength=6)[1:5]
-        summary = np.array([-1, int(follow.sum()), *counts, int((follow >= 3).sum())], "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), kit.binaries([summary.tobytes()])], ["shard", "block"])
-
-    pairs = rows.transform(kit.mapping, count_bigrams, "shard int, block binary")
-    partial = kit.written(_grouped(pairs, bigram_file, "shard int, block binary"), "ngram-stats")
-    facts = _grouped(partial, stats_file, "shard int, block binary").collect()  # one short row a shard
-    of_pairs = [np.frombuffer(bytes(r[1]), "<i8") for r in facts if r[0] == -1]
-    of_words = [np.frombuffer(bytes(r[1]), "<i8") for r in facts if r[0] == -2]
-    pair_sizes = [0] * shards
-    for x in of_pairs:
-        pair_sizes[x[0]] = int(x[1])
-    n2, n1 = sum(x[2:6] for x in of_pairs).tolist(), sum(x[2:6] for x in of_words).tolist()
-    singles = (n1[0], n1[1], int(sum(x[6] for x in of_words)))
-    return Model(root, sizes, pair_sizes, heavy, documents, total, int(sum(x[1] for x in of_words)), discounts(n1), discounts(n2), singles)
+            ids, *columns = _open(block[1:], 5 + 1)
+            for k, c in enumerate(columns):
+                np.add.at(table[:, k], ids - low, c)
+        wide = table.max(initial=0) >= 2**32
+        kit.put_file(f"{model.root}/stats-{shard}", np.array([wide], "<u8").tobytes() + table.astype("<u8" if wide else "<u4").tobytes())
+        out = np.zeros((4, 6), "<i8")
+        out[1] = [*_of_counts(table[:, 4]), int(table[:, 4].sum()), int((table[:, 4] >= 3).sum())]
+        yield _rows([(-1, out.tobytes())])
+
+    return finish
+
+
+# ---------------------------------------------------------------- scoring
 
 
 class Scorer:
@@ -304,58 +566,76 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.words = model, Vocabulary(model.root, model.vocabulary)
-        m, size = model, len(model.shards)
-        self.pairs = [kit.map_file(f"{m.root}/pairs-{s}", "<u8") if n else np.zeros(0, "<u8") for s, n in enumerate(m.shards)]
-        self.counts = [kit.map_file(f"{m.root}/pair-counts-{s}", "<u4") if n else np.zeros(0, "<u4") for s, n in enumerate(m.shards)]
-        self.stats = [kit.map_file(f"{m.root}/stats-{s}", "<f8").reshape(5, -1) if n else np.zeros((5, 0)) for s, n in enumerate(m.vocabulary)]
-        self.start = kit.map_file(f"{m.root}/stats-{size}", "<f8").reshape(5, -1) if m.tokens else np.zeros((5, 1))
+        self.tables = {name: Tables(model.root, name, n) for name, n in (("grams", 1), ("contexts", 4), ("dealt-contexts", 4), ("pairs", 1), ("dealt-pairs", 1))}
+        self.stats = [self._stats_file(s, n) for s, n in enumerate(model.vocabulary)]
+        self.start = self._stats_file(model.shards, 1 if model.tokens else 0)
+
+    def _stats_file(self, shard: int, n: int):
+        if not n:
+            return None
+        at = f"{self.model.root}/stats-{shard}"
+        wide = kit.map_file(at, "<u8", 0, 1).take([0])[0]
+        return kit.map_file(at, "<u8" if wide else "<u4", 8, 5 * n)
 
     def _stats(self, ids: np.ndarray) -> np.ndarray:
-        """(5, n) statistics of sorted distinct ids; zeros for the unknown."""
-        out = np.zeros((5, len(ids)))
+        """(n, 5) statistics of sorted distinct ids; zeros for the unknown."""
+        out = np.zeros((len(ids), 5), np.int64)
         edge = np.searchsorted(ids, self.words.base)
         for s, table in enumerate(self.stats):
             a, b = edge[s], edge[s + 1]
             if a < b:
-                out[:, a:b] = table[:, ids[a:b] - self.words.base[s]]
-        out[:, ids == START] = self.start
+                out[a:b] = table.take((5 * (ids[a:b] - self.words.base[s]))[:, None] + np.arange(5))
+        if self.start is not None:
+            out[ids == START] = self.start.take(np.arange(5))
         return out
 
+    def _pairs(self, kind: str, x: np.ndarray, y: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """Rows of pairs (x, y) or contexts, whichever shards hold them."""
+        keys, first, back = np.unique(gram(x, y), return_index=True, return_inverse=True)
+        shard, apart = self.model.pair_shard(keys, middle[first])
+        out = np.zeros((len(keys), self.tables[kind].columns), np.int64)
+        out[~apart] = self.tables[kind].find(keys[~apart], shard[~apart], self.model.shards)
+        out[apart] = self.tables[f"dealt-{kind}"].find(keys[apart], shard[apart], self.model.shards)
+        return out[back]
+
+    def _words(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """p(w | v) of rows."""
+        m, vocabulary = self.model, sum(self.model.vocabulary)
+        right, back = np.unique(w, return_inverse=True)
+        p = np.full(len(right), 1.0 / (vocabulary + 1))
+        if m.bigrams:
+            rest = float(np.dot(m.discounts[0], m.singles)) / m.bigrams
+            p = _discounted(self._stats(right)[:, 4], m.discounts[0]) / m.bigrams + rest / (vocabulary + 1)
+        p = p[back]
+        left, back = np.unique(v, return_inverse=True)
+        context = self._stats(left)[back]
+        return self._step(self._pairs("pairs", v, w, v)[:, 0], context, m.discounts[1], p)
+
+    @staticmethod
+    def _step(count: np.ndarray, context: np.ndarray, d: tuple[float, float, float], shorter: np.ndarray) -> np.ndarray:
+        total = np.maximum(context[:, 0], 1)
+        seen = _discounted(count, d) / total + (context[:, 1:4] @ np.array(d)) / total * shorter
+        return np.where(context[:, 0] > 0, seen, shorter)
+
     def score(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
         m = self.model
         hashes, first = tokens(data, bounds)
-        ids, counts = self.words.ids_of(hashes)
-        total, vocabulary = m.tokens, sum(m.vocabulary)
-        base = np.log10((counts + 1.0) / (total + vocabulary + 1.0))
-        keys, often = _bigrams(ids, counts, first, m.documents)
-        found, back = np.unique(keys, return_inverse=True)
-        rep = np.zeros(len(found), np.int64)
-        rep[back] = often
-        c = np.zeros(len(found), np.int64)
-        shard = bigram_shard(found, rep, len(m.shards), m.heavy)
-        order = np.argsort(shard, kind="stable")
-        edge = np.searchsorted(shard[order], np.arange(len(m.shards) + 1))
-        for s, mine in enumerate(self.pairs):
-            at = order[edge[s] : edge[s + 1]]
-            if len(at) and len(mine):
-                where = np.searchsorted(mine, found[at])
-                where[where == len(mine)] = 0
-                hit = mine[where] == found[at]
-                c[at[hit]] = self.counts[s][where[hit]]
-        left, li = np.unique((found >> np.uint64(32)).astype(np.int64), return_inverse=True)
-        right, ri = np.unique((found & np.uint64(0xFFFFFFFF)).astype(np.int64), return_inverse=True)
-        d1, d2 = np.array(m.discount_1), np.array(m.discount_2)
-        if m.bigrams:
-            follow = self._stats(right)[4]
-            p1 = _discounted(follow, m.discount_1) / m.bigrams + (d1 @ np.array(m.singles, float)) / m.bigrams / (vocabulary + 1)
-        else:
-            p1 = np.full(len(right), 1.0 / (vocabulary + 1))
-        context = self._stats(left)
-        gamma = np.where(context[0] > 0, (d2 @ context[1:4]) / np.maximum(context[0], 1), 1.0)
-        p = _discounted(c, m.discount_2) / np.maximum(context[0][li], 1) + gamma[li] * p1[ri]
-        each = np.log10(p)[back]
+        w, counts = self.words.ids_of(hashes)
+        base = np.log10((counts + 1.0) / (m.tokens + sum(m.vocabulary) + 1.0))
         at = first[:-1]
+        if m.tokens:
+            v, u = _left(w, first, 1), _left(w, first, 2) if m.order == 3 else np.full(len(w), NONE, np.int64)
+            keys, row, back = np.unique(gram(u, v, w), return_index=True, return_inverse=True)
+            u, v, w = u[row], v[row], w[row]
+            p = self._words(v, w)
+            if m.order == 3:
+                deep = np.flatnonzero(u != NONE)
+                count = self.tables["grams"].find(keys[deep], m.shard(u[deep], v[deep], w[deep]), m.shards)[:, 0]
+                p[deep] = self._step(count, self._pairs("contexts", u[deep], v[deep], v[deep]), m.discounts[2], p[deep])
+            each = np.log10(p)[back]
+        else:
+            each = np.zeros(len(w))
         return np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(each, at)
 
 

@@ -38,6 +38,6 @@ def test_spans_depend_on_content_and_length():
 
 def test_files(tmp_path):
     kit.put_file(f"file://{tmp_path}/d/x", np.arange(5, dtype="<u8").tobytes())
-    assert kit.map_file(f"file://{tmp_path}/d/x", "<u8").tolist() == [0, 1, 2, 3, 4]
+    assert kit.map_file(f"file://{tmp_path}/d/x", "<u8", 0, 5).tolist() == [0, 1, 2, 3, 4]
     kit.put_file(f"{tmp_path}/d/none", b"")
-    assert len(kit.map_file(f"{tmp_path}/d/none", "<u8")) == 0
+    assert len(kit.map_file(f"{tmp_path}/d/none", "<u8", 0, 0)) == 0

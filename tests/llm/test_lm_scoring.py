@@ -2,28 +2,35 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from helpers import docs, empty, read, words
 from pyspark.sql import functions as F
 
+from folioquery.llm import kit, queries
 from folioquery.llm import lm_scoring as op
-from folioquery.llm import queries
 
-END, START = ("end",), ("start",)
+END, START, NONE = ("end",), ("start",), ("none",)
 
 
 class Reference:
-    def __init__(self, texts):
+    def __init__(self, texts, order=3):
         runs = [[*words(t, True), END] for t in texts]
+        self.order = order
         self.c = Counter(w for r in runs for w in r)
         self.n, self.v = sum(self.c.values()), len(self.c)
-        self.b = Counter(p for r in runs for p in zip([START, *r], r))
+        pairs = Counter(p for r in runs for p in zip([START, *r], r))
+        self.t = Counter(p for r in runs for p in zip([START, *r], r, r[1:])) if order == 3 else Counter()
+        if order == 3:  # different left neighbours, but occurrences where nothing precedes
+            before = Counter((v, w) for _, v, w in self.t)
+            pairs = Counter({p: k if p[0] == START else before[p] for p, k in pairs.items()})
+        self.b = pairs
         self.follow = Counter(w for _, w in self.b)
-        self.d1, self.d2 = self.discounts(self.follow), self.discounts(self.b)
+        self.d = [self.discounts(x) for x in (self.follow, self.b, self.t)]
         self.ctx = defaultdict(lambda: [0, 0, 0, 0])
-        for (v, _), k in self.b.items():
-            self.ctx[v][0] += k
-            self.ctx[v][min(k, 3)] += 1
+        for *v, _, k in ((*p, k) for x in (self.b, self.t) for p, k in x.items()):
+            self.ctx[tuple(v)][0] += k
+            self.ctx[tuple(v)][min(k, 3)] += 1
 
     @staticmethod
     def discounts(counts):
@@ -32,20 +39,25 @@ class Reference:
         return [0, *(min(k, max(0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else 0 for k in (1, 2, 3))]
 
     def p1(self, w):
-        k, total = self.follow.get(w, 0), len(self.b)
-        rest = sum(self.d1[min(x, 3)] for x in self.follow.values()) / total
-        return (k - self.d1[min(k, 3)]) / total + rest / (self.v + 1)
+        d, total = self.d[0], len(self.b)
+        k = self.follow.get(w, 0)
+        rest = sum(d[min(x, 3)] for x in self.follow.values()) / total
+        return (k - d[min(k, 3)]) / total + rest / (self.v + 1)
 
-    def p(self, v, w):
-        if v not in self.ctx:
-            return self.p1(w)
-        k, x = self.b.get((v, w), 0), self.ctx[v]
-        return (k - self.d2[min(k, 3)]) / x[0] + sum(self.d2[j] * x[j] for j in (1, 2, 3)) / x[0] * self.p1(w)
+    def step(self, context, k, d, shorter):
+        if context not in self.ctx:
+            return shorter
+        x = self.ctx[context]
+        return (k - d[min(k, 3)]) / x[0] + sum(d[j] * x[j] for j in (1, 2, 3)) / x[0] * shorter
+
+    def p(self, u, v, w):
+        p = self.step((v,), self.b.get((v, w), 0), self.d[1], self.p1(w))
+        return p if self.order == 2 else self.step((u, v), self.t.get((u, v, w), 0), self.d[2], p)
 
     def score(self, text):
         r = [*words(text, True), END]
         base = sum(math.log10((self.c.get(w, 0) + 1) / (self.n + self.v + 1)) for w in r)
-        return len(r), sum(w in self.c for w in r), self.n, base, sum(math.log10(self.p(v, w)) for v, w in zip([START, *r], r))
+        return len(r), sum(w in self.c for w in r), self.n, base, sum(math.log10(self.p(*x)) for x in zip([NONE, START, *r], [START, *r], r))
 
 
 def check(got, rows, model):
@@ -63,26 +75,80 @@ def test_query(spark, sf):
     check(got, rows, Reference([t for i, t in rows.items() if not held[i]]))
 
 
-def test_edges(spark):
-    rows = {1: None, 2: "", 3: "a b a b a", 4: "A É x", 5: "a b c d e f g a b", 6: "zz yy"}
+@pytest.mark.parametrize("order", [2, 3])
+def test_edges(spark, order):
+    rows = {1: None, 2: "", 3: "a b a b a", 4: "A É x", 5: "a b c d e f g a b", 6: "zz yy", 7: "x", 8: "a b a q b a b"}
     df = docs(spark, list(rows.items()))
-    model = op.train(df, F.col("doc_id") < 6)
+    model = op.train(df, F.col("doc_id") < 6, order=order)
     got = op.score(df, model).collect()
-    check(got, rows, Reference([t for i, t in rows.items() if i < 6]))
+    check(got, rows, Reference([t for i, t in rows.items() if i < 6], order))
     assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in got)
 
 
-def test_heavy_contexts_are_dealt_by_the_whole_key(spark):
-    rows = {i: " ".join(f"the w{(i * 7 + k) % 50}" for k in range(40)) for i in range(60)}
+@pytest.mark.parametrize("order", [2, 3])
+def test_frequent_words_are_dealt_over_shards(spark, order):
+    rows = {i: " ".join(f"the w{(i * 7 + k) % 50} of the" for k in range(40)) for i in range(300)}
+    rows |= {1000 + i: "of the" for i in range(4000)} | {5000 + i: f"the x{i} the y{i % 9}" for i in range(900)}
     df = docs(spark, list(rows.items())).repartition(4)
-    model = op.train(df, flush_tokens=500)
-    check(op.score(df, model).collect(), rows, Reference(rows.values()))
-
-
-def test_distribution_sums_to_one():
-    m = Reference(["a b a c", "b a", "c c a d"])
-    for v in (START, "a", "nope"):
-        assert sum(m.p(v, w) for w in [*m.c, "unknown"]) == pytest.approx(1)
+    model = op.train(df, order=order, flush_tokens=500)
+    assert len(model.heavy) >= 3 and model.heavy[0] == op.START and model.spread.max() >= 5
+    check(op.score(df, model).collect(), rows, Reference(rows.values(), order))
+
+
+def test_wide_ids_and_counts():
+    """Ids and counts beyond 32 bits, packed in one word or not."""
+    import numpy as np
+
+    wide = np.array([2**40 + 5, 3, 2**40 + 5, 2**33], np.int64)
+    for bits in (41, 20):
+        keys = [wide if bits == 41 else wide % 1000, np.array([7, 7, 7, 1]), np.array([1, 2, 1, 2**14])]
+        got, n = op._collapse(keys, np.array([2**32 + 9, 1, 4, 2**33]), bits)
+        want = Counter()
+        for row, k in zip(zip(*(x.tolist() for x in keys)), [2**32 + 9, 1, 4, 2**33]):
+            want[row] += k
+        assert list(zip(*(x.tolist() for x in got))) == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
+        assert op._collapse(keys, None, bits)[1].tolist() == [Counter(zip(*(x.tolist() for x in keys)))[k] for k in sorted(want)]
+        back = op._open(op._squeeze(*got, n), 4)
+        assert all((x == y).all() for x, y in zip(back, [*got, n], strict=True))
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_tables_mounted_and_paged(tmp_path, n, monkeypatch):
+    import numpy as np
+
+    keys = kit.mix(np.arange(2 * n, dtype=np.uint64))
+    values = np.stack([np.arange(n) % 300, np.arange(n) % 7 + 2**33], 1)
+    kit.put_file(f"file://{tmp_path}/t-0", op.pack_table(keys[::2], values))
+    kit.put_file(f"file://{tmp_path}/words", np.sort(keys).tobytes())
+    for mounted in (True, False):
+        if not mounted:
+            monkeypatch.setattr(kit, "local_path", lambda uri: None)
+            monkeypatch.setattr(kit.Paged, "KEPT", 2)
+        t = op.Table(f"file://{tmp_path}/t-0")
+        hit, found = t.find(keys)
+        assert hit.tolist() == [True, False] * n and (found == values).all()
+        if n:
+            words = kit.map_file(f"file://{tmp_path}/words", "<u8", 0, 2 * n)
+            asked = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1)])
+            assert (kit.search_sorted(words, 2 * n, asked) == np.searchsorted(np.sort(keys), asked)).all()
+
+
+def test_without_a_mount_a_worker_reads_only_pages(spark, tmp_path, monkeypatch):
+    rows = {i: f"w{i} w{i + 1} w{i % 7} again" for i in range(200)}
+    df = docs(spark, list(rows.items()))
+    model = op.train(df)
+    monkeypatch.setattr(kit, "local_path", lambda uri: None)
+    data, bounds = kit.text_arrays(pa.array(list(rows.values())))
+    got = op.Scorer(model).score(data, bounds)
+    want = [Reference(rows.values()).score(t) for t in rows.values()]
+    assert got[0].tolist() == [x[0] for x in want] and got[3].tolist() == pytest.approx([x[4] for x in want], rel=1e-9)
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_distribution_sums_to_one(order):
+    m = Reference(["a b a c", "b a", "c c a d", "b a c"], order)
+    for u, v in ((NONE, START), (START, "a"), ("b", "a"), ("nope", "a"), ("b", "nope")):
+        assert sum(m.p(u, v, w) for w in [*m.c, "unknown"]) == pytest.approx(1)
 
 
 def test_empty(spark):
