@@ -91,43 +91,53 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _collapse(keys: list[np.ndarray], n: np.ndarray | None, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of ids, sorted by the first key first, and the sums of their counts (None: one each); ids are below 2**bits."""
+def _collapse(keys: list[np.ndarray], n: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of ids, sorted by the first key first, and the sums of their counts (None: one each).
+
+    The first key goes by its number among its distinct values. If a row fits into 64 bits then, values are sorted; else row numbers.
+    """
     total = len(keys[0])
-    if bits * len(keys) <= 64:
+    if not total:
+        return keys, np.zeros(0, np.int64)
+    head = _runs(keys[0])
+    first, code = np.unique(keys[0][head], return_inverse=True)
+    codes = [np.repeat(code, np.diff(np.append(head, total))), *keys[1:]]
+    bits = [max(1, int(k.max()).bit_length()) for k in codes]
+    if sum(bits) <= 64:
         packed = np.zeros(total, np.uint64)
-        for k in keys:
-            packed = packed << np.uint64(bits) | k.astype(np.uint64)
-        if n is None:
-            packed.sort()
-        else:
-            order = np.argsort(packed, kind="stable")
-            packed, n = packed[order], n[order]
-        edge = _runs(packed)
-        packed, keys = packed[edge], [None] * len(keys)
-        for i in reversed(range(len(keys))):
-            keys[i] = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
-            packed = packed >> np.uint64(bits)
-    else:
-        order = np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-        n = None if n is None else n[order]
-        edge = _runs(*keys)
-        keys = [k[edge] for k in keys]
-    if n is None:
-        return keys, np.diff(np.append(edge, total))
-    return keys, np.add.reduceat(n, edge) if total else n
+        for k, b in zip(codes, bits, strict=True):
+            packed = packed << np.uint64(b) | k.astype(np.uint64)
+        sorted_ = np.sort(packed)
+        edge = _runs(sorted_)
+        count, one = np.diff(np.append(edge, total)), sorted_[edge]
+        if n is not None:
+            more = np.flatnonzero(n != 1)
+            np.add.at(count, np.searchsorted(one, packed[more]), n[more] - 1)
+        out = []
+        for b in reversed(bits):
+            out.append((one & np.uint64((1 << b) - 1)).astype(np.int64))
+            one = one >> np.uint64(b)
+        return [first[out[-1]], *out[-2::-1]], count
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    edge = _runs(*keys)
+    return [k[edge] for k in keys], np.diff(np.append(edge, total)) if n is None else np.add.reduceat(n[order], edge)
 
 
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), kit.binaries([r[1] for r in rows])], ["shard", "block"])
 
 
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """A stable order by shard; 16-bit numbers are sorted by counting."""
+    return np.argsort(shard.astype(np.uint16) if len(shard) and shard.min() >= 0 and shard.max() < 1 << 16 else shard, kind="stable")
+
+
 def _dealt(shard: np.ndarray, *columns: np.ndarray, kind: bytes = b"") -> Iterator[pa.RecordBatch]:
     """Rows to their shards, a block each, in the order they are in."""
     if not len(shard):
         return
-    order = np.argsort(shard, kind="stable")
+    order = _by_shard(shard)
     shard, columns = shard[order], [c[order] for c in columns]
     cut = _runs(shard)
     for a, b in zip(cut, np.append(cut[1:], len(shard)), strict=True):
@@ -161,14 +171,16 @@ def pack_table(keys: np.ndarray, values: np.ndarray) -> bytes:
     The top bits of a key are its bucket, of which an array holds the starts; the next 32 bits are stored. Rows of values repeat a
     lot, so each key has the number of its row among the distinct ones.
     """
-    order = np.argsort(keys, kind="stable")
+    order = kit.order_of(keys)
     keys, values = keys[order], np.ascontiguousarray(values[order].astype("<u8"))
     n = len(keys)
-    bits = min(48, max(0, n.bit_length() - 4))
-    number = kit.mix(values[:, 0])
+    bits = min(48, max(0, n.bit_length() - 3))
+    number = values[:, 0]
     for k in range(1, values.shape[1]):
-        number = kit.mix(number + values[:, k])
-    _, at, code = np.unique(number, return_index=True, return_inverse=True)
+        number = kit.mix(kit.mix(number) + values[:, k])
+    _, code = kit.distinct(number)
+    at = np.zeros(int(code.max()) + 1 if n else 0, np.int64)
+    at[code] = np.arange(n)
     narrow = next(t for t in ("<u1", "<u2", "<u4", "<u8") if len(at) <= 1 << 8 * np.dtype(t).itemsize)
     start = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(n, np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
     wide = "<u4" if n < 2**32 else "<u8"
@@ -215,9 +227,9 @@ class Tables:
         self.open: dict[int, Table] = {}
 
     def find(self, keys: np.ndarray, shard: np.ndarray, shards: int) -> np.ndarray:
-        """Rows of values of distinct sorted keys; zeros where a key is unknown."""
+        """Rows of values of keys; zeros where a key is unknown."""
         out = np.zeros((len(keys), self.columns), np.int64)
-        order = np.argsort(shard, kind="stable")
+        order = _by_shard(shard)
         edge = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edge)).tolist():
             at = order[edge[s] : edge[s + 1]]
@@ -256,7 +268,7 @@ class Vocabulary:
         return ids, counts
 
     def ids_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, back = np.unique(hashes, return_inverse=True)
+        found, back = kit.distinct(hashes)
         ids, counts = self.find(found)
         return ids[back], counts[back]
 
@@ -290,10 +302,14 @@ class Model:
 
     def shard(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         """By the middle word; where that is dealt, by both others too."""
+        head = _runs(v)
+        size, v = np.diff(np.append(head, len(v))), v[head]
         spread = self.spread_of(v)
-        part, many = np.zeros(len(v), np.int64), np.flatnonzero(spread > 1)
-        part[many] = (gram(u[many], w[many]) % spread[many].astype(np.uint64)).astype(np.int64)
-        return (gram(v, part) % np.uint64(self.shards)).astype(np.int64)
+        out = np.repeat((gram(v, np.zeros(len(v), np.int64)) % np.uint64(self.shards)).astype(np.int64), size)
+        spread, many = np.repeat(spread, size), np.flatnonzero(np.repeat(spread > 1, size))
+        part = (gram(u[many], w[many]) % spread[many].astype(np.uint64)).astype(np.int64)
+        out[many] = (gram(np.repeat(v, size)[many], part) % np.uint64(self.shards)).astype(np.int64)
+        return out
 
     def pair_shard(self, keys: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(shard of a pair's or context's row, whether it is merged from several shards)."""
@@ -375,7 +391,7 @@ def _count_words(rows: DataFrame, root: str, shards: int, flush_tokens: int) ->
 
         def send() -> Iterator[pa.RecordBatch]:
             hashes, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(hashes, kind="stable")
+            order = kit.order_of(hashes)
             hashes, n = hashes[order], n[order]
             edge = _runs(hashes)
             hashes, n = hashes[edge], np.add.reduceat(n, edge)
@@ -383,7 +399,9 @@ def _count_words(rows: DataFrame, root: str, shards: int, flush_tokens: int) ->
 
         for batch in batches:
             for a, b, data, bounds in kit.slices(batch.column(0), 2 << 20):
-                held.append(np.unique(tokens(data, bounds)[0], return_counts=True))
+                hashes = np.sort(tokens(data, bounds)[0])
+                edge = _runs(hashes)
+                held.append((hashes[edge], np.diff(np.append(edge, len(hashes)))))
                 size += len(held[-1][0])
                 documents += b - a
                 if size > flush_tokens:
@@ -398,7 +416,7 @@ def _count_words(rows: DataFrame, root: str, shards: int, flush_tokens: int) ->
             n, total = sum(int(_open(x, 1)[0][0]) for x in blocks), 0
         else:
             hashes, n = (np.concatenate(x) for x in zip(*(_open(x, 2) for x in blocks), strict=True))
-            order = np.argsort(hashes.view(np.uint64), kind="stable")
+            order = kit.order_of(hashes.view(np.uint64))
             hashes, n = hashes.view(np.uint64)[order], n[order]
             edge = _runs(hashes)
             hashes, n = hashes[edge], np.add.reduceat(n, edge)
@@ -435,26 +453,26 @@ def _frequent(spark: SparkSession, root: str, sizes: list[int], documents: int,
 
 def _count_grams(rows: DataFrame, model: Model, flush_tokens: int) -> DataFrame:
     """Blocks (v, u, w, count) of n-grams by their shard; u is NONE where only the pair counts."""
-    bits = int(sum(model.vocabulary) + FIRST).bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(model.root, model.vocabulary)
         held, size = [], 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            keys = [np.concatenate(x) for x in zip(*held, strict=True)]
+            found, w = kit.distinct(np.concatenate([h for h, _ in held]))
+            first = np.concatenate([[0], *(f[1:] + at for (_, f), at in zip(held, np.cumsum([0, *(len(h) for h, _ in held[:-1])]), strict=True))])
             held.clear()
-            (v, u, w), n = _collapse(keys, None, bits)
+            # words by their number among this task's: small numbers, in the order of the ids
+            ids, w = np.concatenate([[START, NONE], words.find(found)[0]]), w + FIRST
+            u = _left(w, first, 2) if model.order == 3 else np.full(len(w), NONE, np.int64)
+            (v, u, w), n = _collapse([_left(w, first, 1), u, w], None)
+            v, u, w = ids[v], ids[u], ids[w]
             yield from _dealt(model.shard(u, v, w), v, u, w, n)
 
         for batch in batches:
             for _, _, data, bounds in kit.slices(batch.column(0), 2 << 20):
-                hashes, first = tokens(data, bounds)
-                w = words.ids_of(hashes)[0]
-                u = _left(w, first, 2) if model.order == 3 else np.full(len(w), NONE, np.int64)
-                v = _left(w, first, 1)
-                held.append((v, u, w))
-                size += len(w)
+                held.append(tokens(data, bounds))
+                size += len(held[-1][0])
                 if size > flush_tokens:
                     yield from send()
                     size = 0
@@ -484,11 +502,9 @@ def _pair_stats(model: Model, v: np.ndarray, w: np.ndarray, value: np.ndarray) -
 
 
 def _gram_shard(model: Model) -> Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]:
-    bits = int(sum(model.vocabulary) + FIRST).bit_length()
-
     def finish(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         keys = [np.concatenate(x) for x in zip(*(_open(x, 4) for x in blocks), strict=True)]
-        (v, u, w), n = _collapse(keys[:3], keys[3], bits)
+        (v, u, w), n = _collapse(keys[:3], keys[3])
         del keys, blocks
         if model.order == 3:
             real = np.flatnonzero(u != NONE)
@@ -503,7 +519,7 @@ def _gram_shard(model: Model) -> Callable[[int, list[bytes]], Iterator[pa.Record
             yield from _dealt(to[apart], keys[apart], *(x[apart] for x in sums), kind=_CONTEXTS)
             del v3, u3, n3, keys, sums, to
         # a pair's value: its different left neighbours, or its occurrences where it is the longest there is
-        (v, w), value = _collapse([v, w], np.where(u == NONE, n, 1), bits)
+        (v, w), value = _collapse([v, w], np.where(u == NONE, n, 1))
         keys = gram(v, w)
         to, apart = model.pair_shard(keys, v)
         whole = ~apart
@@ -516,19 +532,18 @@ def _gram_shard(model: Model) -> Callable[[int, list[bytes]], Iterator[pa.Record
 
 def _merged_shard(model: Model) -> Callable[[int, list[bytes]], Iterator[pa.RecordBatch]]:
     """Contexts and pairs of dealt middle words, from all their shards."""
-    bits = int(sum(model.vocabulary) + FIRST).bit_length()
 
     def finish(shard: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [_open(x[1:], 5) for x in blocks if x[:1] == _CONTEXTS]
         keys, *sums = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 5
-        order = np.argsort(keys.view(np.uint64), kind="stable")
+        order = kit.order_of(keys.view(np.uint64))
         keys = keys.view(np.uint64)[order]
         edge = _runs(keys)
         sums = [np.add.reduceat(x[order], edge) if len(edge) else x for x in sums]
         kit.put_file(f"{model.root}/dealt-contexts-{shard}", pack_table(keys[edge], np.stack(sums, 1)))
         parts = [_open(x[1:], 3) for x in blocks if x[:1] == _PAIRS]
         keys = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
-        (v, w), value = _collapse(keys[:2], keys[2], bits)
+        (v, w), value = _collapse(keys[:2], keys[2])
         kit.put_file(f"{model.root}/dealt-pairs-{shard}", pack_table(gram(v, w), value[:, None]))
         yield from _pair_stats(model, v, w, value)
 
@@ -578,38 +593,26 @@ class Scorer:
         return kit.map_file(at, "<u8" if wide else "<u4", 8, 5 * n)
 
     def _stats(self, ids: np.ndarray) -> np.ndarray:
-        """(n, 5) statistics of sorted distinct ids; zeros for the unknown."""
+        """(n, 5) statistics of ids; zeros for the unknown."""
         out = np.zeros((len(ids), 5), np.int64)
-        edge = np.searchsorted(ids, self.words.base)
+        known = np.flatnonzero(ids >= FIRST)  # these rise, as the words are sorted
+        edge = np.searchsorted(ids[known], self.words.base)
         for s, table in enumerate(self.stats):
-            a, b = edge[s], edge[s + 1]
-            if a < b:
-                out[a:b] = table.take((5 * (ids[a:b] - self.words.base[s]))[:, None] + np.arange(5))
+            at = known[edge[s] : edge[s + 1]]
+            if len(at):
+                out[at] = table.take((5 * (ids[at] - self.words.base[s]))[:, None] + np.arange(5))
         if self.start is not None:
             out[ids == START] = self.start.take(np.arange(5))
         return out
 
     def _pairs(self, kind: str, x: np.ndarray, y: np.ndarray, middle: np.ndarray) -> np.ndarray:
         """Rows of pairs (x, y) or contexts, whichever shards hold them."""
-        keys, first, back = np.unique(gram(x, y), return_index=True, return_inverse=True)
-        shard, apart = self.model.pair_shard(keys, middle[first])
+        keys = gram(x, y)
+        shard, apart = self.model.pair_shard(keys, middle)
         out = np.zeros((len(keys), self.tables[kind].columns), np.int64)
         out[~apart] = self.tables[kind].find(keys[~apart], shard[~apart], self.model.shards)
         out[apart] = self.tables[f"dealt-{kind}"].find(keys[apart], shard[apart], self.model.shards)
-        return out[back]
-
-    def _words(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """p(w | v) of rows."""
-        m, vocabulary = self.model, sum(self.model.vocabulary)
-        right, back = np.unique(w, return_inverse=True)
-        p = np.full(len(right), 1.0 / (vocabulary + 1))
-        if m.bigrams:
-            rest = float(np.dot(m.discounts[0], m.singles)) / m.bigrams
-            p = _discounted(self._stats(right)[:, 4], m.discounts[0]) / m.bigrams + rest / (vocabulary + 1)
-        p = p[back]
-        left, back = np.unique(v, return_inverse=True)
-        context = self._stats(left)[back]
-        return self._step(self._pairs("pairs", v, w, v)[:, 0], context, m.discounts[1], p)
+        return out
 
     @staticmethod
     def _step(count: np.ndarray, context: np.ndarray, d: tuple[float, float, float], shorter: np.ndarray) -> np.ndarray:
@@ -617,26 +620,44 @@ class Scorer:
         seen = _discounted(count, d) / total + (context[:, 1:4] @ np.array(d)) / total * shorter
         return np.where(context[:, 0] > 0, seen, shorter)
 
+    def _each(self, w: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The probability of every token; ``w`` numbers the different words (from ``FIRST``), ``ids`` are their ids."""
+        m, vocabulary = self.model, sum(self.model.vocabulary)
+        stats = self._stats(ids)
+        rest = float(np.dot(m.discounts[0], m.singles)) / m.bigrams
+        alone = _discounted(stats[:, 4], m.discounts[0]) / m.bigrams + rest / (vocabulary + 1)
+        # pairs by the numbers of both words
+        bits = int(len(ids)).bit_length()
+        v = _left(w, first, 1)
+        pairs, number = kit.distinct(v.astype(np.uint64) << np.uint64(bits) | w.astype(np.uint64), 2 * bits)
+        x, y = (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
+        p = self._step(self._pairs("pairs", ids[x], ids[y], ids[x])[:, 0], stats[x], m.discounts[1], alone[y])[number]
+        if m.order == 2:
+            return p
+        deep = np.ones(len(w), bool)
+        deep[first[:-1]] = False  # a first word has a pair alone
+        deep = np.flatnonzero(deep)
+        # the context of a token is the pair before it
+        context = self._pairs("contexts", ids[x], ids[y], ids[y])[number[deep - 1]]
+        deep, context = deep[context[:, 0] > 0], context[context[:, 0] > 0]
+        by = kit.order_of(y[number[deep - 1]].astype(np.uint64), bits)  # the shard goes by the middle word
+        deep, context = deep[by], context[by]
+        at = number[deep - 1]
+        u, v, w = ids[x[at]], ids[y[at]], ids[w[deep]]
+        count = self.tables["grams"].find(gram(u, v, w), m.shard(u, v, w), m.shards)[:, 0]
+        p[deep] = self._step(count, context, m.discounts[2], p[deep])
+        return p
+
     def score(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per document: tokens, known tokens, base score, score."""
         m = self.model
         hashes, first = tokens(data, bounds)
-        w, counts = self.words.ids_of(hashes)
-        base = np.log10((counts + 1.0) / (m.tokens + sum(m.vocabulary) + 1.0))
+        found, number = kit.distinct(hashes)
+        ids, counts = self.words.find(found)
+        base = np.log10((counts + 1.0) / (m.tokens + sum(m.vocabulary) + 1.0))[number]
+        each = np.log10(self._each(number + FIRST, np.concatenate([[START, NONE], ids]), first)) if m.tokens else np.zeros(len(hashes))
         at = first[:-1]
-        if m.tokens:
-            v, u = _left(w, first, 1), _left(w, first, 2) if m.order == 3 else np.full(len(w), NONE, np.int64)
-            keys, row, back = np.unique(gram(u, v, w), return_index=True, return_inverse=True)
-            u, v, w = u[row], v[row], w[row]
-            p = self._words(v, w)
-            if m.order == 3:
-                deep = np.flatnonzero(u != NONE)
-                count = self.tables["grams"].find(keys[deep], m.shard(u[deep], v[deep], w[deep]), m.shards)[:, 0]
-                p[deep] = self._step(count, self._pairs("contexts", u[deep], v[deep], v[deep]), m.discounts[2], p[deep])
-            each = np.log10(p)[back]
-        else:
-            each = np.zeros(len(w))
-        return np.diff(first), np.add.reduceat((counts > 0).astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(each, at)
+        return np.diff(first), np.add.reduceat((counts > 0).astype(np.int64)[number], at), np.add.reduceat(base, at), np.add.reduceat(each, at)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -646,7 +667,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for a, b, data, bounds in kit.slices(batch.column(1), 2 << 20):
+            for a, b, data, bounds in kit.slices(batch.column(1), 8 << 20):
                 n, known, base, total = scorer.score(data, bounds)
                 cols = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(b - a, model.tokens), pa.int64()), pa.array(base), pa.array(total), pa.array(10.0 ** (-total / n))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *cols], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])

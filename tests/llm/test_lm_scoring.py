@@ -99,19 +99,31 @@ def test_wide_ids_and_counts():
     """Ids and counts beyond 32 bits, packed in one word or not."""
     import numpy as np
 
-    wide = np.array([2**40 + 5, 3, 2**40 + 5, 2**33], np.int64)
-    for bits in (41, 20):
-        keys = [wide if bits == 41 else wide % 1000, np.array([7, 7, 7, 1]), np.array([1, 2, 1, 2**14])]
-        got, n = op._collapse(keys, np.array([2**32 + 9, 1, 4, 2**33]), bits)
+    for top in (2**40, 2**20):
+        keys = [np.array([top + 5, 3, top + 5, top // 2]), np.array([7, 7, 7, top]), np.array([1, 2, 1, 2**14])]
+        counts = [2**32 + 9, 1, 4, 2**33]
+        got, n = op._collapse(keys, np.array(counts))
         want = Counter()
-        for row, k in zip(zip(*(x.tolist() for x in keys)), [2**32 + 9, 1, 4, 2**33]):
+        for row, k in zip(zip(*(x.tolist() for x in keys)), counts):
             want[row] += k
         assert list(zip(*(x.tolist() for x in got))) == sorted(want) and n.tolist() == [want[k] for k in sorted(want)]
-        assert op._collapse(keys, None, bits)[1].tolist() == [Counter(zip(*(x.tolist() for x in keys)))[k] for k in sorted(want)]
+        assert op._collapse(keys, None)[1].tolist() == [Counter(zip(*(x.tolist() for x in keys)))[k] for k in sorted(want)]
         back = op._open(op._squeeze(*got, n), 4)
         assert all((x == y).all() for x, y in zip(back, [*got, n], strict=True))
 
 
+def test_sorting_by_values():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    near = kit.mix(np.arange(40, dtype=np.uint64))  # keys that differ in their low bits alone, many times each
+    for keys, bits in ((rng.integers(0, 2**63, 3000, dtype=np.uint64), 64), (np.zeros(0, np.uint64), 64), (np.ones(1, np.uint64), 64), (rng.integers(0, 50, 3000).astype(np.uint64), 6), (np.concatenate([near, near ^ np.uint64(3), near ^ np.uint64(1)] * 30), 64)):
+        keys = rng.permutation(keys)
+        assert (keys[kit.order_of(keys, bits)] == np.sort(keys)).all()
+        found, at = kit.distinct(keys, bits)
+        assert (found == np.unique(keys)).all() and (found[at] == keys).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 3000])
 def test_tables_mounted_and_paged(tmp_path, n, monkeypatch):
     import numpy as np
