@@ -36,6 +36,8 @@ BLOCK = 16
 #: Windows in blocks: for passages of up to 20 words, and for longer ones.
 SCALES = (2, 4)
 SHORT, LONG = 20, 48
+#: Empty blocks behind each document: more than a window and its margins reach.
+_APART = max(SCALES) + 2
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -147,12 +149,26 @@ class Counted:
         """``common_subsequence`` of many passages with words lo .. hi - 1 at once."""
         full = (np.uint64(1) << self.sizes[passage].astype(np.uint64)) - np.uint64(1)
         v = full.copy()
-        for k in range(int((hi - lo).max()) if len(passage) else 0):
-            word = np.where(lo + k < hi, t[np.minimum(lo + k, len(t) - 1)], -1)
-            key = passage * (len(self.first) - 1) + word
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            u = v & np.where((word >= 0) & (self.keys[at] == key), self.places[at], np.uint64(0))
-            v = ((v + u) | (v - u)) & full
+        if not len(passage):
+            return self.sizes[passage]
+        # all look-ups at once, then only steps where a passage holds the word
+        size = np.maximum(hi - lo, 0)
+        row = np.repeat(np.arange(len(passage)), size)
+        word = t[kit.ragged(lo, size)]
+        row, word = row[word >= 0], word[word >= 0]
+        key = passage[row] * (len(self.first) - 1) + word
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        held = np.flatnonzero(self.keys[at] == key)
+        row, places = row[held], self.places[at[held]]
+        # the n-th held word of every row together
+        start = np.searchsorted(row, np.arange(len(passage)))
+        turn = np.arange(len(row)) - start[row]
+        order = np.argsort(turn.astype(np.uint16), kind="stable") if len(turn) else turn
+        edge = np.searchsorted(turn[order], np.arange(int(turn.max()) + 2)) if len(turn) else [0]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            r = row[order[a:b]]
+            u = v[r] & places[order[a:b]]
+            v[r] = ((v[r] + u) | (v[r] - u)) & full[r]
         return self.sizes[passage] - np.bitwise_count(v)
 
 
@@ -332,100 +348,97 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
     h = term_hashes(words)
     t = index.terms.find(h)
     known = t >= 0
-    # blocks of BLOCK words, none across documents
+    # blocks of BLOCK words, none across documents; empty ones keep documents apart, so that windows are sums of shifted rows
     blocks = -(-words.counts // BLOCK)
-    first_block = np.concatenate([[0], np.cumsum(blocks)])
+    first_block = np.concatenate([[0], np.cumsum(blocks + _APART)])
+    n_blocks = int(first_block[-1])
     word = kit.ragged(words.first[:-1], words.counts)
     doc = np.repeat(np.arange(n), words.counts)
     block = first_block[doc] + (word - words.first[doc]) // BLOCK
     square = np.where(known, index.weights[t] ** 2, index.rest**2)
-    total = np.bincount(block, square, first_block[-1])
-    block_doc = np.repeat(np.arange(n), blocks)
-    word_edge = np.searchsorted(block, np.arange(first_block[-1] + 1))
-    hits: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+    sums = np.concatenate([[0], np.cumsum(np.bincount(block, square, n_blocks))])
+    block_doc = np.repeat(np.arange(n), blocks + _APART)
+    word_edge = np.searchsorted(block, np.arange(n_blocks + 1))
     # (weighted terms x basis) x passages, in whichever order is cheaper
     seen = np.flatnonzero(known & (index.weights[t] > 0))
-    parts = np.zeros((first_block[-1], index.table.shape[1]), np.float32)
+    parts = np.zeros((n_blocks, index.table.shape[1]), np.float32)
     place = np.arange(len(seen)) - np.searchsorted(block[seen], block[seen])
     for k in range(BLOCK):  # the k-th word of every block at once
         one = seen[place == k]
         if not len(one):
             break
         parts[block[one]] += index.table[t[one]]
-    sums, last = np.concatenate([[0], np.cumsum(total)]), first_block[1:][block_doc]
+    begin, last = np.arange(n_blocks), (first_block[:-1] + blocks)[block_doc]
+    real = begin < last
     alone = np.bincount(index.item_of, minlength=len(index.items)) == 1
     counted = index.counted
     least = np.maximum(1, np.ceil(least_overlap * counted.sizes - 1e-9)).astype(np.int64)
-    matched = counted.blocks(t, block, first_block[-1])
+    matched = counted.blocks(t, block, n_blocks)
+    hits: list[tuple[np.ndarray, ...]] = []  # passages, their cosine, first block, words from and to, length of the subsequence
     for s, width in enumerate(SCALES):
         rows = np.flatnonzero(index.scale == s)
         if not len(rows):
             continue
         # a window begins at each block; near a document's end it is shorter
-        begin = np.arange(first_block[-1])
-        stop = np.minimum(begin + width, last)
-        norm = np.sqrt(np.maximum(sums[stop] - sums[:-1], 1e-12)).astype(np.float32)
-        mine = parts if index.direct is None else parts[:, rows] if len(rows) < parts.shape[1] else parts
+        stop = np.where(real, np.minimum(begin + width, last), begin)
+        norm = np.where(real, np.sqrt(np.maximum(sums[stop] - sums[:-1], 1e-12)), np.inf).astype(np.float32)
+        mine = parts if index.direct is None or len(rows) == parts.shape[1] else parts[:, rows]
         x = mine.copy()
         for k in range(1, width):
-            inside = begin + k < last
-            x[inside] += mine[begin[inside] + k]
+            x[:-k] += mine[k:]
         if index.direct is None:
             x = x @ index.passages[rows].T
         near = x >= least_cosine * norm[:, None]
-        for i, k in zip(*np.nonzero(near), strict=True):
-            hits.setdefault((int(block_doc[i]), int(rows[k])), []).append((float(x[i, k] / norm[i]), int(i), int(stop[i])))
         # by words alone: windows with their margins, a block at each side
         held = matched[:, rows]
         y = held.copy()
-        for k in (-1, *range(1, width + 1)):
-            inside = (begin + k < last) & (begin + k >= first_block[:-1][block_doc])
-            y[inside] += held[begin[inside] + k]
+        y[1:] += held[:-1]
+        for k in range(1, width + 1):
+            y[:-k] += held[k:]
         from_word = np.maximum(words.first[block_doc], word_edge[begin] - BLOCK)
         to_word = np.minimum(words.first[block_doc + 1], word_edge[stop] + BLOCK)
+
+        def take(i: np.ndarray, k: np.ndarray, length: np.ndarray) -> None:
+            hits.append((rows[k], x[i, k] / norm[i], i, from_word[i], to_word[i], length))  # noqa: B023
+
         apart = ~alone[index.item_of[rows]]
-        i, k = np.nonzero((y >= np.maximum(1, least - counted.left_out)[rows]) & (~near | apart))
+        i, k = np.nonzero(near)
+        length = counted.common(rows[k], from_word[i], to_word[i], t)
+        some = length >= np.where(apart[k], 1, least[rows[k]])
+        take(i[some], k[some], length[some])
+        i, k = np.nonzero((y >= np.maximum(1, least - counted.left_out)[rows]) & real[:, None] & (~near | apart))
         common = counted.common(rows[k], from_word[i], to_word[i], t)
         enough = common >= least[rows[k]]
         new = enough & ~near[i, k]
-        more = list(zip(i[new].tolist(), k[new].tolist(), strict=True))
-        # the other passages of an item in parts: their best window
+        take(i[new], k[new], common[new])
+        # the other passages of an item in parts: their best window, and all that are enough by themselves
         parted = enough & apart[k]
+        place_of = np.full(len(index.item_of), -1)
+        place_of[rows] = np.arange(len(rows))
         for d, item in set(zip(block_doc[i[parted]].tolist(), index.item_of[rows[k[parted]]].tolist(), strict=True)):
-            at = np.arange(first_block[d], first_block[d + 1])
-            for other in np.flatnonzero(index.item_of[rows] == item):
-                length = counted.common(np.full(len(at), rows[other]), from_word[at], to_word[at], t)
-                length[np.argmax(length)] = least[rows[other]]  # the best one, and all that are enough by themselves
-                more += [(int(i), int(other)) for i in at[length >= least[rows[other]]]]
-        for i, k in more:
-            hits.setdefault((int(block_doc[i]), int(rows[k])), []).append((float(x[i, k] / norm[i]), int(i), int(stop[i])))
+            at = np.arange(first_block[d], first_block[d] + blocks[d])
+            for other in np.flatnonzero((index.item_of == item) & (place_of >= 0)):
+                length = counted.common(np.full(len(at), other), from_word[at], to_word[at], t)
+                chosen = np.union1d(np.flatnonzero(length >= least[other]), [np.argmax(length)])
+                take(at[chosen], np.full(len(chosen), place_of[other]), length[chosen])
     # every candidate window is judged, for overlap and for the answer: a longer copy may lack the answer that another has
     judged: dict[tuple[int, int], dict[tuple[int, int], tuple]] = {}
-    for (d, p), windows in hits.items():
-        item, wanted = int(index.item_of[p]), index.words[p]
-        for cosine, b, e in windows:
-            lo = max(int(words.first[d]), int(word_edge[b]) - BLOCK)
-            hi = min(int(words.first[d + 1]), int(word_edge[e]) + BLOCK)
-            region = h[lo:hi].tolist()
-            if alone[item] and sum(map(set(region).__contains__, wanted)) < least_overlap * len(wanted):
-                continue  # too few words in common for the subsequence
-            length = common_subsequence(wanted, region)
-            if alone[item] and length < least_overlap * len(wanted):
-                continue
-            there = common_subsequence(index.answers[item], region) / max(1, len(index.answers[item]))
-            judged.setdefault((d, item), {})[p, b] = (length, cosine, -lo, hi, there)
+    for p, cosine, b, lo, hi, length in (row for h_ in hits for row in zip(*(z.tolist() for z in h_), strict=True)):
+        item = int(index.item_of[p])
+        there = common_subsequence(index.answers[item], h[lo:hi].tolist()) / max(1, len(index.answers[item]))
+        judged.setdefault((int(block_doc[b]), item), {})[p, b] = (length, cosine, -lo, hi, there)
     for (d, item), seen_at in sorted(judged.items()):
         if alone[item]:
-            parts = [max((x for x in seen_at.values() if x[4] >= least_answer), default=None)]
-            if parts[0] is None:
+            parts_of = [max((x for x in seen_at.values() if x[4] >= least_answer), default=None)]
+            if parts_of[0] is None:
                 continue
         else:
-            parts = [max(x for (q, _), x in seen_at.items() if q == p) for p in sorted({q for q, _ in seen_at})]
-        overlap = sum(x[0] for x in parts) / index.lengths[item]
-        there = parts[0][4] if alone[item] else max(x[4] for x in seen_at.values())
+            parts_of = [max(x for (q, _), x in seen_at.items() if q == p) for p in sorted({q for q, _ in seen_at})]
+        overlap = sum(x[0] for x in parts_of) / index.lengths[item]
+        there = parts_of[0][4] if alone[item] else max(x[4] for x in seen_at.values())
         if overlap >= least_overlap and there >= least_answer:
-            lo, hi = min(-x[2] for x in parts), max(x[3] for x in parts)
-            found[d].append({"item_id": index.items[item], "start": lo - int(words.first[d]), "end": hi - int(words.first[d]), "cosine": max(x[1] for x in parts), "overlap": float(overlap), "answer": float(there)})
+            lo, hi = min(-x[2] for x in parts_of), max(x[3] for x in parts_of)
+            found[d].append({"item_id": index.items[item], "start": lo - int(words.first[d]), "end": hi - int(words.first[d]), "cosine": max(x[1] for x in parts_of), "overlap": float(overlap), "answer": float(there)})
     return found
 
 
