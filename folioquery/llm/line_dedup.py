@@ -4,12 +4,14 @@ A line's key is the line without ``[\\x20\\x09-\\x0D]`` at both ends, A-Z lower-
 ``min_chars`` code points count. Each map task sends every distinct key's 128-bit hash once to its
 shard, with the number of documents and the largest doc_id (so a line that a third of all documents
 share sends one record a task). A shard builds a minimal perfect hash over its distinct hashes; counts
-and largest ids accumulate in arrays that it indexes. Keys in at least ``min_docs`` documents form the
-shard's serving arrays: fingerprints and largest ids, indexed by a second such hash.
+and largest ids accumulate in arrays that it indexes. Keys in at least ``min_docs`` documents are served: as many serving shards as their
+measured size asks for, each a file in the shared folder with a second such hash and the arrays that it indexes: fingerprints, counts and
+largest ids.
 
-Documents probe the serving arrays instead of joining lines. Where the arrays' measured size is within
-``broadcast_bytes``, each worker gets them; beyond that, documents send their lines' hashes, packed by
-shard and salted, to the shards' arrays, and only the hits come back.
+Documents probe the serving arrays instead of joining lines: workers map the files, so a look-up reads the pages that it touches and neither
+texts nor arrays are shuffled or broadcast, whatever their size.
+
+A key stands for its line by 128 bits of two independent hashes: two of n lines share them with a chance of about n * n / 2**129.
 
 Defined cases: a null or empty text is one empty line, and stays as it is; every row is a document, so
 repeated rows count each; a null doc_id ranks below all others; in the largest doc_id holding a key all
@@ -18,7 +20,9 @@ its lines stay. Other input columns are carried through unchanged.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,8 @@ from . import kit
 
 _NONE = np.int64(-(2**63))
 _RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("docs", "<i8"), ("last", "<i8")])
-_PROBE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tie", "<i8")])
+#: Bytes of a served key: fingerprint, count, id and its share of the perfect hash.
+_SERVED = 33
 
 
 class PerfectHash:
@@ -77,16 +82,17 @@ class PerfectHash:
             left = left[~hit]
         return out
 
-    def dump(self) -> tuple[list[int], bytes]:
-        return [len(x) for x in self.levels], b"".join(np.packbits(x).tobytes() for x in self.levels)
-
-    @classmethod
-    def load(cls, sizes: list[int], raw: bytes) -> PerfectHash:
-        levels, at = [], 0
-        for n in sizes:
-            levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool))
-            at += -(-n // 8)
-        return cls(levels)
+    def words(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Each level's bits in 64-bit words, and how many bits of all levels precede each word."""
+        words, before, total = [], [], 0
+        for bits in self.levels:
+            padded = np.zeros(-(-len(bits) // 64) * 64, bool)
+            padded[: len(bits)] = bits
+            words.append(np.packbits(padded, bitorder="little").view("<u8"))
+            many = np.bitwise_count(words[-1]).astype(np.int64)
+            before.append(np.cumsum(many) - many + total)
+            total += int(many.sum())
+        return words, before
 
 
 class Lines:
@@ -159,11 +165,11 @@ def _shard_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), kit.binaries([r[1] for r in rows])], ["shard", "block"])
 
 
-INDEX = "shard int, keys long, served long, levels array<int>, bits binary, prints binary, last binary"
+COUNTED = "keys long, served long, block binary"
 
 
-def build_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, flush_lines: int = 1_500_000) -> DataFrame:
-    """One row a shard: how many distinct keys it has, and its serving arrays for keys of at least ``min_docs`` documents."""
+def count_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, flush_lines: int = 1_500_000) -> DataFrame:
+    """A row for each shard of keys: how many distinct keys it has, how many are in at least ``min_docs`` documents, and the records of those."""
     shards = 2 * kit.partitions(docs.sparkSession)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +204,9 @@ def build_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, flush_l
         np.add.at(counts, at, records["docs"])
         np.maximum.at(last, at, records["last"])
         many = counts[mine] >= min_docs
-        a, b, last = a[many], b[many], last[mine[many]]
-        serve = PerfectHash.build(a, b)
-        at = serve(a, b)
-        prints, ids = np.empty((len(a), 2), "<u8"), np.empty(len(a), "<i8")
-        prints[at, 0], prints[at, 1], ids[at] = a, b, last
-        levels, bits = serve.dump()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([shard], pa.int32()), pa.array([len(mine)], pa.int64()), pa.array([len(a)], pa.int64()), pa.array([levels], pa.list_(pa.int32())), kit.binaries([bits]), kit.binaries([prints.tobytes()]), kit.binaries([ids.tobytes()])],
-            ["shard", "keys", "served", "levels", "bits", "prints", "last"],
-        )
+        served = np.empty(int(many.sum()), _RECORD)
+        served["a"], served["b"], served["docs"], served["last"] = a[many], b[many], counts[mine[many]], last[mine[many]]
+        return pa.RecordBatch.from_arrays([pa.array([len(mine)], pa.int64()), pa.array([len(served)], pa.int64()), kit.binaries([served.tobytes()])], ["keys", "served", "block"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, now = [], None
@@ -223,23 +222,115 @@ def build_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, flush_l
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = rows.transform(kit.mapping, split, "shard int, block binary")
-    return sent.repartition("shard").sortWithinPartitions("shard").transform(kit.mapping, gather, INDEX)
+    return sent.repartition("shard").sortWithinPartitions("shard").transform(kit.mapping, gather, COUNTED)
 
 
-class Shard:
-    """Serving arrays of one shard; ``last_of`` gives the largest id of a served key, and which keys are served."""
+@dataclass(frozen=True)
+class Index:
+    """Serving shards as files, and how many keys each serves."""
+
+    root: str
+    sizes: tuple[int, ...]
+
+    def shard(self, a: np.ndarray) -> np.ndarray:
+        return (kit.mix(a) % np.uint64(max(1, len(self.sizes)))).astype(np.int64)
+
+
+def build_index(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_bytes: int = 64 << 20, **limits: int) -> Index:
+    """Count all lines and write the serving shards, each of about ``shard_bytes``; the driver gets their sizes alone."""
+    spark = docs.sparkSession
+    root = f"{kit.shared_dir(spark)}/line-index-{uuid.uuid4().hex}"
+    counted = kit.written(count_lines(docs, min_chars, min_docs, **limits), "line-counts")
+    total = counted.agg(F.sum("served")).first()[0] or 0
+    index = Index(root, (0,) * max(1, -(-total * _SERVED // shard_bytes)))
+    many = len(index.sizes)
 
-    def __init__(self, levels: list[int], bits: bytes, prints: bytes, last: bytes):
-        self.places = PerfectHash.load(levels, bits)
-        self.prints, self.last = np.frombuffer(prints, "<u8").reshape(-1, 2), np.frombuffer(last, "<i8")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                records = np.frombuffer(raw, _RECORD)
+                shard = index.shard(records["a"])
+                order = np.argsort(shard, kind="stable")
+                edge = np.searchsorted(shard[order], np.arange(many + 1))
+                rows = [(s, records[order[edge[s] : edge[s + 1]]].tobytes()) for s in np.flatnonzero(np.diff(edge)).tolist()]
+                if rows:
+                    yield _shard_rows(rows)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for shard, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard not in held:  # the shards come one after the other
+                    yield from finish(held)
+                held.setdefault(shard, []).append(block)
+        yield from finish(held)
+
+    def finish(held: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        while held:
+            shard, blocks = held.popitem()
+            records = np.frombuffer(b"".join(blocks), _RECORD)
+            kit.put_file(f"{root}/serve-{shard}", _serving_file(records))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(records)], pa.int64())], ["shard", "n"])
+
+    sent = counted.where("served > 0").select("block").transform(kit.mapping, deal, "shard int, block binary")
+    made = sent.repartition("shard").sortWithinPartitions("shard").transform(kit.mapping, write, "shard int, n long")
+    sizes = dict(map(tuple, made.collect()))  # a short row a shard
+    return Index(root, tuple(sizes.get(s, 0) for s in range(many)))
+
+
+def _serving_file(records: np.ndarray) -> bytes:
+    """Head (keys, levels, words), the levels' sizes, bits and ranks, then the arrays by place."""
+    places = PerfectHash.build(records["a"], records["b"])
+    at = places(records["a"], records["b"])
+    words, before = places.words()
+    prints, counts, last = np.empty((len(records), 2), "<u8"), np.empty(len(records), "<i8"), np.empty(len(records), "<i8")
+    prints[at, 0], prints[at, 1], counts[at], last[at] = records["a"], records["b"], records["docs"], records["last"]
+    head = np.array([len(records), len(words), sum(map(len, words)), *(len(x) for x in places.levels)], "<i8")
+    flat = [np.concatenate([*x, np.zeros(0, "<u8")]).astype("<u8").tobytes() for x in (words, before)]
+    return b"".join([head.tobytes(), *flat, prints.tobytes(), counts.tobytes(), last.tobytes()])
+
+
+class Shard:
+    """The mapped serving arrays of one shard."""
+
+    def __init__(self, index: Index, shard: int):
+        uri = f"{index.root}/serve-{shard}"
+        n, levels, words = kit.map_file(uri, "<i8", 0, 3).take(np.arange(3)).tolist()
+        self.sizes = kit.map_file(uri, "<i8", 24, levels).take(np.arange(levels)).tolist()
+        at = 24 + 8 * levels
+        arrays = []
+        for dtype, count in (("<u8", words), ("<u8", words), ("<u8", 2 * n), ("<i8", n), ("<i8", n)):
+            arrays.append(kit.map_file(uri, dtype, at, count))
+            at += 8 * count
+        self.bits, self.before, self.prints, self.counts, self.last = arrays
+
+    def place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The keys' places, or -1; a key that is not served may get some place."""
+        out, left, first = np.full(len(a), -1, np.int64), np.arange(len(a)), 0
+        for level, size in enumerate(self.sizes):
+            if not len(left):
+                break
+            at = PerfectHash.place(a[left], b[left], level, size)
+            word, bit = first + (at >> 6), (at & 63).astype(np.uint64)
+            bits = self.bits.take(word)
+            hit = np.flatnonzero(bits >> bit & np.uint64(1))
+            below = bits[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[left[hit]] = self.before.take(word[hit]).astype(np.int64) + np.bitwise_count(below)
+            left = np.delete(left, hit)
+            first += -(-size // 64)
+        return out
 
-    def last_of(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.places(a, b)
-        known = at >= 0
-        known[known] = (self.prints[at[known], 0] == a[known]) & (self.prints[at[known], 1] == b[known])
-        out = np.full(len(a), _NONE)
-        out[known] = self.last[at[known]]
-        return out, known
+    def last_of(self, a: np.ndarray, b: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """(the largest id of each key, which keys are served)."""
+        at = self.place(a, b)
+        known = np.flatnonzero(at >= 0)
+        place = at[known]
+        same = (self.prints.take(2 * place) == a[known]) & (self.prints.take(2 * place + 1) == b[known])
+        known, place = known[same], place[same]
+        known, place = known[self.counts.take(place) >= min_docs], place[self.counts.take(place) >= min_docs]
+        out, served = np.full(len(a), _NONE), np.zeros(len(a), bool)
+        out[known], served[known] = self.last.take(place), True
+        return out, served
 
 
 def _apply(batch: pa.RecordBatch, drop_of, min_chars: int, text_at: int) -> pa.RecordBatch:
@@ -264,16 +355,14 @@ def _apply(batch: pa.RecordBatch, drop_of, min_chars: int, text_at: int) -> pa.R
     return pa.RecordBatch.from_arrays([*batch.columns, *more], [str(i) for i in range(batch.num_columns + 3)])
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, broadcast_bytes: int = 64 << 20, salts: int = 8) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_bytes: int = 64 << 20) -> DataFrame:
     """All columns of ``docs``, then ``n_lines`` (before dropping), ``n_dropped`` and ``kept_text``.
 
     Input columns of these names come first, unchanged; select by position where names clash.
     """
-    spark = docs.sparkSession
-    kit.bound_batches(spark)
-    index = kit.written(build_index(docs, min_chars, min_docs), "line-index")
-    size = index.agg(F.sum(F.length("bits") + F.length("prints") + F.length("last"))).first()[0] or 0
-    shards = 2 * kit.partitions(spark)
+    kit.bound_batches(docs.sparkSession)
+    index = build_index(docs, min_chars, min_docs, shard_bytes)
+    many = len(index.sizes)
     # names inside: positions, so that no input name can clash
     names = [f"c{i}" for i in range(len(docs.columns))]
     where = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
@@ -281,86 +370,29 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     inside = docs.toDF(*names)
     inside = inside.select(*inside.columns, F.col(names[doc_at]).cast("long").alias("__id"))
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    made = "__n_lines long, __n_dropped long, __kept string"
     n = len(names)
 
-    if size <= broadcast_bytes:
-        served = index.where("served > 0").select("shard", "levels", "bits", "prints", "last").collect()  # within the checked size
-        arrays = spark.sparkContext.broadcast([tuple(x) for x in served])
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tables = {s: Shard(*rest) for s, *rest in arrays.value}
-
-            for batch in batches:
-                ids = kit.ints(batch.column(n), _NONE)
-
-                def drop_of(a: int, b: int, lines: Lines) -> np.ndarray:
-                    gone = np.zeros(len(lines.a), bool)
-                    shard = (lines.a % np.uint64(shards)).astype(np.int64)
-                    order = np.argsort(shard, kind="stable")
-                    edge = np.searchsorted(shard[order], np.arange(shards + 1))
-                    for s, table in tables.items():  # noqa: B023
-                        at = order[edge[s] : edge[s + 1]]
-                        if len(at):
-                            last, known = table.last_of(lines.a[at], lines.b[at])
-                            gone[at] = known & (last != ids[a:b][lines.doc[at]])  # noqa: B023
-                    return gone
-
-                out = _apply(batch, drop_of, min_chars, text_at)
-                yield pa.RecordBatch.from_arrays([*out.columns[:n], *out.columns[n + 1 :]], [*names, "__n_lines", "__n_dropped", "__kept"])
-
-        done = inside.transform(kit.mapping, probe, f"{kinds}, {made}")
-    else:
-        done = _probe_by_shuffle(inside, index, names, kinds, made, doc_at, text_at, shards, salts, min_chars)
-    return done.toDF(*docs.columns, "n_lines", "n_dropped", "kept_text")
-
-
-def _probe_by_shuffle(inside: DataFrame, index: DataFrame, names: list[str], kinds: str, made: str, doc_at: int, text_at: int, shards: int, salts: int, min_chars: int) -> DataFrame:
-    """For serving arrays too large for each worker: lines' hashes go to the shards' arrays, hits come back by document."""
-    n = len(names)
-    inside = inside.withColumn("__tie", F.xxhash64(names[text_at]))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, Shard] = {}
         for batch in batches:
-            ids, ties = kit.ints(batch.column(0), _NONE), kit.ints(batch.column(1), 0)
-            for a, b, data, bounds in kit.slices(batch.column(2)):
-                lines = Lines(data, bounds, min_chars)
-                record = np.empty(len(lines.a), _PROBE)
-                record["a"], record["b"], record["doc"], record["tie"] = lines.a, lines.b, ids[a:b][lines.doc], ties[a:b][lines.doc]
-                yield _shard_rows(list(_by_shard(record, shards)))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, now = None, None
-        for batch in batches:
-            found = []
-            for shard, block, levels, bits, prints, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != now:
-                    table, now = Shard(levels, bits, prints, last), shard
-                r = _records(block, _PROBE)
-                most, known = table.last_of(r["a"], r["b"])
-                found.append(r[known & (most != r["doc"])])
-            r = np.concatenate(found) if found else np.zeros(0, _PROBE)
-            key = np.empty((len(r), 2), "<u8")
-            key[:, 0], key[:, 1] = r["a"], r["b"]
-            yield pa.RecordBatch.from_arrays([pa.array(r["doc"]), pa.array(r["tie"]), kit.binaries([x.tobytes() for x in key])], ["doc", "tie", "key"])
-
-    ids = inside.select("__id", "__tie", F.col(names[text_at]).cast("string").alias("text"))
-    probes = ids.transform(kit.mapping, send, "shard int, block binary").withColumn("salt", F.expr(f"cast(pmod(xxhash64(block), {salts}) as int)"))
-    tables = index.where("served > 0").select("shard", "levels", "bits", "prints", "last").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = probes.join(tables, ["shard", "salt"]).select("shard", "block", "levels", "bits", "prints", "last")
-    hits = met.transform(kit.mapping, answer, "doc long, tie long, key binary").groupBy(F.col("doc").alias("__d"), F.col("tie").alias("__t")).agg(F.collect_set("key").alias("__k"))
-    joined = inside.join(hits, (F.coalesce("__id", F.lit(int(_NONE))) == F.col("__d")) & (F.col("__tie") == F.col("__t")), "left").select(*names, "__k")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [set(x) if x else set() for x in batch.column(n).to_pylist()]
+            ids = kit.ints(batch.column(n), _NONE)
 
             def drop_of(a: int, b: int, lines: Lines) -> np.ndarray:
-                key = np.empty((len(lines.a), 2), "<u8")
-                key[:, 0], key[:, 1] = lines.a, lines.b
-                return np.fromiter((x.tobytes() in keys[a + d] for x, d in zip(key, lines.doc.tolist(), strict=True)), bool, len(key))  # noqa: B023
+                gone = np.zeros(len(lines.a), bool)
+                shard = index.shard(lines.a)
+                order = np.argsort(shard, kind="stable")
+                edge = np.searchsorted(shard[order], np.arange(many + 1))
+                for s in np.flatnonzero(np.diff(edge)).tolist():
+                    if index.sizes[s]:
+                        if s not in tables:
+                            tables[s] = Shard(index, s)
+                        at = order[edge[s] : edge[s + 1]]
+                        last, known = tables[s].last_of(lines.a[at], lines.b[at], min_docs)
+                        gone[at] = known & (last != ids[a:b][lines.doc[at]])  # noqa: B023
+                return gone
 
             out = _apply(batch, drop_of, min_chars, text_at)
             yield pa.RecordBatch.from_arrays([*out.columns[:n], *out.columns[n + 1 :]], [*names, "__n_lines", "__n_dropped", "__kept"])
 
-    return joined.transform(kit.mapping, cut, f"{kinds}, {made}")
+    done = inside.transform(kit.mapping, probe, f"{kinds}, __n_lines long, __n_dropped long, __kept string")
+    return done.toDF(*docs.columns, "n_lines", "n_dropped", "kept_text")

@@ -48,10 +48,10 @@ def test_substring_dedup(spark, pair):
 
 
 
-@pytest.mark.parametrize("limit", [1 << 20, -1])
+@pytest.mark.parametrize("limit", [1 << 20, 33])
 def test_line_dedup(spark, pair, limit):
     rows = [(i, pair[i > 2]) for i in range(5)]
-    out = line_dedup.drop_repeated_lines(docs(spark, rows).select("doc_id", "text"), broadcast_bytes=limit)
+    out = line_dedup.drop_repeated_lines(docs(spark, rows).select("doc_id", "text"), shard_bytes=limit)
     assert {r.doc_id: r.n_dropped for r in out.collect()} == dict.fromkeys(range(5), 0)
 
 
