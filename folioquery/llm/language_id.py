@@ -2,11 +2,14 @@
 
 Byte 2-, 3- and 4-grams of the whole text (A-Z lower-cased, white space as one kind) are hashed to
 ``dims`` relative frequencies. One-versus-one linear support vector machines first vote on the language
-family, then others, trained on that family alone, on the language within it. All classifiers are rows
-of one weight matrix of fixed size, so prediction is one pass of gathers and sums without a shuffle.
+family, then others, trained on that family alone, on the language within it. All classifiers are columns
+of one weight matrix, so prediction is one pass without a shuffle: sums of gathered rows, or, where many machines or a long text would make
+these large, a product of blocks of gram frequencies. The matrix is a file in the shared folder that workers map, as it grows with the square of
+the number of families.
 
 The model is fitted on a bounded sample: about ``per_language`` documents of each language, chosen by
-a hash of doc_id. Prediction covers every row and uses the text alone.
+a hash of doc_id, and held compressed; a machine is fitted on its two classes' rows, which are opened in place for it. Prediction covers every
+row and uses the text alone.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any learned
 language every text is ``und``; with one learned language that one is predicted. A null lang never
@@ -17,13 +20,15 @@ alphabetically first language. Repeated rows are predicted alike. Input columns
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kit
@@ -84,7 +89,6 @@ class Machine:
     yes: str
     no: str
     level: str
-    weights: np.ndarray = field(repr=False)
     bias: float = 0.0
 
 
@@ -103,11 +107,28 @@ def fit_svm(yes: np.ndarray, no: np.ndarray, epochs: int = 60, penalty: float =
     return w, b
 
 
+#: Bytes of gathered weights up to which sums of rows are taken, and documents in a block of frequencies beyond.
+_GATHER, _DOCUMENTS = 32 << 20, 256
+
+
 @dataclass
 class Model:
     languages: list[str]
     machines: list[Machine]
     dims: int
+    #: File of the weights, dims x machines.
+    weights: str | None = None
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The weights and a row of zeros, read once a worker; rows that no text asks for stay on disk."""
+        stored = kit.map_file(self.weights, "<f4", 0, (self.dims + 1) * len(self.machines))
+        if not isinstance(stored, np.ndarray):
+            stored = stored.take(np.arange(len(stored)))
+        return stored.reshape(self.dims + 1, -1)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def margins(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """(documents, machines) margins over whole texts."""
@@ -115,13 +136,20 @@ class Model:
         total, count = np.zeros((n, len(self.machines)), np.float64), np.zeros(n)
         if not len(data) or not self.machines:
             return total
-        table = np.zeros((self.dims + 1, len(self.machines)), np.float32)
-        for k, m in enumerate(self.machines):
-            table[:-1, k] = m.weights
         real = np.flatnonzero(np.diff(bounds))
-        for slot in gram_slots(data, bounds, self.dims):
-            total[real] += np.add.reduceat(table[slot], bounds[real], axis=0)
+        wide = 4 * len(data) * len(self.machines) > _GATHER
+        seen = [slot.astype(np.int32) if wide else slot for slot in gram_slots(data, bounds, self.dims)]
+        for slot in seen:
             count[real] += np.add.reduceat((slot < self.dims).astype(np.int64), bounds[real])
+            if not wide:
+                total[real] += np.add.reduceat(self.table[slot], bounds[real], axis=0)
+        for lo in range(0, n if wide else 0, _DOCUMENTS):
+            some = bounds[lo : lo + _DOCUMENTS + 1]
+            grams = np.zeros((len(some) - 1, self.dims + 1), np.float32)
+            for slot in seen:
+                for k, (a, b) in enumerate(zip(some[:-1].tolist(), some[1:].tolist(), strict=True)):
+                    grams[k] += np.bincount(slot[a:b], minlength=self.dims + 1)
+            total[lo : lo + len(grams)] = grams @ self.table
         return total / np.maximum(count, 1)[:, None] + np.array([m.bias for m in self.machines])
 
     def _vote(self, margins: np.ndarray, level: str, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,32 +221,56 @@ def train(docs: DataFrame, usable: Column | None = None, per_language: int = 500
     got = chosen.select("text", "lang").transform(kit.mapping, grams, "lang string, x binary").where("x IS NOT NULL").collect()  # the bounded sample
     if not got:
         return Model([], [], dims)
-    open_ = zstandard.ZstdDecompressor()
-    got.sort(key=lambda r: (family(r[0]), r[0]))  # a family's rows, and a language's, are one slice of the matrix
-    y, x = np.array([r[0] for r in got]), np.empty((len(got), dims), np.float32)
-    for i, r in enumerate(got):
-        x[i] = np.frombuffer(open_.decompress(bytes(r[1])), "<f4")
+    sample: dict[str, list[bytes]] = {}
+    for code, x in sorted((r[0], bytes(r[1])) for r in got):
+        sample.setdefault(code, []).append(x)
     del got
-    mean = x.mean(0)
-    x -= mean
-    # by rows: numpy's std would copy the matrix
-    spread = np.sqrt(np.einsum("ij,ij->j", x, x) / np.float32(len(x))) + np.float32(1e-4)
-    x /= spread
-    x /= np.float32(np.sqrt(dims))
-    languages, machines = sorted(set(y.tolist())), []
-    kin = np.array([family(c) for c in y])
-
-    def pairs(level: str, names: list[str], labels: np.ndarray) -> None:
-        for a, b in itertools.combinations(names, 2):
-            yes, no = (x[rows[0] : rows[-1] + 1] for rows in (np.flatnonzero(labels == c) for c in (a, b)))
-            w, bias = fit_svm(yes, no)
-            w = w / spread / np.float32(np.sqrt(dims))
-            machines.append(Machine(a, b, level, w, bias - float(w @ mean)))
-
-    pairs("", sorted(set(kin.tolist())), kin)
-    for name in sorted(set(kin.tolist())):
-        pairs(name, [c for c in languages if family(c) == name], y)
-    return Model(languages, machines, dims)
+    return _fit(docs.sparkSession, sample, dims)
+
+
+def _opened(sample: dict[str, list[bytes]], codes: list[str], out: np.ndarray) -> np.ndarray:
+    """The rows of some languages, in the first rows of ``out``."""
+    open_, n = zstandard.ZstdDecompressor(), 0
+    for code in codes:
+        for x in sample[code]:
+            out[n] = np.frombuffer(open_.decompress(x), "<f4")
+            n += 1
+    return out[:n]
+
+
+def _fit(spark: SparkSession, sample: dict[str, list[bytes]], dims: int) -> Model:
+    """Machines on the rows of two classes at a time; only these are open."""
+    languages = sorted(sample)
+    families: dict[str, list[str]] = {}
+    for code in languages:
+        families.setdefault(family(code), []).append(code)
+    size = lambda codes: sum(len(sample[c]) for c in codes)
+    most = sorted((size(codes) for codes in families.values()), reverse=True)
+    room = np.empty((max(sum(most[:2]), most[0]), dims), np.float32)  # the two largest families
+    total, square = np.zeros(dims), np.zeros(dims)
+    for code in languages:
+        total += _opened(sample, [code], room).sum(0, dtype=np.float64)
+    mean = (total / size(languages)).astype(np.float32)
+    for code in languages:
+        x = _opened(sample, [code], room)
+        x -= mean
+        square += np.einsum("ij,ij->j", x, x)
+    spread = (np.sqrt(square / size(languages)) + 1e-4).astype(np.float32) * np.float32(np.sqrt(dims))
+    machines: list[Machine] = []
+    pairs = [("", a, b, families[a], families[b]) for a, b in itertools.combinations(sorted(families), 2)]
+    pairs += [(name, a, b, [a], [b]) for name in sorted(families) for a, b in itertools.combinations(families[name], 2)]
+    table = np.zeros((dims + 1, len(pairs)), "<f4")
+    for k, (level, a, b, some, others) in enumerate(pairs):
+        n = len(_opened(sample, some, room))
+        both = room[: n + len(_opened(sample, others, room[n:]))]
+        both -= mean
+        both /= spread
+        w, bias = fit_svm(both[:n], both[n:])
+        table[:-1, k] = w / spread
+        machines.append(Machine(a, b, level, bias - float(table[:-1, k] @ mean)))
+    at = f"{kit.shared_dir(spark)}/language-weights-{uuid.uuid4().hex}"
+    kit.put_file(at, table.tobytes())
+    return Model(languages, machines, dims, at)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -27,6 +27,7 @@ class Reference:
         self.b = pairs
         self.follow = Counter(w for _, w in self.b)
         self.d = [self.discounts(x) for x in (self.follow, self.b, self.t)]
+        self.rest = sum(self.d[0][min(x, 3)] for x in self.follow.values())
         self.ctx = defaultdict(lambda: [0, 0, 0, 0])
         for *v, _, k in ((*p, k) for x in (self.b, self.t) for p, k in x.items()):
             self.ctx[tuple(v)][0] += k
@@ -41,8 +42,7 @@ class Reference:
     def p1(self, w):
         d, total = self.d[0], len(self.b)
         k = self.follow.get(w, 0)
-        rest = sum(d[min(x, 3)] for x in self.follow.values()) / total
-        return (k - d[min(k, 3)]) / total + rest / (self.v + 1)
+        return (k - d[min(k, 3)]) / total + self.rest / total / (self.v + 1)
 
     def step(self, context, k, d, shorter):
         if context not in self.ctx:
