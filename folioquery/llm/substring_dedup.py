@@ -7,8 +7,10 @@ they meet. In a bucket the windows are sorted and runs of equal ones counted; th
 (doc_id, start) stays, and byte comparison with it confirms every other.
 
 Hot passages: each map task first collapses equal super-k-mers to their first occurrence, so a
-passage that a third of the corpus shares sends one row per task. A bucket is read in several passes
-over ranges of window hashes where it exceeds ``bucket_bytes``, so its memory is bounded.
+passage that a third of the corpus shares sends one row per task. Runs that a sample of the corpus holds often rank behind all others as
+minimisers, so a frequent phrase in ever new surroundings does not fill one bucket (any order of runs gives the same windows). A bucket is
+read in several passes over ranges of window hashes where it exceeds ``bucket_bytes``; a pass holds 16 bytes a window, and then the texts of
+windows whose hash occurs again, cut out of their blocks.
 
 Defined cases: a document is identified by (doc_id, text): repeated rows count as one document and get
 equal results. Documents that share a doc_id but not the text are ordered by their text's hash; a null
@@ -41,13 +43,46 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def super_kmers(words: kit.Words, width: int, inner: int) -> tuple[np.ndarray, ...]:
+def run_hashes(words: kit.Words, inner: int) -> np.ndarray:
+    at = np.arange(max(0, len(words.start) - inner + 1))
+    return kit.Spans(words.hashes(), kit._BASE2).of(at, at + inner)
+
+
+def frequent_runs(docs: DataFrame, inner: int, sample: int = 4000, share: float = 0.005, most: int = 10_000) -> np.ndarray:
+    """Sorted hashes of word runs that ``share`` of about ``sample`` documents hold, chosen by a hash of their text; at most ``most``.
+
+    They decide the order of minimisers alone, so neither bound loses a window.
+    """
+    n = docs.count()
+    chosen = docs.select("text").where(F.expr(f"pmod(xxhash64(text, 31), 1048576) < {min(1.0, sample / max(1, n)) * 1048576}"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, bounds in kit.slices(batch.column(0)):
+                words = kit.Words(data, bounds)
+                h = run_hashes(words, inner)
+                doc = np.repeat(np.arange(len(words.counts)), words.counts)[: len(h)]
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: len(h)]
+                h, many = np.unique(h[new], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(many, pa.int64())], ["h", "n"])
+
+    least = max(8, int(share * min(n, sample)))
+    found = chosen.transform(kit.mapping, runs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r[0] for r in found.orderBy(F.desc("n"), "h").limit(most).collect()], np.int64).view(np.uint64))
+
+
+def super_kmers(words: kit.Words, width: int, inner: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(document, first word, word count, minimiser) of every super-k-mer; word numbers count over all of ``words``."""
     n = len(words.start)
     if n < width:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    at = np.arange(n - inner + 1)
-    least = sliding_min(kit.Spans(words.hashes(), kit._BASE2).of(at, at + inner), width - inner + 1)
+    runs = run_hashes(words, inner)
+    last = np.zeros(len(runs), np.uint64)
+    if frequent is not None and len(frequent):
+        last = (frequent[np.minimum(np.searchsorted(frequent, runs), len(frequent) - 1)] == runs).astype(np.uint64)
+    least = sliding_min(runs >> np.uint64(1) | last << np.uint64(63), width - inner + 1)
     doc = np.repeat(np.arange(len(words.counts)), words.counts)
     whole = doc[: n - width + 1] == doc[width - 1 :]
     window = np.flatnonzero(whole)
@@ -77,8 +112,8 @@ def intervals(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarr
 class _Collector:
     """Super-k-mers of one map task: equal ones collapse to the first, the rest is known to repeat."""
 
-    def __init__(self, width: int, inner: int, buckets: int, most: int):
-        self.width, self.inner, self.buckets, self.most = width, inner, buckets, most
+    def __init__(self, width: int, inner: int, buckets: int, frequent: np.ndarray):
+        self.width, self.inner, self.buckets, self.frequent = width, inner, buckets, frequent
         self.pack = zstandard.ZstdCompressor(level=1)
         self.clear()
 
@@ -86,7 +121,7 @@ class _Collector:
         self.records, self.hashes, self.owner, self.parts, self.size = [], [], [], [], 0
 
     def add(self, words: kit.Words, docs: np.ndarray, ties: np.ndarray) -> None:
-        doc, first, size, least = super_kmers(words, self.width, self.inner)
+        doc, first, size, least = super_kmers(words, self.width, self.inner, self.frequent)
         if not len(doc):
             return
         text, start, end = words.packed()
@@ -155,40 +190,68 @@ def _unpack(blocks: list[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
         yield np.frombuffer(raw, _RECORD, n, 8), raw[8 + n * _RECORD.itemsize :]
 
 
+def _windows(record: np.ndarray, body: bytes, width: int) -> tuple[kit.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a block, and each window's first word, super-k-mer and that one's first word."""
+    words = kit.Words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    size = record["words"].astype(np.int64)
+    base = np.cumsum(size) - size
+    at = kit.ragged(base, size - width + 1)
+    owner = np.repeat(np.arange(len(record)), size - width + 1)
+    return words, at, owner, base
+
+
+def _cut_out(body: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The parts of a block that some span covers, one after the other, and where each span starts there."""
+    order = np.argsort(start, kind="stable")
+    s, e = start[order], np.maximum.accumulate(end[order])
+    new = np.r_[True, s[1:] > e[:-1]]
+    head = np.flatnonzero(new)
+    stop = e[np.r_[head[1:] - 1, len(s) - 1]]
+    kept = np.cumsum(stop - s[head]) - (stop - s[head])
+    at = np.empty(len(s), np.int64)
+    group = np.cumsum(new) - 1
+    at[order] = kept[group] + s - s[head][group]
+    return b"".join([body[a:b] for a, b in zip(s[head].tolist(), stop.tolist(), strict=True)]), at
+
+
 def repeats_in_bucket(blocks: list[bytes], width: int, most: int) -> Iterator[tuple[int, int, bytes]]:
     """Sort a bucket's windows; yield the intervals of all but the first occurrence of each."""
     total = sum(zstandard.frame_content_size(b) for b in blocks)
     passes = max(1, -(-total // most))
     for turn in range(passes):
-        texts, hashes, docs, ties, starts, froms, tos, which = [], [], [], [], [], [], [], []
-        for b, (record, body) in enumerate(_unpack(blocks)):
-            words = kit.Words(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
-            size = record["words"].astype(np.int64)
-            base = np.cumsum(size) - size
-            at = kit.ragged(base, size - width + 1)
-            owner = np.repeat(np.arange(len(record)), size - width + 1)
+        hashes, places, counts = [], [], []
+        for record, body in _unpack(blocks):
+            words, at, _, _ = _windows(record, body, width)
             h = kit.Spans(words.hashes()).of(at, at + width)
-            if passes > 1:
-                mine = h % np.uint64(passes) == turn
-                at, owner, h = at[mine], owner[mine], h[mine]
-            texts.append(body)
-            hashes.append(h)
-            docs.append(record["doc"][owner])
-            ties.append(record["tie"][owner])
-            starts.append(record["start"][owner] + (at - base[owner]))
-            froms.append(words.start[at])
-            tos.append(words.end[at + width - 1])
-            which.append(np.full(len(at), b))
+            place = np.flatnonzero(h % np.uint64(passes) == turn) if passes > 1 else np.arange(len(h))
+            hashes.append(h[place])
+            places.append(place.astype(np.int32))
+            counts.append(len(place))
         h = np.concatenate(hashes)
+        del hashes
         if not len(h):
             continue
-        order = np.argsort(h, kind="stable")
+        order = kit.order_of(h)
         same = h[order[1:]] == h[order[:-1]]
-        order = order[np.r_[False, same] | np.r_[same, False]]
-        if not len(order):
+        again = np.zeros(len(h), bool)
+        again[order[np.r_[False, same] | np.r_[same, False]]] = True
+        del order, same
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        h, texts, found = h[again], [], []
+        for b, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            place = places[b][again[a:z]]
+            texts.append(b"")
+            if not len(place):
+                continue
+            record, body = next(_unpack(blocks[b : b + 1]))
+            words, at, owner, base = _windows(record, body, width)
+            at, owner = at[place], owner[place]
+            lo, hi = words.start[at], words.end[at + width - 1]
+            texts[b], begin = _cut_out(body, lo, hi)
+            found.append((record["doc"][owner], record["tie"][owner], record["start"][owner] + (at - base[owner]), begin, begin + hi - lo, np.full(len(at), b)))
+        if not found:
             continue
-        h = h[order]
-        doc, tie, start, lo, hi, block = (np.concatenate(x)[order] for x in (docs, ties, starts, froms, tos, which))
+        doc, tie, start, lo, hi, block = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((start, tie, doc, h))
         h, doc, tie, start, lo, hi, block = (x[order] for x in (h, doc, tie, start, lo, hi, block))
         head = np.r_[True, h[1:] != h[:-1]]
@@ -214,7 +277,7 @@ def repeated_intervals(docs: DataFrame, width: int = 20, inner: int = 4, flush_b
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            collector = _Collector(width, inner, buckets, flush_bytes)
+            collector = _Collector(width, inner, buckets, frequent)
             for batch in batches:
                 ids, ties = kit.ints(batch.column(0), _LAST), kit.ints(batch.column(1), 0)
                 for a, b, data, bounds in kit.slices(batch.column(2)):
@@ -245,6 +308,7 @@ def repeated_intervals(docs: DataFrame, width: int = 20, inner: int = 4, flush_b
 
     kind = "bucket int, doc long, tie long, block binary"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text"))
+    frequent = frequent_runs(rows, inner)
     blocks = rows.transform(kit.mapping, split, kind)
     # Known repeats carry bucket -1: deal them by document, so that they do not meet in one task.
     dealt = blocks.repartition(F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.hash("doc", "tie"))).sortWithinPartitions("bucket")

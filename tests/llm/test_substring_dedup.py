@@ -57,6 +57,40 @@ def test_hash_collisions_do_not_remove(monkeypatch):
     assert [(d, np.frombuffer(x, "<i4").tolist()) for d, _, x in found] == [(3, [0, 4])]
 
 
+def test_a_frequent_phrase_fills_no_bucket(spark):
+    """A phrase in ever new surroundings, whose run has the smallest hash of all: with it ranked last its windows spread over the buckets."""
+    import numpy as np
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    phrases = [" ".join(word() for _ in range(4)) for _ in range(3000)]
+    first = min(phrases, key=lambda p: int(op.run_hashes(kit.Words(*kit.text_arrays(pa.array([p]))), 4)[0]))
+    rows = [(i, " ".join([*(word() for _ in range(30)), first, *(word() for _ in range(30))])) for i in range(400)]
+    rows += [(1000 + i, f"{' '.join(rows[i][1].split()[25:50])} end") for i in range(0, 400, 40)]
+    df = docs(spark, rows)
+    frequent = op.frequent_runs(df, 4)
+    assert len(frequent) == 1
+    words = kit.Words(*kit.text_arrays(pa.array([t for _, t in rows])))
+
+    def largest(f):
+        _, _, size, least = op.super_kmers(words, 20, 4, f)
+        return np.unique(least, return_counts=True)[1].max()
+
+    assert largest(None) >= 400 and largest(frequent) <= 20
+    for limit in (128 << 20, 2000):
+        assert collect(op.remove_repeats(df, bucket_bytes=limit)) == substring_dedup(rows)
+
+
+def test_cut_out():
+    import numpy as np
+
+    body = b"abcdefghijklmnop"
+    start, end = np.array([8, 1, 2, 13, 3]), np.array([10, 4, 6, 15, 5])
+    text, at = op._cut_out(body, start, end)
+    assert text == b"bcdef" + b"ij" + b"no"
+    assert [text[a : a + e - s] for a, s, e in zip(at, start, end)] == [body[s:e] for s, e in zip(start, end)]
+
+
 def test_super_kmers_cover_all_windows():
     words = kit.Words(*kit.text_arrays(pa.array([" ".join(f"w{i % 7}" for i in range(50)), "a b", " ".join(f"v{i}" for i in range(25))])))
     doc, first, size, _ = op.super_kmers(words, 20, 4)
