@@ -1,12 +1,15 @@
 """HTML to markdown pages, on the standard library's tokenizer.
 
 The document becomes a small tree; rendering turns the tree into a flat list of marks (text, block edge, page break),
-and pages are assembled from that list.
+and pages are assembled from that list. No step recurses, so markup may be nested to any depth. Emphasis inside emphasis of the same kind is not
+marked again.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -20,9 +23,7 @@ BULLETS = "•·∙◦▪▫●○■□-–"
 IMPLIED = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _SCOPE = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}}
 EDGE, BREAK = object(), object()
-_CSS = re.compile(r"^[a-z-]+\s*:\s*[^:;{}]+;$", re.I)
-_ITEM = re.compile(r"^item\s+(\d{1,2}[a-z]?)\.?$", re.I)
-_PART = re.compile(r"^part\s+([ivx]+)\.?$", re.I)
+_INVISIBLE = dict.fromkeys((0x200B, 0xFEFF)) | {0xA0: " "}
 
 
 @dataclass
@@ -30,20 +31,30 @@ class Node:
     name: str
     attrs: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
+    #: Whether a block is somewhere below; set once the tree is whole.
+    blocks: bool = False
 
     @property
     def style(self) -> dict[str, str]:
         parts = (p.partition(":") for p in self.attrs.get("style", "").split(";"))
         return {k.strip().lower(): v.strip().lower() for k, _, v in parts if k.strip()}
 
-    def walk(self):
-        for c in self.children:
-            if isinstance(c, Node):
-                yield c
-                yield from c.walk()
+    def walk(self) -> Iterator[Node]:
+        """All elements below, in document order."""
+        todo = [c for c in reversed(self.children) if isinstance(c, Node)]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
     def text(self, sep: str = " ") -> str:
-        parts = [clean(c) if isinstance(c, str) else "" if c.name in SKIP else c.text(sep) for c in self.children]
+        parts, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                parts.append(clean(c))
+            elif c.name not in SKIP:
+                todo += reversed(c.children)
         return sep.join(p for p in parts if p).strip()
 
 
@@ -52,14 +63,22 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("root")
         self.open = [self.root]
+        self.names: Counter[str] = Counter()
+
+    def _cut(self, at: int) -> None:
+        """Close the elements from a place of the stack on."""
+        self.names.subtract(n.name for n in self.open[at:])
+        del self.open[at:]
 
     def _close_implied(self, name: str) -> None:
         ends, stop = IMPLIED.get(name, set()), _SCOPE.get(name, set())
+        if not any(self.names[x] > 0 for x in ends):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].name in stop or (name == "p" and self.open[i].name in {"div", "td", "th", "li", "article", "section", "body"}):
                 return
             if self.open[i].name in ends:
-                del self.open[i:]
+                self._cut(i)
                 return
 
     def handle_starttag(self, tag, attrs):
@@ -68,15 +87,18 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self._close_implied(tag)
         self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
+        if self.names[tag] <= 0:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].name == tag:
-                del self.open[i:]
+                self._cut(i)
                 return
 
     def handle_data(self, data):
@@ -87,17 +109,26 @@ def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(html)
     tree.close()
+    for node in reversed([tree.root, *tree.root.walk()]):  # children before their parents
+        node.blocks = any(isinstance(c, Node) and (c.blocks or _is_block(c)) for c in node.children)
     return next((n for n in tree.root.walk() if n.name == "body"), tree.root)
 
 
 def clean(text: str) -> str:
     """Without zero-width marks, white space as single spaces."""
-    return re.sub(r"\s+", " ", text.replace("​", "").replace("﻿", "").replace("\xa0", " ")).strip()
+    return " ".join(text.translate(_INVISIBLE).split())
+
+
+def _is_declaration(text: str) -> bool:
+    """A stray style declaration, as "margin-top: 2px;": a name of letters and hyphens, one colon, and a semicolon at the end."""
+    name, colon, value = text.partition(":")
+    name = name.strip()
+    return bool(colon) and name.replace("-", "").isalpha() and name.isascii() and value.endswith(";") and not set(":;{}") & set(value[:-1]) and bool(value[:-1].strip())
 
 
 def text_of(node: str) -> str:
     t = clean(node)
-    return "" if _CSS.match(t) else t
+    return "" if _is_declaration(t) else t
 
 
 def _breaks(node: Node, side: str) -> bool:
@@ -109,21 +140,42 @@ def _hidden(node: Node) -> bool:
     return node.name in SKIP or node.style.get("display") == "none"
 
 
-def mark(node: Node) -> str:
-    """The markdown wrapper of an element's own emphasis."""
+def emphasis(node: Node) -> int:
+    """An element's own emphasis: 2 bold, 1 italic, added."""
     s = node.style
     weight = s.get("font-weight", "")
     bold = node.name in ("b", "strong") or weight in ("bold", "bolder") or (weight.isdigit() and int(weight) >= 600)
-    italic = node.name in ("i", "em") or s.get("font-style") in ("italic", "oblique")
-    return "***" if bold and italic else "**" if bold else "*" if italic else ""
+    return 2 * bold + (node.name in ("i", "em") or s.get("font-style") in ("italic", "oblique"))
+
+
+def mark(node: Node) -> str:
+    """The markdown wrapper of an element's own emphasis."""
+    return ("", "*", "**", "***")[emphasis(node)]
 
 
 def _is_block(node: Node) -> bool:
     return node.name in BLOCK and not node.style.get("display", "").startswith("inline")
 
 
+def _run(call: Generator):
+    """Run generators that yield the generators they need a result of, on a stack of its own instead of Python's."""
+    stack, value = [call], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 def inline(node: Node | str) -> str:
     """An element as one piece of text."""
+    return _run(_inline(node, 0))
+
+
+def _inline(node: Node | str, around: int) -> Generator:
     if isinstance(node, str):
         return text_of(node)
     if _hidden(node):
@@ -131,23 +183,41 @@ def inline(node: Node | str) -> str:
     if node.name == "table":
         return table_text(node)
     if node.name in ("ul", "ol"):
-        return list_text(node)
-    text = " ".join(t for t in map(inline, node.children) if t).strip()
-    wrap = mark(node) if node.name != "li" else ""
-    return f"{wrap}{text}{wrap}" if text else ""
+        return (yield _list(node))
+    own = emphasis(node) & ~around if node.name != "li" else 0
+    parts = []
+    for c in node.children:
+        if t := (yield _inline(c, around | own)):
+            parts.append(t)
+    text = " ".join(parts).strip()
+    return f"{'*' * own}{text}{'*' * own}" if text else ""
+
+
+def _list(node: Node) -> Generator:
+    items = []
+    for c in node.children:
+        if isinstance(c, Node) and c.name == "li":
+            if t := (yield _inline(c, 0)).lstrip(BULLETS).strip():
+                items.append(t)
+    return "\n".join(f"{i}. {t}" if node.name == "ol" else f"- {t}" for i, t in enumerate(items, 1))
 
 
-def list_text(node: Node) -> str:
-    found = (inline(c).lstrip(BULLETS).strip() for c in node.children if isinstance(c, Node) and c.name == "li")
-    items = [t for t in found if t]
-    return "\n".join(f"{i}. {t}" if node.name == "ol" else f"- {t}" for i, t in enumerate(items, 1))
+def _own(node: Node) -> Iterator[Node]:
+    """Elements below that are in no table within."""
+    todo = [c for c in reversed(node.children) if isinstance(c, Node)]
+    while todo:
+        node = todo.pop()
+        yield node
+        if node.name != "table":
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
 def cells_of(table: Node) -> list[list[tables.Span]]:
+    """The table's own cells; a table within a cell is that cell's text."""
     rows = []
-    for tr in table.walk():
+    for tr in _own(table):
         if tr.name == "tr":
-            row = [tables.Span(c.text() or ("●" if any(x.name == "img" for x in c.walk()) else ""), tables.span(c.attrs.get("rowspan")), tables.span(c.attrs.get("colspan"))) for c in tr.walk() if c.name in ("td", "th")]
+            row = [tables.Span(c.text() or ("●" if any(x.name == "img" for x in c.walk()) else ""), tables.span(c.attrs.get("rowspan")), tables.span(c.attrs.get("colspan"))) for c in _own(tr) if c.name in ("td", "th")]
             if row:
                 rows.append(row)
     return rows
@@ -164,46 +234,56 @@ def banner(texts: list[str]) -> str:
     """A one-row table: a bullet item, an Item or Part header, or plain text."""
     if texts and any(t in BULLETS for t in texts if t) and any(t and t not in BULLETS for t in texts[1:]):
         return "- " + next(t for t in reversed(texts) if t and t not in BULLETS)
-    first = texts[0] if texts else ""
-    if m := _ITEM.match(first):
-        return f"ITEM {m[1].upper()}. {next((t for t in texts[1:] if t), '')}".strip()
-    if m := _PART.match(first):
-        return f"PART {m[1].upper()}"
+    words = texts[0].lower().removesuffix(".").split() if texts else []
+    if len(words) == 2:
+        kind, number = words
+        figure = number[:-1] if number[-1].isalpha() else number
+        if kind == "item" and figure.isdigit() and len(figure) <= 2:
+            return f"ITEM {number.upper()}. {next((t for t in texts[1:] if t), '')}".strip()
+        if kind == "part" and set(number) <= set("ivx"):
+            return f"PART {number.upper()}"
     return " ".join(t for t in texts if t)
 
 
 def marks(node: Node | str) -> list:
     """Text pieces, EDGE at block borders, BREAK at page borders."""
+    out: list = []
+    _run(_marks(node, out))
+    return out
+
+
+def _marks(node: Node | str, out: list) -> Generator:
     if isinstance(node, str):
-        t = text_of(node)
-        return [t + " "] if t else []
+        if t := text_of(node):
+            out.append(t + " ")
+        return
     if _hidden(node):
-        return []
+        return
     block = _is_block(node) and node.style.get("position") != "absolute"
-    kids = [c for c in node.children if isinstance(c, Node) and c.style.get("position") == "absolute" and c.text()]
-    out: list = []
-    if node.name == "div" and kids and node.style.get("position") != "absolute":
-        for piece in positioned.render([_box(c) for c in kids]):
+    out += [BREAK] * _breaks(node, "before") + [EDGE] * block
+    boxes = []
+    if node.name == "div" and node.style.get("position") != "absolute":
+        boxes = [c for c in node.children if isinstance(c, Node) and c.style.get("position") == "absolute" and c.text()]
+    if boxes:
+        for piece in positioned.render([_box(c) for c in boxes]):
             out += [piece, EDGE]
     elif node.name in ("table", "ul", "ol"):
-        out += [inline(node)]
-    elif mark(node) and not block and not any(_is_block(c) for c in node.walk()):
-        t = inline(node)
-        out += [t + " "] if t else []
+        out.append((yield _inline(node, 0)))
+    elif emphasis(node) and not block and not node.blocks:
+        if t := (yield _inline(node, 0)):
+            out.append(t + " ")
     elif node.name == "br":
-        out += ["\n"]
+        out.append("\n")
     else:
         for c in node.children:
-            out += marks(c)
-    if block:
-        out = [EDGE, *out, EDGE]
-    return [BREAK] * _breaks(node, "before") + out + [BREAK] * _breaks(node, "after")
+            yield _marks(c, out)
+    out += [EDGE] * block + [BREAK] * _breaks(node, "after")
 
 
 def _box(node: Node) -> positioned.Box:
     s = node.style
     px = lambda k: float(m[1]) if (m := re.match(r"(-?\d+(?:\.\d+)?)px", s.get(k, ""))) else 0.0
-    bold = mark(node).startswith("**") or any(mark(c).startswith("**") for c in node.walk())
+    bold = any(emphasis(c) & 2 for c in (node, *node.walk()))
     return positioned.Box(px("left"), px("top"), node.text(), bold)
 
 

@@ -1,144 +1,204 @@
-"""Section extraction: PART and ITEM headers carried over pages.
+"""Section extraction: PART and ITEM headers carried over pages, as windows over the lines of a filing.
 
-A filing's pages become a stream of events (header or text, in order of page and offset); one fold over the
-stream keeps the running part and item.
+Lines become words without markup; a line's first words tell whether it is a header, a page number or a running title. Headers number the
+sections, the running part is the last one seen, and lines are put together again by section and page. All is built-in expressions.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import flat_map
-
 # Which items each part of a form has.
 STRUCTURE = {
     "10-K": {
-        "PART I": "1 1A 1B 1C 2 3 4",
-        "PART II": "5 6 7 7A 8 9 9A 9B 9C",
-        "PART III": "10 11 12 13 14",
-        "PART IV": "15 16",
+        "PART I": ["ITEM 1", "ITEM 1A", "ITEM 1B", "ITEM 1C", "ITEM 2", "ITEM 3", "ITEM 4"],
+        "PART II": ["ITEM 5", "ITEM 6", "ITEM 7", "ITEM 7A", "ITEM 8", "ITEM 9", "ITEM 9A", "ITEM 9B", "ITEM 9C"],
+        "PART III": ["ITEM 10", "ITEM 11", "ITEM 12", "ITEM 13", "ITEM 14"],
+        "PART IV": ["ITEM 15", "ITEM 16"],
+    },
+    "10-Q": {
+        "PART I": ["ITEM 1", "ITEM 2", "ITEM 3", "ITEM 4"],
+        "PART II": ["ITEM 1", "ITEM 1A", "ITEM 2", "ITEM 3", "ITEM 4", "ITEM 5", "ITEM 6"],
     },
-    "10-Q": {"PART I": "1 2 3 4", "PART II": "1 1A 2 3 4 5 6"},
     "20-F": {
-        "PART I": "1 2 3 4 5 6 7 8 9 10 11 12 12D",
-        "PART II": "13 14 15 16 16A 16B 16C 16D 16E 16F 16G 16H 16I",
-        "PART III": "17 18 19",
+        "PART I": ["ITEM 1", "ITEM 2", "ITEM 3", "ITEM 4", "ITEM 5", "ITEM 6", "ITEM 7", "ITEM 8", "ITEM 9", "ITEM 10", "ITEM 11", "ITEM 12", "ITEM 12D"],
+        "PART II": ["ITEM 13", "ITEM 14", "ITEM 15", "ITEM 16", "ITEM 16A", "ITEM 16B", "ITEM 16C", "ITEM 16D", "ITEM 16E", "ITEM 16F", "ITEM 16G", "ITEM 16H", "ITEM 16I"],
+        "PART III": ["ITEM 17", "ITEM 18", "ITEM 19"],
     },
 }
-# Names of sections, by form and "part/item" or item.
+# Names of sections, by form and item, or by form, part and item.
 NAMES = {
-    "10-K": {"ITEM 1": "business", "ITEM 1A": "risk_factors", "ITEM 2": "properties", "ITEM 3": "legal_proceedings", "ITEM 5": "market_equity_matters", "ITEM 7": "md&a", "ITEM 7A": "market_risk", "ITEM 9A": "controls_procedures", "ITEM 9B": "other_information"},
-    "10-Q": {"PART I/ITEM 2": "md&a", "PART I/ITEM 3": "market_risk", "PART I/ITEM 4": "controls_procedures", "PART II/ITEM 1": "legal_proceedings", "PART II/ITEM 1A": "risk_factors", "PART II/ITEM 2": "unregistered_sales_equity"},
-    "20-F": {"ITEM 3": "risk_factors", "ITEM 4": "business", "ITEM 5": "md&a", "ITEM 11": "market_risk"} | {f"ITEM 16{x}": "controls_procedures" for x in ("", *"ABCDEFGHI")},
+    ("10-K", "ITEM 1"): "business",
+    ("10-K", "ITEM 1A"): "risk_factors",
+    ("10-K", "ITEM 2"): "properties",
+    ("10-K", "ITEM 3"): "legal_proceedings",
+    ("10-K", "ITEM 5"): "market_equity_matters",
+    ("10-K", "ITEM 7"): "md&a",
+    ("10-K", "ITEM 7A"): "market_risk",
+    ("10-K", "ITEM 9A"): "controls_procedures",
+    ("10-K", "ITEM 9B"): "other_information",
+    ("10-Q", "PART I", "ITEM 2"): "md&a",
+    ("10-Q", "PART I", "ITEM 3"): "market_risk",
+    ("10-Q", "PART I", "ITEM 4"): "controls_procedures",
+    ("10-Q", "PART II", "ITEM 1"): "legal_proceedings",
+    ("10-Q", "PART II", "ITEM 1A"): "risk_factors",
+    ("10-Q", "PART II", "ITEM 2"): "unregistered_sales_equity",
+    ("20-F", "ITEM 3"): "risk_factors",
+    ("20-F", "ITEM 4"): "business",
+    ("20-F", "ITEM 5"): "md&a",
+    ("20-F", "ITEM 11"): "market_risk",
+    ("20-F", "ITEM 16"): "controls_procedures",
+    ("20-F", "ITEM 16A"): "controls_procedures",
+    ("20-F", "ITEM 16B"): "controls_procedures",
+    ("20-F", "ITEM 16C"): "controls_procedures",
+    ("20-F", "ITEM 16D"): "controls_procedures",
+    ("20-F", "ITEM 16E"): "controls_procedures",
+    ("20-F", "ITEM 16F"): "controls_procedures",
+    ("20-F", "ITEM 16G"): "controls_procedures",
+    ("20-F", "ITEM 16H"): "controls_procedures",
+    ("20-F", "ITEM 16I"): "controls_procedures",
 }
-_LEAD = r"^[ \t]*(?:\*\*|__|#+ )?[ \t]*(?:</?[^>\n]+>[ \t]*)*"
-_HEADER = re.compile(_LEAD + r"(?:(?P<part>PART[ \t]+[IVXLC]+)\b(?=[ \t]*$|[ \t])|ITEM[ \t]+(?P<item>\d{1,2}[A-Z]?)\b\.?[ \t]*(?:[:.\-–—][ \t]*)?(?P<title>[^\n]*))", re.I | re.M)
-_RUNNING = re.compile(r"^\s*(?:[A-Z][A-Za-z0-9 .,&\-]+)?\s*\|\s*\d{4}\s+Form\s+10-[KQ]\s*\|\s*\d+\s*$")
-_NUMBER = re.compile(r"^\s*(?:Page\s+\d+\s*(?:of\s+\d+)?|\d+)\s*$", re.I)
-_EDGE = re.compile(r"^\s*(?:\*\*|__)\s*|\s*(?:\*\*|__)\s*$")
-_LEADER = re.compile(r"\.{3,}\s*\d{1,4}\s*$", re.M)
-_ITEM_ROW = re.compile(r"^\s*ITEM\s+\d{1,2}[A-Z]?\.?\b", re.I | re.M)
-STUB = 80
-
-
-@dataclass
-class Section:
-    part: str | None
-    item: str | None
-    title: str | None
-    pages: list[dict] = field(default_factory=list)
-
-
-def is_contents(content: str, page: int) -> bool:
-    """A table of contents: one of the first five pages with three item rows or three dotted leaders."""
-    return page <= 5 and (len(_ITEM_ROW.findall(content)) >= 3 or len(_LEADER.findall(content)) >= 3)
-
-
-def body_of(content: str) -> str:
-    """Without running headers, page numbers and emphasis at line ends."""
-    lines = content.replace(" ", " ").replace(" ", " ").replace("​", "").split("\n")
-    return "\n".join(_EDGE.sub("", x.rstrip()) for x in lines if not _RUNNING.match(x) and not _NUMBER.match(x))
-
-
-def part_of(form: str | None, item: str) -> str | None:
-    """The part an item belongs to, by its number; unknown for other forms."""
-    n = int(re.sub(r"\D", "", item))
-    if form == "10-Q":
-        return "PART I" if 1 <= n <= 4 else "PART II"
-    if form == "10-K":
-        return next((p for p, items in STRUCTURE[form].items() if str(n) in items.split()), None)
-    return None
-
-
-def events(pages: list[dict]) -> Iterator[tuple[int, str, re.Match | None]]:
-    """(page, text, header): text that begins with the header, or text before any header of its page."""
-    for page in sorted(pages, key=lambda p: p["page"]):
-        if is_contents(page["content"] or "", page["page"]):
-            continue
-        text = body_of(page["content"] or "")
-        found = list(_HEADER.finditer(text))
-        cuts = [m.start() for m in found] + [len(text)]
-        if text[: cuts[0]].strip():
-            yield page["page"], text[: cuts[0]].strip(), None
-        for m, end in zip(found, cuts[1:], strict=True):
-            yield page["page"], text[m.start() : end].strip(), m
-
-
-def extract(pages: list[dict], form: str | None = None) -> list[Section]:
-    """Sections in order; text before any header is dropped.
-
-    A PART starts anew without an item, unless an ITEM follows at once on its page, which then takes its place.
-    """
-    out: list[Section] = []
-    for page, text, head in events(pages):
-        if head is None:
-            if out:
-                out[-1].pages.append({"page": page, "content": text})
-            continue
-        if head["part"]:
-            out.append(Section(re.sub(r"\s+", " ", head["part"].upper()), None, None, [{"page": page, "content": text}]))
-            continue
-        last = out[-1] if out else None
-        part = last.part if last else None
-        item = f"ITEM {head['item'].upper()}"
-        title = re.sub(r"\s+", " ", head["title"]).strip() or None
-        if last and last.item is None and last.part and len(last.pages) == 1 and last.pages[0]["page"] == page:
-            out.pop()  # the part's line is only the heading of this item
-        out.append(Section(part or (part_of(form, item) if form else None), item, title, [{"page": page, "content": text}]))
-    out = [s for s in out if s.item or sum(len(p["content"]) for p in s.pages) > STUB]
-    if form in STRUCTURE:
-        allowed = STRUCTURE[form]
-        out = [s for s in out if s.part in allowed and (s.item is None or s.item[5:] in allowed[s.part].split())]
-    return out
+# A part without items needs more characters than this; contents are among the first pages and have so many entries.
+STUB, CONTENTS_PAGES, CONTENTS_ROWS = 80, 5, 3
+_DIGITS = "0123456789"
 
 
-def section_of(sections: list[Section], part: str, item: str | None = None) -> Section | None:
-    norm = lambda s: re.sub(r"\s+", " ", s.upper().strip())
-    return next((s for s in sections if s.part == norm(part) and (item is None or s.item == norm(item))), None)
+def _without(text: Column, wrap: str) -> Column:
+    """Without one emphasis mark at each end."""
+    text = F.when(text.startswith(wrap), F.ltrim(F.substring(text, len(wrap) + 1, 1 << 30))).otherwise(text)
+    return F.when(text.endswith(wrap), F.rtrim(F.left(text, F.length(text) - len(wrap)))).otherwise(text)
 
 
-SECTION = "filing_id long, form string, part string, item string, title string, section string, pages array<struct<page:int,content:string>>"
+def _number(word: Column) -> Column:
+    """Whether a word is digits alone."""
+    return (word != "") & (F.translate(word, _DIGITS, "") == "")
 
 
-def name_of(form: str, part: str | None, item: str | None) -> str | None:
-    names = NAMES.get(form, {})
-    return names.get(item or "") or names.get(f"{part}/{item}")
+def _word(words: Column, i: int) -> Column:
+    return F.coalesce(F.get(words, F.lit(i)), F.lit(""))
 
 
-def extract_sections(filings: DataFrame) -> DataFrame:
-    """From (filing_id, form, pages) one row a section."""
+def _is_page_number(words: Column) -> Column:
+    """A number alone, or "Page 3", or "Page 3 of 9"."""
+    n = F.size(words)
+    page = (_word(words, 0) == "page") & _number(_word(words, 1))
+    return ((n == 1) & _number(_word(words, 0))) | (page & (n == 2)) | (page & (n == 4) & (_word(words, 2) == "of") & _number(_word(words, 3)))
+
+
+def _is_running_title(line: Column) -> Column:
+    """Three cells: a name that begins with a capital or nothing, "2024 Form 10-K", a page number."""
+    cells = F.transform(F.split(line, r"\|"), lambda c: F.btrim(c))
+    middle = F.split(F.get(cells, F.lit(1)), r"\s+")
+    name = F.left(F.get(cells, F.lit(0)), F.lit(1))
+    form = (F.length(_word(middle, 0)) == 4) & _number(_word(middle, 0)) & (_word(middle, 1) == "Form") & _word(middle, 2).isin("10-K", "10-Q") & (F.size(middle) == 3)
+    return F.coalesce((F.size(cells) == 3) & _number(F.get(cells, F.lit(2))) & form & ((name == "") | name.between("A", "Z")), F.lit(False))
+
+
+def _item_number(line: Column) -> Column:
+    """"7A" of "Item 7a. ..."; empty without a number after the first four characters."""
+    return F.upper(F.regexp_extract(F.ltrim(F.substring(line, 5, 1 << 30)), "^([0-9]{1,2}[A-Za-z]?)(?![A-Za-z0-9_])", 1))
+
+
+def _has_leader(line: Column) -> Column:
+    """Dots, then a page number of up to four digits, at the end."""
+    line = F.rtrim(line)
+    bare = F.rtrim(line, F.lit(_DIGITS))
+    return (F.length(line) - F.length(bare)).between(1, 4) & F.rtrim(bare).endswith("...")
+
+
+def _spaced(text: Column) -> Column:
+    """Unusual spaces as plain ones, zero-width ones away."""
+    return F.translate(text, "\u00a0\u202f\t\r\u200b", "    ")
 
-    def work(row: dict) -> Iterator[dict]:
-        form = (row["form"] or "").removesuffix("/A")
-        for s in extract(row["pages"] or [], form or None):
-            yield {"filing_id": row["filing_id"], "form": row["form"], "part": s.part, "item": s.item, "title": s.title, "section": name_of(form, s.part, s.item), "pages": s.pages}
 
-    return flat_map(filings.select("filing_id", "form", "pages"), work, SECTION)
+def part_of(form: Column, item: Column) -> Column:
+    """The part that an item belongs to by its number; null for other forms."""
+    n = F.regexp_extract(item, "[0-9]+", 0).try_cast("int")
+    out = F.when((form == "10-Q") & n.isNotNull(), F.when(n.between(1, 4), "PART I").otherwise("PART II"))
+    for part, items in STRUCTURE["10-K"].items():
+        out = out.when((form == "10-K") & F.concat(F.lit("ITEM "), n.cast("string")).isin(items), part)
+    return out
+
+
+def name_of(form: Column, part: Column, item: Column) -> Column:
+    """The section's name, or null."""
+    out = F.lit(None).cast("string")
+    for (of, *where), name in NAMES.items():
+        hit = (form == of) & (item == where[-1])
+        out = F.when(hit if len(where) == 1 else hit & (part == where[0]), name).otherwise(out)
+    return out
+
+
+def line_rows(pages: DataFrame) -> DataFrame:
+    """From (filing_id, form, page, content) the lines that are no running titles or page numbers, with what headers they hold.
+
+    ``part`` is "PART II" and ``item`` "ITEM 7A" on header lines; ``title`` is the rest of an item's line. Contents pages are left out.
+    """
+    text = _spaced(F.coalesce("content", F.lit("")))
+    pages = pages.select("filing_id", "form", "page", F.split(text, "\n").alias("lines"))
+    # contents are told within a page, before its lines part
+    entries = F.size(F.filter("lines", lambda x: (F.upper(F.left(F.ltrim(x), F.lit(4))) == "ITEM") & (_item_number(F.ltrim(x)) != "")))
+    leaders = F.size(F.filter("lines", _has_leader))
+    pages = pages.where((F.col("page") > CONTENTS_PAGES) | ((entries < CONTENTS_ROWS) & (leaders < CONTENTS_ROWS)))
+    lines = pages.select("filing_id", "form", "page", F.posexplode("lines").alias("n", "raw"))
+    words = F.split(F.lower(F.btrim("raw")), " +")
+    lines = lines.where(~_is_page_number(words) & ~_is_running_title(F.col("raw")))
+    body = _without(_without(F.btrim("raw"), "**"), "__")
+    # a heading may stand behind # marks, emphasis and tags
+    bare = F.ltrim(F.regexp_replace(F.ltrim(body, F.lit("#*_ ")), "^(<[^>]*> *)+", ""))
+    lines = lines.select("filing_id", "form", "page", "n", body.alias("line"), bare.alias("bare"))
+    head = F.upper(F.split_part("bare", F.lit(" "), F.lit(1)))
+    after = F.upper(F.split_part(F.ltrim(F.substring("bare", 5, 1 << 30)), F.lit(" "), F.lit(1)))
+    part = F.when((head == "PART") & (after != "") & (F.translate(after, "IVXLC", "") == ""), F.concat(F.lit("PART "), after))
+    number = _item_number(F.col("bare"))
+    item = F.when((head == "ITEM") & (number != ""), F.concat(F.lit("ITEM "), number))
+    told = F.regexp_replace(F.substring(F.ltrim(F.substring("bare", 5, 1 << 30)), F.length(number) + 1, F.lit(1 << 30)), "<[^>]*>", "")
+    title = F.regexp_replace(F.btrim(F.ltrim(told, F.lit(" .:-\u2013\u2014"))), " +", " ")
+    return lines.select("filing_id", "form", "page", "n", "line", part.alias("part"), item.alias("item"), F.when(item.isNotNull() & (title != ""), title).alias("title"))
+
+
+def extract_sections(filings: DataFrame) -> DataFrame:
+    """From (filing_id, form, pages) one row a section: (filing_id, form, part, item, title, section, pages).
+
+    A PART starts anew without an item; if the next header is an ITEM on the same page, the part's line is only that item's heading. The part of
+    an item is the last one stated, else what the number of the filing's first item tells. Lines before any header are dropped. Filings are told
+    apart by filing_id; one filing's lines meet in one task. A null page list or content has no sections.
+    """
+    base = F.regexp_replace("form", "/A$", "")
+    pages = filings.select("filing_id", "form", F.explode("pages").alias("p")).select("filing_id", "form", "p.page", "p.content")
+    order = W.partitionBy("filing_id").orderBy("page", "n")
+    lines = line_rows(pages)
+    head = F.col("part").isNotNull() | F.col("item").isNotNull()
+    stated = F.last("part", True).over(order)
+    guessed = F.first(part_of(base, F.col("item")), True).over(order)
+    lines = lines.select("*", head.alias("head"), F.count_if(head).over(order).alias("k"), F.coalesce(stated, guessed).alias("running"))
+    lines = lines.where("k > 0")
+    # the next header of a part's line
+    heads = lines.where("head").select("filing_id", "k", "form", F.col("page").alias("from_page"), F.col("running").alias("part"), "item", "title")
+    by_head = W.partitionBy("filing_id").orderBy("k")
+    only_heading = F.col("item").isNull() & F.lead("item").over(by_head).isNotNull() & (F.lead("from_page").over(by_head) == F.col("from_page"))
+    heads = heads.withColumn("gone", F.coalesce(only_heading, F.lit(False))).where("NOT gone").drop("gone", "from_page")
+    text = F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n"), F.lit(" \n"))
+    parts = lines.groupBy("filing_id", "k", "page").agg(text.alias("content")).where("content <> ''")
+    whole = parts.groupBy("filing_id", "k").agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "content"))).alias("pages"))
+    out = heads.join(whole, ["filing_id", "k"])
+    size = F.aggregate("pages", F.lit(0), lambda total, p: total + F.length(p["content"]))
+    out = out.where(F.col("item").isNotNull() | (size > STUB))
+    allowed = ~base.isin(*STRUCTURE)
+    for form, of in STRUCTURE.items():
+        for part, items in of.items():
+            allowed = allowed | ((base == form) & (F.col("part") == part) & (F.col("item").isNull() | F.col("item").isin(items)))
+    out = out.where(F.coalesce(allowed, F.col("form").isNull()))
+    return out.select("filing_id", "form", "part", "item", "title", name_of(base, F.col("part"), F.col("item")).alias("section"), "pages")
+
+
+def section_of(sections: DataFrame, part: str, item: str | None = None) -> DataFrame:
+    """The rows of a part's, or a part's item's, sections; case and spaces do not matter."""
+    norm = lambda s: " ".join(s.upper().split())
+    found = sections.where(F.col("part") == norm(part))
+    return found if item is None else found.where(F.col("item") == norm(item))
 
 
 def attachment_type(exhibit: Column) -> Column:

@@ -112,14 +112,19 @@ def bm25(docs: DataFrame, key: str, text: str | dict[str, float], terms: list[Te
     facts = counted.agg(F.count("*").alias("__n"), F.avg("__dl").alias("__avg"), *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
     hit = reduce(lambda a, b: a | b, (F.col(f"__tf{i}") > 0 for i in range(len(terms))))
     scored = counted.where(hit).join(F.broadcast(facts))  # one row
-    length = K1 * (1 - B + B * F.col("__dl") / F.col("__avg"))
+    return scored.select(key, (-bm25_score([F.col(f"__tf{i}") for i in range(len(terms))], F.col("__dl"))).alias("rank"))
+
+
+def bm25_score(tfs: list[Column], length: Column) -> Column:
+    """The score from term counts, beside columns ``__n`` (documents), ``__avg`` (mean length) and ``__df<i>`` (documents with the i-th term)."""
+    norm = K1 * (1 - B + B * length / F.col("__avg"))
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"__tf{i}"), F.col(f"__df{i}")
+    for i, tf in enumerate(tfs):
+        df = F.col(f"__df{i}")
         idf = F.log((F.col("__n") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-        score = score + idf * (tf * (K1 + 1)) / (tf + length)
-    return scored.select(key, (-score).alias("rank"))
+        score = score + idf * (tf * (K1 + 1)) / (tf + norm)
+    return score
 
 
 # ---------------------------------------------------------------- display formats

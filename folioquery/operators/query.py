@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from . import hybrid, vector
+from . import hybrid, vector, writes
+from .fulltext import TextIndex
 from .predicates import And, Filters, Predicate
-from .schema import Catalog, SchemaError
+from .schema import Catalog, SchemaError, TableSpec
 from .views import view_frame
 
 _RAW = re.compile(r"[(.`]")
 
 
 class Database:
-    """Named DataFrames under a catalog. ``vectors`` gives the (id, vector) rows of a table's searchable column."""
+    """Named DataFrames under a catalog. ``vectors`` gives the (id, vector) rows of a table's searchable column, ``indexes`` the full-text index
+    of a table's column or None; without an index keyword searches read the text."""
 
-    def __init__(self, catalog: Catalog, load: Callable[[str], DataFrame], vectors: Callable[[str, str], DataFrame] | None = None, embedder: vector.Embedder | None = None):
-        self.catalog, self.load, self.vectors, self.embedder = catalog, load, vectors, embedder
+    def __init__(self, catalog: Catalog, load: Callable[[str], DataFrame], vectors: Callable[[str, str], DataFrame] | None = None, embedder: vector.Embedder | None = None, indexes: Callable[[str, str], TextIndex | None] | None = None):
+        self.catalog, self.load, self.vectors, self.embedder, self.indexes = catalog, load, vectors, embedder, indexes
 
     def table(self, name: str) -> Query:
         if name not in self.catalog.tables and name not in self.catalog.views:
@@ -105,13 +107,34 @@ class Query(Filters):
     def rerank(self, query: str, content_column: str, topk: int = 10, reranker: hybrid.Reranker = hybrid.lexical_relevance) -> Query:
         return replace(self, reranking=(query, content_column, topk, reranker))
 
-    def insert(self, *_: Any) -> None:
-        self._refuse_view()
+    # -- writing: the table's rows after the change, to be committed by a VersionedTable
 
-    update = delete = upsert = insert
+    def _target(self) -> tuple[DataFrame, TableSpec]:
+        if self._view:
+            raise SchemaError(f"{self.name} is a view; write to its tables")
+        return self.db.load(self.name), self.db.catalog[self.name]
+
+    def _hit(self, df: DataFrame) -> Column:
+        return F.lit(True) if self.predicate is None else self.predicate.column(lambda name: (F.col(name), self._type(df, name)))
+
+    def insert(self, rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+        target, spec = self._target()
+        return writes.insert(target, rows, spec, order)
 
-    def _refuse_view(self) -> None:
-        raise SchemaError(f"{self.name} is read-only here; write through folioquery.operators.writes")
+    def update(self, changes: dict[str, Any]) -> DataFrame:
+        """Set columns where the predicates hold."""
+        target, spec = self._target()
+        return writes.update_where(target, changes, self._hit(target), spec)
+
+    def delete(self) -> DataFrame:
+        """Without the rows that the predicates hold for."""
+        target, _ = self._target()
+        return writes.delete_where(target, self._hit(target))
+
+    def upsert(self, rows: DataFrame, key: list[str]) -> DataFrame:
+        target, spec = self._target()
+        writes.check_conflict_key(spec, tuple(key))
+        return writes.upsert(target, rows, key)
 
     # -- resolution
 
@@ -175,7 +198,13 @@ class Query(Filters):
         return self.db.vectors(table, name)
 
     def _keyword_ranks(self, terms: list[tx.Term], column: str) -> DataFrame:
-        """Ranks over the whole column, before any predicate."""
+        """Ranks over the whole column, before any predicate; from its index where there is one."""
+        table, name = self._view.source(column) if self._view else (self.name, column)
+        # a view with more tables than the column's repeats or lacks its rows
+        alone = not self._view or len(self._view.tables) == 1
+        index = self.db.indexes(table, name) if self.db.indexes and alone else None
+        if index is not None:
+            return index.bm25(terms)
         return tx.bm25(self._source({"id", column}), "id", column, terms)
 
     # -- running

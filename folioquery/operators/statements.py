@@ -7,6 +7,8 @@ A fact's key is (concept, dimension, axis, member). Period arithmetic is windows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -41,14 +43,22 @@ def period_label() -> Column:
     return F.when(whole, F.concat_ws(" ", F.col("fiscal_year").cast("string"), "fiscal_period")).otherwise(F.col("report_date").cast("string"))
 
 
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which any may be null: nulls are equal. The left side's keys stay."""
+    other = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    met = left.join(other, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys)), how)
+    return met.drop(*[f"__r_{c}" for c in keys])
+
+
 def merge_periods(facts: DataFrame) -> DataFrame:
     """Long form of the merged view: each key and period label once; label and level from the first statement that has the
-    key, ``first_seen`` orders keys by first appearance."""
+    key, ``first_seen`` orders keys by first appearance. Missing metadata is filled first; a null company or concept is one of its own."""
+    facts = fill_defaults(facts)
     first = F.min_by(F.struct("label", "level"), F.struct("report_date", "statement_id")).alias("head")
     seen = facts.groupBy("company_id", *KEY).agg(first, F.min(F.struct("report_date", "statement_id", "position")).alias("first_seen"))
     labelled = facts.withColumn("column", period_label())
     values = labelled.groupBy("company_id", *KEY, "column").agg(F.max_by("value", F.struct("report_date", "statement_id")).alias("value"), F.max("report_date").alias("report_date"))
-    return values.join(seen, ["company_id", *KEY]).select("company_id", *KEY, "head.label", "head.level", "first_seen", "column", "report_date", "value")
+    return _same(values, seen, ["company_id", *KEY]).select("company_id", *KEY, "head.label", "head.level", "first_seen", "column", "report_date", "value")
 
 
 def pivot(merged: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,7 +85,7 @@ def ytd_to_quarter(facts: DataFrame) -> DataFrame:
     prior = F.col("__q") - 1
     key = W.partitionBy("company_id", "fiscal_year", *KEY).orderBy("__q")
     before = F.when(F.lag("__q").over(key) == prior, F.lag("value").over(key))
-    joined = facts.withColumn("__before", before).join(have.select(F.col("company_id").alias("__c"), F.col("fiscal_year").alias("__y"), F.col("__have")), (F.col("company_id").eqNullSafe(F.col("__c"))) & (F.col("fiscal_year") == F.col("__y")) & (F.col("__have") == prior), "left")
+    joined = facts.withColumn("__before", before).join(have.select(F.col("company_id").alias("__c"), F.col("fiscal_year").alias("__y"), F.col("__have")), (F.col("company_id").eqNullSafe(F.col("__c"))) & (F.col("fiscal_year").eqNullSafe(F.col("__y"))) & (F.col("__have") == prior), "left")
     change = F.col("ytd") & F.col("__have").isNotNull() & (F.col("period") == "duration")
     return joined.withColumn("value", F.when(change, F.col("value") - F.col("__before")).otherwise(F.col("value"))).drop("__q", "__before", "__c", "__y", "__have")
 
@@ -84,7 +94,7 @@ def infer_q4(facts: DataFrame) -> DataFrame:
     """Q4 facts of years that have FY and Q1 to Q3: durations FY - Q1 - Q2 - Q3 (null if any is missing), instants FY, others null."""
     years = facts.groupBy("company_id", "fiscal_year").agg(F.collect_set("fiscal_period").alias("__p")).where(F.size(F.array_intersect("__p", F.array(*map(F.lit, ("FY", *QUARTERS))))) == 4)
     of = lambda p, c="value": F.max(F.when(F.col("fiscal_period") == p, F.col(c)))
-    keyed = facts.join(years.select("company_id", "fiscal_year"), ["company_id", "fiscal_year"]).groupBy("company_id", "fiscal_year", *KEY)
+    keyed = _same(facts, years.select("company_id", "fiscal_year"), ["company_id", "fiscal_year"], "left_semi").groupBy("company_id", "fiscal_year", *KEY)
     got = keyed.agg(of("FY").alias("fy"), *[of(q).alias(q) for q in QUARTERS], of("FY", "period").alias("period"), of("FY", "label").alias("label"), of("FY", "level").alias("level"), of("FY", "report_date").alias("report_date"), F.max(F.col("fiscal_period") == "FY").alias("in_fy")).where("in_fy")
     value = F.when(F.col("period") == "duration", F.col("fy") - F.col("Q1") - F.col("Q2") - F.col("Q3")).when(F.col("period") == "instant", F.col("fy"))
     return got.select("company_id", "fiscal_year", F.lit("Q4").alias("fiscal_period"), "report_date", *KEY, "label", "level", "period", value.alias("value"), F.lit("inferred").alias("form"))
@@ -111,9 +121,13 @@ def select_statements(statements: DataFrame, kind: str, country: Column | None =
 
 
 def quarterly(facts: DataFrame, statements: DataFrame, start: str, end: str) -> DataFrame:
-    """Quarter facts within a range: latest statement of each period, year to date undone, Q4 inferred."""
+    """Quarter facts within a range: latest statement of each period, year to date undone, Q4 inferred.
+
+    Facts from a year before the range are read too: a quarter of year-to-date values needs its predecessor, and a Q4 the three before it.
+    """
+    loaded = F.col("report_date").between(lookback(F.lit(start).cast("date")), F.lit(end).cast("date"))
     chosen = is_ytd(latest_statements(statements)).select("statement_id", "ytd")
-    rows = fill_defaults(facts).join(chosen, "statement_id")
+    rows = fill_defaults(facts.where(loaded)).join(chosen, "statement_id")
     quarters = ytd_to_quarter(rows.where(F.col("fiscal_period").isin(*QUARTERS)))
     shared = ["company_id", "fiscal_year", "fiscal_period", "report_date", *KEY, "label", "level", "period", "value"]
     both = quarters.select(*shared).unionByName(rows.where("fiscal_period = 'FY'").select(*shared))
@@ -121,6 +135,33 @@ def quarterly(facts: DataFrame, statements: DataFrame, start: str, end: str) ->
     return in_range(both.where("fiscal_period <> 'FY'").unionByName(q4), start, end)
 
 
+#: Columns of a statement that are no periods.
+META = ("concept", "label", "abstract", "dimension", "axis", "member", "period", "level")
+
+
+def value_column(columns: Sequence[str], meta: Sequence[str] = META) -> str | None:
+    """The column that holds a statement's values: the first that names a range of dates, else the first that is no metadata; None if all are."""
+    own = [c for c in columns if c not in meta]
+    ranges = [c for c in own if len([x for x in c.replace("_", " ").replace("/", " ").split() if _is_date(x)]) >= 2]
+    return next(iter(ranges or own), None)
+
+
+def _is_date(text: str) -> bool:
+    try:
+        return bool(date.fromisoformat(text))
+    except ValueError:
+        return False
+
+
+def current_period(statement: DataFrame, report_date: Column, meta: Sequence[str] = META) -> DataFrame | None:
+    """A reported statement as long facts of its own period: (metadata, report_date, value); None without a column of values."""
+    column = value_column(statement.columns, meta)
+    if column is None:
+        return None
+    kept = [c for c in meta if c in statement.columns]
+    return statement.select(*kept, report_date.alias("report_date"), F.col(f"`{column}`").cast("double").alias("value"))
+
+
 def unpivot_statement(wide: DataFrame, ids: Sequence[str], periods: Sequence[str]) -> DataFrame:
     """A table with one column a period to long facts; rows without a value stay out."""
     return wide.unpivot(list(ids), list(periods), "report_date", "value").where("value IS NOT NULL")

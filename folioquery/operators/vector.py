@@ -19,33 +19,44 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def broken(v: Column) -> Column:
+    """Whether an element is null, NaN or infinite: such a vector has no direction."""
+    return F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
 def normalize(v: Column) -> Column:
-    """To unit length; a zero vector stays."""
-    v = v.cast("array<double>")
+    """To unit length; a zero vector stays, a broken one is null."""
+    v = F.when(~broken(v), v.cast("array<double>"))
     return F.element_at(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))), 1)
 
 
 def cosine(v: Column, query: Sequence[float]) -> Column:
-    """Cosine with a constant vector, in double precision, by built-in array functions."""
-    q = np.asarray(query, "float64")
-    size = float(np.sqrt((q * q).sum())) or 1.0
-    unit = F.array(*[F.lit(float(x)) for x in q / size])
-    v = v.cast("array<double>")
+    """Cosine with a constant vector, in double precision, by built-in array functions; null for a broken vector or one of another length."""
+    unit = F.array(*[F.lit(float(x)) for x in _unit(query)])
+    v = F.when((F.size(v) == len(query)) & ~broken(v), v.cast("array<double>"))
     dot = F.aggregate(F.zip_with(v, unit, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     return dot / F.when(norm(v) == 0, F.lit(1.0)).otherwise(norm(v))
 
 
-def scores(df: DataFrame, key: str, vector: str, query: Sequence[float], score: str = "score") -> DataFrame:
-    """(key, score) by one matrix product a batch; rows of another length or null are left out."""
+def _unit(query: Sequence[float]) -> np.ndarray:
     q = np.asarray(query, "float64")
-    q = q / (math.sqrt(float(q @ q)) or 1.0)
+    if not np.isfinite(q).all():
+        raise ValueError("the query vector has a null or infinite element")
+    return q / (math.sqrt(float(q @ q)) or 1.0)
+
+
+def scores(df: DataFrame, key: str, vector: str, query: Sequence[float], score: str = "score") -> DataFrame:
+    """(key, score) by one matrix product a batch; null vectors, broken ones and those of another length are left out."""
+    q = _unit(query)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(batch.num_rows, -1)
+                whole = np.isfinite(flat).all(axis=1)  # a null element is NaN here, and Spark would rank NaN first
+                flat = flat[whole]
                 size = np.sqrt(np.einsum("ij,ij->i", flat, flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((flat @ q) / np.where(size == 0, 1.0, size))], [key, score])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(whole)), pa.array((flat @ q) / np.where(size == 0, 1.0, size))], [key, score])
 
     rows = df.where(F.size(vector) == len(q)).select(key, F.col(vector).cast("array<float>").alias(vector))
     return rows.mapInArrow(multiply, f"`{key}` {df.schema[key].dataType.simpleString()}, `{score}` double")
@@ -57,9 +68,11 @@ def top_k(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int,
 
 
 def latest(df: DataFrame, key: str = "id", version: str = "version") -> DataFrame:
-    """The newest version of each id; a null vector is a tombstone and hides the id."""
+    """The newest version of each id; a null vector is a tombstone and hides the id. Of rows with equal versions a tombstone wins, then
+    the largest vector."""
     value = [c for c in df.columns if c not in (key, version)]
-    newest = df.groupBy(key).agg(F.max_by(F.struct(*value), version).alias("__v"))
+    order = F.struct(version, F.col("vector").isNull(), "vector") if "vector" in value else F.col(version)
+    newest = df.groupBy(key).agg(F.max_by(F.struct(*value), order).alias("__v"))
     return newest.select(key, *[F.col(f"__v.{c}").alias(c) for c in value]).where(F.col("vector").isNotNull()) if "vector" in value else newest.select(key, "__v.*")
 
 
@@ -73,7 +86,10 @@ class VectorStore:
         rows.write.mode("append").parquet(self.path)
 
     def add(self, rows: DataFrame, version: int) -> None:
-        """Rows (id, vector), normalised on write."""
+        """Rows (id, vector), normalised on write; a null or broken vector is refused, as it would pass for a tombstone."""
+        bad = F.col("vector").isNull() | broken(F.col("vector"))
+        if rows.where(bad).limit(1).count():
+            raise ValueError("a vector is null, or has a null, NaN or infinite element")
         self._append(rows.select(F.col("id").cast("long").alias("id"), F.lit(version).cast("long").alias("version"), normalize(F.col("vector")).cast("array<float>").alias("vector")))
 
     def remove(self, ids: DataFrame, version: int) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import expand_forms
 from ..operators import hybrid
+from ..operators.predicates import Leaf
 from ..sources import companies as co
 from .fixtures import database, loader, query_vector
 from .registry import query
@@ -29,8 +30,6 @@ def exhibits_of(focus: list[str]) -> list[str]:
 
 def list_by_name_or_symbol(companies: DataFrame, text: str, name: str, symbols: str, key: str, most: int = 10) -> DataFrame:
     """Name hits, then symbol hits not seen yet; ``most`` rows."""
-    from ..operators.predicates import Leaf
-
     at = lambda c: (F.col(c), companies.schema[c].dataType)
     by_name = companies.where(Leaf("ilike", name, text).column(at)).withColumn("_leg", F.lit(0))
     by_symbol = companies.where(Leaf("contains", symbols, text.upper()).column(at)).withColumn("_leg", F.lit(1))
@@ -98,6 +97,23 @@ def list_attachments(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("filing_id").agg(F.array_join(F.array_sort(F.collect_list("exhibit")), " ").alias("exhibits"))
 
 
+_EXHIBIT = "CAST(l_linenumber * 3 % 11 AS VARCHAR) || '.' || l_linenumber"
+
+
+@query(f"""
+SELECT l_orderkey AS filing_id, {_EXHIBIT} AS exhibit, count(*) AS n_pages,
+       string_agg('--- Page ' || page || ' ---' || chr(10) || 'page ' || page || ' of ' || l_partkey, chr(10) || chr(10) ORDER BY page, CAST(l_partkey AS VARCHAR)) AS content
+FROM lineitem, (SELECT unnest(range(1, 31)) AS page) WHERE page BETWEEN 3 AND 3 + l_suppkey % 25 AND page < 23 GROUP BY 1, 2
+""")
+def read_attachment(spark: SparkSession, d: str) -> DataFrame:
+    """Pages 3 to 40 of every attachment, at most 20 of them."""
+    n = F.col("l_linenumber")
+    exhibit = F.concat((n * 3 % 11).cast("string"), F.lit("."), n.cast("string"))
+    rows = loader(spark, d)("lineitem").select(F.struct(F.col("l_orderkey").alias("filing_id"), exhibit.alias("exhibit")).alias("attachment"), "l_partkey", F.explode(F.sequence(F.lit(1), (F.col("l_suppkey") % 25 + 3).cast("int"))).alias("page"))
+    pages = rows.select("attachment", "page", F.concat(F.lit("page "), F.col("page").cast("string"), F.lit(" of "), F.col("l_partkey").cast("string")).alias("content"), "l_partkey")
+    return read_pages(pages, "attachment", 3, 40).select("attachment.*", "n_pages", "content")
+
+
 _COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), q)"
 _QV = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0)"
 
@@ -188,6 +204,32 @@ def search_by_depth(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id").frame().select("id", F.round("_score", 6).alias("score"))
 
 
+def _by_depth_sql(keep: str, limit: int) -> str:
+    return f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings, {_QV} WHERE vec_id IN (SELECT doc_id FROM documents WHERE {keep}) ORDER BY {_COS} DESC, id LIMIT {limit}"
+
+
+@query(_by_depth_sql("lang = 'en' AND source IN ('src1', 'src3')", 10))
+def search_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes at low depth, of some filings."""
+    found = by_depth(database(spark, d).table("docs").eq("lang", "en").in_("source", ["src1", "src3"]), query_vector(spark, d), "notes", "low")
+    return found.select("id").frame().select("id", F.round("_score", 6).alias("score"))
+
+
+@query(_by_depth_sql("contains(text, '|') OR n_chars > 2000", 30))
+def search_press_releases(spark: SparkSession, d: str) -> DataFrame:
+    """Releases at high depth; those with a table, or long ones."""
+    q = database(spark, d).table("docs").where(Leaf("regex", "content", "[|]") | Leaf("gt", "n_chars", 2000))
+    found = by_depth(q, query_vector(spark, d), "sections", "high")
+    return found.select("id").frame().select("id", F.round("_score", 6).alias("score"))
+
+
+@query(_by_depth_sql("lang = 'fr' AND n_chars >= 100", 10))
+def search_current_reports(spark: SparkSession, d: str) -> DataFrame:
+    """Current reports at medium depth, without cover pages."""
+    found = by_depth(database(spark, d).table("docs").eq("lang", "fr").gte("n_chars", 100), query_vector(spark, d), "current", "medium")
+    return found.select("id").frame().select("id", F.round("_score", 6).alias("score"))
+
+
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_orderkey, l_linenumber) IN ((1, 1), (1, 3), (2, 1), (33, 2))")
 def curate_pages(spark: SparkSession, d: str) -> DataFrame:
     """Keep the pages chosen from an earlier result."""

@@ -12,9 +12,20 @@ from .registry import query
 
 @query()
 def html_pages(spark, d):
-    """Every page as markdown, one row a page of its document."""
+    """Every page as markdown, one row a page of its document; markup that cannot be read gives one row with the ``error``."""
     rows = loader(spark, d)("pages").select("page_id", "html")
-    return flat_map(rows, lambda r: [{"page_id": r["page_id"], **p} for p in html.to_pages(r["html"])], "page_id long, page int, content string")
+    return flat_map(rows, lambda r: [{"page_id": r["page_id"], **p} for p in html.to_pages(r["html"])], "page_id long, page int, content string, error string", keys=("page_id",))
+
+
+@query("SELECT page_id, (page_id * 37 % 5000) + 1 AS depth, 'deep ' || page_id AS content FROM pages")
+def html_deep(spark, d):
+    """Unclosed elements up to 5,000 deep."""
+    n = (F.col("page_id") * 37 % 5000).cast("int") + 1
+    tag = F.when(F.col("page_id") % 3 == 0, "<div>").when(F.col("page_id") % 3 == 1, "<span>").otherwise("<ul><li>")
+    made = F.concat(F.repeat(tag, n), F.lit("deep "), F.col("page_id").cast("string"))
+    rows = loader(spark, d)("pages").select("page_id", n.cast("long").alias("depth"), made.alias("html"))
+    work = lambda r: [{"page_id": r["page_id"], "depth": r["depth"], "content": p["content"].replace("- ", "")} for p in html.to_pages(r["html"])]
+    return flat_map(rows, work, "page_id long, depth long, content string")
 
 
 @query()
@@ -24,7 +35,14 @@ def html_retention(spark, d):
     return flat_map(rows, lambda r: [{"page_id": r["page_id"], "retention": html.retention(r["html"], html.to_pages(r["html"]))}], "page_id long, retention double")
 
 
-@query()
+_ROW = "'<tr><td>' || l_linenumber || '</td><td>$</td><td>' || printf('%.2f', l_extendedprice) || '</td><td>' || printf('%.0f', l_discount * 100) || '</td><td>%</td></tr>'"
+
+
+@query(f"""
+SELECT l_orderkey, '| line | price | discount |' || chr(10) || '|---|---|---|' || chr(10) ||
+  string_agg('| ' || l_linenumber || ' | $ ' || printf('%.2f', l_extendedprice) || ' | ' || printf('%.0f', l_discount * 100) || ' % |', chr(10) ORDER BY l_linenumber, {_ROW}) AS markdown
+FROM lineitem GROUP BY l_orderkey
+""")
 def html_tables(spark, d):
     """Order lines laid out as HTML tables with split cells, rebuilt as markdown."""
     line = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>$</td><td>"), F.format_string("%.2f", F.col("l_extendedprice")), F.lit("</td><td>"), F.format_string("%.0f", F.col("l_discount") * 100), F.lit("</td><td>%</td></tr>"))
@@ -42,7 +60,20 @@ def chunk_lines(spark, d):
     return rows.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), kind.alias("kind"))
 
 
-@query()
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160)"
+_CELLS = f"list_transform(string_split(regexp_replace(trim(line, {_WS}), '^[|]+|[|]+$', '', 'g'), '|'), lambda c: trim(regexp_replace(c, '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+', ' ', 'g'), {_WS}))"
+#: A table's row from its cells; the second line is the separator if all its cells are.
+_LINE = "'|' || array_to_string(CASE WHEN n = 2 AND len(list_filter(cells, lambda c: NOT regexp_full_match(c, ':?-+:?'))) = 0 THEN list_transform(cells, lambda c: '---') ELSE cells END, '|') || '|'"
+_LINES = "SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents"
+
+
+@query(f"""
+WITH l AS ({_LINES}), k AS (SELECT *, contains(line, '|') AS bar, i - row_number() OVER (PARTITION BY doc_id, contains(line, '|') ORDER BY i) AS run FROM l),
+t AS (SELECT doc_id, i, run, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS n, {_CELLS} AS cells FROM k WHERE bar),
+b AS (SELECT doc_id, min(i) AS i, 'table' AS kind, string_agg({_LINE}, chr(10) ORDER BY i) AS text FROM t GROUP BY doc_id, run
+      UNION ALL SELECT doc_id, i, CASE WHEN starts_with(line, '#') THEN 'header' ELSE 'text' END, line FROM k WHERE NOT bar)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS n, kind, text FROM b
+""")
 def chunk_blocks(spark, d):
     rows = loader(spark, d)("documents").select("doc_id", "text")
     work = lambda r: [{"doc_id": r["doc_id"], "n": i, "kind": b.kind, "text": b.text} for i, b in enumerate(chunker.blocks_of([{"page": 1, "content": r["text"]}]))]
@@ -69,8 +100,12 @@ def token_count(spark, d):
     return loader(spark, d)("documents").select("doc_id", tx.count_tokens(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"))
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(trim(text, {_WS}), chr(10))) AS line, unnest(range(1, 1 + len(string_split(trim(text, {_WS}), chr(10))))) AS n FROM documents WHERE contains(text, '|'))
+SELECT doc_id, string_agg({_LINE}, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, n, {_CELLS} AS cells FROM l) GROUP BY doc_id
+""")
 def table_minify(spark, d):
+    """Whole documents that hold a bar, as if each were a table."""
     rows = loader(spark, d)("documents").where(F.contains(F.col("text"), F.lit("|"))).select("doc_id", "text")
     return flat_map(rows, lambda r: [{"doc_id": r["doc_id"], "text": tables.minify(r["text"])}], "doc_id long, text string")
 
@@ -92,14 +127,21 @@ def attachment_type(spark, d):
     return rows.withColumn("kind", sections.attachment_type(F.col("exhibit")))
 
 
-@query()
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, printf('%.2f', o_totalprice) AS p FROM orders)
+SELECT k AS filing_id, 'PART I' AS part, 'ITEM 1' AS item, 'Business' AS title, 'business' AS section, 1 AS page, 'ITEM 1. Business' || chr(10) || 'We fill order ' || k AS content FROM o
+UNION ALL SELECT k, 'PART I', 'ITEM 1', 'Business', 'business', 2, 'and more of it.' FROM o
+UNION ALL SELECT k, 'PART I', 'ITEM 1A', 'Risk Factors', 'risk_factors', 2, 'ITEM 1A. Risk Factors' || chr(10) || 'Status ' || s FROM o
+UNION ALL SELECT k, 'PART II', 'ITEM 7', 'Analysis', 'md&a', 3, 'ITEM 7. Analysis' || chr(10) || 'Total ' || p FROM o
+""")
 def sections_extract(spark, d):
-    """Orders as 10-K filings: three pages of items made from each order, sections cut from them."""
+    """Orders as 10-K filings: three pages of items made from each order, sections cut from them, one row a page."""
     o = loader(spark, d)("orders")
     k = F.col("o_orderkey").cast("string")
     page = lambda n, *parts: F.struct(F.lit(n).alias("page"), F.concat(*parts).alias("content"))
-    pages = F.array(page(1, F.lit("PART I\nITEM 1. Business\nWe fill order "), k), page(2, F.lit("and more of it.\nITEM 1A. Risk Factors\nStatus "), F.col("o_orderstatus")), page(3, F.lit("PART II\nITEM 7. Analysis\nTotal "), F.col("o_totalprice").cast("string")))
-    return sections.extract_sections(o.select(F.col("o_orderkey").alias("filing_id"), F.lit("10-K").alias("form"), pages.alias("pages")))
+    pages = F.array(page(1, F.lit("PART I\nITEM 1. Business\nWe fill order "), k), page(2, F.lit("and more of it.\nITEM 1A. Risk Factors\nStatus "), F.col("o_orderstatus")), page(3, F.lit("PART II\nITEM 7. Analysis\n17\nTotal "), F.format_string("%.2f", F.col("o_totalprice"))))
+    found = sections.extract_sections(o.select(F.col("o_orderkey").alias("filing_id"), F.lit("10-K").alias("form"), pages.alias("pages")))
+    return found.select("filing_id", "part", "item", "title", "section", F.explode("pages").alias("p")).select("filing_id", "part", "item", "title", "section", "p.page", "p.content")
 
 
 def _transcripts(spark, d):
@@ -111,9 +153,15 @@ def _transcripts(spark, d):
     return made.select("transcript_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'Operator' ELSE upper(role[1]) || lower(role[2:]) END AS speaker, replace(coalesce(text, ''), chr(10), ' ') AS t FROM conversations WHERE turn = 0 OR role IS NOT NULL),
+k AS (SELECT conv_id, turn, speaker, trim(t, {_WS}) AS content FROM l)
+SELECT conv_id AS transcript_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker || ': ' || content) AS INTEGER) AS n, speaker, content FROM k WHERE content <> ''
+""")
 def transcript_parse(spark, d):
-    return transcripts.parse_transcripts(_transcripts(spark, d))
+    """One row a turn with words."""
+    found = transcripts.parse_transcripts(_transcripts(spark, d))
+    return found.select("transcript_id", F.posexplode("sections").alias("n", "s")).select("transcript_id", (F.col("n") + 1).alias("n"), "s.speaker", "s.content")
 
 
 @query()

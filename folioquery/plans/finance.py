@@ -40,6 +40,47 @@ def stmt_annual_merge(spark, d):
     return st.merge_periods(rows).select("concept", "label", F.col("column").alias("period"), "value")
 
 
+_NULLED = "SELECT fy, CASE WHEN concept <> 'P' THEN concept END AS concept, CASE WHEN fy % 2 = 0 THEN 1 END AS company_id, v"
+
+
+@query(f"SELECT company_id, concept, '' AS axis, '' AS member, fy || ' FY' AS period, CAST(sum(v) AS DOUBLE) AS value FROM ({_NULLED} FROM ({_QUARTER})) GROUP BY fy, concept, company_id")
+def stmt_merge_nulls(spark, d):
+    """Facts without axis, member and dimension, some without a concept or a company: none of them is lost."""
+    rows = st.select_statements(facts(spark, d, annual=True).withColumn("form", F.lit("10-K")), "annual")
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({"axis": none, "member": none, "dimension": F.lit(None).cast("boolean"), "concept": F.when(F.col("concept") != "P", F.col("concept")), "company_id": F.when(F.col("fiscal_year") % 2 == 0, F.col("company_id").cast("int"))})
+    return st.merge_periods(rows).select("company_id", "concept", "axis", "member", F.col("column").alias("period"), "value")
+
+
+@query(f"""
+WITH years AS (SELECT fy FROM ({_QUARTER}) WHERE q < 4 GROUP BY fy HAVING count(DISTINCT q) = 3)
+SELECT fy AS fiscal_year, concept, CASE WHEN count(*) FILTER (WHERE q < 4) = 3 THEN round(coalesce(sum(v) FILTER (WHERE q = 4), 0), 2)::DOUBLE END AS value
+FROM ({_QUARTER}) WHERE fy IN (SELECT fy FROM years) GROUP BY fy, concept
+""")
+def stmt_q4_nulls(spark, d):
+    """A company without an id has its fourth quarters too."""
+    rows = facts(spark, d, quarters=(1, 2, 3), annual=True).withColumns({"company_id": F.lit(None).cast("long"), "axis": F.lit(None).cast("string")})
+    return st.infer_q4(rows).select("fiscal_year", "concept", (F.round("value", 2) + 0.0).alias("value"))
+
+
+@query(f"SELECT concept, 'Status ' || concept AS label, DATE '1995-12-31' AS report_date, CAST(sum(v) FILTER (WHERE fy = 1995) AS DOUBLE) AS value FROM ({_QUARTER}) GROUP BY concept")
+def stmt_current_period(spark, d):
+    """A reported statement with several columns of values, of which the one of its own period counts."""
+    f = facts(spark, d)
+    year = lambda y: F.sum(F.when(F.col("fiscal_year") == y, F.col("value").cast("decimal(18,2)"))).cast("double").cast("string")
+    wide = f.groupBy("concept", "label").agg(year(1994).alias("1994"), year(1995).alias("1995-01-01_1995-12-31"), year(1993).alias("1993-01-01_1993-12-31"))
+    return st.current_period(wide, F.lit("1995-12-31").cast("date")).select("concept", "label", "report_date", "value")
+
+
+@query(f"SELECT concept, 'Status ' || concept AS label, CAST(fy AS VARCHAR) AS report_date, CAST(sum(v) AS DOUBLE) AS value FROM ({_QUARTER}) WHERE fy IN (1994, 1995) GROUP BY concept, fy")
+def stmt_unpivot(spark, d):
+    """A table with one column a period as long facts; periods without a value stay out."""
+    f = facts(spark, d)
+    year = lambda y: F.sum(F.when(F.col("fiscal_year") == y, F.col("value").cast("decimal(18,2)"))).cast("double").alias(str(y))
+    wide = f.groupBy("concept", "label").agg(year(1994), year(1995), year(1900))
+    return st.unpivot_statement(wide, ["concept", "label"], ["1994", "1995", "1900"])
+
+
 _YEARS = list(range(1992, 1999))
 _PIVOT = ", ".join(f'CAST(sum(v) FILTER (WHERE fy = {y}) AS DOUBLE) AS "{y} FY"' for y in _YEARS)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.fulltext import TextIndex
 from ..operators.query import Database
 from ..operators.schema import Catalog, ViewSpec, define
+from ..storage import Folder, WriteConflict, shared_dir
 
 _DOCUMENTS = "doc_id serial\ntext text fts vector\nlang text\nsource text\nn_chars integer"
 TABLES = (
@@ -61,10 +65,21 @@ def loader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return load
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of the documents' texts, built at first use; files that were written anew get an index of their own."""
+    source = Folder(spark, f"{sf_dir}/documents.parquet")
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{hashlib.sha256(f'{sf_dir} {source.stamp()}'.encode()).hexdigest()[:24]}")
+    if not index.exists:
+        with contextlib.suppress(WriteConflict):  # another session has just built it
+            index.update(loader(spark, sf_dir)("documents"), "doc_id", "text")
+    return index
+
+
 def database(spark: SparkSession, sf_dir: str) -> Database:
     load = loader(spark, sf_dir)
     vectors = lambda table, column: load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return Database(star_catalog(), load, vectors)
+    indexes = lambda table, column: text_index(spark, sf_dir) if (table, column) == ("documents", "text") else None
+    return Database(star_catalog(), load, vectors, indexes=indexes)
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import hybrid, vector
+from ..operators import embedding, hybrid, vector
+from ..operators.fulltext import TextIndex
+from ..operators.ranking import with_position
+from ..storage import shared_dir
 from .fixtures import database, loader, query_vector
 from .registry import query
 
@@ -59,12 +63,15 @@ def text_keyword_filtered(spark, d):
     return _keyword(spark, d, "worth moron", lang="en")
 
 
-@query("""
+_PHRASE = """
 WITH k AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+') AS k FROM documents),
 c AS (SELECT id, len(k) AS dl, CAST(len(list_filter(range(1, greatest(len(k), 1)), lambda i: k[i] = 'of' AND k[i + 1] = 'the')) AS BIGINT) AS tf FROM k),
 s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE tf > 0) AS df FROM c)
 SELECT id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE tf > 0
-""")
+"""
+
+
+@query(_PHRASE)
 def text_phrase(spark, d):
     ranked = database(spark, d).table("docs").fts("Of the", "content", None).select("id").frame()
     return ranked.select("id", F.round("_score", 6).alias("score"))
@@ -77,14 +84,51 @@ def text_regex(spark, d):
 
 @query("SELECT id, 1 - CAST(n - 1 AS DOUBLE) / (total - 1) AS score FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents), (SELECT count(*) AS total FROM documents)")
 def text_position_score(spark, d):
-    """The fallback score by position, 1 to 0: ranks from per-bucket counts, so that no task orders all rows."""
-    docs = loader(spark, d)("documents").select("doc_id", F.struct((-F.col("n_chars")).alias("a"), F.col("doc_id").alias("b")).alias("key"))
-    ranged = docs.repartitionByRange("key").withColumn("part", F.spark_partition_id())
-    local = ranged.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("key")))
-    sizes = local.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"), F.sum("n").over(W.partitionBy()).alias("total"))
-    ranked = local.join(F.broadcast(before), "part")  # one row a partition
-    return ranked.select(F.col("doc_id").alias("id"), F.when(F.col("total") == 1, 1.0).otherwise(1 - (F.col("at") + F.col("r") - 1) / (F.col("total") - 1)).alias("score"))
+    """The fallback score by position, 1 to 0."""
+    docs = loader(spark, d)("documents").select(F.col("doc_id").alias("id"), "n_chars")
+    ranked = with_position(docs, F.desc("n_chars"), F.asc("id"))
+    return ranked.select("id", F.when(F.col("total") == 1, 1.0).otherwise(1 - F.col("position") / (F.col("total") - 1)).alias("score"))
+
+
+_K = f"SELECT doc_id, {_TOKENS} AS k FROM documents"
+
+
+@query(f"SELECT count(*) AS documents, CAST(sum(len(k)) AS BIGINT) AS tokens, (SELECT count(*) FROM (SELECT DISTINCT doc_id, unnest(k) FROM ({_K}))) AS postings FROM ({_K})")
+def text_index_build(spark, d):
+    """A full-text index from scratch: documents, tokens and postings."""
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+    index.update(loader(spark, d)("documents"), "doc_id", "text")
+    return index.statistics().join(F.broadcast(index.postings(F.lit(True)).agg(F.count("*").alias("postings"))))  # one row
+
+
+_CHANGED = """SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'a worthless note of the ' || lang WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0
+  UNION ALL SELECT doc_id + 100000000, lang, 'new: ' || lang || ' worthless of the of the' FROM documents WHERE doc_id % 17 = 0"""
+
+
+def _index_after_writes(spark, d, compact):
+    """An index of all documents, then replaced and emptied texts, deleted and new documents."""
+    docs = loader(spark, d)("documents").select("doc_id", "text", "lang")
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
+    index.update(docs, "doc_id", "text")
+    index.update(docs.where("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("a worthless note of the "), "lang")), "doc_id", "text")
+    index.update(docs.where("doc_id % 13 = 0 AND doc_id % 7 <> 0").withColumn("text", F.lit(None).cast("string")), "doc_id", "text")
+    index.delete(docs.where("doc_id % 11 = 0").unionByName(docs.where("doc_id = 0").withColumn("doc_id", F.lit(-5).cast("long"))), "doc_id")
+    index.update(docs.where("doc_id % 17 = 0").select((F.col("doc_id") + 100000000).alias("doc_id"), F.concat(F.lit("new: "), "lang", F.lit(" worthless of the of the")).alias("text")), "doc_id", "text")
+    if compact:
+        index.compact()
+    return index
+
+
+@query(_bm25_sql(["starts_with(t, 'worthless')", "starts_with(t, 'idiot')"], limit=None).replace("FROM documents)", f"FROM ({_CHANGED}))", 1))
+def text_index_update(spark, d):
+    ranked = _index_after_writes(spark, d, False).bm25(tx.parse_keywords("worthless idiot"))
+    return ranked.select("id", F.round(-F.col("rank"), 6).alias("score"))
+
+
+@query(_PHRASE.replace("FROM documents)", f"FROM ({_CHANGED}))", 1))
+def text_index_compacted(spark, d):
+    ranked = _index_after_writes(spark, d, True).bm25([tx.Term(("of", "the"))])
+    return ranked.select("id", F.round(-F.col("rank"), 6).alias("score"))
 
 
 _UNIT = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
@@ -105,6 +149,16 @@ def vec_topk(spark, d):
     return vector.top_k(rows, "id", "vector", query_vector(spark, d), 20).select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV} WHERE id % 4 <> 0 ORDER BY {_COS} DESC, id LIMIT 20")
+def vec_topk_broken(spark, d):
+    """A quarter of the vectors has a null, NaN or infinite element, or none at all: they are no results."""
+    v, i = F.col("embedding").cast("array<float>"), F.col("vec_id")
+    bad = lambda x: F.concat(F.slice(v, 1, 5), F.array(x.cast("float")), F.slice(v, 7, 10_000))
+    made = F.when(i % 16 == 0, bad(F.lit(None))).when(i % 16 == 4, bad(F.lit(float("nan")))).when(i % 16 == 8, bad(F.lit(float("inf")))).when(i % 4 != 0, v)
+    rows = loader(spark, d)("embeddings").select(i.alias("id"), made.alias("vector"))
+    return vector.top_k(rows, "id", "vector", query_vector(spark, d), 20).select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV}")
 def vec_cosine_builtin(spark, d):
     """The same score by built-in array functions, for all rows."""
@@ -226,3 +280,47 @@ def outbox_retry(spark, d):
     once = vector.outbox_add(empty, failed.unionByName(failed))
     twice = vector.outbox_add(once, failed)
     return vector.outbox_done(twice, twice.where("row_id % 10 = 0")).select("row_id")
+
+
+def _lengths(texts):
+    """A plain embedder: length, words by spaces, 1."""
+    if any("worthless" in t for t in texts):
+        raise RuntimeError("refused")
+    return [(float(len(t)), float(t.count(" ")), 1.0) for t in texts]
+
+
+_AFTER = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || ' more' WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text, text AS old FROM documents WHERE doc_id % 4 <> 1"
+
+
+@query(f"""
+WITH a AS ({_AFTER}), q AS (SELECT doc_id, text FROM a WHERE trim(text, chr(32)) <> '' AND text <> coalesce(old, '')),
+bad AS (SELECT DISTINCT text FROM q WHERE contains(text, 'worthless'))
+SELECT doc_id AS id, CASE WHEN text IN (SELECT text FROM q WHERE doc_id % 9 = 0) THEN -1 WHEN text IN (SELECT text FROM bad) THEN NULL ELSE len(text) END::DOUBLE AS length FROM q
+""")
+def embed_after_write(spark, d):
+    """What a write changed is embedded, one text a request; cached texts are not sent, and refused ones go to the outbox."""
+    before = loader(spark, d)("documents").select(F.col("doc_id").alias("id"), "text")
+    after = before.where("id % 4 <> 1").withColumn("text", F.when(F.col("id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" more"))).when(F.col("id") % 5 == 0, "").otherwise(F.col("text")))
+    queue = embedding.changed_texts(before, after, "id", "text")
+    cached = queue.where("id % 9 = 0").select(F.sha2("text", 256).alias("sha256"), F.array(F.lit(-1.0)).alias("vector"))
+    done, failed = embedding.flush(queue, "id", "text", _lengths, cached, "documents", "text", most=1)
+    left = failed.select(F.col("row_id").alias("id"), F.lit(None).cast("double").alias("length"))
+    return done.select("id", F.col("vector")[0].alias("length")).unionByName(left)
+
+
+@query("SELECT doc_id // 50 AS d, doc_id AS i, CAST(n_chars AS DOUBLE) AS own, CAST(count(*) OVER (PARTITION BY doc_id // 50) AS DOUBLE) AS chunks FROM documents")
+def embed_contextual(spark, d):
+    """Chunks of a document are embedded beside each other; documents above the budget are cut and put together again."""
+    chunks = loader(spark, d)("documents").select(F.floor(F.col("doc_id") / 50).cast("long").alias("d"), F.col("doc_id").alias("i"), F.repeat(F.lit("x "), 20).alias("text"), "n_chars")
+    made = embedding.embed_chunks(chunks, "d", "i", "text", lambda documents: [[(len(t), len(c)) for t in c] for c in documents])
+    met = made.join(chunks.select("d", "i", "n_chars"), ["d", "i"]).where("error IS NULL AND vector[0] = 40")
+    return met.select("d", "i", F.col("n_chars").cast("double").alias("own"), F.col("vector")[1].alias("chunks"))
+
+
+@query("SELECT 'documents' AS table_name, CASE WHEN doc_id % 2 = 0 THEN 'text' ELSE 'summary' END AS column_name, count(*) AS texts FROM documents WHERE doc_id % 5 = 0 GROUP BY ALL")
+def outbox_groups(spark, d):
+    """What waits in the outbox, by table and column."""
+    docs = loader(spark, d)("documents").where("doc_id % 5 = 0")
+    failed = docs.select(F.lit("documents").alias("table_name"), F.when(F.col("doc_id") % 2 == 0, "text").otherwise("summary").alias("column_name"), F.col("doc_id").alias("row_id"), F.coalesce("text", F.lit("")).alias("text"))
+    empty = spark.createDataFrame([], "table_name string, column_name string, row_id long, text string, text_sha256 string, created_at timestamp")
+    return embedding.outbox_groups(vector.outbox_add(empty, failed)).select("table_name", "column_name", "texts")

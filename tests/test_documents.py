@@ -32,23 +32,44 @@ def test_positioned():
     text = positioned.text_lines([B(10, 10, "a hyphen-"), B(10, 25, "ated word"), B(10, 40, "ends."), B(10, 55, "Next"), B(10, 90, "Head", True)])
     assert text == "a hyphenated word ends.\nNext\n\n**Head**"
     assert positioned.clusters([100, 100.5, 101.2, 130], 12) == {100: 0, 100.5: 0, 101.2: 0, 130: 1}
+    assert [t for t in ("5", "(1,234.5)", "$ 12", "-3%", "[7]", "\u20ac5.00", "1. Note", "see note 1 for the text", "", "()", "1a", "Q1 2024", "3.") if positioned.is_number(t)] == ["5", "(1,234.5)", "$ 12", "-3%", "[7]", "\u20ac5.00"]
+    digits = [B(10 + 200 * c, 20 * r, f"see note {r} for it") for r in range(4) for c in range(2)]
+    assert not positioned.is_table(digits) and not positioned.is_table([]) and positioned.Grid.of([]).texts() == []
     assert len(positioned.groups([B(0, 0, "a"), B(0, 10, "b"), B(0, 20, "c"), B(0, 90, "d")])) == 2
 
 
-def test_sections():
+def filing(spark, *found):
+    rows = [(i, form, [{"page": n, "content": c} for n, c in pages] if pages is not None else None) for i, (form, pages) in enumerate(found)]
+    df = sections.extract_sections(spark.createDataFrame(rows, "filing_id long, form string, pages array<struct<page:int,content:string>>"))
+    out = {i: [] for i in range(len(found))}
+    for r in df.orderBy("filing_id", "pages").collect():
+        out[r.filing_id].append((r.part, r.item, r.title, r.section, [(p.page, p.content) for p in r.pages]))
+    return out, df
+
+
+def test_sections(spark):
     pages = [
-        {"page": 1, "content": "ITEM 1. a\nITEM 2. b\nITEM 3. c"},
-        {"page": 2, "content": "PART I\nITEM 1. Business\nWe do.\n12\nITEM 1A. Risk Factors\nRisky"},
-        {"page": 3, "content": "still\nAcme Inc | 2024 Form 10-K | 3\n**PART II**\nItem 7. MD&A\nresults"},
-        {"page": 4, "content": "more\nITEM 99. Odd"},
+        (1, "ITEM 1. a\nITEM 2. b\nITEM 3. c"),
+        (2, "PART I\nITEM 1. Business\nWe do.\n12\nPage 3 of 9\nITEM 1A. Risk Factors\nRisky"),
+        (3, "still\nAcme Inc | 2024 Form 10-K | 3\n**PART II**\nItem 7. MD&A\nresults"),
+        (4, "more\nITEM 99. Odd"),
+        (6, "PART III\n" + "Incorporated by reference. " * 4),
+        (7, "PART IV\nshort"),
+    ]
+    leaders = [(1, "a ..... 1\nb ... 12\nPART I ........ 3"), (2, "Item 7A. Market"), (3, "<b>Item 9B</b>: Other\u00a0 information\nx"), (8, "x ..... 1\ny ... 2\nz ... 3\nItems 8 and 9\nPART of it")]
+    got, df = filing(spark, ("10-K", pages), ("10-K", leaders), ("10-K", [(9, "no header")]), ("20-F", [(9, "Item 5. Review")]), ("10-Q/A", [(9, "## PART II\nx\n# Item 1A \u2013 Risks\ny"), (10, None)]), (None, [(1, "Item 3. C\nz")]), ("8-K", None), ("10-K", []))
+    assert got[0] == [
+        ("PART I", "ITEM 1", "Business", "business", [(2, "ITEM 1. Business\nWe do.")]),
+        ("PART I", "ITEM 1A", "Risk Factors", "risk_factors", [(2, "ITEM 1A. Risk Factors\nRisky"), (3, "still")]),
+        ("PART II", "ITEM 7", "MD&A", "md&a", [(3, "Item 7. MD&A\nresults"), (4, "more")]),
+        ("PART III", None, None, None, [(6, "PART III\n" + ("Incorporated by reference. " * 4).strip())]),
     ]
-    got = [(s.part, s.item, s.title, [p["page"] for p in s.pages]) for s in sections.extract(pages, "10-K")]
-    assert got == [("PART I", "ITEM 1", "Business", [2]), ("PART I", "ITEM 1A", "Risk Factors", [2, 3]), ("PART II", "ITEM 7", "MD&A", [3, 4])]
-    assert sections.extract([{"page": 9, "content": "no header"}], "10-K") == []
-    assert sections.extract([{"page": 9, "content": "Item 7A. Market"}], "10-K")[0].part == "PART II"
-    assert sections.extract([{"page": 9, "content": "Item 5. Review"}], "20-F") == []
-    assert sections.section_of(sections.extract(pages, "10-K"), "part i", "item 1a").title == "Risk Factors"
-    assert sections.name_of("10-Q", "PART II", "ITEM 1") == "legal_proceedings" and sections.name_of("20-F", "PART I", "ITEM 3") == "risk_factors"
+    assert [x[:4] for x in got[1]] == [("PART II", "ITEM 7A", "Market", "market_risk"), ("PART II", "ITEM 9B", "Other information", "other_information")]
+    assert got[1][1][4][1] == (8, "x ..... 1\ny ... 2\nz ... 3\nItems 8 and 9\nPART of it")
+    assert got[2] == got[3] == got[6] == got[7] == []
+    assert got[4] == [("PART II", "ITEM 1A", "Risks", "risk_factors", [(9, "# Item 1A \u2013 Risks\ny")])]
+    assert got[5] == [(None, "ITEM 3", "C", None, [(1, "Item 3. C\nz")])]
+    assert sections.section_of(df, "part  i", "item 1a").first().title == "Risk Factors" and sections.section_of(df, "PART II").where("form = '10-K'").count() == 3
 
 
 def test_chunks():
@@ -77,3 +98,24 @@ def test_transcripts():
 
 def test_note():
     assert html.flatten_note("<table><tr><td>a</td><td><table><tr><td>x</td></tr></table></td></tr></table>") == "a\n\nx"
+
+
+def test_markup_of_any_depth(spark):
+    for tag in ("b", "div", "span", "ul><li", "table><tr><td", "i", "p"):
+        deep = f"<{tag}>" * 3000 + "word"
+        assert "word" in html.to_pages(deep)[0]["content"] and html.retention(deep, html.to_pages(deep)) is not None
+        assert "word" in html.flatten_note(deep)
+    assert html.to_pages("<b>" * 50_000 + "x")[0]["content"] == "**x**" and html.to_pages("<b><i><b>x</b></i></b>")[0]["content"] == "***x***"
+    assert html.to_pages("</b>" * 1000 + "<p>a" * 2000)[0]["content"] == "\n\n".join(["a"] * 2000)
+    assert html.to_pages("margin-top: 2px;<p>a: b; c</p>")[0]["content"] == "a: b; c"
+
+
+def test_a_failing_row_names_its_error(spark):
+    from folioquery.functions.documents import flat_map
+
+    def work(row):
+        yield {"k": row["k"], "n": 10 // row["n"]}
+
+    rows = spark.createDataFrame([(1, 2), (2, 0), (3, None), (4, 5)], "k long, n long")
+    got = {r.k: (r.n, r.error) for r in flat_map(rows, work, "k long, n long, error string", keys=("k",)).collect()}
+    assert got[1] == (5, None) and got[4] == (2, None) and got[2][0] is None and "ZeroDivisionError" in got[2][1] and "TypeError" in got[3][1]

@@ -35,3 +35,17 @@ def test_no_python_in_text_search(spark, sf):
     for name in ("text_keyword_bm25", "text_phrase", "pred_ilike", "pred_regex", "stmt_quarterly_view", "upsert_update"):
         text = plan(spark, sf, name)
         assert "Python" not in text and "Arrow" not in text, name
+
+
+def test_keyword_searches_read_the_index_and_no_text(spark, sf):
+    for name in ("text_keyword_bm25", "text_keyword_prefix", "text_phrase", "hybrid_fusion"):
+        text = plan(spark, sf, name)
+        scans = [x for x in text.split("FileScan parquet ")[1:]]
+        assert any("postings" in x for x in scans), name
+        assert not any("documents.parquet" in x.split("ReadSchema")[0] and "text:string" in x.split("ReadSchema")[1].split(">")[0] for x in scans), name
+    assert "StartsWith" in plan(spark, sf, "text_keyword_bm25").split("PushedFilters", 1)[1]
+
+
+def test_sections_are_native(spark, sf):
+    text = plan(spark, sf, "sections_extract")
+    assert "Python" not in text and "Arrow" not in text

@@ -70,7 +70,7 @@ def test_builder(db):
     with pytest.raises(SchemaError):
         db.table("t").eq("nope", 1).select("id").frame()
     with pytest.raises(SchemaError):
-        db.table("t").update({})
+        db.table("t").update({"id": 1})
     q = db.table("t").order("id", desc=True)
     assert [r.id for r in q.limit(5).limit(2).select("id").frame().collect()] == [8, 7]
     assert q.count().first()[0] == len(TEXTS)
@@ -78,6 +78,22 @@ def test_builder(db):
     assert [r.x for r in db.table("t").order("x").select("x").frame().collect()][0] is None
 
 
+def test_writes_through_tables_and_never_through_views(spark, db, sf):
+    from folioquery.plans.fixtures import database
+
+    t = db.table("t")
+    assert {r.id: r.x for r in t.eq("x", "apple").update({"x": "z"}).collect()} == {**dict(TEXTS), 1: "z"}
+    assert sorted(r.id for r in t.is_null("x").delete().collect()) == [1, 2, 4, 5, 6, 7, 8]
+    assert [r.id for r in t.insert(spark.createDataFrame([("new",)], "x string")).where("x = 'new'").collect()] == [9]
+    assert {r.id: r.x for r in t.upsert(spark.createDataFrame([(2, "u"), (20, "v")], "id long, x string"), ["id"]).collect()} == {**dict(TEXTS), 2: "u", 20: "v"}
+    with pytest.raises(SchemaError):
+        t.upsert(spark.createDataFrame([("a",)], "x string"), ["x"])
+    view = database(spark, sf).table("docs")
+    for write in (lambda: view.insert(None), lambda: view.update({}), lambda: view.delete(), lambda: view.upsert(None, ["id"])):
+        with pytest.raises(SchemaError):
+            write()
+
+
 def test_views_are_registered(spark, sf):
     from folioquery.plans.fixtures import database
 

@@ -78,3 +78,58 @@ def test_rerank(spark):
 def test_normalize(rows):
     got = {r.id: r.v for r in rows.select("id", vector.normalize(F.col("vector")).alias("v")).collect()}
     assert got[4] == [0.0, 0.0] and math.isclose(got[5][0], 1.0)
+
+
+def test_broken_vectors(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [1.0])], "id long, vector array<float>")
+    assert [r.id for r in vector.top_k(rows, "id", "vector", [1.0, 1.0], 9).collect()] == [1, 6]
+    shown = {r.id: r.c for r in rows.select("id", vector.cosine(F.col("vector"), [1.0, 1.0]).alias("c")).collect()}
+    assert [i for i, c in shown.items() if c is not None] == [1, 6]
+    assert [r.id for r in rows.where(vector.normalize(F.col("vector")).isNull()).collect()] == [2, 3, 4, 5]
+    store = vector.VectorStore(spark, f"file://{tmp_path}/v")
+    for i in (2, 3, 4, 5):
+        with pytest.raises(ValueError):
+            store.add(rows.where(f"id = {i}"), 1)
+    with pytest.raises(ValueError):
+        vector.top_k(rows, "id", "vector", [nan, 1.0], 1)
+
+
+def test_a_tombstone_wins_a_tie(spark):
+    for order in (1, -1):
+        rows = spark.createDataFrame([(1, 5, [1.0]), (1, 5, None), (2, 5, [1.0]), (2, 5, [2.0])][::order], "id long, version long, vector array<double>")
+        assert [(r.id, r.vector) for r in vector.latest(rows).collect()] == [(2, [2.0])]
+
+
+def test_embedding_after_a_write(spark):
+    from folioquery.operators import embedding
+
+    before = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "gone")], "id long, text string")
+    after = spark.createDataFrame([(1, "a"), (2, "bb"), (3, " "), (5, "new"), (6, None), (7, "new")], "id long, text string")
+    queue = embedding.changed_texts(before, after, "id", "text")
+    assert sorted((r.id, r.text) for r in queue.collect()) == [(2, "bb"), (5, "new"), (7, "new")]
+    assert sorted(r.id for r in embedding.lost_texts(before, after, "id", "text").collect()) == [3, 4]
+
+    def short(texts):
+        return [[float(len(t))] for t in texts][: 1 if "few" in texts else None]
+
+    rows = spark.createDataFrame([(1, "one two"), (2, "few"), (3, "x"), (4, "three more words")], "id long, text string").coalesce(1)
+    got = {r.id: (r.vector, r.error) for r in embedding.embed_rows(rows, "id", "text", short, budget=2).collect()}
+    assert got[1] == ([7.0], None) and got[4] == ([16.0], None)  # above the budget: alone
+    assert got[2][0] is None and got[3][0] is None and "1 vectors for 2 texts" in got[2][1]
+    cache = spark.createDataFrame([("bb", [9.0])], "t string, vector array<double>").select(F.sha2("t", 256).alias("sha256"), "vector")
+    asked = []
+    done, failed = embedding.flush(queue, "id", "text", lambda texts: [[float(len(t))] for t in texts], cache, "t", "text")
+    assert sorted((r.id, r.vector) for r in done.collect()) == [(2, [9.0]), (5, [3.0]), (7, [3.0])] and failed.count() == 0 and not asked
+
+
+def test_contextual_chunks_are_cut_and_put_together(spark):
+    from folioquery.operators import embedding
+
+    rows = spark.createDataFrame([(d, i, f"w{d} " * (i + 1)) for d in (1, 2) for i in range(6)], "d long, i long, t string").repartition(3)
+    seen = lambda documents: [[(float(len(c)), float(t.split()[0][1:]), float(len(t.split()))) for t in c] for c in documents]
+    got = {(r.d, r.i): r.vector for r in embedding.embed_chunks(rows, "d", "i", "t", seen, context=8, batch=12).collect()}
+    assert all(got[d, i][1:] == [float(d), i + 1.0] for d in (1, 2) for i in range(6))
+    assert got[1, 0][0] == 3.0 and got[1, 5][0] == 1.0  # 1 + 2 + 3 words, then 4, 5 and 6 alone
+    bad = embedding.embed_chunks(rows, "d", "i", "t", lambda documents: [[]], context=8, batch=12).collect()
+    assert len(bad) == 12 and all(r.vector is None and r.error for r in bad)
