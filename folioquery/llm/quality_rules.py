@@ -57,7 +57,7 @@ def _repeat_words(words: Column) -> Column:
         zipped = F.arrays_zip(F.slice(w, F.lit(1), n - 2).alias("a"), F.slice(w, F.lit(2), n - 2).alias("b"), F.slice(w, F.lit(3), n - 2).alias("c"))
         return F.transform(zipped, lambda z, i: F.struct(F.xxhash64(z["a"], z["b"], z["c"]).alias("h"), i.alias("p")))
 
-    return F.when(F.size(words) >= 6, _let(words, lambda w: positions(triples(w)))).when(F.size(words) >= 3, _let(words, lambda w: positions(triples(w)))).otherwise(F.lit(0)).cast("long")
+    return F.when(F.size(words) >= 3, _let(words, lambda w: positions(triples(w)))).otherwise(F.lit(0)).cast("long")
 
 
 def statistics(docs: DataFrame) -> DataFrame:

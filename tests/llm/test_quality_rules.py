@@ -43,3 +43,31 @@ def test_edges(spark):
     assert op.fit(empty(spark), none) == [] and op.apply(empty(spark), []).collect() == []
     assert op.fit(docs(spark, [(1, "a")]), none) == []
     assert op.fit(docs(spark, [(1, "a")]), spark.createDataFrame([(1, 0)], "doc_id long, quality int")) == []
+
+
+def test_verdicts_against_brute_force(spark, sf):
+    """The first rule that holds, recomputed from the texts; repeated rows are judged alike."""
+    import math
+
+    from helpers import words
+
+    def features(t):
+        n, chars, symbols, dup, repeat, _ = quality(t)
+        lines = sum(1 for x in (t or "").split("\n") if words(x))
+        count = lambda some: sum(c in some for c in t or "")
+        w, c = max(n, 1), max(chars, 1)
+        up, digits, marks = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("0123456789"), count("!?")
+        return {"mean_word": chars / w, "symbol_rate": symbols / w, "dup_line_rate": dup / max(lines, 1), "repeat_rate": repeat / w, "upper_rate": up / c, "digit_rate": digits / c, "mark_rate": marks / w, "line_words": n / max(lines, 1), "log_words": math.log2(w)}
+
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rules = op.fit(docs_, spark.read.parquet(f"{sf}/labels.parquet"), least=3, precision=0.8)
+    rules += [op.Rule((op.Condition("digit_rate", True, 0.01), op.Condition("log_words", False, 8.5)), 1, 1.0), op.Rule((op.Condition("line_words", True, 40.0),), 1, 1.0)]
+    texts = {r[0]: r[1] for r in read(sf, "documents")}
+    want = {}
+    for i, t in texts.items():
+        f, failed = features(t), quality(t)[5]
+        fired = next((k for k, r in enumerate(rules, 1) if all((f[c.feature] > c.threshold) == c.above for c in r.conditions)), None)
+        want[i] = (failed, fired, not failed and fired is None)
+    got = op.apply(docs_.unionByName(docs_), rules).collect()
+    assert len(got) == 2 * len(texts) and all((r.base_failed, r.rule, r.kept) == want[r.doc_id] for r in got)
+    assert len({x[2] for x in want.values()}) == 2
