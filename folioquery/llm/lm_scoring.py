@@ -233,6 +233,7 @@ class Tables:
         edge = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edge)).tolist():
             at = order[edge[s] : edge[s + 1]]
+            at = at[kit.order_of(keys[at])]  # neighbours lie on the same pages
             if s not in self.open:
                 if len(self.open) >= 2000:  # maps a process may hold
                     self.open.pop(next(iter(self.open)))
