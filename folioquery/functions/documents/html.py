@@ -36,6 +36,8 @@ class Node:
 
     @property
     def style(self) -> dict[str, str]:
+        if "style" not in self.attrs:
+            return {}
         parts = (p.partition(":") for p in self.attrs.get("style", "").split(";"))
         return {k.strip().lower(): v.strip().lower() for k, _, v in parts if k.strip()}
 
@@ -110,7 +112,10 @@ def parse(html: str) -> Node:
     tree.feed(html)
     tree.close()
     for node in reversed([tree.root, *tree.root.walk()]):  # children before their parents
-        node.blocks = any(isinstance(c, Node) and (c.blocks or _is_block(c)) for c in node.children)
+        for c in node.children:
+            if isinstance(c, Node) and (c.blocks or _is_block(c)):
+                node.blocks = True
+                break
     return next((n for n in tree.root.walk() if n.name == "body"), tree.root)
 
 
@@ -154,7 +159,7 @@ def mark(node: Node) -> str:
 
 
 def _is_block(node: Node) -> bool:
-    return node.name in BLOCK and not node.style.get("display", "").startswith("inline")
+    return node.name in BLOCK and not ("style" in node.attrs and node.style.get("display", "").startswith("inline"))
 
 
 def _run(call: Generator):
@@ -224,10 +229,11 @@ def cells_of(table: Node) -> list[list[tables.Span]]:
 
 
 def table_text(node: Node) -> str:
-    rows = [r for r in cells_of(node) if any(c.text for c in r)]
+    cells = cells_of(node)
+    rows = [r for r in cells if any(c.text for c in r)]
     if len(rows) <= 1:
         return banner([c.text for c in rows[0]] if rows else [])
-    return tables.to_markdown(cells_of(node))
+    return tables.to_markdown(cells)
 
 
 def banner(texts: list[str]) -> str:
