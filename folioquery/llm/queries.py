@@ -106,6 +106,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    from . import lexical_search
+
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -155,5 +162,23 @@ GROUP BY source, lang, tokenizer
 """
 
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+sized AS (SELECT r, doc_id, t, len(t) AS n FROM docs WHERE len(t) > 0),
+totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sized),
+occurs AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM sized) GROUP BY r, term),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM occurs, totals GROUP BY term, nn),
+scored AS (
+  SELECT a.item_id, o.r, s.doc_id, CAST(sum(w.w * ((1000000000 * o.tf) // (1000 * o.tf + 8 * (10 + (90 * s.n * nn) // ll)))) AS BIGINT) AS score
+  FROM asked a JOIN occurs o USING (term) JOIN weights w USING (term) JOIN sized s ON s.r = o.r, totals GROUP BY a.item_id, o.r, s.doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+           FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op8_token_rollup": OP8_SQL, "op2_line_dedup": OP2_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op3_chat_format": OP3_SQL, "op8_token_rollup": OP8_SQL, "op13_lexical_search": OP13_SQL}
