@@ -10,14 +10,13 @@ Queries read their tokens' postings, the parts' totals and the keys that later p
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..storage import STAGE, Folder
+from ..storage import BASE, Log, again
 
 _STATS = "documents long, tokens long"
 
@@ -35,18 +34,13 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.folder = Folder(spark, self.root)
+        self.folder = Log(spark, self.root)
 
     # -- writing
 
-    def _live(self) -> list[str]:
-        names = [n for n in self.folder.names() if n[:1].isdigit()]
-        base = max((n for n in names if n.endswith("-base")), default="")
-        return [base] * bool(base) + [n for n in names if not n.endswith("-base") and n > base.removesuffix("-base")]
-
     @property
     def exists(self) -> bool:
-        return bool(self._live())
+        return bool(self.folder.live())
 
     def _read(self, part: str, schema: str, names: Sequence[str]) -> DataFrame:
         """Rows of the parts, with the number of their part in ``seq``."""
@@ -71,12 +65,12 @@ class TextIndex:
         self._commit(gone.select("key", F.lit(None).cast("array<string>").alias("t")))
 
     def _commit(self, docs: DataFrame) -> None:
-        """Write a part from (key, tokens); null tokens delete."""
-        live = self._live()
-        seq = int(live[-1].removesuffix("-base")) + 1 if live else 1
-        stage = f"{STAGE}{uuid.uuid4().hex}"
-        at = f"{self.root}/{stage}"
-        try:
+        """Write a part from (key, tokens); null tokens delete. What it changes in the totals depends on the parts before, so after a conflict it is written again."""
+        again(lambda: self._commit_once(docs))
+
+    def _commit_once(self, docs: DataFrame) -> None:
+        with self.folder.part() as part:
+            at, live, seq = part.path, part.live, part.number
             words = docs.where(F.size("t") > 0).select("key", F.size("t").alias("n"), F.posexplode("t").alias("p", "token"))
             self._write_postings(words, at, seq)
             touched = docs.select("key", F.when(F.col("t").isNotNull(), F.size("t")).alias("n"))
@@ -87,24 +81,19 @@ class TextIndex:
             change = mine.where("n IS NOT NULL").select(F.lit(1).alias("d"), "n").unionByName(old.select(F.lit(-1).alias("d"), "n"))
             total = change.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("documents"), F.coalesce(F.sum(F.col("d") * F.col("n")), F.lit(0)).cast("long").alias("tokens"))
             total.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{at}/stats")
-            self.folder.commit(stage, f"{seq:012d}")
-        except BaseException:
-            self.folder.delete(stage)
-            raise
 
     @staticmethod
     def _write_postings(words: DataFrame, at: str, seq: int) -> None:
-        # one shuffle: ranges of (token, key) are groups of (token, key) already, and a frequent token spans several ranges
-        ranged = words.repartitionByRange("token", "key")
-        found = ranged.groupBy("token", "key").agg(F.count("*").cast("int").alias("tf"), F.first("n").alias("n"), F.array_sort(F.collect_list("p")).alias("positions"))
-        found.withColumn("seq", F.lit(seq).cast("long")).sortWithinPartitions("token", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
+        # the rows of a key are in one partition, so a document's occurrences become postings without a shuffle; one row a posting moves
+        found = words.groupBy("key", "token").agg(F.count("*").cast("int").alias("tf"), F.first("n").alias("n"), F.array_sort(F.collect_list("p")).alias("positions"))
+        found.withColumn("seq", F.lit(seq).cast("long")).repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
 
     def _newest(self, names: Sequence[str]) -> DataFrame:
         return self._documents(names).groupBy("key").agg(F.max_by("n", "seq").alias("n"), F.max("seq").alias("seq"))
 
     def _counting(self, rows: DataFrame, names: Sequence[str]) -> DataFrame:
         """Postings that no later part takes back."""
-        later = [n for n in names if not n.endswith("-base")]
+        later = [n for n in names if not n.endswith(BASE)]
         if not later or len(names) == 1:
             return rows
         touched = self._documents(later).groupBy(F.col("key").alias("__k")).agg(F.max("seq").alias("__s"))
@@ -112,34 +101,24 @@ class TextIndex:
 
     def compact(self) -> None:
         """Fold all parts into a base; readers take it from its rename on."""
-        live = self._live()
-        if len(live) < 2:
+        if len(self.folder.live()) < 2:
             return
-        seq = int(live[-1].removesuffix("-base"))
-        stage = f"{STAGE}{uuid.uuid4().hex}"
-        at = f"{self.root}/{stage}"
-        number = F.lit(seq).cast("long")
-        try:
+        with self.folder.base() as base:
+            at, live, number = base.path, base.live, F.lit(base.number).cast("long")
             kept = self._counting(self._postings(live), live).withColumn("seq", number)
             kept.repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
             self._newest(live).where("n IS NOT NULL").select("key", "n", number.alias("seq")).write.parquet(f"{at}/documents")
             self._read("stats", _STATS, live).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).withColumn("seq", number).write.parquet(f"{at}/stats")
-            self.folder.commit(stage, f"{seq:012d}-base")
-        except BaseException:
-            self.folder.delete(stage)
-            raise
-        for name in live:
-            self.folder.delete(name)
 
     # -- reading
 
     def statistics(self) -> DataFrame:
         """One row: documents and tokens."""
-        return self._read("stats", _STATS, self._live()).agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+        return self._read("stats", _STATS, self.folder.live()).agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
     def postings(self, wanted: Column) -> DataFrame:
         """(token, key, tf, n, positions) of counting postings where a condition on ``token`` holds."""
-        live = self._live()
+        live = self.folder.live()
         return self._counting(self._postings(live).where(wanted), live).drop("seq")
 
     def occurrences(self, terms: Sequence[tx.Term]) -> DataFrame:

@@ -6,7 +6,6 @@ one and becomes current by one rename, so readers never see half a write and no
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import STAGE, Folder, WriteConflict
+from ..storage import BASE, TAKEN_DAYS, Folder, Log, WriteConflict, again
 from .schema import Catalog, SchemaError, TableSpec, check_constraints, split_valid
 
 
@@ -101,15 +100,22 @@ def check_conflict_key(spec: TableSpec, key: tuple[str, ...]) -> None:
         raise SchemaError(f"{spec.name}: {', '.join(key)} is not a unique key")
 
 
+def one_per_key(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The largest row of each key, column by column; rows with a null in their key stay as they are."""
+    others = [c for c in rows.columns if c not in key]
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in key))
+    best = rows.where(whole).groupBy(*key).agg(F.max(F.struct(F.lit(0).alias("__"), *others)).alias("__s"))
+    return best.select(*key, *[F.col(f"__s.{c}").alias(c) for c in others]).unionByName(rows.where(~whole))
+
+
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], keep: tuple[str, ...] = ("created_at",), touch: dict[str, Column] | None = None) -> DataFrame:
     """Insert rows or overwrite the columns given; columns absent from ``rows`` keep their values.
 
     Of several rows with one key one is taken (the largest, column by column, so the result is defined). ``keep`` columns
-    stay as they were where a row existed. Null keys never match.
+    stay as they were where a row existed. A key with a null never matches, neither a row of the target nor another new one: such rows are all inserted.
     """
     given = [c for c in rows.columns if c in target.columns]
-    others = [c for c in given if c not in key]
-    one = rows.select(*given).groupBy(*key).agg(F.max(F.struct(F.lit(0).alias("__"), *others)).alias("__s")).select(*key, *[F.col(f"__s.{c}").alias(c) for c in others])
+    one = one_per_key(rows.select(*given), key)
     src = one.select(*[F.col(c).alias(f"s_{c}") for c in given], F.lit(True).alias("__new"))
     old = target.withColumn("__old", F.lit(True))
     both = old.join(src, reduce(lambda a, b: a & b, (F.col(c) == F.col(f"s_{c}") for c in key)), "full")
@@ -129,8 +135,8 @@ def upsert(target: DataFrame, rows: DataFrame, key: list[str], keep: tuple[str,
 
 
 def upsert_nothing(target: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Insert only rows whose key is new."""
-    fresh = rows.dropDuplicates(key).join(target.select(*key), key, "left_anti")
+    """Insert only rows whose key is new; of several rows with one key the largest. A key with a null is always new."""
+    fresh = one_per_key(rows, key).join(target.select(*key), key, "left_anti")
     missing = [F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns if c not in rows.columns]
     return target.unionByName(fresh.select(*[c for c in target.columns if c in rows.columns], *missing))
 
@@ -148,7 +154,10 @@ class VersionedTable:
         self.folder = Folder(spark, self.path)
 
     def versions(self) -> list[int]:
-        return sorted(int(n[2:]) for n in self.folder.names() if n.startswith("v="))
+        return sorted(int(n[2:]) for n in self.folder.begun(self._names()))
+
+    def _names(self) -> list[str]:
+        return [n for n in self.folder.names() if n.startswith("v=")]
 
     def read(self, version: int | None = None) -> DataFrame:
         found = self.versions()
@@ -162,11 +171,11 @@ class VersionedTable:
         It is written beside the others and renamed into place. If another writer has taken that version, nothing is lost: the call
         raises WriteConflict and leaves no trace.
         """
+        stage = self.folder.begin()
         version = ((self.versions() or [0])[-1] if after is None else after) + 1
-        stage = f"{STAGE}{uuid.uuid4().hex}"
         try:
-            df.write.parquet(f"{self.path}/{stage}")
-            self.folder.commit(stage, f"v={version}")
+            df.write.mode("append").parquet(f"{self.path}/{stage}")
+            self.folder.finish(stage, f"v={version}")
         except BaseException:
             self.folder.delete(stage)
             raise
@@ -174,14 +183,11 @@ class VersionedTable:
 
     def change(self, make: Callable[[DataFrame], DataFrame], attempts: int = 5) -> int:
         """Commit ``make(current rows)``; after a conflict it is made again from what the other writer left."""
-        for left in reversed(range(attempts)):
+        def once() -> int:
             now = (self.versions() or [0])[-1]
-            try:
-                return self.write(make(self.read(now)), now)
-            except WriteConflict:
-                if not left:
-                    raise
-        raise ValueError("attempts must be at least 1")
+            return self.write(make(self.read(now)), now)
+
+        return again(once, attempts)
 
     def provision(self, spec: TableSpec) -> None:
         """Create an empty first version unless there is one."""
@@ -191,17 +197,23 @@ class VersionedTable:
             except WriteConflict:
                 pass  # another writer has just created it
 
-    def vacuum(self, keep: int = 2) -> None:
-        """Remove all but the newest versions, and stages that a day has not touched."""
-        for v in self.versions()[:-keep]:
-            self.folder.delete(f"v={v}")
+    def vacuum(self, keep: int = 2, hours: float = 0.0, days: float = TAKEN_DAYS) -> None:
+        """Empty all but the newest versions, as far as they are ``hours`` old, and remove stages that a day has not touched. A version's number stays taken
+        for some days, until no writer that began before can ask for it."""
+        names = self._names()
+        with_rows = [f"v={v}" for v in self.versions()]
+        for n in self.folder.older(with_rows[:-keep], hours):
+            self.folder.clear(n)
         self.folder.sweep()
+        for n in self.folder.older([n for n in names if n not in with_rows], 24 * days):
+            self.folder.delete(n)
 
 
 def newest_by(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The row with the largest ``order`` for each key."""
+    """The row with the largest ``order`` for each key; of several, the largest row, column by column."""
     rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__s")).select(key, "__s.*")
+    last = [f.name for f in rows.schema if f.name in rest and f.name not in order and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order, *last)).alias("__s")).select(key, "__s.*")
 
 
 class MergeTable:
@@ -213,48 +225,41 @@ class MergeTable:
 
     def __init__(self, spark: SparkSession, path: str, like: DataFrame, key: str, newest: list[str]):
         self.spark, self.path, self.schema, self.key, self.newest = spark, path.rstrip("/"), like.schema, key, newest
-        self.folder = Folder(spark, self.path)
-
-    def _live(self) -> tuple[list[str], list[str]]:
-        """(the base, if there is one; the parts after it): a part N is covered by any base of N or more."""
-        names = [n for n in self.folder.names() if n[:1].isdigit()]
-        base = max((n for n in names if n.endswith("-base")), default="")
-        return [base] if base else [], [n for n in names if not n.endswith("-base") and n > base.removesuffix("-base")]
+        self.log = Log(spark, self.path)
 
     def versions(self) -> list[str]:
-        base, parts = self._live()
-        return base + parts
+        return self.log.live()
 
     def _rows(self, names: list[str]) -> DataFrame:
         if not names:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{n}" for n in names])
 
-    def read(self) -> DataFrame:
-        base, parts = self._live()
-        return newest_by(self._rows(base + parts), self.key, self.newest) if parts else self._rows(base)
+    def _newest(self, names: list[str]) -> DataFrame:
+        one = len(names) == 1 and names[0].endswith(BASE)
+        return self._rows(names) if one else newest_by(self._rows(names), self.key, self.newest)
 
-    def _commit(self, rows: DataFrame, name: str) -> None:
-        stage = f"{STAGE}{uuid.uuid4().hex}"
-        try:
-            rows.write.parquet(f"{self.path}/{stage}")
-            self.folder.commit(stage, name)
-        except BaseException:
-            self.folder.delete(stage)
-            raise
+    def read(self) -> DataFrame:
+        return self._newest(self.log.live())
 
     def append(self, rows: DataFrame) -> None:
-        """Commit the newest row of each key in ``rows`` as a part; appending it again changes nothing."""
-        base, parts = self._live()
-        after = int((base + parts)[-1].removesuffix("-base")) if base + parts else 0
-        self._commit(newest_by(rows.select(*self.schema.names), self.key, self.newest), f"{after + 1:012d}")
-        base, parts = self._live()
-        if len(parts) > 1 and self.folder.bytes(parts) > self.folder.bytes(base):
+        """Commit the newest row of each key in ``rows`` as a part; appending it again changes nothing.
+
+        The order of parts does not matter, so a part that meets another writer's is written once and takes the next number.
+        """
+        with self.log.part(anywhere=True) as part:
+            newest_by(rows.select(*self.schema.names), self.key, self.newest).write.mode("append").parquet(part.path)
+        live = self.log.live()
+        parts = [n for n in live if not n.endswith(BASE)]
+        if len(parts) > 1 and self.log.bytes(parts) > self.log.bytes(live[: len(live) - len(parts)]):
             self.fold()
 
     def fold(self) -> None:
-        base, parts = self._live()
-        if parts:
-            self._commit(self.read(), f"{parts[-1]}-base")
-            for n in base + parts:  # readers take the new base from here on
-                self.folder.delete(n)
+        """Write one base for all parts. Where another writer has just folded the same parts, that base counts."""
+        if all(n.endswith(BASE) for n in self.log.live()):
+            return
+        try:
+            with self.log.base() as base:
+                self._newest(base.live).write.mode("append").parquet(base.path)
+        except WriteConflict:
+            pass
