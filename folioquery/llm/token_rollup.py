@@ -5,7 +5,7 @@ tokenizer) the sums of documents and tokens it adds or takes away, and per (doc_
 state it leaves. Totals are the sum of all committed batches' rollups: additive, and never recounted from text.
 
 A batch is staged under a name of its own and committed by one exclusive rename to the next sequence number, so of two writers one gets
-a WriteConflict. A batch id that is there already is done: committing it again changes nothing, whatever happened to the first
+a WriteConflict; numbers are not used again, whatever is compacted meanwhile (``storage.Log``). A batch id that is there already is done: committing it again changes nothing, whatever happened to the first
 attempt's writer. ``compact`` folds committed batches into one and keeps their ids. The newest state of a document decides what a
 delete or a revised count takes away, so both need only the ids, and a commit groups the states of its own documents alone.
 
@@ -25,7 +25,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import STAGE, Folder
+from ..storage import Log, Writing
 from . import kit
 
 #: Token counters by version: built-in expressions over a text column.
@@ -57,17 +57,15 @@ class RollupStore:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or f"{kit.shared_dir(spark)}/token-rollup-{uuid.uuid4().hex}"
-        self.folder = Folder(spark, self.root)
+        self.folder = Log(spark, self.root)
         self.folder.create()
 
     def _live(self) -> list[str]:
         """Folders to read: the newest base and what came after it."""
-        names = [n for n in self.folder.names() if n[:1].isdigit()]
-        base = max((n for n in names if n.endswith("-base")), default="")
-        return [base] * bool(base) + [n for n in names if not n.endswith("-base") and n > base.removesuffix("-base")]
+        return self.folder.live()
 
-    def _read(self, part: str, schema: str) -> DataFrame:
-        live = self._live()
+    def _read(self, part: str, schema: str, live: list[str] | None = None) -> DataFrame:
+        live = self._live() if live is None else live
         if not live:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{n}/{part}" for n in live])
@@ -76,9 +74,9 @@ class RollupStore:
         """(batch_id, seq) of all committed batches."""
         return self._read("ids", IDS)
 
-    def state(self, ids: DataFrame | None = None) -> DataFrame:
+    def state(self, ids: DataFrame | None = None, live: list[str] | None = None) -> DataFrame:
         """The newest state of each (doc_id, tokenizer); of the documents in ``ids`` (doc_id) alone, nothing else is grouped."""
-        rows = self._read("state", STATE)
+        rows = self._read("state", STATE, live)
         rows = rows if ids is None else rows.join(ids, "doc_id", "left_semi")
         newest = rows.groupBy("doc_id", "tokenizer").agg(F.max_by(F.struct("source", "lang", "tokens", "live", "seq"), "seq").alias("s"))
         return newest.select("doc_id", "tokenizer", "s.*")
@@ -91,21 +89,15 @@ class RollupStore:
         """
         if not batch_id:
             raise ValueError("a batch id is a non-empty name")
-        live = self._live()
-        if live and self.committed().where(F.col("batch_id") == batch_id).limit(1).count():
-            return False
-        seq = int(live[-1].removesuffix("-base")) + 1 if live else 1
-        stage = f"{STAGE}{uuid.uuid4().hex}"
-        try:
-            self._write(stage, batch_id, seq, upserts, deletes)
-            self.folder.commit(stage, f"{seq:012d}")
-        except BaseException:
-            self.folder.delete(stage)
-            raise
-        return True
-
-    def _write(self, stage: str, batch_id: str, seq: int, upserts: DataFrame | None, deletes: DataFrame | None) -> None:
-        at = f"{self.root}/{stage}"
+        with self.folder.part() as part:
+            done = bool(part.live) and bool(self._read("ids", IDS, part.live).where(F.col("batch_id") == batch_id).limit(1).count())
+            if not done:
+                self._write(part, batch_id, upserts, deletes)
+            part.wanted = not done
+        return not done
+
+    def _write(self, part: Writing, batch_id: str, upserts: DataFrame | None, deletes: DataFrame | None) -> None:
+        at, seq = part.path, part.number
         self.spark.createDataFrame([(batch_id, seq)], IDS).coalesce(1).write.parquet(f"{at}/ids")
         columns = ["doc_id", "tokenizer", "source", "lang", "tokens"]
         changes = self.spark.createDataFrame([], CHANGE)
@@ -118,7 +110,7 @@ class RollupStore:
         if deletes is not None:
             ids = deletes.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
             touched = touched.unionByName(ids.select("doc_id"))
-        old = self.state(touched)
+        old = self.state(touched, part.live)
         if deletes is not None:
             if "tokenizer" not in deletes.columns:
                 ids = ids.select("doc_id").distinct().join(old.select("doc_id", "tokenizer"), "doc_id")
@@ -138,27 +130,19 @@ class RollupStore:
         delta.write.parquet(f"{at}/delta")
         joined.select(*STATE_COLUMNS).write.parquet(f"{at}/state")
         for name in ("joined", "changes"):
-            self.folder.delete(f"{stage}/{name}")
+            self.folder.delete(f"{at.rpartition('/')[2]}/{name}")
 
     def compact(self) -> None:
         """Fold all committed batches into one folder, with their ids as a table; until its rename the old ones count, and afterwards it alone."""
-        live = self._live()
-        if len(live) < 2:
+        if len(self._live()) < 2:
             return
-        stage = f"{STAGE}{uuid.uuid4().hex}"
-        at = f"{self.root}/{stage}"
-        try:
-            self.committed().coalesce(1).write.parquet(f"{at}/ids")  # a short row a batch
-            self.totals(False).select(*KEYS, F.col("documents").alias("d_documents"), F.col("tokens").alias("d_tokens")).write.parquet(f"{at}/delta")
-            self.state().select(*STATE_COLUMNS).write.parquet(f"{at}/state")
-            self.folder.commit(stage, f"{live[-1].removesuffix('-base')}-base")
-        except BaseException:
-            self.folder.delete(stage)
-            raise
-        for name in live:
-            self.folder.delete(name)
-
-    def totals(self, present: bool = True) -> DataFrame:
+        with self.folder.base() as base:
+            at, live = base.path, base.live
+            self._read("ids", IDS, live).coalesce(1).write.parquet(f"{at}/ids")  # a short row a batch
+            self.totals(False, live).select(*KEYS, F.col("documents").alias("d_documents"), F.col("tokens").alias("d_tokens")).write.parquet(f"{at}/delta")
+            self.state(live=live).select(*STATE_COLUMNS).write.parquet(f"{at}/state")
+
+    def totals(self, present: bool = True, live: list[str] | None = None) -> DataFrame:
         """(source, lang, tokenizer, documents, tokens); with ``present``, only groups that have documents."""
-        out = self._read("delta", DELTA).groupBy(*KEYS).agg(F.sum("d_documents").alias("documents"), F.sum("d_tokens").alias("tokens"))
+        out = self._read("delta", DELTA, live).groupBy(*KEYS).agg(F.sum("d_documents").alias("documents"), F.sum("d_tokens").alias("tokens"))
         return out.where("documents <> 0") if present else out

@@ -117,3 +117,26 @@ def test_query_revises_every_count(spark, sf, monkeypatch):
     found = states.groupBy("doc_id").agg({"seq": "count"}).collect()
     assert len(found) == spark.read.parquet(f"{sf}/documents.parquet").count() and all(r[1] == 2 for r in found)
     assert states.groupBy("doc_id", "source", "lang", "tokens").count().count() == 2 * len(found)
+
+
+def test_a_batch_beside_another_and_compaction(spark, tmp_path, monkeypatch):
+    """A number that compaction covers is not free again: the slow batch conflicts, and its retry counts."""
+    a, b = (op.RollupStore(spark, f"file://{tmp_path}/r") for _ in range(2))
+    a.commit("0", op.counts(docs(spark, [(9, "a")]), "words-1"))
+    finish, turn = b.folder.finish, []
+
+    def late(*args):
+        if not turn:
+            turn.append(1)
+            a.commit("first", op.counts(docs(spark, [(1, "a b c")]), "words-1"))
+            a.compact()
+            a.folder.clean(0)
+        return finish(*args)
+
+    monkeypatch.setattr(b.folder, "finish", late)
+    batch = op.counts(docs(spark, [(1, "z"), (2, "y x")]), "words-1")
+    with pytest.raises(WriteConflict):
+        b.commit("slow", batch)
+    assert totals(a) == {("s", "en", "words-1"): (2, 4)} and len(a.folder.live()) == 1
+    assert b.commit("slow", batch) and not b.commit("slow", batch)
+    assert totals(a) == {("s", "en", "words-1"): (3, 4)} and a.committed().count() == 3
