@@ -13,6 +13,8 @@ summed over an item's passages, must cover ``least_overlap`` of the item, and th
 its last eight words) must be there to ``least_answer``, so shared phrases alone are no leak. Every candidate window is judged on both,
 so a copy without the answer does not hide another one that has it.
 
+A long document is walked in stripes of blocks with the margins that a window needs, so memory follows neither texts nor the benchmark's size.
+
 The benchmark is the stated query set: it is read in blocks of ``block_items`` items, each block against all rows.
 
 Defined cases: null or empty texts have no leaks; items without words match nothing; repeated
@@ -38,6 +40,8 @@ SCALES = (2, 4)
 SHORT, LONG = 20, 48
 #: Empty blocks behind each document: more than a window and its margins reach.
 _APART = max(SCALES) + 2
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -306,7 +310,7 @@ def fit(docs: DataFrame, items: list[tuple], rank: int = 512, sample: int = 4096
     vectors = _vectors(words, terms, weights)
 
     n_rows = max(1, n_docs)
-    chosen = docs.select("doc_id", "text").where(F.expr(f"pmod(xxhash64(doc_id, 23), 1048576) < {min(1.0, sample / n_rows) * 1048576}"))
+    chosen = docs.select("doc_id", "text").where(F.expr(f"pmod(xxhash64(doc_id, text, 23), 1048576) < {min(1.0, sample / n_rows) * 1048576}"))
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,13 +342,25 @@ def fit(docs: DataFrame, items: list[tuple], rank: int = 512, sample: int = 4096
     return Index(terms, weights, rest, basis, folded, scale, [w.tolist() for w in words], np.array(item_of, np.int64), [x[0] for x in items], np.array([len(w) for w in all_words]), [a.tolist() for a in answers], energy, table, direct, Counted.of(words, terms, seen, least_overlap))
 
 
-def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: float, least_overlap: float, least_answer: float) -> list[list[dict]]:
-    """Leaks of each document."""
-    n = len(bounds) - 1
-    found: list[list[dict]] = [[] for _ in range(n)]
-    words = kit.Words(data, bounds, lower=True)
-    if not len(words.start) or not len(index.passages):
-        return found
+#: A document's and item's windows: (passage, first block) to (length of the subsequence, cosine, - first word, last word, share of the answer).
+Judged = dict[tuple[int, int], dict[tuple[int, int], tuple]]
+#: Cells of an array of blocks x passages.
+_CELLS = 6 << 20
+
+
+def slice_bytes(index: Index) -> int:
+    """Bytes of text whose blocks (of some 96 bytes) fill ``_CELLS`` with the index's passages."""
+    return max(1 << 13, min(kit.SLICE_BYTES, 96 * _CELLS // max(1, len(index.passages))))
+
+
+def _candidates(index: Index, words: kit.Words, least_cosine: float, least_overlap: float, lead: int = 0, core: int | None = None, parts_of_items: set[int] | None = None) -> tuple[Judged, set]:
+    """Judged windows by (document, item), and the (document, item) of which a passage among others is there.
+
+    Of a stripe only windows from block ``lead`` to ``core`` count, and the other passages of items come in a pass of their own, which
+    gets the items to look for; without a stripe both are done at once.
+    """
+    n = len(words.bounds) - 1
+    stripe = core is not None
     h = term_hashes(words)
     t = index.terms.find(h)
     known = t >= 0
@@ -370,10 +386,13 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
         parts[block[one]] += index.table[t[one]]
     begin, last = np.arange(n_blocks), (first_block[:-1] + blocks)[block_doc]
     real = begin < last
+    if stripe:
+        real &= (begin >= lead) & (begin < core)
     alone = np.bincount(index.item_of, minlength=len(index.items)) == 1
     counted = index.counted
     least = np.maximum(1, np.ceil(least_overlap * counted.sizes - 1e-9)).astype(np.int64)
     matched = counted.blocks(t, block, n_blocks)
+    parts_found: set[tuple[int, int]] = set()
     hits: list[tuple[np.ndarray, ...]] = []  # passages, their cosine, first block, words from and to, length of the subsequence
     for s, width in enumerate(SCALES):
         rows = np.flatnonzero(index.scale == s)
@@ -402,31 +421,109 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
             hits.append((rows[k], x[i, k] / norm[i], i, from_word[i], to_word[i], length))  # noqa: B023
 
         apart = ~alone[index.item_of[rows]]
-        i, k = np.nonzero(near)
-        length = counted.common(rows[k], from_word[i], to_word[i], t)
-        some = length >= np.where(apart[k], 1, least[rows[k]])
-        take(i[some], k[some], length[some])
-        i, k = np.nonzero((y >= np.maximum(1, least - counted.left_out)[rows]) & real[:, None] & (~near | apart))
-        common = counted.common(rows[k], from_word[i], to_word[i], t)
-        enough = common >= least[rows[k]]
-        new = enough & ~near[i, k]
-        take(i[new], k[new], common[new])
-        # the other passages of an item in parts: their best window, and all that are enough by themselves
-        parted = enough & apart[k]
         place_of = np.full(len(index.item_of), -1)
         place_of[rows] = np.arange(len(rows))
-        for d, item in set(zip(block_doc[i[parted]].tolist(), index.item_of[rows[k[parted]]].tolist(), strict=True)):
+        if parts_of_items is None:
+            i, k = np.nonzero(near)
+            length = counted.common(rows[k], from_word[i], to_word[i], t)
+            some = length >= np.where(apart[k], 1, least[rows[k]])
+            take(i[some], k[some], length[some])
+            i, k = np.nonzero((y >= np.maximum(1, least - counted.left_out)[rows]) & real[:, None] & (~near | apart))
+            common = counted.common(rows[k], from_word[i], to_word[i], t)
+            enough = common >= least[rows[k]]
+            new = enough & ~near[i, k]
+            take(i[new], k[new], common[new])
+            parted = enough & apart[k]
+            these = set(zip(block_doc[i[parted]].tolist(), index.item_of[rows[k[parted]]].tolist(), strict=True))
+            parts_found |= these
+            if stripe:
+                continue
+        else:
+            these = {(0, item) for item in parts_of_items}
+        # the other passages of an item in parts: their best window, and all that are enough by themselves
+        for d, item in these:
             at = np.arange(first_block[d], first_block[d] + blocks[d])
+            at = at[real[at]]
             for other in np.flatnonzero((index.item_of == item) & (place_of >= 0)):
                 length = counted.common(np.full(len(at), other), from_word[at], to_word[at], t)
                 chosen = np.union1d(np.flatnonzero(length >= least[other]), [np.argmax(length)])
                 take(at[chosen], np.full(len(chosen), place_of[other]), length[chosen])
     # every candidate window is judged, for overlap and for the answer: a longer copy may lack the answer that another has
-    judged: dict[tuple[int, int], dict[tuple[int, int], tuple]] = {}
+    judged: Judged = {}
     for p, cosine, b, lo, hi, length in (row for h_ in hits for row in zip(*(z.tolist() for z in h_), strict=True)):
         item = int(index.item_of[p])
         there = common_subsequence(index.answers[item], h[lo:hi].tolist()) / max(1, len(index.answers[item]))
         judged.setdefault((int(block_doc[b]), item), {})[p, b] = (length, cosine, -lo, hi, there)
+    return judged, parts_found
+
+
+def _stripes(index: Index, data: np.ndarray, least_cosine: float, least_overlap: float, size: int) -> Judged:
+    """Judged windows of one long document, read in stripes of whole blocks with the margins that windows need."""
+    margin = max(SCALES) + 1
+    out: Judged = {}
+    parted: set[tuple[int, int]] = set()
+
+    def each() -> Iterator[tuple[kit.Words, int, int, int]]:
+        """Words of a stripe, the number of its first block, and which of its blocks begin windows."""
+        at, block, lead, stop = 0, 0, 0, size
+        while at < len(data):
+            stop = min(max(stop, at + size), len(data))
+            while stop < len(data) and not _BLANK[data[stop]]:  # to the end of a word
+                ahead = np.flatnonzero(_BLANK[data[stop : stop + size]])
+                stop += int(ahead[0]) if len(ahead) else min(size, len(data) - stop)
+            words = kit.Words(data[at:stop], np.array([0, stop - at]), lower=True)
+            whole = len(words.start) // BLOCK
+            if stop == len(data):
+                yield words, block, lead, whole + 1
+                return
+            if whole <= lead + margin:  # too few words in so many bytes
+                stop += size
+                continue
+            core = whole - margin
+            yield words, block, lead, core
+            at, block, lead = at + int(words.start[(core - 1) * BLOCK]), block + core - 1, 1
+
+    def add(words: kit.Words, block: int, lead: int, core: int, items: set[int] | None) -> Iterator[tuple[int, int, int, tuple]]:
+        judged, found = _candidates(index, words, least_cosine, least_overlap, lead, core, items)
+        parted.update(found)
+        for (_, item), seen_at in judged.items():
+            for (p, b), (length, cosine, lo, hi, there) in seen_at.items():
+                yield item, p, b + block, (length, cosine, lo - block * BLOCK, hi + block * BLOCK, there)
+
+    for words, block, lead, core in each():
+        if len(words.start):
+            for item, p, b, x in add(words, block, lead, core, None):
+                out.setdefault((0, item), {})[p, b] = x
+    items = {item for _, item in parted}
+    if items:
+        least = np.maximum(1, np.ceil(least_overlap * index.counted.sizes - 1e-9))
+        others: dict[tuple[int, int], list[tuple]] = {}
+        for words, block, lead, core in each():
+            if len(words.start):
+                for item, p, b, x in add(words, block, lead, core, items):
+                    others.setdefault((item, p), []).append((b, x))
+        for (item, p), rows in others.items():
+            best = max(x[0] for _, x in rows)
+            kept = [r for r in rows if r[1][0] >= least[p]] or [next(r for r in rows if r[1][0] == best)]
+            out.setdefault((0, item), {}).update({(p, b): x for b, x in kept})
+    return out
+
+
+def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: float, least_overlap: float, least_answer: float, stripe: int | None = None) -> list[list[dict]]:
+    """Leaks of each document. Arrays of blocks x passages are bounded: a longer document is read in stripes of so many bytes."""
+    stripe = stripe or slice_bytes(index)
+    n = len(bounds) - 1
+    found: list[list[dict]] = [[] for _ in range(n)]
+    if not len(index.passages):
+        return found
+    if n == 1 and len(data) > 2 * stripe:
+        judged, start = _stripes(index, data, least_cosine, least_overlap, stripe), [0]
+    else:
+        words = kit.Words(data, bounds, lower=True)
+        if not len(words.start):
+            return found
+        judged, start = _candidates(index, words, least_cosine, least_overlap)[0], words.first.tolist()
+    alone = np.bincount(index.item_of, minlength=len(index.items)) == 1
     for (d, item), seen_at in sorted(judged.items()):
         if alone[item]:
             parts_of = [max((x for x in seen_at.values() if x[4] >= least_answer), default=None)]
@@ -438,7 +535,7 @@ def search(index: Index, data: np.ndarray, bounds: np.ndarray, least_cosine: flo
         there = parts_of[0][4] if alone[item] else max(x[4] for x in seen_at.values())
         if overlap >= least_overlap and there >= least_answer:
             lo, hi = min(-x[2] for x in parts_of), max(x[3] for x in parts_of)
-            found[d].append({"item_id": index.items[item], "start": lo - int(words.first[d]), "end": hi - int(words.first[d]), "cosine": max(x[1] for x in parts_of), "overlap": float(overlap), "answer": float(there)})
+            found[d].append({"item_id": index.items[item], "start": lo - start[d], "end": hi - start[d], "cosine": max(x[1] for x in parts_of), "overlap": float(overlap), "answer": float(there)})
     return found
 
 
@@ -464,7 +561,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_cosine: float = 0.35
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for _, _, data, bounds in kit.slices(batch.column(where["text"]), 1 << 18):
+                for _, _, data, bounds in kit.slices(batch.column(where["text"]), slice_bytes(index.value)):
                     found += search(index.value, data, bounds, least_cosine, least_overlap, least_answer)
                 before = batch.column(batch.num_columns - 1).to_pylist()
                 leaks = pa.array([(b or []) + f for b, f in zip(before, found, strict=True)], _LEAK)

@@ -111,7 +111,7 @@ def build(vectors: DataFrame, copies: int) -> tuple[Index, DataFrame] | None:
     dims, count, longest, widest_ = most[0]
     rows = vectors.where((F.size("v") == dims) & (widest**2 <= _longest(F.lit(dims))))
     hashed = rows.select("v", F.xxhash64("vec_id", "label", "v").alias("h"))
-    few = F.col("h") < int(-(2**63) + 2**64 * min(1, 4 * SAMPLE / count) - 1)  # so that tasks need not send SAMPLE rows each
+    few = F.col("h") <= kit.hash_bound(4 * SAMPLE / count)  # so that tasks need not send SAMPLE rows each
     drawn = hashed.where(few).orderBy("h").limit(SAMPLE).collect() or hashed.orderBy("h").limit(SAMPLE).collect()
     sample = np.array([r.v for r in drawn], float).reshape(len(drawn), dims)
     further = np.sqrt(np.maximum(longest - (sample**2).sum(1), 0))

@@ -255,6 +255,11 @@ def crc_text(column: str) -> Column:
     return F.crc32(F.col(column).cast("string"))
 
 
+def hash_bound(share: float) -> int:
+    """The bound that a share of all 64-bit hashes, as Spark's signed longs, do not exceed."""
+    return min(2**63 - 1, -(2**63) + int(2**64 * share))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to ``BATCH_ROWS`` rows; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -28,7 +28,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kit
@@ -191,19 +191,41 @@ class Model:
         return out.tolist(), score
 
 
+def _by_language(of: dict[str, int]) -> Column:
+    return F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(v)) for k, v in of.items()))[F.col("lang")]
+
+
+def _last_hashes(rows: DataFrame, counts: dict[str, int], most: int) -> dict[str, int]:
+    """The ``most``-th smallest distinct hash of each language (its largest, if it has fewer) from (lang, h)."""
+    whole = {k: 2**63 - 1 for k in counts}
+    place = Window.partitionBy("lang").orderBy("h")
+
+    def found(bound: dict[str, int]) -> dict[str, tuple[int, int]]:
+        some = rows.where(F.col("lang").isin(*bound) & (F.col("h") <= _by_language(bound))).distinct()
+        first = some.withColumn("k", F.row_number().over(place)).where(F.col("k") <= most)
+        return {r[0]: (r[1], r[2]) for r in first.groupBy("lang").agg(F.max("h"), F.max("k")).collect()}
+
+    # some four times as many hashes as are needed; where many documents are equal, and so these are too few, all of them
+    got = found({k: kit.hash_bound((4 * most + 64) / n) for k, n in counts.items()})
+    short = {k: whole[k] for k, n in counts.items() if got.get(k, (0, 0))[1] < most and n > 4 * most + 64}
+    return {k: x for k, (x, _) in (got | (found(short) if short else {})).items()}
+
+
 def train(docs: DataFrame, usable: Column | None = None, per_language: int = 500, dims: int = 1 << 13) -> Model:
-    """Fit on at most about ``per_language`` documents of each language where ``usable`` holds.
+    """Fit on at most ``per_language`` documents of each language where ``usable`` holds.
 
-    ``docs`` needs doc_id, text and lang.
+    ``docs`` needs doc_id, text and lang. The sample is exact whatever the ids are: of each language the documents with the smallest hashes of
+    id and text, equal ones once.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if usable is None else rows.where(usable)
-    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    text = F.col("text").cast("string")
+    rows = rows.select(text.alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("long"), text, F.lit(17)).alias("h"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Model([], [], dims)
-    share = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
-    chosen = rows.where(F.expr("pmod(xxhash64(doc_id, 17), 1048576)") < share[F.col("lang")] * 1048576)
+    last = _last_hashes(rows.select("lang", "h"), counts, per_language)
+    chosen = rows.where(F.col("h") <= _by_language(last)).groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)

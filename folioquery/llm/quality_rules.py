@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kit
+
 SPACES = "\\t\\n\\x0b\\f\\r "
 _SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -197,11 +199,14 @@ def _bin(feature: str, edges: list[float]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000, bins: int = 24, **limits) -> list[Rule]:
     """Learn rules for ``quality = 0`` from ``labels`` (doc_id, quality)."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"), (F.col("quality") == 0).alias("__bad"))
+    marked = marked.distinct()  # repeated labels count once
     total = marked.count()
     if not total:
         return []
-    chosen = marked.where(F.expr(f"pmod(xxhash64(__id, 5), 1048576) < {min(1.0, most_labels / total) * 1048576}"))
-    # at most about most_labels rows of an id and a flag: within the bound for a broadcast
+    hashed = marked.withColumn("h", F.xxhash64("__id", "__bad", F.lit(5)))
+    few = hashed.where(F.col("h") <= kit.hash_bound(2 * most_labels / total))
+    chosen = few if total <= most_labels else (few if few.count() >= most_labels else hashed).orderBy("h").limit(most_labels)
+    chosen = chosen.select("__id", "__bad")  # most_labels rows of an id and a flag at most: within the bound for a broadcast
     met = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
     stats = statistics(met.select(F.struct("doc_id", "__bad").alias("doc_id"), "text")).select("doc_id.*", *FEATURES).cache()
     try:

@@ -155,3 +155,33 @@ def test_svd_spans_the_rows(spark):
     basis = op.randomised_svd(spark.createDataFrame(rows, "ids binary, vals binary"), 20, 3)
     left = base - (base @ basis) @ basis.T
     assert np.abs(left).max() < 1e-3
+
+
+def test_stripes_find_what_whole_documents_hold(spark):
+    rng = random.Random(9)
+    rows, items, _ = planted(rng, 30, 12)
+    long = " ".join(t for _, t in rows) + " " + "y" * 5000 + " " + " ".join(t for _, t in rows[::-1])
+    index = op.fit(docs(spark, rows), [(k, t, None) for k, t in items])
+    data, bounds = kit.text_arrays(pa.array([long]))
+    want = op.search(index, data, bounds, 0.35, 0.6, 0.5)[0]
+    assert len(want) >= 4
+    for stripe in (1500, 4000, 20_000):
+        assert op.search(index, data, bounds, 0.35, 0.6, 0.5, stripe)[0] == want
+
+
+def test_memory_does_not_follow_the_text(spark):
+    """2,000 passages beside a text of 20 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    word = lambda n: " ".join(f"v{x}" for x in rng.integers(0, 60_000, n))
+    items = [(k, word(40), None) for k in range(2000)]
+    index = op.fit(docs(spark, [(1, items[0][1])]), items, rank=16, least_energy=0)
+    text = word(3_000_000) + " " + items[7][1] + " " + word(100_000)
+    data, bounds = kit.text_arrays(pa.array([text]))
+    assert len(data) > 19e6
+    tracemalloc.start()
+    found = op.search(index, data, bounds, 0.35, 0.6, 0.5)[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 7 in {x["item_id"] for x in found} and peak < 600e6

@@ -136,3 +136,21 @@ def test_votes_against_brute_force(spark, sf):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in op.predict(df, model).collect()}
     assert sum(got[i] == want[i] or got[i] == "und" for i in got) >= len(texts) - 1
+
+
+def test_sample_is_exact_whatever_the_ids_are(spark):
+    texts = {"en": "the house and the garden of the king", "es": "la casa y el jardin del rey que"}
+    rows = [(7, f"{texts[c]} {k}", c) for k in range(3000) for c in texts]
+    one_id = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    no_id = one_id.withColumn("doc_id", F.lit(None).cast("long"))
+    same = spark.createDataFrame([(7, texts[c], c) for _ in range(2000) for c in texts], "doc_id long, text string, lang string")
+    for df, most in ((one_id, 50), (no_id, 50), (same, 1)):
+        counts = {r[0]: r[1] for r in df.groupBy("lang").count().collect()}
+        hashed = df.select("lang", F.xxhash64("doc_id", "text", F.lit(17)).alias("h"))
+        last = op._last_hashes(hashed, counts, 50)
+        got = hashed.where(F.col("h") <= op._by_language(last)).distinct().groupBy("lang").count().collect()
+        assert {r[0]: r[1] for r in got} == dict.fromkeys(texts, most)
+        model = op.train(df, per_language=50)
+        assert sorted(model.languages) == ["en", "es"]
+        if most > 1:
+            assert {r.lang_pred for r in op.predict(df.where("lang = 'es'").limit(5), model).collect()} == {"es"}

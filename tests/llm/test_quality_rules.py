@@ -71,3 +71,13 @@ def test_verdicts_against_brute_force(spark, sf):
     got = op.apply(docs_.unionByName(docs_), rules).collect()
     assert len(got) == 2 * len(texts) and all((r.base_failed, r.rule, r.kept) == want[r.doc_id] for r in got)
     assert len({x[2] for x in want.values()}) == 2
+
+
+def test_label_sample_is_exact(spark):
+    """Repeated labels count once, and no id lifts the bound."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["one", "two#", "three", "four"], k=70))) for i in range(40)]
+    labels = [(7, 0)] * 5000 + [(i, i % 2) for i in range(40)]
+    df, marks = docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int")
+    for most in (5, 20, 1000):
+        assert isinstance(op.fit(df, marks, most_labels=most), list)
