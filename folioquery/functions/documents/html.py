@@ -271,8 +271,19 @@ def _marks(node: Node | str, out: list) -> Generator:
     if node.name == "div" and node.style.get("position") != "absolute":
         boxes = [c for c in node.children if isinstance(c, Node) and c.style.get("position") == "absolute" and c.text()]
     if boxes:
-        for piece in positioned.render([_box(c) for c in boxes]):
-            out += [piece, EDGE]
+        # boxes without text between them are one layout; what flows beside them keeps its place
+        layout, positions = [], {id(c) for c in boxes}
+        for c in node.children:
+            if id(c) in positions:
+                layout.append(c)
+                continue
+            part: list = []
+            yield _marks(c, part)
+            if any(p is not EDGE and (p is BREAK or p.strip()) for p in part):
+                _lay_out(layout, out)
+                out += [*part, EDGE]
+                layout = []
+        _lay_out(layout, out)
     elif node.name in ("table", "ul", "ol"):
         out.append((yield _inline(node, 0)))
     elif emphasis(node) and not block and not node.blocks:
@@ -286,6 +297,12 @@ def _marks(node: Node | str, out: list) -> Generator:
     out += [EDGE] * block + [BREAK] * _breaks(node, "after")
 
 
+def _lay_out(boxes: list[Node], out: list) -> None:
+    """Positioned boxes as blocks of their own."""
+    for piece in positioned.render([_box(c) for c in boxes]) if boxes else ():
+        out += [EDGE, piece, EDGE]
+
+
 def _box(node: Node) -> positioned.Box:
     s = node.style
     px = lambda k: float(m[1]) if (m := re.match(r"(-?\d+(?:\.\d+)?)px", s.get(k, ""))) else 0.0
@@ -306,14 +323,13 @@ def to_pages(html: str | None) -> list[dict]:
 
 def assemble(pieces: list) -> str:
     """Blocks apart by one blank line, lines trimmed."""
-    blocks: list[str] = [""]
+    blocks: list[list[str]] = [[]]
     for p in pieces:
-        if p is EDGE:
-            if blocks[-1].strip():
-                blocks.append("")
-        else:
-            blocks[-1] += p
-    text = "\n\n".join(b.strip() for b in blocks if b.strip())
+        if p is not EDGE:
+            blocks[-1].append(p)
+        elif blocks[-1]:
+            blocks.append([])
+    text = "\n\n".join(b for b in ("".join(x).strip() for x in blocks) if b)
     lines = [x.strip() for x in text.split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 

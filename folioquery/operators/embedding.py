@@ -7,13 +7,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vector import Embedder, contextual_batches, merge_parts, pack_greedy, split_cached
+from ..storage import shared_dir
+from .vector import Embedder, contextual_batches, pack_greedy, split_cached
 
 #: Nested lists of a document's chunks to nested lists of vectors.
 ContextualEmbedder = Callable[[list[list[str]]], Sequence[Sequence[Sequence[float]]]]
@@ -70,7 +72,7 @@ def embed_rows(rows: DataFrame, key: str, text: str, embedder: Embedder, budget:
 def embed_chunks(chunks: DataFrame, document: str, index: str, text: str, embedder: ContextualEmbedder, context: int = CONTEXT, batch: int = BATCH, most: int = MOST) -> DataFrame:
     """(document, index, vector, error): chunks embedded beside the others of their document.
 
-    The chunks of a document come together in order; a document above the context budget is cut into runs, and the vectors of its runs
+    A batch that fails is sent again document by document, so only documents that fail by themselves get the error. The chunks of a document come together in order; a document above the context budget is cut into runs, and the vectors of its runs
     are put together again. A document's chunks meet in one task, so a document must fit into memory.
     """
     rows = chunks.select(F.col(document).alias("d"), F.col(index).alias("i"), F.coalesce(text, F.lit("")).alias("t"))
@@ -80,20 +82,35 @@ def embed_chunks(chunks: DataFrame, document: str, index: str, text: str, embedd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
             documents = got.column(1).to_pylist()
-            error, vectors = None, [[None] * len(c) for c in documents]
-            try:
-                plan = contextual_batches([[x["n"] for x in c] for c in documents], context, batch, most)
-                answers = [embedder([[documents[d][k]["t"] for k in part] for d, part in b]) for b in plan]
-                for b, answer in zip(plan, answers, strict=True):
-                    if [len(a) for a in answer] != [len(part) for _, part in b]:
-                        raise ValueError("the number of vectors is not that of the chunks")
-                vectors = merge_parts(plan, answers, len(documents))
-            except Exception as e:
-                error = f"{type(e).__name__}: {e}"[:300]
+            plan = contextual_batches([[x["n"] for x in c] for c in documents], context, batch, most)
+            vectors: list = [[None] * len(c) for c in documents]
+            errors: list = [None] * len(documents)
+
+            def send(some: list[tuple[int, list[int]]]) -> None:
+                answer = embedder([[documents[d][k]["t"] for k in part] for d, part in some])  # noqa: B023
+                if [len(a) for a in answer] != [len(part) for _, part in some]:
+                    raise ValueError("the number of vectors is not that of the chunks")
+                for (d, part), found in zip(some, answer, strict=True):
+                    for k, v in zip(part, found, strict=True):
+                        vectors[d][k] = v  # noqa: B023
+
+            for some in plan:
+                try:
+                    send(some)
+                except Exception as e:  # which of them is it? each is sent alone
+                    for one in some:
+                        try:
+                            if len(some) == 1:
+                                raise e
+                            send([one])
+                        except Exception as e1:
+                            errors[one[0]] = f"{type(e1).__name__}: {e1}"[:300]
+            for d in (d for d, e in enumerate(errors) if e):  # a document has all its vectors or none
+                vectors[d] = [None] * len(documents[d])
             sizes = [len(c) for c in documents]
             ids = got.column(0).take(pa.array([k for k, n in enumerate(sizes) for _ in range(n)], pa.int64()))
             at = pa.array([x["i"] for c in documents for x in c], pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, at, _vectors([v for c in vectors for v in c]), pa.array([error] * len(at), pa.string())], ["d", "i", "vector", "error"])
+            yield pa.RecordBatch.from_arrays([ids, at, _vectors([v for c in vectors for v in c]), pa.array([e for e, c in zip(errors, documents, strict=True) for _ in c], pa.string())], ["d", "i", "vector", "error"])
 
     kind = chunks.schema[document].dataType.simpleString()
     out = grouped.mapInArrow(run, f"d {kind}, i long, vector array<double>, error string")
@@ -103,15 +120,27 @@ def embed_chunks(chunks: DataFrame, document: str, index: str, text: str, embedd
 def flush(queue: DataFrame, key: str, text: str, embedder: Embedder, cache: DataFrame, table: str, column: str, **limits: int) -> tuple[DataFrame, DataFrame]:
     """(done (key, vector), failed rows for the outbox (table_name, column_name, row_id, text)); texts with a cached vector are not sent.
 
-    Equal texts are embedded once. Both results come from one stage; write the stage, or cache it, before using both.
+    Equal texts are embedded once. What the embedder answered is written to the shared folder before it is split, so each text is sent once
+    and every row of the queue is in exactly one of both results, however often they are read.
     """
+    done = F.col("error").isNull()
+    rows = embed_stage(queue, key, text, embedder, cache, **limits)
+    failed = rows.where(~done).select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "row_id", "text")
+    return rows.where(done).select(F.col("row_id").alias(key), "vector"), failed
+
+
+def embed_stage(queue: DataFrame, key: str, text: str, embedder: Embedder, cache: DataFrame, **limits: int) -> DataFrame:
+    """(row_id, text, sha256, vector, error) of a queue, written once to the shared folder; a row has a vector or an error."""
     hit, miss = split_cached(queue.select(F.col(key).alias("row_id"), F.col(text).alias("text")), cache)
     once = miss.groupBy("sha256").agg(F.first("text").alias("text"))
-    made = embed_rows(once, "sha256", "text", embedder, **limits).select("sha256", "vector", "error")
-    met = miss.select("row_id", "text", "sha256").join(made, "sha256")
-    done = hit.select(F.col("row_id").alias(key), "vector").unionByName(met.where("vector IS NOT NULL").select(F.col("row_id").alias(key), "vector"))
-    failed = met.where("vector IS NULL").select(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"), "row_id", "text")
-    return done, failed
+    made = embed_rows(once, "sha256", "text", embedder, **limits)
+    made = made.select("sha256", "vector", F.when(F.col("vector").isNull(), F.coalesce("error", F.lit("no vector"))).alias("error"))
+    rows = miss.select("row_id", "text", "sha256").join(made, "sha256").unionByName(hit.select("row_id", "text", "sha256", F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("string").alias("error")))
+    spark = queue.sparkSession
+    at = f"{shared_dir(spark)}/embedded-{uuid.uuid4().hex}"
+    rows = rows.select("row_id", "text", "sha256", "vector", "error")
+    rows.write.parquet(at)
+    return spark.read.schema(rows.schema).parquet(at)
 
 
 def outbox_groups(outbox: DataFrame) -> DataFrame:

@@ -10,8 +10,10 @@ Queries read their tokens' postings, the parts' totals and the keys that later p
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,39 @@ from ..functions import text as tx
 from ..storage import BASE, Log, again
 
 _STATS = "documents long, tokens long"
+_POSTING = "token string, key long, tf int, n int, positions array<int>"
+#: Tokens whose postings a task makes at once, but for a longer document.
+_TOKENS = 1 << 19
 
 
 def _minus(k: int) -> Callable[[Column], Column]:
     return lambda p: p - k
 
 
+def _postings_in_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, key, tf, n, positions) from (key, t): the tokens of some documents, sorted by document and token."""
+    for whole in batches:
+        ends = np.cumsum(whole.column("t").value_lengths().to_numpy(zero_copy_only=False))
+        row = 0
+        while row < whole.num_rows:
+            done = ends[row - 1] if row else 0
+            stop = max(row + 1, int(np.searchsorted(ends, done + _TOKENS, "right")))
+            batch = whole.slice(row, stop - row)
+            row = stop
+            size = batch.column("t").value_lengths().to_numpy(zero_copy_only=False)
+            coded = batch.column("t").flatten().dictionary_encode()
+            document = np.repeat(np.arange(len(size)), size)
+            place = (np.arange(len(document)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            group = document * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(group, kind="stable")
+            group = group[order]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            edge = np.r_[first, len(group)].astype(np.int32)
+            document, token = np.divmod(group[first], len(coded.dictionary))
+            columns = [coded.dictionary.take(pa.array(token)), batch.column("key").take(pa.array(document)), pa.array(np.diff(edge)), pa.array(size[document].astype(np.int32)), pa.ListArray.from_arrays(pa.array(edge), pa.array(place[order]))]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "key", "tf", "n", "positions"])
+
+
 class TextIndex:
     """The index of one text column; ``key`` is a long column that identifies a row.
 
@@ -49,7 +78,7 @@ class TextIndex:
         return self.spark.read.schema(f"{schema}, seq long").parquet(*[f"{self.root}/{n}/{part}" for n in names])
 
     def _postings(self, names: Sequence[str]) -> DataFrame:
-        return self._read("postings", "token string, key long, tf int, n int, positions array<int>", names)
+        return self._read("postings", _POSTING, names)
 
     def _documents(self, names: Sequence[str]) -> DataFrame:
         return self._read("documents", "key long, n int", names)
@@ -71,8 +100,9 @@ class TextIndex:
     def _commit_once(self, docs: DataFrame) -> None:
         with self.folder.part() as part:
             at, live, seq = part.path, part.live, part.number
-            words = docs.where(F.size("t") > 0).select("key", F.size("t").alias("n"), F.posexplode("t").alias("p", "token"))
-            self._write_postings(words, at, seq)
+            docs.write.parquet(f"{at}/tokens")  # texts are cut into tokens once, though several plans read them
+            docs = self.spark.read.schema("key long, t array<string>").parquet(f"{at}/tokens")
+            self._write_postings(docs, at, seq)
             touched = docs.select("key", F.when(F.col("t").isNotNull(), F.size("t")).alias("n"))
             touched.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{at}/documents")
             # what these documents counted before
@@ -81,11 +111,12 @@ class TextIndex:
             change = mine.where("n IS NOT NULL").select(F.lit(1).alias("d"), "n").unionByName(old.select(F.lit(-1).alias("d"), "n"))
             total = change.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("documents"), F.coalesce(F.sum(F.col("d") * F.col("n")), F.lit(0)).cast("long").alias("tokens"))
             total.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{at}/stats")
+            self.folder.delete(f"{at.rpartition('/')[2]}/tokens")
 
     @staticmethod
-    def _write_postings(words: DataFrame, at: str, seq: int) -> None:
-        # the rows of a key are in one partition, so a document's occurrences become postings without a shuffle; one row a posting moves
-        found = words.groupBy("key", "token").agg(F.count("*").cast("int").alias("tf"), F.first("n").alias("n"), F.array_sort(F.collect_list("p")).alias("positions"))
+    def _write_postings(docs: DataFrame, at: str, seq: int) -> None:
+        # a document's occurrences become postings within its row, so one row a posting moves
+        found = docs.where(F.size("t") > 0).mapInArrow(_postings_in_row, _POSTING)
         found.withColumn("seq", F.lit(seq).cast("long")).repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
 
     def _newest(self, names: Sequence[str]) -> DataFrame:

@@ -119,3 +119,19 @@ def test_a_failing_row_names_its_error(spark):
     rows = spark.createDataFrame([(1, 2), (2, 0), (3, None), (4, 5)], "k long, n long")
     got = {r.k: (r.n, r.error) for r in flat_map(rows, work, "k long, n long, error string", keys=("k",)).collect()}
     assert got[1] == (5, None) and got[4] == (2, None) and got[2][0] is None and "ZeroDivisionError" in got[2][1] and "TypeError" in got[3][1]
+
+
+def test_text_beside_positioned_boxes_keeps_its_place():
+    box = '<div style="position:absolute;left:10px;top:10px">boxed</div>'
+    source = f"<div>Total revenue grew strongly.{box}<p>and more text</p></div>"
+    assert html.to_pages(source)[0]["content"] == "Total revenue grew strongly.\n\nboxed\n\nand more text"
+    two = f"<div>{box}<span> </span>{box.replace('top:10px', 'top:90px')}after</div>"
+    assert html.to_pages(two)[0]["content"].split() == ["boxed", "boxed", "after"]
+
+
+def test_one_long_block_is_linear():
+    import time
+
+    began = time.perf_counter()
+    text = html.assemble(["x "] * 2_000_000)
+    assert len(text) == 3_999_999 and time.perf_counter() - began < 10

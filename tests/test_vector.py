@@ -133,3 +133,40 @@ def test_contextual_chunks_are_cut_and_put_together(spark):
     assert got[1, 0][0] == 3.0 and got[1, 5][0] == 1.0  # 1 + 2 + 3 words, then 4, 5 and 6 alone
     bad = embedding.embed_chunks(rows, "d", "i", "t", lambda documents: [[]], context=8, batch=12).collect()
     assert len(bad) == 12 and all(r.vector is None and r.error for r in bad)
+
+
+def test_each_text_is_sent_once(spark, tmp_path):
+    """An embedder that fails its first call: the row is in the outbox, and nobody asks again."""
+    from folioquery.operators import embedding
+
+    log = str(tmp_path / "calls")
+
+    def first_fails(texts):
+        with open(log, "a+") as f:
+            f.seek(0)
+            asked = len(f.read().split())
+            f.write(f"{len(texts)}\n")
+        if not asked:
+            raise TimeoutError("later")
+        return [[1.0] for _ in texts]
+
+    queue = spark.createDataFrame([(1, "a")], "id long, text string").coalesce(1)
+    cache = spark.createDataFrame([], "sha256 string, vector array<double>")
+    done, failed = embedding.flush(queue, "id", "text", first_fails, cache, "t", "text")
+    for _ in range(2):
+        assert done.count() == 0 and [tuple(r) for r in failed.collect()] == [("t", "text", 1, "a")]
+    assert open(log).read().split() == ["1"]
+
+
+def test_only_the_document_that_fails_gets_the_error(spark):
+    from folioquery.operators import embedding
+
+    rows = spark.createDataFrame([(d, i, f"w{d} x{i}") for d in range(6) for i in range(3)], "d long, i long, t string").coalesce(1)
+
+    def picky(documents):
+        if any("w3" in t for c in documents for t in c):
+            raise ValueError("refused")
+        return [[(float(len(t)),) for t in c] for c in documents]
+
+    got = embedding.embed_chunks(rows, "d", "i", "t", picky).collect()
+    assert {r.d for r in got if r.error} == {3} and all((r.vector is None) == (r.d == 3) for r in got) and len(got) == 18
