@@ -1,10 +1,14 @@
 """A stored full-text index: postings clustered by token, kept in step with the table by deltas.
 
-An index is a folder of committed parts. A part has the postings of the documents that it adds or replaces (token, key, tf, n, positions), sorted and
+An index is a folder of committed parts. A part has the postings of the documents that it adds or replaces, in blocks: a token's postings in a run of
+64 keys, with the largest count, the smallest length and a bit for each key beside them. Blocks are sorted and
 range-partitioned by token, so that a look-up reads the row groups of its tokens alone; one short row for each document that it touches; and
 how many documents and tokens it adds, signed. A posting counts unless a later part touches its document. ``compact`` folds all parts into a base, in
 which every posting counts.
 
+A search for the best k reads the blocks' figures first: these bound the score of every document in a run, and give how many documents hold a term. The
+runs of the highest bounds are scored; of the others only those are read whose bound reaches the k-th score found there.
+
 Queries read their tokens' postings, the parts' totals and the keys that later parts touch; never the text.
 """
 
@@ -22,6 +26,10 @@ from ..storage import BASE, Log, again
 
 _STATS = "documents long, tokens long"
 _POSTING = "token string, key long, tf int, n int, positions array<int>"
+#: A block: largest tf, smallest n and the keys' bits, then the postings; positions apart, as few queries read them.
+_BLOCK = "token string, run long, top int, least int, bits long, docs array<struct<key:long,tf:int,n:int>>, places array<array<int>>"
+#: Runs that are named one by one in the scan; more are joined.
+_NAMED = 2000
 #: Tokens whose postings a task makes at once, but for a longer document.
 _TOKENS = 1 << 19
 
@@ -77,8 +85,14 @@ class TextIndex:
             return self.spark.createDataFrame([], f"{schema}, seq long")
         return self.spark.read.schema(f"{schema}, seq long").parquet(*[f"{self.root}/{n}/{part}" for n in names])
 
-    def _postings(self, names: Sequence[str]) -> DataFrame:
-        return self._read("postings", _POSTING, names)
+    def _blocks(self, names: Sequence[str]) -> DataFrame:
+        return self._read("postings", _BLOCK, names)
+
+    @staticmethod
+    def _opened(blocks: DataFrame) -> DataFrame:
+        """Blocks as postings."""
+        each = blocks.select("token", "seq", F.explode(F.arrays_zip("docs", "places")).alias("p"))
+        return each.select("token", "p.docs.key", "p.docs.tf", "p.docs.n", F.col("p.places").alias("positions"), "seq")
 
     def _documents(self, names: Sequence[str]) -> DataFrame:
         return self._read("documents", "key long, n int", names)
@@ -117,7 +131,18 @@ class TextIndex:
     def _write_postings(docs: DataFrame, at: str, seq: int) -> None:
         # a document's occurrences become postings within its row, so one row a posting moves
         found = docs.where(F.size("t") > 0).mapInArrow(_postings_in_row, _POSTING)
-        found.withColumn("seq", F.lit(seq).cast("long")).repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
+        TextIndex._write_blocks(found, at, seq)
+
+    @staticmethod
+    def _write_blocks(postings: DataFrame, at: str, seq: int) -> None:
+        """One shuffle: ranges of (token, run) are groups of (token, run) already, and a frequent token spans several ranges."""
+        ranged = postings.withColumn("run", F.shiftright("key", 6)).repartitionByRange("token", "run")
+        bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
+        held = F.array_sort(F.collect_list(F.struct("key", "tf", "n", "positions"))).alias("d")
+        blocks = ranged.groupBy("token", "run").agg(F.max("tf").alias("top"), F.min("n").alias("least"), F.bit_or(bit).alias("bits"), held)
+        docs = F.transform("d", lambda x: F.struct(x["key"].alias("key"), x["tf"].alias("tf"), x["n"].alias("n"))).alias("docs")
+        out = blocks.select("token", "run", "top", "least", "bits", docs, F.col("d.positions").alias("places"), F.lit(seq).cast("long").alias("seq"))
+        out.sortWithinPartitions("token", "run").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
 
     def _newest(self, names: Sequence[str]) -> DataFrame:
         return self._documents(names).groupBy("key").agg(F.max_by("n", "seq").alias("n"), F.max("seq").alias("seq"))
@@ -136,8 +161,7 @@ class TextIndex:
             return
         with self.folder.base() as base:
             at, live, number = base.path, base.live, F.lit(base.number).cast("long")
-            kept = self._counting(self._postings(live), live).withColumn("seq", number)
-            kept.repartitionByRange("token", "key").sortWithinPartitions("token", "key").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
+            self._write_blocks(self._counting(self._opened(self._blocks(live)), live), at, base.number)
             self._newest(live).where("n IS NOT NULL").select("key", "n", number.alias("seq")).write.parquet(f"{at}/documents")
             self._read("stats", _STATS, live).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).withColumn("seq", number).write.parquet(f"{at}/stats")
 
@@ -148,14 +172,14 @@ class TextIndex:
         return self._read("stats", _STATS, self.folder.live()).agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
     def postings(self, wanted: Column) -> DataFrame:
-        """(token, key, tf, n, positions) of counting postings where a condition on ``token`` holds."""
+        """(token, key, tf, n, positions) of counting postings where a condition on ``token`` and ``run`` holds."""
         live = self.folder.live()
-        return self._counting(self._postings(live).where(wanted), live).drop("seq")
+        return self._counting(self._opened(self._blocks(live).where(wanted)), live).drop("seq")
 
-    def occurrences(self, terms: Sequence[tx.Term]) -> DataFrame:
-        """(key, n, tf0, tf1, ...) of documents that hold any of the terms' words: how often each term occurs."""
+    def occurrences(self, terms: Sequence[tx.Term], runs: Column | None = None) -> DataFrame:
+        """(key, n, tf0, tf1, ...) of documents that hold any of the terms' words: how often each term occurs. ``runs``: a condition on ``run``."""
         token = F.col("token")
-        one = lambda t: token.startswith(t.words[0]) if t.prefix else token == t.words[0]
+        one = _is
         wanted, columns, phrases = F.lit(False), [], {}
         for i, t in enumerate(terms):
             if len(t.words) == 1:
@@ -166,7 +190,7 @@ class TextIndex:
             for k, w in enumerate(t.words):
                 wanted = wanted | (token == w)
                 columns.append(F.first(F.when(token == w, F.col("positions")), True).alias(f"p{i}_{k}"))
-        found = self.postings(wanted).groupBy("key").agg(F.first("n").alias("n"), *columns)
+        found = self.postings(wanted if runs is None else wanted & runs).groupBy("key").agg(F.first("n").alias("n"), *columns)
         for i, words in phrases.items():
             starts = F.col(f"p{i}_0")
             for k in range(1, len(words)):
@@ -179,10 +203,56 @@ class TextIndex:
         if not terms:
             return self.spark.createDataFrame([], f"`{key}` long, rank double")
         found = self.occurrences(terms)
-        hit = F.lit(False)
-        for i in range(len(terms)):
-            hit = hit | (F.col(f"tf{i}") > 0)
+        hit = _any_of(terms)
         df = found.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))])
         facts = self.statistics().select(F.col("documents").alias("__n"), (F.col("tokens") / F.col("documents")).alias("__avg")).join(F.broadcast(df))  # one row each
         scored = found.where(hit).join(F.broadcast(facts))
         return scored.select(F.col("key").alias(key), (-tx.bm25_score([F.col(f"tf{i}") for i in range(len(terms))], F.col("n"))).alias("rank"))
+
+    def best(self, terms: Sequence[tx.Term], k: int, key: str = "id") -> DataFrame:
+        """(key, rank) of some documents, among which are the k best of ``bm25`` and all that equal the k-th.
+
+        With phrases, or while parts are waiting to be compacted, these are all matching documents.
+        """
+        live = self.folder.live()
+        if not terms or len(live) != 1 or any(len(t.words) > 1 for t in terms):
+            return self.bm25(terms, key)
+        wanted = _is(terms[0])
+        for t in terms[1:]:
+            wanted = wanted | _is(t)
+        heads = self._blocks(live).where(wanted).groupBy("run").agg(
+            F.min("least").alias("n"),
+            *[F.coalesce(F.sum(F.when(_is(t), F.col("top"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)],
+            *[F.coalesce(F.bit_or(F.when(_is(t), F.col("bits"))), F.lit(0).cast("long")).alias(f"bits{i}") for i, t in enumerate(terms)],
+        )
+        # one row: how many documents hold each term
+        df = heads.agg(*[F.coalesce(F.sum(F.bit_count(f"bits{i}")), F.lit(0)).alias(f"__df{i}") for i in range(len(terms))])
+        facts = self.statistics().select(F.col("documents").alias("__n"), (F.col("tokens") / F.when(F.col("documents") > 0, F.col("documents"))).alias("__avg")).join(df).first().asDict()
+        if not facts["__n"]:
+            return self.bm25(terms, key)
+        score = lambda rows: rows.withColumns({c: F.lit(v) for c, v in facts.items()}).withColumn("__s", tx.bm25_score([F.col(f"tf{i}") for i in range(len(terms))], F.col("n")))
+        bounds = score(heads).select("run", (F.col("__s") * (1 + 1e-9)).alias("bound"))
+        first = [r.run for r in bounds.orderBy(F.desc("bound"), "run").limit(k).collect()]  # each has a document at least
+        if not first:
+            return self.bm25(terms, key)
+        some = score(self.occurrences(terms, F.col("run").isin(first)).where(_any_of(terms)))
+        reached = [r[0] for r in some.select("__s").orderBy(F.desc("__s")).limit(k).collect()]
+        runs = bounds.where(F.col("bound") >= (reached[-1] if len(reached) == k else 0.0)).select("run")
+        few = [r.run for r in runs.limit(_NAMED + 1).collect()]
+        if len(few) <= _NAMED:
+            found = self.occurrences(terms, F.col("run").isin(few))
+        else:
+            found = self.occurrences(terms).withColumn("run", F.shiftright("key", 6)).join(runs, "run", "left_semi")
+        return score(found.where(_any_of(terms))).select(F.col("key").alias(key), (-F.col("__s")).alias("rank"))
+
+
+def _is(t: tx.Term) -> Column:
+    """Whether ``token`` is the term's first word."""
+    return F.col("token").startswith(t.words[0]) if t.prefix else F.col("token") == t.words[0]
+
+
+def _any_of(terms: Sequence[tx.Term]) -> Column:
+    hit = F.lit(False)
+    for i in range(len(terms)):
+        hit = hit | (F.col(f"tf{i}") > 0)
+    return hit

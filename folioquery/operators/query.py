@@ -15,6 +15,7 @@ from ..functions import text as tx
 from . import hybrid, vector, writes
 from .fulltext import TextIndex
 from .predicates import And, Filters, Predicate
+from .substrings import SubstringIndex, need_of
 from .schema import Catalog, SchemaError, TableSpec
 from .views import view_frame
 
@@ -23,10 +24,18 @@ _RAW = re.compile(r"[(.`]")
 
 class Database:
     """Named DataFrames under a catalog. ``vectors`` gives the (id, vector) rows of a table's searchable column, ``indexes`` the full-text index
-    of a table's column or None; without an index keyword searches read the text."""
-
-    def __init__(self, catalog: Catalog, load: Callable[[str], DataFrame], vectors: Callable[[str, str], DataFrame] | None = None, embedder: vector.Embedder | None = None, indexes: Callable[[str, str], TextIndex | None] | None = None):
-        self.catalog, self.load, self.vectors, self.embedder, self.indexes = catalog, load, vectors, embedder, indexes
+    of a table's column or None, ``substrings`` its substring index or None; without an index searches read the text."""
+
+    def __init__(
+        self,
+        catalog: Catalog,
+        load: Callable[[str], DataFrame],
+        vectors: Callable[[str, str], DataFrame] | None = None,
+        embedder: vector.Embedder | None = None,
+        indexes: Callable[[str, str], TextIndex | None] | None = None,
+        substrings: Callable[[str, str], SubstringIndex | None] | None = None,
+    ):
+        self.catalog, self.load, self.vectors, self.embedder, self.indexes, self.substrings = catalog, load, vectors, embedder, indexes, substrings
 
     def table(self, name: str) -> Query:
         if name not in self.catalog.tables and name not in self.catalog.views:
@@ -184,8 +193,19 @@ class Query(Filters):
         df = self._source(columns)
         if self.predicate is None:
             return df
-        at = lambda name: (F.col(name), self._type(df, name))
-        return df.where(self.predicate.column(at))
+        return self._narrowed(df, columns).where(self.predicate.column(lambda name: (F.col(name), self._type(df, name))))
+
+    def _narrowed(self, df: DataFrame, columns: set[str]) -> DataFrame:
+        """The rows that a substring index names for the pattern predicates, where there is one; all rows otherwise."""
+        if self.db.substrings is None or self._view and len(self._view.tables) > 1:
+            return df
+        for column, need in need_of(self.predicate):
+            table, name = self._view.source(column) if self._view else (self.name, column)
+            key = "id" if self._view else self.db.catalog[self.name].key.name
+            index = self.db.substrings(table, name)
+            if index is not None:
+                df = index.narrow(df if key in df.columns else self._source({*columns, key}), key, need)
+        return df.select(*[n for n in df.columns if n in columns])
 
     @staticmethod
     def _type(df: DataFrame, name: str) -> T.DataType:
@@ -197,14 +217,14 @@ class Query(Filters):
             raise SchemaError(f"no vectors of {table}.{name}")
         return self.db.vectors(table, name)
 
-    def _keyword_ranks(self, terms: list[tx.Term], column: str) -> DataFrame:
-        """Ranks over the whole column, before any predicate; from its index where there is one."""
+    def _keyword_ranks(self, terms: list[tx.Term], column: str, most: int | None = None) -> DataFrame:
+        """Ranks over the whole column, before any predicate; from its index where there is one. Without a predicate the ``most`` best will do."""
         table, name = self._view.source(column) if self._view else (self.name, column)
         # a view with more tables than the column's repeats or lacks its rows
         alone = not self._view or len(self._view.tables) == 1
         index = self.db.indexes(table, name) if self.db.indexes and alone else None
         if index is not None:
-            return index.bm25(terms)
+            return index.bm25(terms) if most is None or self.predicate is not None else index.best(terms, most)
         return tx.bm25(self._source({"id", column}), "id", column, terms)
 
     # -- running
@@ -216,7 +236,7 @@ class Query(Filters):
             kind, *rest = self.search
             if kind == "keyword":
                 terms, column = rest
-                ranks = self._keyword_ranks(terms, column)
+                ranks = self._keyword_ranks(terms, column, None if self.keys else self.most)
                 df = df.join(ranks, "id").withColumn("_score", -F.col("rank")).drop("rank")
             elif kind == "vector":
                 query, column, topk = rest
@@ -226,7 +246,7 @@ class Query(Filters):
                 query, vec_col, terms, kw_col, topk, alpha, over = rest
                 ids = df.select("id")
                 v = vector.top_k(self._vectors(vec_col).join(ids, "id", "left_semi"), "id", "vector", query, topk * over)
-                k = self._keyword_ranks(terms, kw_col).join(ids, "id", "left_semi").orderBy("rank", "id").limit(topk * over)
+                k = self._keyword_ranks(terms, kw_col, topk * over).join(ids, "id", "left_semi").orderBy("rank", "id").limit(topk * over)
                 best = hybrid.fuse(v, k, "id", topk, alpha).select("id", F.col("score").alias("_score"))
                 df = df.join(F.broadcast(best), "id")  # at most topk rows
         keys = [self._order(k, d) for k, d in self.keys] or ([F.desc("_score"), F.asc("id")] if self.search else [])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.fulltext import TextIndex
 from ..operators.query import Database
 from ..operators.schema import Catalog, ViewSpec, define
+from ..operators.substrings import SubstringIndex
 from ..storage import Folder, WriteConflict, shared_dir
 
 _DOCUMENTS = "doc_id serial\ntext text fts vector\nlang text\nsource text\nn_chars integer"
@@ -75,11 +76,21 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     return index
 
 
+def substring_index(spark: SparkSession, sf_dir: str) -> SubstringIndex:
+    """The stored substring index of the documents' texts, likewise."""
+    source = Folder(spark, f"{sf_dir}/documents.parquet")
+    index = SubstringIndex(spark, f"{shared_dir(spark)}/substrings-{hashlib.sha256(f'{sf_dir} {source.stamp()}'.encode()).hexdigest()[:24]}")
+    if not index.exists:
+        index.update(loader(spark, sf_dir)("documents"), "doc_id", "text")
+    return index
+
+
 def database(spark: SparkSession, sf_dir: str) -> Database:
     load = loader(spark, sf_dir)
     vectors = lambda table, column: load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     indexes = lambda table, column: text_index(spark, sf_dir) if (table, column) == ("documents", "text") else None
-    return Database(star_catalog(), load, vectors, indexes=indexes)
+    substrings = lambda table, column: substring_index(spark, sf_dir) if (table, column) == ("documents", "text") else None
+    return Database(star_catalog(), load, vectors, indexes=indexes, substrings=substrings)
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:

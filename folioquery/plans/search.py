@@ -71,6 +71,12 @@ SELECT id, round((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE
 """
 
 
+@query(_bm25_sql(["starts_with(t, 'the')", "starts_with(t, 'worthless')"], limit=5))
+def text_keyword_top(spark, d):
+    """The five best of a common and a rare word: blocks that cannot hold one of them are not read."""
+    return _keyword(spark, d, "the worthless", limit=5)
+
+
 @query(_PHRASE)
 def text_phrase(spark, d):
     ranked = database(spark, d).table("docs").fts("Of the", "content", None).select("id").frame()
@@ -82,6 +88,12 @@ def text_regex(spark, d):
     return database(spark, d).table("docs").regex_search(r"\bidiot\b", "content").select("id").frame()
 
 
+@query("SELECT doc_id AS id FROM documents WHERE regexp_matches(coalesce(text, ''), '(?i)(the|of|and)\\s+[a-z]+') AND translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%idiot%'")
+def text_regex_ilike(spark, d):
+    """Two patterns, both met from the substring index before any text is read."""
+    return database(spark, d).table("docs").ilike("content", "IDIOT").regex_search(r"(the|of|and)\s+[a-z]+", "content").select("id").frame()
+
+
 @query("SELECT id, 1 - CAST(n - 1 AS DOUBLE) / (total - 1) AS score FROM (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents), (SELECT count(*) AS total FROM documents)")
 def text_position_score(spark, d):
     """The fallback score by position, 1 to 0."""

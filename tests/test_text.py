@@ -94,3 +94,46 @@ def test_weighted_columns_like_fts5(spark):
     df = spark.createDataFrame(rows, "id long, a string, b string")
     got = {r.id: r.rank for r in tx.bm25(df, "id", {"a": 10.0, "b": 5.0}, [tx.Term(("apple",))]).collect()}
     assert got == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+
+
+def _index(spark, tmp_path, rows):
+    from folioquery.operators.fulltext import TextIndex
+
+    index = TextIndex(spark, f"file://{tmp_path}/i")
+    index.update(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    return index
+
+
+def test_best_k_are_those_of_a_full_ranking(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i - 200, " ".join(rng.choices(["common", "comma", "rare", "odd", "x"], weights=[30, 5, 0.3, 3, 40], k=rng.randint(1, 40)))) for i in range(1500)]
+    rows += [(5000, "rare " * 20), (5001, "rare " * 20), (5002, None)]
+    index = _index(spark, tmp_path, rows)
+    terms = [[tx.Term(("rare",))], [tx.Term(("com",), True), tx.Term(("rare",))], [tx.Term(("none",))], [tx.Term(("x",)), tx.Term(("odd",))], [tx.Term(("odd", "x")), tx.Term(("rare",))], []]
+    for some in terms:
+        for k in (1, 3, 40, 5000):
+            order = ["rank", "id"]
+            want = index.bm25(some).orderBy(*order).limit(k).collect()
+            got = index.best(some, k).orderBy(*order).limit(k).collect()
+            assert [(r.id, round(r.rank, 9)) for r in got] == [(r.id, round(r.rank, 9)) for r in want], (some, k)
+
+
+def test_blocks_that_cannot_hold_a_best_document_are_not_read(spark, tmp_path):
+    rows = [(i, "common " * (9 if i // 64 == 7 else 1) + "filler " * (i % 5 + 3)) for i in range(6400)]
+    index = _index(spark, tmp_path, rows)
+    term = [tx.Term(("common",))]
+    found = index.best(term, 10)
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 64 < index.postings(F.col("token") == "common").count() == 6400
+    assert "In(run" in scan.replace(" ", "") or "EqualTo(run" in scan.replace(" ", "")
+
+
+def test_an_index_that_awaits_compaction_ranks_all(spark, tmp_path):
+    index = _index(spark, tmp_path, [(1, "a b"), (2, "a")])
+    index.update(spark.createDataFrame([(2, "b b"), (3, "a")], "id long, t string"), "id", "t")
+    ranks = lambda: sorted((r.id, round(r.rank, 9)) for r in index.best([tx.Term(("a",))], 1).collect())
+    before = ranks()
+    index.compact()
+    assert [i for i, _ in before] == [1, 3] and set(ranks()) <= set(before)
