@@ -86,7 +86,7 @@ class TextIndex:
         return self.spark.read.schema(f"{schema}, seq long").parquet(*[f"{self.root}/{n}/{part}" for n in names])
 
     def _blocks(self, names: Sequence[str]) -> DataFrame:
-        return self._read("postings", _BLOCK, names)
+        return self._read("blocks", _BLOCK, names)
 
     @staticmethod
     def _opened(blocks: DataFrame) -> DataFrame:
@@ -142,7 +142,7 @@ class TextIndex:
         blocks = ranged.groupBy("token", "run").agg(F.max("tf").alias("top"), F.min("n").alias("least"), F.bit_or(bit).alias("bits"), held)
         docs = F.transform("d", lambda x: F.struct(x["key"].alias("key"), x["tf"].alias("tf"), x["n"].alias("n"))).alias("docs")
         out = blocks.select("token", "run", "top", "least", "bits", docs, F.col("d.positions").alias("places"), F.lit(seq).cast("long").alias("seq"))
-        out.sortWithinPartitions("token", "run").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/postings")
+        out.sortWithinPartitions("token", "run").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
 
     def _newest(self, names: Sequence[str]) -> DataFrame:
         return self._documents(names).groupBy("key").agg(F.max_by("n", "seq").alias("n"), F.max("seq").alias("seq"))
