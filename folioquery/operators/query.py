@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from . import hybrid, vector, writes
 from .fulltext import TextIndex
+from .pivots import PivotIndex
 from .predicates import And, Filters, Predicate
 from .substrings import SubstringIndex, need_of
 from .schema import Catalog, SchemaError, TableSpec
@@ -23,14 +24,14 @@ _RAW = re.compile(r"[(.`]")
 
 
 class Database:
-    """Named DataFrames under a catalog. ``vectors`` gives the (id, vector) rows of a table's searchable column, ``indexes`` the full-text index
+    """Named DataFrames under a catalog. ``vectors`` gives the (id, vector) rows of a table's searchable column or their pivot index, ``indexes`` the full-text index
     of a table's column or None, ``substrings`` its substring index or None; without an index searches read the text."""
 
     def __init__(
         self,
         catalog: Catalog,
         load: Callable[[str], DataFrame],
-        vectors: Callable[[str, str], DataFrame] | None = None,
+        vectors: Callable[[str, str], DataFrame | PivotIndex] | None = None,
         embedder: vector.Embedder | None = None,
         indexes: Callable[[str, str], TextIndex | None] | None = None,
         substrings: Callable[[str, str], SubstringIndex | None] | None = None,
@@ -211,11 +212,15 @@ class Query(Filters):
     def _type(df: DataFrame, name: str) -> T.DataType:
         return df.schema[name].dataType
 
-    def _vectors(self, column: str) -> DataFrame:
+    def _nearest(self, column: str, query: Sequence[float], k: int, ids: DataFrame, score: str = "score") -> DataFrame:
+        """(id, score) of the k nearest rows of ``ids``; from the groups that can hold them, where the vectors are indexed."""
         table, name = self._view.source(column) if self._view else (self.name, column)
         if self.db.vectors is None:
             raise SchemaError(f"no vectors of {table}.{name}")
-        return self.db.vectors(table, name)
+        found = self.db.vectors(table, name)
+        if isinstance(found, PivotIndex):
+            return found.search(query, k, ids).withColumnRenamed("score", score)
+        return vector.top_k(found.join(ids, "id", "left_semi"), "id", "vector", query, k, score)
 
     def _keyword_ranks(self, terms: list[tx.Term], column: str, most: int | None = None) -> DataFrame:
         """Ranks over the whole column, before any predicate; from its index where there is one. Without a predicate the ``most`` best will do."""
@@ -240,12 +245,12 @@ class Query(Filters):
                 df = df.join(ranks, "id").withColumn("_score", -F.col("rank")).drop("rank")
             elif kind == "vector":
                 query, column, topk = rest
-                best = vector.top_k(self._vectors(column).join(df.select("id"), "id", "left_semi"), "id", "vector", query, topk, "_score")
+                best = self._nearest(column, query, topk, df.select("id"), "_score")
                 df = df.join(F.broadcast(best), "id")  # at most topk rows
             else:
                 query, vec_col, terms, kw_col, topk, alpha, over = rest
                 ids = df.select("id")
-                v = vector.top_k(self._vectors(vec_col).join(ids, "id", "left_semi"), "id", "vector", query, topk * over)
+                v = self._nearest(vec_col, query, topk * over, ids)
                 k = self._keyword_ranks(terms, kw_col, topk * over).join(ids, "id", "left_semi").orderBy("rank", "id").limit(topk * over)
                 best = hybrid.fuse(v, k, "id", topk, alpha).select("id", F.col("score").alias("_score"))
                 df = df.join(F.broadcast(best), "id")  # at most topk rows

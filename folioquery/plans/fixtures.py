@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fulltext import TextIndex
+from ..operators.pivots import PivotIndex
 from ..operators.query import Database
 from ..operators.schema import Catalog, ViewSpec, define
 from ..operators.substrings import SubstringIndex
@@ -85,9 +86,20 @@ def substring_index(spark: SparkSession, sf_dir: str) -> SubstringIndex:
     return index
 
 
-def database(spark: SparkSession, sf_dir: str) -> Database:
+def pivot_index(spark: SparkSession, sf_dir: str) -> PivotIndex:
+    """The stored index of the embeddings, likewise."""
+    source = Folder(spark, f"{sf_dir}/embeddings.parquet")
+    index = PivotIndex(spark, f"{shared_dir(spark)}/pivots-{hashlib.sha256(f'{sf_dir} {source.stamp()}'.encode()).hexdigest()[:24]}")
+    if not index.exists:
+        with contextlib.suppress(WriteConflict):
+            index.build(loader(spark, sf_dir)("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return index
+
+
+def database(spark: SparkSession, sf_dir: str, pivots: bool = False) -> Database:
+    """The star schema's tables; ``pivots``: vector searches go by the pivot index."""
     load = loader(spark, sf_dir)
-    vectors = lambda table, column: load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    vectors = lambda table, column: pivot_index(spark, sf_dir) if pivots else load("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     indexes = lambda table, column: text_index(spark, sf_dir) if (table, column) == ("documents", "text") else None
     substrings = lambda table, column: substring_index(spark, sf_dir) if (table, column) == ("documents", "text") else None
     return Database(star_catalog(), load, vectors, indexes=indexes, substrings=substrings)

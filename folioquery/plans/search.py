@@ -11,7 +11,7 @@ from ..operators import embedding, hybrid, vector
 from ..operators.fulltext import TextIndex
 from ..operators.ranking import with_position
 from ..storage import shared_dir
-from .fixtures import database, loader, query_vector
+from .fixtures import database, loader, pivot_index, query_vector
 from .registry import query
 
 _TOKENS = "regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')"
@@ -161,6 +161,19 @@ def vec_topk(spark, d):
     return vector.top_k(rows, "id", "vector", query_vector(spark, d), 20).select("id", F.round("score", 6).alias("score"))
 
 
+@query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV} ORDER BY {_COS} DESC, id LIMIT 20")
+def vec_topk_pivots(spark, d):
+    """The same rows, of which only the groups are read that can hold one of the best."""
+    return pivot_index(spark, d).search(query_vector(spark, d), 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV} WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY {_COS} DESC, id LIMIT 15")
+def vec_filtered_pivots(spark, d):
+    """Predicates filter before the search, which goes by pivots."""
+    q = database(spark, d, pivots=True).table("docs").eq("lang", "en").order("n_chars").vector_search(query_vector(spark, d), "embedding", 15)
+    return q.select("id").frame().select("id", F.round("_score", 6).alias("score"))
+
+
 @query(f"SELECT id, round({_COS}, 6) AS score FROM ({_UNIT}), {_QV} WHERE id % 4 <> 0 ORDER BY {_COS} DESC, id LIMIT 20")
 def vec_topk_broken(spark, d):
     """A quarter of the vectors has a null, NaN or infinite element, or none at all: they are no results."""
