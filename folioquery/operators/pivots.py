@@ -22,9 +22,12 @@ from ..storage import Log
 from . import vector
 
 SAMPLE, PIVOTS, RINGS = 2048, 64, 32
+#: Rows of a group on average, below which a table has fewer groups.
+LEAST = 64
 #: Rows, for each row asked for, that the first look covers.
 FIRST = 8
 _ZERO = -1  # the group of vectors without a direction: their cosine is 0
+_PIVOT = "number int, pivot array<double>, rings int"
 _GROUP = "grp int, near double, far double, n long"
 
 
@@ -34,10 +37,10 @@ def _units(batch: pa.Array, dims: int) -> np.ndarray:
     return v / np.where(size == 0, 1.0, size)[:, None]
 
 
-def _centres(sample: np.ndarray) -> np.ndarray:
-    """Spherical means of the sample, at most ``PIVOTS``."""
+def _centres(sample: np.ndarray, most: int) -> np.ndarray:
+    """Spherical means of the sample."""
     centre = np.unique(sample, axis=0)
-    centre = centre[np.linspace(0, len(centre) - 1, min(PIVOTS, len(centre))).astype(int)]
+    centre = centre[np.linspace(0, len(centre) - 1, min(most, len(centre))).astype(int)]
     for _ in range(6):
         nearest = (sample @ centre.T).argmax(1)
         for j in np.unique(nearest):
@@ -69,7 +72,9 @@ class PivotIndex:
         drawn = hashed.where(few).orderBy("h").limit(SAMPLE).collect() or hashed.orderBy("h").limit(SAMPLE).collect()
         sample = np.array([r.vector for r in drawn], float).reshape(len(drawn), dims)
         size = np.linalg.norm(sample, axis=1)
-        pivots = _centres(sample[size > 0] / size[size > 0, None]) if (size > 0).any() else np.ones((1, dims)) / np.sqrt(max(1, dims))
+        most = max(1, min(PIVOTS, count // (8 * LEAST)))
+        rings = max(1, min(RINGS, count // (LEAST * most)))
+        pivots = _centres(sample[size > 0] / size[size > 0, None], most) if (size > 0).any() else np.ones((1, dims)) / np.sqrt(max(1, dims))
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -78,7 +83,7 @@ class PivotIndex:
                     cosine = u @ pivots.T
                     near = cosine.argmax(1)
                     distance = np.sqrt(np.maximum(0, ((u - pivots[near]) ** 2).sum(1)))
-                    group = near * RINGS + np.minimum(RINGS - 1, (distance * RINGS / 2).astype(int))
+                    group = near * rings + np.minimum(rings - 1, (distance * rings / 2).astype(int))
                     group[~u.any(1)] = _ZERO
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(group.astype(np.int32)), pa.array(distance)], ["id", "vector", "grp", "distance"])
 
@@ -89,7 +94,7 @@ class PivotIndex:
             keyed.repartitionByRange("grp", "id").sortWithinPartitions("grp").write.partitionBy("grp").parquet(f"{base.path}/rows")
             stored = self.spark.read.schema("id long, vector array<float>, distance double, grp int").parquet(f"{base.path}/rows")
             stored.groupBy("grp").agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{base.path}/groups")
-            self.spark.createDataFrame([(p.tolist(),) for p in pivots], "pivot array<double>").coalesce(1).write.parquet(f"{base.path}/pivots")
+            self.spark.createDataFrame([(i, p.tolist(), rings) for i, p in enumerate(pivots)], _PIVOT).coalesce(1).write.parquet(f"{base.path}/pivots")
 
     def _part(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root}/{self.log.live()[0]}/{name}")
@@ -97,12 +102,13 @@ class PivotIndex:
     def groups(self, query: Sequence[float], k: int, ids: DataFrame | None = None) -> tuple[list[int], float]:
         """The groups that a search must read, and their share of all rows."""
         q = vector._unit(query)
-        pivots = np.array([r.pivot for r in self._part("pivots", "pivot array<double>").collect()])
+        known = self._part("pivots", _PIVOT).orderBy("number").collect()
+        pivots = np.array([r.pivot for r in known])
         held = self._part("groups", _GROUP).collect()
         if not held or pivots.shape[1] != len(q):
             return [], 0.0
         group, near, far, n = (np.array([r[i] for r in held]) for i in range(4))
-        d = np.linalg.norm(pivots - q, axis=1)[np.maximum(group, 0) // RINGS]
+        d = np.linalg.norm(pivots - q, axis=1)[np.maximum(group, 0) // known[0].rings]
         least = np.maximum(0, np.maximum(near - d, d - far) - 1e-6)
         bound = np.where(group == _ZERO, 0.0, 1 - least**2 / 2) + 1e-6
         if not q.any():
