@@ -46,7 +46,8 @@ def _unit(query: Sequence[float]) -> np.ndarray:
 
 
 def scores(df: DataFrame, key: str, vector: str, query: Sequence[float], score: str = "score") -> DataFrame:
-    """(key, score) by one matrix product a batch; null vectors, broken ones and those of another length are left out."""
+    """(key, score) by one product a batch; null vectors, broken ones and those of another length are left out. Equal vectors score equally, wherever
+    they stand in a batch (a BLAS product does not promise that), so ties are ties."""
     q = _unit(query)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,7 +57,7 @@ def scores(df: DataFrame, key: str, vector: str, query: Sequence[float], score:
                 whole = np.isfinite(flat).all(axis=1)  # a null element is NaN here, and Spark would rank NaN first
                 flat = flat[whole]
                 size = np.sqrt(np.einsum("ij,ij->i", flat, flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(whole)), pa.array((flat @ q) / np.where(size == 0, 1.0, size))], [key, score])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(whole)), pa.array(np.einsum("ij,j->i", flat, q) / np.where(size == 0, 1.0, size))], [key, score])
 
     rows = df.where(F.size(vector) == len(q)).select(key, F.col(vector).cast("array<float>").alias(vector))
     return rows.mapInArrow(multiply, f"`{key}` {df.schema[key].dataType.simpleString()}, `{score}` double")

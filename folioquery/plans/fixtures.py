@@ -89,7 +89,7 @@ def substring_index(spark: SparkSession, sf_dir: str) -> SubstringIndex:
 def pivot_index(spark: SparkSession, sf_dir: str) -> PivotIndex:
     """The stored index of the embeddings, likewise."""
     source = Folder(spark, f"{sf_dir}/embeddings.parquet")
-    index = PivotIndex(spark, f"{shared_dir(spark)}/pivots-{hashlib.sha256(f'{sf_dir} {source.stamp()}'.encode()).hexdigest()[:24]}")
+    index = PivotIndex(spark, f"{shared_dir(spark)}/vector-groups-{hashlib.sha256(f'{sf_dir} {source.stamp()}'.encode()).hexdigest()[:24]}")
     if not index.exists:
         with contextlib.suppress(WriteConflict):
             index.build(loader(spark, sf_dir)("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
