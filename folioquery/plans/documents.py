@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.documents import chunker, flat_map, headers, html, sections, tables, transcripts
+from ..functions.documents import chunker, flat_map, headers, html, positioned, sections, tables, transcripts
 from .fixtures import loader
 from .registry import query
 
@@ -187,3 +187,29 @@ def chunk_headers(spark, d):
 def fiscal_year_end(spark, d):
     mmdd = F.date_format("o_orderdate", "MMdd")
     return loader(spark, d)("orders").select("o_orderkey", mmdd.alias("mmdd"), tx.format_year_end(mmdd).alias("shown"))
+
+
+_BOXES = """SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS box, CAST((l_suppkey * 3 + l_linenumber) % 3 * 100 AS DOUBLE) AS x,
+  CAST((l_linenumber + l_partkey % 2) * 20 + l_partkey % 6 + CASE WHEN l_partkey % 5 = 0 THEN 40 ELSE 0 END AS DOUBLE) AS y FROM lineitem"""
+
+
+@query(f"""
+WITH b AS ({_BOXES}),
+g AS (SELECT *, y - lag(y) OVER (PARTITION BY page ORDER BY y, x) AS gap FROM b),
+m AS (SELECT page, median(gap) FILTER (WHERE gap > 5 AND gap < 100) AS usual FROM g GROUP BY page),
+r AS (SELECT page, box, y, x, CAST(floor(y / 20) AS BIGINT) AS line,
+        sum(CASE WHEN gap > coalesce(least(1.2 * usual, 30.0), 30.0) THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, x ROWS UNBOUNDED PRECEDING) AS run
+      FROM g JOIN m USING (page)),
+n AS (SELECT *, count(*) OVER (PARTITION BY page, run, line) AS many FROM r),
+l AS (SELECT *, max(CASE WHEN many > 1 THEN line END) OVER (PARTITION BY page, run) AS several FROM n),
+after AS (SELECT page, run, count(DISTINCT line) AS singles FROM l WHERE line > several GROUP BY page, run),
+k AS (SELECT l.*, CASE WHEN line > several AND singles >= 2 THEN 1 ELSE 0 END AS cut FROM l LEFT JOIN after USING (page, run))
+SELECT page, box, dense_rank() OVER (PARTITION BY page ORDER BY run, cut)::INTEGER - 1 AS grp FROM k
+""")
+def gap_groups(spark, d):
+    """Boxes made from order lines, split where a gap is wide or several columns become one."""
+    l = loader(spark, d)("lineitem")  # noqa: E741
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    top = (n + p % 2) * 20 + p % 6 + F.when(p % 5 == 0, 40).otherwise(0)
+    boxes = l.select(F.col("l_orderkey").alias("page"), (p * 10 + n).alias("box"), ((F.col("l_suppkey") * 3 + n) % 3 * 100).cast("double").alias("left"), top.cast("double").alias("top"))
+    return positioned.gap_groups(boxes, ["page"]).select("page", "box", "grp")

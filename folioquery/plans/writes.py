@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import schema as sc
 from ..operators import writes as wr
+from ..storage import shared_dir
 from .fixtures import loader, star_catalog
 from .registry import query
 
@@ -95,3 +98,29 @@ def stream_incremental_upsert(spark, d):
 
     events = loader(spark, d)("events").select("event_id", "ts", "user_id", "value")
     return incremental_upsert(spark, events, f"{d}/events.parquet", key="user_id", newest=["ts", "event_id"]).select("user_id", "ts", "value")
+
+
+@query("""
+SELECT page_id AS filing_id, CASE WHEN page_id % 11 = 5 THEN NULL ELSE 1 END AS num_pages, page_id % 11 <> 5 AS synced,
+       CASE WHEN page_id % 11 = 5 THEN 'source' END AS failed, CASE WHEN page_id % 11 = 5 THEN 0 ELSE 1 END::BIGINT AS pages
+FROM pages
+""")
+def ingest_filings(spark, d):
+    """Pages written as filings on disk, then taken in by two runs of a stream: the second reads what is new alone. Files that are missing are errors."""
+    from ..sources import filings as source
+    from ..streaming.ingest import FilingIngest
+
+    at = f"{shared_dir(spark)}/filings-{uuid.uuid4().hex}"
+    pages = loader(spark, d)("pages")
+    found = F.when(F.col("page_id") % 11 != 5, F.concat(F.lit("<p>filing</p>"), F.coalesce("html", F.lit(""))))
+    rows = pages.select(F.col("page_id").alias("filing_id"), (F.col("page_id") % 7).alias("company_id"), F.lit("8-K").alias("form"), F.concat(F.lit("files/"), F.col("page_id").cast("string"), F.lit(".htm")).alias("path"), found.alias("html"))
+    companies = loader(spark, d)("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), *[F.lit(None).cast(t).alias(c) for c, t in (("symbols", "array<string>"), ("exchanges", "array<string>"), ("sector", "string"), ("industry", "string"))])
+    source.register(spark)
+    job = FilingIngest(spark, f"{at}/out", companies)
+    for run in (0, 1):
+        source.export(rows.where(F.col("filing_id") % 3 == 0) if run == 0 else rows.where(F.col("filing_id") % 3 != 0), f"{at}/in", f"m{run}")
+        job.run(spark.readStream.format("filings").load(f"{at}/in"))
+    count = job.read("filing_pages").groupBy("filing_id").agg(F.count("*").alias("pages"))
+    failed = job.read("filing_errors").select("filing_id", F.col("step").alias("failed"))
+    out = job.read("filings").join(failed, "filing_id", "left").join(count, "filing_id", "left")
+    return out.select("filing_id", "num_pages", "synced", "failed", F.coalesce("pages", F.lit(0)).cast("long").alias("pages"))

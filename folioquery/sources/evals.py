@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.documents import flat_map
+
 QUESTION = "id string, question string, revised_question string, ticker string, ground_truth string, original_ground_truth string, issue_type string"
 # Issue types whose correction a mode takes.
 CORRECTED = {
@@ -15,15 +19,19 @@ CORRECTED = {
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions of a YAML file with a ``questions`` list; needs a YAML reader on the driver."""
-    try:
-        import yaml
-    except ImportError as e:
-        raise RuntimeError("reading YAML needs the yaml package") from e
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    """Questions of YAML files with a ``questions`` list, one file a row and each parsed in its task; or of JSON lines, natively."""
+    if path.endswith((".json", ".jsonl")):
+        return spark.read.schema(QUESTION).json(path)
+    if importlib.util.find_spec("yaml") is None:
+        raise RuntimeError("reading YAML needs the yaml package")
     names = [x.split()[0] for x in QUESTION.split(", ")]
-    rows = [tuple(None if q.get(n) is None else str(q[n]) for n in names) for q in yaml.safe_load(text)["questions"]]
-    return spark.createDataFrame(rows, QUESTION)
+
+    def parse(row: dict) -> list[dict]:
+        import yaml
+
+        return [{n: None if q.get(n) is None else str(q[n]) for n in names} for q in yaml.safe_load(row["value"])["questions"]]
+
+    return flat_map(spark.read.text(path, wholetext=True).select("value"), parse, QUESTION)
 
 
 def select_mode(questions: DataFrame, mode: str = "standard") -> DataFrame:

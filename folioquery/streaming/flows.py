@@ -7,7 +7,7 @@ symbols, exchanges, sector, industry.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +20,14 @@ SIZE, OVERLAP = 1024, 0
 BASE = ("10-K", "10-Q", "20-F")
 
 
+def _parsed(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pages, error) of every row's HTML; one that cannot be parsed has an error instead of pages."""
+    return flat_map(rows.select(key, "html"), lambda r: [{key: r[key], "pages": html.to_pages(r["html"])}], f"{key} long, pages {PAGES}, error string", keys=[key])
+
+
 def with_pages(filings: DataFrame) -> DataFrame:
-    """(filing_id, pages) of every filing's HTML."""
-    return flat_map(filings.select("filing_id", "html"), lambda r: [{"filing_id": r["filing_id"], "pages": html.to_pages(r["html"])}], f"filing_id long, pages {PAGES}")
+    """(filing_id, pages, error) of every filing's HTML."""
+    return _parsed(filings, "filing_id")
 
 
 def page_rows(paged: DataFrame, filings: DataFrame, key: str = "filing_id") -> DataFrame:
@@ -60,7 +65,7 @@ def _chunks(rows: DataFrame, keep: list[str]) -> DataFrame:
         for i, c in enumerate(chunker.split(row["pages"] or [], row["header"] or "", SIZE, OVERLAP)):
             yield {**{k: row[k] for k in keep}, "index": i, "page": c["page"], "pages": c["pages"], "embedding": c["embedding_text"], "has_table": c["has_table"]}
 
-    return flat_map(rows.select(*keep, "pages", "header"), work, f"{kept}, index int, page int, pages {PAGES}, embedding string, has_table boolean")
+    return flat_map(rows.select(*keep, "pages", "header"), work, f"{kept}, index int, page int, pages {PAGES}, embedding string, has_table boolean, error string", keys=keep)
 
 
 def periodic(filings: DataFrame, paged: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
@@ -87,12 +92,11 @@ def whole(filings: DataFrame, paged: DataFrame, companies: DataFrame, section: s
 def attachments(files: DataFrame, filings: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
     """From (attachment_id, filing_id, exhibit_number, filename, description, html): typed attachments, pages, and chunks of the kinds that are searched."""
     typed = files.withColumn("type", sections.attachment_type(F.col("exhibit_number")))
-    paged = flat_map(files.select("attachment_id", "html"), lambda r: [{"attachment_id": r["attachment_id"], "pages": html.to_pages(r["html"])}], f"attachment_id long, pages {PAGES}")
-    met = typed.drop("html").join(paged, "attachment_id").join(_known(filings, companies), "filing_id")
+    met = typed.drop("html").join(_parsed(files, "attachment_id"), "attachment_id").join(_known(filings, companies), "filing_id")
     rows = met.where(F.col("type").isin(*sections.CHUNKABLE))
     rows = rows.withColumn("header", header_of(rows, headers.attachment_line(F.col("type"), F.col("exhibit_number"), F.col("description"))))
     return {
-        "filing_attachments": met.select(F.col("attachment_id").alias("id"), "filing_id", "company_id", "exhibit_number", "filename", "description", "type", F.size("pages").alias("num_pages")),
+        "filing_attachments": met.select(F.col("attachment_id").alias("id"), "filing_id", "company_id", "exhibit_number", "filename", "description", "type", F.size("pages").alias("num_pages"), "error"),
         "filing_attachment_pages": met.select("attachment_id", "filing_id", "company_id", F.explode("pages").alias("p")).select("attachment_id", "filing_id", "company_id", "p.page", "p.content"),
         "filing_attachment_chunks": _chunks(rows, ["attachment_id", "filing_id", "company_id"]),
     }
@@ -100,27 +104,43 @@ def attachments(files: DataFrame, filings: DataFrame, companies: DataFrame) -> d
 
 def notes(files: DataFrame, filings: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
     """From (note_id, filing_id, title, filename, html): flattened notes and their chunks."""
-    flat = flat_map(files.select("note_id", "html"), lambda r: [{"note_id": r["note_id"], "content": html.flatten_note(r["html"])}], "note_id long, content string")
+    flat = flat_map(files.select("note_id", "html"), lambda r: [{"note_id": r["note_id"], "content": html.flatten_note(r["html"])}], "note_id long, content string, error string", keys=["note_id"])
     met = files.drop("html").join(flat, "note_id").join(_known(filings, companies), "filing_id")
     rows = met.withColumn("pages", F.array(F.struct(F.lit(1).alias("page"), "content")))
     rows = rows.withColumn("header", header_of(rows, headers.note_line(F.col("title"))))
     return {
-        "filing_notes": met.select(F.col("note_id").alias("id"), "filing_id", "company_id", "title", "filename", "content", headers.truncated(F.col("content"), 1500).alias("preview")),
+        "filing_notes": met.select(F.col("note_id").alias("id"), "filing_id", "company_id", "title", "filename", "content", headers.truncated(F.col("content"), 1500).alias("preview"), "error"),
         "filing_note_chunks": _chunks(rows, ["note_id", "filing_id", "company_id"]),
     }
 
 
-def process(filings: DataFrame, companies: DataFrame) -> dict[str, DataFrame]:
-    """All tables of a batch of filings. A current report is a press release if item 9.01 is among its items; its cover page is
-    not chunked. Counts are written last, with the synced flag."""
-    paged = with_pages(filings)
+def process(filings: DataFrame, companies: DataFrame, stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> dict[str, DataFrame]:
+    """All tables of a batch of filings, in the order in which they are to be written. A current report is a press release if item 9.01 is among its
+    items; its cover page is not chunked. ``filings`` comes last, with counts and the synced flag; what failed is in ``filing_errors``
+    (filing_id, step, error), and its filing is not synced.
+
+    ``stage`` may write a frame that several tables are made from and read it back, so that HTML is parsed and chunks are cut once.
+    """
+    readable = filings.where("error IS NULL") if "error" in filings.columns else filings
+    parsed = stage(with_pages(readable), "pages")
+    paged = parsed.where("error IS NULL").drop("error")
     of = lambda *forms: filings.where(base_form(F.col("form")).isin(*forms))
     out = periodic(filings, paged, companies)
     reports = whole(of("8-K", "6-K"), paged, companies, "current_report", skip=1)
     proxies = whole(of("DEF 14A"), paged, companies, "proxy_statement")
-    out["filing_section_chunks"] = out["filing_section_chunks"].unionByName(reports).unionByName(proxies)
-    out["filing_pages"] = page_rows(paged, filings)
+    chunks = stage(out["filing_section_chunks"].unionByName(reports).unionByName(proxies), "chunks")
+    failed = parsed.where("error IS NOT NULL").select("filing_id", F.lit("pages").alias("step"), "error")
+    failed = failed.unionByName(chunks.where("error IS NOT NULL").select("filing_id", F.concat(F.lit("chunks of "), "section").alias("step"), "error"))
+    if "error" in filings.columns:  # what the source could not read
+        failed = failed.unionByName(filings.where("error IS NOT NULL").select("filing_id", F.lit("source").alias("step"), "error"))
     press = F.coalesce(F.array_contains("items", "9.01"), F.lit(False)) & (base_form(F.col("form")) == "8-K")
-    counted = filings.drop("html").join(paged.select("filing_id", F.size("pages").alias("num_pages")), "filing_id", "left")
-    out["filings"] = counted.withColumn("press_release", press).withColumn("synced", F.lit(True))
-    return out
+    own = [c for c in filings.columns if c not in ("html", "error")]
+    counted = filings.select(*own).join(paged.select("filing_id", F.size("pages").alias("num_pages")), "filing_id", "left")
+    sound = counted.join(failed.select("filing_id").distinct().withColumn("__failed", F.lit(True)), "filing_id", "left")
+    return {
+        "filing_pages": page_rows(paged, filings),
+        "filing_section_pages": out["filing_section_pages"],
+        "filing_section_chunks": chunks.where("error IS NULL").drop("error"),
+        "filing_errors": failed,
+        "filings": sound.withColumn("press_release", press).withColumn("synced", F.col("__failed").isNull()).drop("__failed"),
+    }

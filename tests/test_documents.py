@@ -135,3 +135,21 @@ def test_one_long_block_is_linear():
     began = time.perf_counter()
     text = html.assemble(["x "] * 2_000_000)
     assert len(text) == 3_999_999 and time.perf_counter() - began < 10
+
+
+def test_gap_groups_are_those_of_the_splitter(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = []
+    for page in range(60):
+        top = 0.0
+        for k in range(rng.randint(1, 25)):
+            top += rng.choice([0, 0, 3, 12, 14, 15, 16, 40, 120])
+            rows.append((page, float(rng.randint(0, 5) * 70 + k / 100), top, k))
+    df = spark.createDataFrame(rows, "page long, left double, top double, k int")
+    got = {(r.page, r.k): r.grp for r in positioned.gap_groups(df, ["page"]).collect()}
+    for page in range(60):
+        boxes = [positioned.Box(left, top, str(k)) for p, left, top, k in rows if p == page]
+        for i, g in enumerate(positioned.groups(boxes)):
+            assert {got[page, int(b.text)] for b in g} == {i}
