@@ -1,13 +1,13 @@
-"""Section extraction: PART and ITEM headers carried over pages, as windows over the lines of a filing.
+"""Section extraction: PART and ITEM headers carried over pages, within a filing's row.
 
-Lines become words without markup; a line's first words tell whether it is a header, a page number or a running title. Headers number the
-sections, the running part is the last one seen, and lines are put together again by section and page. All is built-in expressions.
+Lines become words without markup; a line's first words tell whether it is a header, a page number or a running title. Headers cut the array of
+lines into sections, the running part is the last one seen, and a section's lines are put together again by page. All is built-in expressions over the
+row's arrays, so nothing is shuffled or sorted. Each step is a column of its own, as functions over array elements compute what they repeat.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Which items each part of a form has.
@@ -131,59 +131,70 @@ def name_of(form: Column, part: Column, item: Column) -> Column:
     return out
 
 
-def line_rows(pages: DataFrame) -> DataFrame:
-    """From (filing_id, form, page, content) the lines that are no running titles or page numbers, with what headers they hold.
+def _lines_of(filings: DataFrame) -> DataFrame:
+    """(filing_id, form, lines): per filing the lines (page, line, part, item, title) that are no running titles or page numbers, with what headers they hold.
 
     ``part`` is "PART II" and ``item`` "ITEM 7A" on header lines; ``title`` is the rest of an item's line. Contents pages are left out.
     """
-    text = _spaced(F.coalesce("content", F.lit("")))
-    pages = pages.select("filing_id", "form", "page", F.split(text, "\n").alias("lines"))
+    split = F.transform("pages", lambda p: F.struct(p["page"].alias("page"), F.split(_spaced(F.coalesce(p["content"], F.lit(""))), "\n").alias("lines")))
+    out = filings.select("filing_id", "form", F.array_sort(split).alias("p"))
     # contents are told within a page, before its lines part
-    entries = F.size(F.filter("lines", lambda x: (F.upper(F.left(F.ltrim(x), F.lit(4))) == "ITEM") & (_item_number(F.ltrim(x)) != "")))
-    leaders = F.size(F.filter("lines", _has_leader))
-    pages = pages.where((F.col("page") > CONTENTS_PAGES) | ((entries < CONTENTS_ROWS) & (leaders < CONTENTS_ROWS)))
-    lines = pages.select("filing_id", "form", "page", F.posexplode("lines").alias("n", "raw"))
-    words = F.split(F.lower(F.btrim("raw")), " +")
-    lines = lines.where(~_is_page_number(words) & ~_is_running_title(F.col("raw")))
-    body = _without(_without(F.btrim("raw"), "**"), "__")
+    entry = lambda x: (F.upper(F.left(F.ltrim(x), F.lit(4))) == "ITEM") & (_item_number(F.ltrim(x)) != "")
+    few = lambda lines, test: F.size(F.filter(lines, test)) < CONTENTS_ROWS
+    body_pages = F.filter("p", lambda p: (p["page"] > CONTENTS_PAGES) | (few(p["lines"], entry) & few(p["lines"], _has_leader)))
+    out = out.select("filing_id", "form", body_pages.alias("p"))
+    each = F.transform("p", lambda p: F.transform(p["lines"], lambda x: F.struct(p["page"].alias("page"), x.alias("raw"), F.split(F.lower(F.btrim(x)), " +").alias("words"))))
+    out = out.select("filing_id", "form", F.flatten(each).alias("x"))
+    said = F.filter("x", lambda x: ~_is_page_number(x["words"]) & ~(x["raw"].contains("|") & _is_running_title(x["raw"])))
+    out = out.select("filing_id", "form", F.transform(said, lambda x: F.struct(x["page"].alias("page"), F.btrim(x["raw"]).alias("line"))).alias("x"))
+    for wrap in ("**", "__"):
+        out = out.withColumn("x", F.transform("x", lambda x: F.struct(x["page"].alias("page"), _without(x["line"], wrap).alias("line"))))  # noqa: B023
     # a heading may stand behind # marks, emphasis and tags
-    bare = F.ltrim(F.regexp_replace(F.ltrim(body, F.lit("#*_ ")), "^(<[^>]*> *)+", ""))
-    lines = lines.select("filing_id", "form", "page", "n", body.alias("line"), bare.alias("bare"))
-    head = F.upper(F.split_part("bare", F.lit(" "), F.lit(1)))
-    after = F.upper(F.split_part(F.ltrim(F.substring("bare", 5, 1 << 30)), F.lit(" "), F.lit(1)))
-    part = F.when((head == "PART") & (after != "") & (F.translate(after, "IVXLC", "") == ""), F.concat(F.lit("PART "), after))
-    number = _item_number(F.col("bare"))
-    item = F.when((head == "ITEM") & (number != ""), F.concat(F.lit("ITEM "), number))
-    told = F.regexp_replace(F.substring(F.ltrim(F.substring("bare", 5, 1 << 30)), F.length(number) + 1, F.lit(1 << 30)), "<[^>]*>", "")
-    title = F.regexp_replace(F.btrim(F.ltrim(told, F.lit(" .:-\u2013\u2014"))), " +", " ")
-    return lines.select("filing_id", "form", "page", "n", "line", part.alias("part"), item.alias("item"), F.when(item.isNotNull() & (title != ""), title).alias("title"))
+    bare = lambda t: F.when(t.startswith("<"), F.ltrim(F.regexp_replace(t, "^(<[^>]*> *)+", ""))).otherwise(t)
+    out = out.withColumn("x", F.transform("x", lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), bare(F.ltrim(x["line"], F.lit("#*_ "))).alias("bare"))))
+
+    def told(x: Column) -> Column:
+        text = x["bare"]
+        head = F.upper(F.split_part(text, F.lit(" "), F.lit(1)))
+        after = F.upper(F.split_part(F.ltrim(F.substring(text, 5, 1 << 30)), F.lit(" "), F.lit(1)))
+        part = F.when((head == "PART") & (after != "") & (F.translate(after, "IVXLC", "") == ""), F.concat(F.lit("PART "), after))
+        number = F.when(head == "ITEM", _item_number(text)).otherwise("")
+        rest = F.regexp_replace(F.substring(F.ltrim(F.substring(text, 5, 1 << 30)), F.length(number) + 1, F.lit(1 << 30)), "<[^>]*>", "")
+        title = F.regexp_replace(F.btrim(F.ltrim(rest, F.lit(" .:-\u2013\u2014"))), " +", " ")
+        item = F.when(number != "", F.concat(F.lit("ITEM "), number))
+        return F.struct(x["page"].alias("page"), x["line"].alias("line"), part.alias("part"), item.alias("item"), F.when(number != "", F.nullif(title, F.lit(""))).alias("title"))
+
+    return out.select("filing_id", "form", F.transform("x", told).alias("lines"))
 
 
 def extract_sections(filings: DataFrame) -> DataFrame:
     """From (filing_id, form, pages) one row a section: (filing_id, form, part, item, title, section, pages).
 
     A PART starts anew without an item; if the next header is an ITEM on the same page, the part's line is only that item's heading. The part of
-    an item is the last one stated, else what the number of the filing's first item tells. Lines before any header are dropped. Filings are told
-    apart by filing_id; one filing's lines meet in one task. A null page list or content has no sections.
+    an item is the last one stated, else what the number of the filing's first item tells. Lines before any header are dropped. Every row is a
+    filing. A null page list or content has no sections.
     """
     base = F.regexp_replace("form", "/A$", "")
-    pages = filings.select("filing_id", "form", F.explode("pages").alias("p")).select("filing_id", "form", "p.page", "p.content")
-    order = W.partitionBy("filing_id").orderBy("page", "n")
-    lines = line_rows(pages)
-    head = F.col("part").isNotNull() | F.col("item").isNotNull()
-    stated = F.last("part", True).over(order)
-    guessed = F.first(part_of(base, F.col("item")), True).over(order)
-    lines = lines.select("*", head.alias("head"), F.count_if(head).over(order).alias("k"), F.coalesce(stated, guessed).alias("running"))
-    lines = lines.where("k > 0")
-    # the next header of a part's line
-    heads = lines.where("head").select("filing_id", "k", "form", F.col("page").alias("from_page"), F.col("running").alias("part"), "item", "title")
-    by_head = W.partitionBy("filing_id").orderBy("k")
-    only_heading = F.col("item").isNull() & F.lead("item").over(by_head).isNotNull() & (F.lead("from_page").over(by_head) == F.col("from_page"))
-    heads = heads.withColumn("gone", F.coalesce(only_heading, F.lit(False))).where("NOT gone").drop("gone", "from_page")
-    text = F.btrim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n"), F.lit(" \n"))
-    parts = lines.groupBy("filing_id", "k", "page").agg(text.alias("content")).where("content <> ''")
-    whole = parts.groupBy("filing_id", "k").agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), "content"))).alias("pages"))
-    out = heads.join(whole, ["filing_id", "k"])
+    lines = _lines_of(filings)
+    at = F.filter(F.transform("lines", lambda x, i: F.when(x["part"].isNotNull() | x["item"].isNotNull(), i)), lambda i: i.isNotNull())
+    lines = lines.select("filing_id", "form", "lines", at.alias("at"))
+    heads = F.transform("at", lambda i: F.struct(F.get("lines", i)["part"].alias("part"), F.get("lines", i)["item"].alias("item"), F.get("lines", i)["title"].alias("title"), F.get("lines", i)["page"].alias("page")))
+    lines = lines.withColumn("heads", heads)
+    known = lambda values: F.filter(values, lambda v: v.isNotNull())
+
+    def section(h: Column, j: Column) -> Column:
+        before = F.slice("heads", F.lit(1), j + 1)
+        stated = F.try_element_at(known(F.transform(before, lambda x: x["part"])), F.lit(-1))
+        guessed = F.get(known(F.transform(before, lambda x: part_of(base, x["item"]))), F.lit(0))
+        after = F.get("heads", j + 1)
+        heading = h["item"].isNull() & F.coalesce(after["item"].isNotNull() & (after["page"] == h["page"]), F.lit(False))
+        own = F.slice("lines", F.get("at", j) + 1, F.coalesce(F.get("at", j + 1), F.size("lines")) - F.get("at", j))
+        return F.struct(F.coalesce(stated, guessed).alias("part"), h["item"].alias("item"), h["title"].alias("title"), heading.alias("heading"), own.alias("lines"))
+
+    found = lines.select("filing_id", "form", F.explode(F.transform("heads", section)).alias("s")).where("NOT s.heading").select("filing_id", "form", "s.part", "s.item", "s.title", "s.lines")
+    content = lambda p: F.btrim(F.array_join(F.transform(F.filter("lines", lambda x: x["page"] == p), lambda x: x["line"]), "\n"), F.lit(" \n"))
+    pages = F.transform(F.array_distinct(F.transform("lines", lambda x: x["page"])), lambda p: F.struct(p.cast("int").alias("page"), content(p).alias("content")))
+    out = found.select("filing_id", "form", "part", "item", "title", F.filter(pages, lambda p: p["content"] != "").alias("pages")).where(F.size("pages") > 0)
     size = F.aggregate("pages", F.lit(0), lambda total, p: total + F.length(p["content"]))
     out = out.where(F.col("item").isNotNull() | (size > STUB))
     allowed = ~base.isin(*STRUCTURE)

@@ -47,3 +47,8 @@ def test_keyword_searches_read_the_index_and_no_text(spark, sf):
 def test_sections_are_native(spark, sf):
     text = plan(spark, sf, "sections_extract")
     assert "Python" not in text and "Arrow" not in text
+
+
+def test_sections_shuffle_nothing(spark, sf):
+    text = plan(spark, sf, "sections_extract")
+    assert "Exchange" not in text and "Sort " not in text and text.count("FileScan") == 1
