@@ -103,9 +103,10 @@ def _item_number(line: Column) -> Column:
 
 def _has_leader(line: Column) -> Column:
     """Dots, then a page number of up to four digits, at the end."""
+    dots = line.contains("...")
     line = F.rtrim(line)
     bare = F.rtrim(line, F.lit(_DIGITS))
-    return (F.length(line) - F.length(bare)).between(1, 4) & F.rtrim(bare).endswith("...")
+    return dots & (F.length(line) - F.length(bare)).between(1, 4) & F.rtrim(bare).endswith("...")
 
 
 def _spaced(text: Column) -> Column:
@@ -143,26 +144,38 @@ def _lines_of(filings: DataFrame) -> DataFrame:
     few = lambda lines, test: F.size(F.filter(lines, test)) < CONTENTS_ROWS
     body_pages = F.filter("p", lambda p: (p["page"] > CONTENTS_PAGES) | (few(p["lines"], entry) & few(p["lines"], _has_leader)))
     out = out.select("filing_id", "form", body_pages.alias("p"))
-    each = F.transform("p", lambda p: F.transform(p["lines"], lambda x: F.struct(p["page"].alias("page"), x.alias("raw"), F.split(F.lower(F.btrim(x)), " +").alias("words"))))
+    # what is dear is looked at only where the line's ends allow it
+    first = lambda x: F.lower(F.left(F.ltrim(x), F.lit(1)))
+    words = lambda x: F.when(first(x).between("0", "9") | (first(x) == "p"), F.split(F.lower(F.btrim(x)), " +"))
+    each = F.transform("p", lambda p: F.transform(p["lines"], lambda x: F.struct(p["page"].alias("page"), x.alias("raw"), words(x).alias("words"))))
     out = out.select("filing_id", "form", F.flatten(each).alias("x"))
-    said = F.filter("x", lambda x: ~_is_page_number(x["words"]) & ~(x["raw"].contains("|") & _is_running_title(x["raw"])))
-    out = out.select("filing_id", "form", F.transform(said, lambda x: F.struct(x["page"].alias("page"), F.btrim(x["raw"]).alias("line"))).alias("x"))
-    for wrap in ("**", "__"):
-        out = out.withColumn("x", F.transform("x", lambda x: F.struct(x["page"].alias("page"), _without(x["line"], wrap).alias("line"))))  # noqa: B023
+    number = lambda x: F.coalesce(_is_page_number(x["words"]), F.lit(False))
+    said = F.filter("x", lambda x: (x["words"].isNull() | ~number(x)) & ~(x["raw"].contains("|") & _is_running_title(x["raw"])))
+
+    def line(raw: Column) -> Column:
+        text = F.btrim(raw)
+        marked = F.left(text, F.lit(2)).isin("**", "__") | F.right(text, F.lit(2)).isin("**", "__")
+        return F.when(marked, _without(_without(text, "**"), "__")).otherwise(text)
+
     # a heading may stand behind # marks, emphasis and tags
     bare = lambda t: F.when(t.startswith("<"), F.ltrim(F.regexp_replace(t, "^(<[^>]*> *)+", ""))).otherwise(t)
-    out = out.withColumn("x", F.transform("x", lambda x: F.struct(x["page"].alias("page"), x["line"].alias("line"), bare(F.ltrim(x["line"], F.lit("#*_ "))).alias("bare"))))
+    shown = F.transform(said, lambda x: F.struct(x["page"].alias("page"), line(x["raw"]).alias("line"), F.ltrim(line(x["raw"]), F.lit("#*_ ")).alias("bare")))
+    out = out.select("filing_id", "form", shown.alias("x"))
 
     def told(x: Column) -> Column:
-        text = x["bare"]
-        head = F.upper(F.split_part(text, F.lit(" "), F.lit(1)))
+        text = bare(x["bare"])
+        may = F.upper(F.left(text, F.lit(4)))
+        head = F.when(may.isin("PART", "ITEM"), F.upper(F.split_part(text, F.lit(" "), F.lit(1))))
         after = F.upper(F.split_part(F.ltrim(F.substring(text, 5, 1 << 30)), F.lit(" "), F.lit(1)))
         part = F.when((head == "PART") & (after != "") & (F.translate(after, "IVXLC", "") == ""), F.concat(F.lit("PART "), after))
         number = F.when(head == "ITEM", _item_number(text)).otherwise("")
         rest = F.regexp_replace(F.substring(F.ltrim(F.substring(text, 5, 1 << 30)), F.length(number) + 1, F.lit(1 << 30)), "<[^>]*>", "")
         title = F.regexp_replace(F.btrim(F.ltrim(rest, F.lit(" .:-\u2013\u2014"))), " +", " ")
         item = F.when(number != "", F.concat(F.lit("ITEM "), number))
-        return F.struct(x["page"].alias("page"), x["line"].alias("line"), part.alias("part"), item.alias("item"), F.when(number != "", F.nullif(title, F.lit(""))).alias("title"))
+        none = F.lit(None).cast("string")
+        plain = F.struct(x["page"].alias("page"), x["line"].alias("line"), none.alias("part"), none.alias("item"), none.alias("title"))
+        header = F.struct(x["page"].alias("page"), x["line"].alias("line"), part.alias("part"), item.alias("item"), F.when(number != "", F.nullif(title, F.lit(""))).alias("title"))
+        return F.when(may.isin("PART", "ITEM"), header).otherwise(plain)
 
     return out.select("filing_id", "form", F.transform("x", told).alias("lines"))
 

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.documents import chunker, flat_map, headers, html, positioned, sections, tables, transcripts
-from .fixtures import loader
+from .fixtures import loader, spread
 from .registry import query
 
 
 @query()
 def html_pages(spark, d):
     """Every page as markdown, one row a page of its document; markup that cannot be read gives one row with the ``error``."""
-    rows = loader(spark, d)("pages").select("page_id", "html")
+    rows = spread(loader(spark, d)("pages").select("page_id", "html"))
     return flat_map(rows, lambda r: [{"page_id": r["page_id"], **p} for p in html.to_pages(r["html"])], "page_id long, page int, content string, error string", keys=("page_id",))
 
 
@@ -89,7 +89,7 @@ def chunk_sentences(spark, d):
 @query()
 def chunk_pack(spark, d):
     """Documents in chunks of at most 1024 tokens, as in production."""
-    rows = loader(spark, d)("documents")
+    rows = spread(loader(spark, d)("documents"))
     pages = F.array(F.struct(F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("content")))
     head = headers.header(headers.company_line(F.col("source"), F.array(F.col("lang")), F.array(F.lit("X"))))
     return chunker.chunk_pages(rows.select(F.col("doc_id").alias("id"), pages.alias("pages"), head.alias("header")))
@@ -136,7 +136,7 @@ UNION ALL SELECT k, 'PART II', 'ITEM 7', 'Analysis', 'md&a', 3, 'ITEM 7. Analysi
 """)
 def sections_extract(spark, d):
     """Orders as 10-K filings: three pages of items made from each order, sections cut from them, one row a page."""
-    o = loader(spark, d)("orders")
+    o = spread(loader(spark, d)("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
     k = F.col("o_orderkey").cast("string")
     page = lambda n, *parts: F.struct(F.lit(n).alias("page"), F.concat(*parts).alias("content"))
     pages = F.array(page(1, F.lit("PART I\nITEM 1. Business\nWe fill order "), k), page(2, F.lit("and more of it.\nITEM 1A. Risk Factors\nStatus "), F.col("o_orderstatus")), page(3, F.lit("PART II\nITEM 7. Analysis\n17\nTotal "), F.format_string("%.2f", F.col("o_totalprice"))))

@@ -67,6 +67,12 @@ def loader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
     return load
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a small table has fewer splits, for work that is dear by the row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The stored index of the documents' texts, built at first use; files that were written anew get an index of their own."""
     source = Folder(spark, f"{sf_dir}/documents.parquet")
