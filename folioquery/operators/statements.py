@@ -81,23 +81,40 @@ def ytd_to_quarter(facts: DataFrame) -> DataFrame:
     """
     q = F.substring("fiscal_period", 2, 1).try_cast("int")
     facts = facts.withColumn("__q", q)
-    have = facts.select("company_id", "fiscal_year", F.col("__q").alias("__have")).distinct()
     prior = F.col("__q") - 1
-    key = W.partitionBy("company_id", "fiscal_year", *KEY).orderBy("__q")
+    have = F.array_contains(F.collect_set("__q").over(W.partitionBy("company_id", "fiscal_year")), prior)
+    facts = facts.withColumn("__have", F.coalesce(have, F.lit(False)))
+    key = W.partitionBy("company_id", "fiscal_year", *KEY).orderBy("__q")  # within the partitioning of the window above
     before = F.when(F.lag("__q").over(key) == prior, F.lag("value").over(key))
-    joined = facts.withColumn("__before", before).join(have.select(F.col("company_id").alias("__c"), F.col("fiscal_year").alias("__y"), F.col("__have")), (F.col("company_id").eqNullSafe(F.col("__c"))) & (F.col("fiscal_year").eqNullSafe(F.col("__y"))) & (F.col("__have") == prior), "left")
-    change = F.col("ytd") & F.col("__have").isNotNull() & (F.col("period") == "duration")
-    return joined.withColumn("value", F.when(change, F.col("value") - F.col("__before")).otherwise(F.col("value"))).drop("__q", "__before", "__c", "__y", "__have")
+    change = F.col("ytd") & F.col("__have") & (F.col("period") == "duration")
+    return facts.withColumn("__before", before).withColumn("value", F.when(change, F.col("value") - F.col("__before")).otherwise(F.col("value"))).drop("__q", "__have", "__before")
+
+
+_SHARED = ["company_id", "fiscal_year", "fiscal_period", "report_date", *KEY, "label", "level", "period", "value"]
+
+
+def _by_key(facts: DataFrame) -> DataFrame:
+    """One row a (company, year, key): ``rows``, its facts but for FY, and ``q4``, the inferred fact or null."""
+    periods = F.collect_set("fiscal_period").over(W.partitionBy("company_id", "fiscal_year"))
+    marked = facts.withColumn("__whole", F.size(F.array_intersect(periods, F.array(*map(F.lit, ("FY", *QUARTERS))))) == 4)
+    own = ["fiscal_period", "report_date", "label", "level", "period", "value"]
+    of = lambda p, c="value": F.max(F.when(F.col("fiscal_period") == p, F.col(c)))
+    got = marked.groupBy("company_id", "fiscal_year", *KEY).agg(
+        F.collect_list(F.when(F.col("fiscal_period") != "FY", F.struct(*own))).alias("rows"),
+        *[of(q).alias(f"__{q}") for q in QUARTERS],
+        *[of("FY", c).alias(f"__{c}") for c in own[1:]],
+        F.max(F.col("__whole") & (F.col("fiscal_period") == "FY")).alias("__in"),
+    )
+    fy = F.col("__value")
+    value = F.when(F.col("__period") == "duration", fy - F.col("__Q1") - F.col("__Q2") - F.col("__Q3")).when(F.col("__period") == "instant", fy)
+    q4 = F.struct(F.lit("Q4").alias("fiscal_period"), F.col("__report_date").alias("report_date"), F.col("__label").alias("label"), F.col("__level").alias("level"), F.col("__period").alias("period"), value.alias("value"))
+    return got.select("company_id", "fiscal_year", *KEY, "rows", F.when(F.col("__in"), q4).alias("q4"))
 
 
 def infer_q4(facts: DataFrame) -> DataFrame:
     """Q4 facts of years that have FY and Q1 to Q3: durations FY - Q1 - Q2 - Q3 (null if any is missing), instants FY, others null."""
-    years = facts.groupBy("company_id", "fiscal_year").agg(F.collect_set("fiscal_period").alias("__p")).where(F.size(F.array_intersect("__p", F.array(*map(F.lit, ("FY", *QUARTERS))))) == 4)
-    of = lambda p, c="value": F.max(F.when(F.col("fiscal_period") == p, F.col(c)))
-    keyed = _same(facts, years.select("company_id", "fiscal_year"), ["company_id", "fiscal_year"], "left_semi").groupBy("company_id", "fiscal_year", *KEY)
-    got = keyed.agg(of("FY").alias("fy"), *[of(q).alias(q) for q in QUARTERS], of("FY", "period").alias("period"), of("FY", "label").alias("label"), of("FY", "level").alias("level"), of("FY", "report_date").alias("report_date"), F.max(F.col("fiscal_period") == "FY").alias("in_fy")).where("in_fy")
-    value = F.when(F.col("period") == "duration", F.col("fy") - F.col("Q1") - F.col("Q2") - F.col("Q3")).when(F.col("period") == "instant", F.col("fy"))
-    return got.select("company_id", "fiscal_year", F.lit("Q4").alias("fiscal_period"), "report_date", *KEY, "label", "level", "period", value.alias("value"), F.lit("inferred").alias("form"))
+    got = _by_key(facts).where("q4 IS NOT NULL")
+    return got.select("company_id", "fiscal_year", "q4.fiscal_period", "q4.report_date", *KEY, "q4.label", "q4.level", "q4.period", "q4.value", F.lit("inferred").alias("form"))
 
 
 def in_range(facts: DataFrame, start: str, end: str) -> DataFrame:
@@ -121,18 +138,17 @@ def select_statements(statements: DataFrame, kind: str, country: Column | None =
 
 
 def quarterly(facts: DataFrame, statements: DataFrame, start: str, end: str) -> DataFrame:
-    """Quarter facts within a range: latest statement of each period, year to date undone, Q4 inferred.
+    """Quarter facts within a range: latest statement of each period, year to date undone, Q4 inferred. One join, and one partitioning by company and year
+    for all that follows.
 
     Facts from a year before the range are read too: a quarter of year-to-date values needs its predecessor, and a Q4 the three before it.
     """
     loaded = F.col("report_date").between(lookback(F.lit(start).cast("date")), F.lit(end).cast("date"))
     chosen = is_ytd(latest_statements(statements)).select("statement_id", "ytd")
     rows = fill_defaults(facts.where(loaded)).join(chosen, "statement_id")
-    quarters = ytd_to_quarter(rows.where(F.col("fiscal_period").isin(*QUARTERS)))
-    shared = ["company_id", "fiscal_year", "fiscal_period", "report_date", *KEY, "label", "level", "period", "value"]
-    both = quarters.select(*shared).unionByName(rows.where("fiscal_period = 'FY'").select(*shared))
-    q4 = infer_q4(both).select(*shared)
-    return in_range(both.where("fiscal_period <> 'FY'").unionByName(q4), start, end)
+    rows = ytd_to_quarter(rows.where(F.col("fiscal_period").isin("FY", *QUARTERS)))  # a year's row has no quarter before it and stays
+    every = _by_key(rows).withColumn("f", F.explode(F.concat("rows", F.when(F.col("q4").isNotNull(), F.array("q4")).otherwise(F.array()))))
+    return in_range(every.select("company_id", "fiscal_year", *KEY, "f.*").select(*_SHARED), start, end)
 
 
 #: Columns of a statement that are no periods.

@@ -16,15 +16,14 @@ def facts(spark, d, ytd: bool = False, quarters: tuple[int, ...] = (1, 2, 3, 4),
     """Long facts: (fiscal_year, fiscal_period, concept, value). ``ytd`` accumulates within a year; Q4 is left out of ``quarters`` to be inferred."""
     orders = loader(spark, d)("orders").select(F.year("o_orderdate").cast("long").alias("fiscal_year"), F.quarter("o_orderdate").alias("q"), F.col("o_orderstatus").alias("concept"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
     base = orders.groupBy("fiscal_year", "q", "concept").agg(F.sum("v").alias("v"))
-    if ytd:
-        grid = base.select(F.col("fiscal_year"), F.col("concept"), F.explode(F.array(*map(F.lit, quarters))).alias("p"), "q", "v").where("q <= p")
-        rows = grid.groupBy("fiscal_year", F.col("p").alias("q"), "concept").agg(F.sum("v").alias("v"))
-    else:
-        rows = base.where(F.col("q").isin(*quarters))
-    rows = rows.select("fiscal_year", F.concat(F.lit("Q"), "q").alias("fiscal_period"), "concept", "v", F.make_date(F.col("fiscal_year").cast("int"), F.lit(1) if ytd else F.col("q") * 3 - 2, F.lit(1)).alias("start_date"), F.last_day(F.make_date(F.col("fiscal_year").cast("int"), F.col("q") * 3, F.lit(1))).alias("report_date"))
-    if annual:
-        year = base.groupBy("fiscal_year", "concept").agg(F.sum("v").alias("v"))
-        rows = rows.unionByName(year.select("fiscal_year", F.lit("FY").alias("fiscal_period"), "concept", "v", F.make_date(F.col("fiscal_year").cast("int"), F.lit(1), F.lit(1)).alias("start_date"), F.make_date(F.col("fiscal_year").cast("int"), F.lit(12), F.lit(31)).alias("report_date")))
+    # each quarter's sum goes to every period that holds it; 5 is the year
+    periods = F.explode(F.array(*map(F.lit, [*quarters, *([5] if annual else [])]))).alias("p")
+    held = (F.col("p") == 5) | (F.col("q") <= F.col("p") if ytd else F.col("q") == F.col("p"))
+    rows = base.select("fiscal_year", "concept", periods, "q", "v").where(held).groupBy("fiscal_year", F.col("p").alias("q"), "concept").agg(F.sum("v").alias("v"))
+    year, whole = F.col("fiscal_year").cast("int"), F.col("q") == 5
+    day = lambda month: F.make_date(year, month, F.lit(1))
+    first = day(F.when(whole, 1).otherwise(F.lit(1) if ytd else F.col("q") * 3 - 2))
+    rows = rows.select("fiscal_year", F.when(whole, "FY").otherwise(F.concat(F.lit("Q"), "q")).alias("fiscal_period"), "concept", "v", first.alias("start_date"), F.last_day(day(F.when(whole, 12).otherwise(F.col("q") * 3))).alias("report_date"))
     number = F.when(F.col("fiscal_period") == "FY", 5).otherwise(F.substring("fiscal_period", 2, 1).try_cast("int"))
     return st.fill_defaults(rows.select(F.lit(1).cast("long").alias("company_id"), (F.col("fiscal_year") * 10 + number).cast("long").alias("statement_id"), "fiscal_year", "fiscal_period", "report_date", "start_date", F.col("report_date").alias("filing_date"), "concept", F.concat(F.lit("Status "), "concept").alias("label"), F.ascii("concept").alias("position"), F.lit("duration").alias("period"), F.lit("10-Q").alias("form"), F.col("v").cast("double").alias("value")))
 

@@ -11,7 +11,7 @@ from ..operators import embedding, hybrid, vector
 from ..operators.fulltext import TextIndex
 from ..operators.ranking import with_position
 from ..storage import shared_dir
-from .fixtures import database, loader, pivot_index, query_vector
+from .fixtures import database, loader, pivot_index, query_vector, spread
 from .registry import query
 
 _TOKENS = "regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}]+')"
@@ -36,7 +36,7 @@ SELECT id, round(raw, 6) AS score FROM r WHERE {keep} ORDER BY raw DESC, id {f"L
 @query(f"SELECT doc_id, CAST(len({_TOKENS}) AS BIGINT) AS n_tokens, md5(array_to_string({_TOKENS}, ' ')) AS tokens_md5 FROM documents")
 def text_tokens(spark, d):
     k = tx.tokens(F.coalesce("text", F.lit("")))
-    return loader(spark, d)("documents").select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", k)).alias("tokens_md5"))
+    return spread(loader(spark, d)("documents").select("doc_id", "text")).select("doc_id", F.size(k).cast("long").alias("n_tokens"), F.md5(F.concat_ws(" ", k)).alias("tokens_md5"))
 
 
 def _keyword(spark, d, text, limit=50, **filters):

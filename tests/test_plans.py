@@ -55,3 +55,8 @@ def test_sections_shuffle_nothing(spark):
     filings = spark.createDataFrame([(1, "10-K", [(1, "ITEM 1. Business")])], "filing_id long, form string, pages array<struct<page:int,content:string>>")
     text = sections.extract_sections(filings)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text and "Sort " not in text and "Window" not in text and "Join" not in text
+
+
+def test_a_quarterly_view_reads_twice_and_joins_once(spark, sf):
+    text = plan(spark, sf, "stmt_quarterly_view")
+    assert text.count("FileScan") <= 3 and text.count("Join") <= 2 and text.count("Union") == 0 and text.count("Exchange") <= 14
