@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Run], Run]:
 
 
 def _load() -> None:
-    from . import canned, documents, filters, finance, search, writes  # noqa: F401
+    from . import canned, documents, filters, finance, ingest, search, writes  # noqa: F401
 
 
 def queries() -> dict[str, Run]:
