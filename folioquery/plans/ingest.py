@@ -40,21 +40,27 @@ def _by_order(spark, d, *parts, join: str = "") -> DataFrame:
 
 
 _AT = "l_linenumber, l_partkey"
-_N, _P, _Q = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.format_string("%.0f", F.col("l_quantity"))
+
+
+def _shown() -> tuple:
+    """Number, part and quantity of an order line as text."""
+    return F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.format_string("%.0f", F.col("l_quantity"))
 
 
 @query(f"SELECT l_orderkey, string_agg('Line **' || l_linenumber || '** of *part ' || l_partkey || '* & more', chr(10) || chr(10) ORDER BY {_AT}) AS content FROM lineitem GROUP BY l_orderkey")
 def html_inline(spark, d):
     """Emphasis, references and white space inside paragraphs."""
-    rows = _by_order(spark, d, F.lit("<p>Line&nbsp;<b>"), _N, F.lit("</b>\n of  <i>part "), _P, F.lit("</i> &amp;  more</p>"))
+    n, p, _ = _shown()
+    rows = _by_order(spark, d, F.lit("<p>Line&nbsp;<b>"), n, F.lit("</b>\n of  <i>part "), p, F.lit("</i> &amp;  more</p>"))
     return _markdown(rows.withColumn("html", F.col("lines")), "l_orderkey")
 
 
 @query(f"SELECT l_orderkey, 'Parts' || chr(10) || chr(10) || string_agg(n || '. part ' || l_partkey, chr(10) ORDER BY n) || chr(10) || chr(10) || string_agg('- ' || q, chr(10) ORDER BY n) AS content FROM (SELECT l_orderkey, l_partkey, printf('%.0f', l_quantity) AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_AT}, printf('%.0f', l_quantity)) AS n FROM lineitem) GROUP BY l_orderkey")
 def html_lists(spark, d):
     """A numbered list and a plain one, items unclosed."""
-    first = _by_order(spark, d, F.lit("<li>part "), _P)
-    second = _by_order(spark, d, F.lit("<li>• "), _Q).withColumnRenamed("lines", "more")
+    _, p, q = _shown()
+    first = _by_order(spark, d, F.lit("<li>part "), p)
+    second = _by_order(spark, d, F.lit("<li>• "), q).withColumnRenamed("lines", "more")
     both = first.join(second, "l_orderkey")
     return _markdown(both.withColumn("html", F.concat(F.lit("<p>Parts</p><ol>"), "lines", F.lit("</ol><ul>"), "more", F.lit("</ul>"))), "l_orderkey")
 
@@ -70,7 +76,8 @@ def html_banners(spark, d):
 @query(f"SELECT l_orderkey, string_agg('Note ' || l_linenumber || ' on ' || l_partkey, chr(10) || chr(10) ORDER BY {_AT}) AS content FROM lineitem GROUP BY l_orderkey")
 def note_flatten(spark, d):
     """Notes are laid out as an outer table, whose cells are their paragraphs."""
-    rows = _by_order(spark, d, F.lit("<tr><td><p>Note "), _N, F.lit(" on "), _P, F.lit("</p></td></tr>"))
+    n, p, _ = _shown()
+    rows = _by_order(spark, d, F.lit("<tr><td><p>Note "), n, F.lit(" on "), p, F.lit("</p></td></tr>"))
     made = rows.select("l_orderkey", F.concat(F.lit("<table><tbody>"), "lines", F.lit("</tbody></table>")).alias("html"))
     return flat_map(spread(made), lambda r: [{"l_orderkey": r["l_orderkey"], "content": html.flatten_note(r["html"])}], "l_orderkey long, content string")
 
@@ -85,8 +92,9 @@ FROM lineitem GROUP BY l_orderkey
 """)
 def html_two_headers(spark, d):
     """Two header rows become one, where the upper one's span begins, and a currency sign joins its figure."""
+    n, p, _ = _shown()
     price = F.format_string("%.2f", F.col("l_extendedprice"))
-    rows = _by_order(spark, d, F.lit("<tr><td>a"), _N, F.lit("</td><td>$</td><td>"), price, F.lit("</td><td>"), _P, F.lit("</td></tr>"))
+    rows = _by_order(spark, d, F.lit("<tr><td>a"), n, F.lit("</td><td>$</td><td>"), price, F.lit("</td><td>"), p, F.lit("</td></tr>"))
     head = "<table><tr><td></td><td colspan=3>Year</td></tr><tr><td></td><td colspan=2>price</td><td>part</td></tr>"
     return _markdown(rows.select("l_orderkey", F.concat(F.lit(head), "lines", F.lit("</table>")).alias("html")), "l_orderkey")
 
