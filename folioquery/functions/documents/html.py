@@ -11,6 +11,7 @@ import re
 from collections import Counter
 from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 
 from . import positioned, tables
@@ -69,12 +70,13 @@ class _Tree(HTMLParser):
 
     def _cut(self, at: int) -> None:
         """Close the elements from a place of the stack on."""
-        self.names.subtract(n.name for n in self.open[at:])
+        for n in self.open[at:]:
+            self.names[n.name] -= 1
         del self.open[at:]
 
     def _close_implied(self, name: str) -> None:
         ends, stop = IMPLIED.get(name, set()), _SCOPE.get(name, set())
-        if not any(self.names[x] > 0 for x in ends):
+        if not ends or not any(self.names[x] > 0 for x in ends):
             return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].name in stop or (name == "p" and self.open[i].name in {"div", "td", "th", "li", "article", "section", "body"}):
@@ -107,10 +109,38 @@ class _Tree(HTMLParser):
         self.open[-1].children.append(data)
 
 
+#: A tag as most documents have them; the rest goes through the standard library's tokenizer.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z_][-a-zA-Z0-9_:.]*(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'=<>`/]+))?)*)\s*(/?)>""")
+_ATTRIBUTE = re.compile(r"""([a-zA-Z_][-a-zA-Z0-9_:.]*)(?:=(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`/]+)))?""")
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
+
+
+def _plain(tree: _Tree, html: str) -> bool:
+    """Feed the tree from plain tags alone; False, and nothing done, if there is other markup."""
+    parts = _PLAIN.split(html)
+    if 5 * html.count("<") != len(parts) - 1 or not _RAW.isdisjoint(x.lower() for x in parts[2::5]):
+        return False
+    text = unescape if "&" in html else str
+    if parts[0]:
+        tree.handle_data(text(parts[0]))
+    for i in range(1, len(parts), 5):
+        ending, name, attributes, closed, after = parts[i : i + 5]
+        name = name.lower()
+        if ending:
+            tree.handle_endtag(name)
+        else:
+            found = [(k.lower(), text(a or b or c)) for k, a, b, c in _ATTRIBUTE.findall(attributes)] if attributes else []
+            (tree.handle_startendtag if closed else tree.handle_starttag)(name, found)
+        if after:
+            tree.handle_data(text(after))
+    return True
+
+
 def parse(html: str) -> Node:
     tree = _Tree()
-    tree.feed(html)
-    tree.close()
+    if not _plain(tree, html):
+        tree.feed(html)
+        tree.close()
     for node in reversed([tree.root, *tree.root.walk()]):  # children before their parents
         for c in node.children:
             if isinstance(c, Node) and (c.blocks or _is_block(c)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -11,10 +12,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import BEGUN, Folder, WriteConflict
+
 #: Queries and texts to vectors; a plain function of a list of texts.
 Embedder = Callable[[list[str]], Sequence[Sequence[float]]]
 
 
+#: A folder with the store's facts, in the name of an empty file.
+_FACTS = "_facts"
+
+
+class StoreMismatch(ValueError):
+    """Vectors of another dimension or model than the store's."""
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
@@ -78,10 +89,41 @@ def latest(df: DataFrame, key: str = "id", version: str = "version") -> DataFram
 
 
 class VectorStore:
-    """Append-only Parquet of (id, version, vector); a tombstone is a row without a vector."""
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
+    """Append-only Parquet of (id, version, vector); a tombstone is a row without a vector.
+
+    The first vectors fix the store's dimension and the model that made them. Vectors or queries of another dimension, or a store that is opened for another model,
+    raise ``StoreMismatch`` before any row is written or scored.
+    """
+
+    def __init__(self, spark, path: str, model: str | None = None):
+        self.spark, self.path, self.model = spark, path.rstrip("/"), model
+        self._check(None)
+
+    def _facts(self) -> dict | None:
+        """{model, dims} of the store, or None before its first vectors."""
+        told = [n for n in Folder(self.spark, f"{self.path}/{_FACTS}").names() if n != BEGUN]
+        return json.loads(bytes.fromhex(told[0])) if told else None
+
+    def _check(self, dims: int | None) -> None:
+        facts = self._facts()
+        if facts is None:
+            return
+        if self.model is not None and facts["model"] not in (None, self.model):
+            raise StoreMismatch(f"{self.path} holds vectors of {facts['model']}, not of {self.model}")
+        if dims is not None and dims != facts["dims"]:
+            raise StoreMismatch(f"{self.path} holds vectors of {facts['dims']} dimensions, not {dims}")
+
+    def _claim(self, dims: int) -> None:
+        """Fix the dimension by one exclusive rename; of two writers the one that comes second checks against it."""
+        folder = Folder(self.spark, self.path)
+        if self._facts() is None:
+            stage = folder.begin()
+            folder.mark(f"{stage}/{json.dumps({'model': self.model, 'dims': dims}).encode().hex()}")
+            try:
+                folder.finish(stage, _FACTS)
+            except WriteConflict:
+                folder.delete(stage)
+        self._check(dims)
 
     def _append(self, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(self.path)
@@ -91,6 +133,12 @@ class VectorStore:
         bad = F.col("vector").isNull() | broken(F.col("vector"))
         if rows.where(bad).limit(1).count():
             raise ValueError("a vector is null, or has a null, NaN or infinite element")
+        sizes = rows.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        if sizes[0] is None:
+            return
+        if sizes[0] != sizes[1]:
+            raise StoreMismatch(f"vectors of {sizes[0]} to {sizes[1]} dimensions")
+        self._claim(sizes[0])
         self._append(rows.select(F.col("id").cast("long").alias("id"), F.lit(version).cast("long").alias("version"), normalize(F.col("vector")).cast("array<float>").alias("vector")))
 
     def remove(self, ids: DataFrame, version: int) -> None:
@@ -106,6 +154,7 @@ class VectorStore:
         return bool(self.frame().where(F.col("id") == id_).limit(1).count())
 
     def search(self, query: Sequence[float], k: int, ids: DataFrame | None = None) -> DataFrame:
+        self._check(len(query))
         rows = self.frame()
         return top_k(rows if ids is None else rows.join(ids.select("id"), "id", "left_semi"), "id", "vector", query, k)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import schema as sc
 from ..operators import writes as wr
+from ..operators.keyed import KeyedTable
 from ..storage import shared_dir
 from .fixtures import loader, star_catalog
 from .registry import query
@@ -52,6 +53,20 @@ def delete_where(spark, d):
     return wr.delete_where(rows, F.col("quality") == 0)
 
 
+@query(f"""
+WITH u AS (SELECT coalesce(c.c_custkey, s.c_custkey) AS c_custkey, coalesce(s.c_name, c.c_name) AS c_name, coalesce(s.c_acctbal, c.c_acctbal) AS c_acctbal, c_nationkey FROM customer c FULL JOIN ({_SRC}) s ON c.c_custkey = s.c_custkey)
+SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM u WHERE c_custkey % 7 <> 0 OR c_custkey NOT IN (SELECT c_custkey FROM customer)
+""")
+def upsert_touched(spark, d):
+    """The same upsert, then a delete, on a table that rewrites only the files with those keys."""
+    customers = loader(spark, d)("customer")
+    table = KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}", "c_custkey", per_file=500)
+    table.create(customers)
+    table.upsert(_changes(spark, d))
+    table.delete(customers.where("c_custkey % 7 = 0").select("c_custkey"))
+    return table.read().select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
+
+
 _KEPT = "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING'))"
 
 

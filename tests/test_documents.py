@@ -1,3 +1,6 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from folioquery.functions.documents import chunker, html, positioned, sections, tables, transcripts
 
 B = positioned.Box
@@ -153,3 +156,16 @@ def test_gap_groups_are_those_of_the_splitter(spark):
         boxes = [positioned.Box(left, top, str(k)) for p, left, top, k in rows if p == page]
         for i, g in enumerate(positioned.groups(boxes)):
             assert {got[page, int(b.text)] for b in g} == {i}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<br/>", "<br>", "<td a='1' B=2>", "</td>", "<tr>", "<table class=\"x y\">", "</table>", "<li>", "<div/>", "<div hidden>", "a &amp; b", " ", "x<y", "&nbsp;", "<!-- c -->", "<a href=/x>", "<script>if (a<b) '<p>'</script>", "<", ">", "é"]), max_size=14))
+def test_plain_markup_gives_the_tree_of_the_standard_tokenizer(pieces):
+    source = "".join(pieces)
+    slow = html._Tree()
+    slow.feed(source)
+    slow.close()
+    fast = html._Tree()
+    if html._plain(fast, source):
+        same = lambda a, b: a == b if isinstance(a, str) or isinstance(b, str) else (a.name, a.attrs) == (b.name, b.attrs) and len(a.children) == len(b.children) and all(map(same, a.children, b.children))
+        assert same(fast.root, slow.root)

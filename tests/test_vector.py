@@ -170,3 +170,21 @@ def test_only_the_document_that_fails_gets_the_error(spark):
 
     got = embedding.embed_chunks(rows, "d", "i", "t", picky).collect()
     assert {r.d for r in got if r.error} == {3} and all((r.vector is None) == (r.d == 3) for r in got) and len(got) == 18
+
+
+def test_a_store_is_for_one_dimension_and_model(spark, tmp_path):
+    at = f"file://{tmp_path}/v"
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "id long, vector array<double>")
+    store = vector.VectorStore(spark, at, "model-a")
+    store.add(rows.limit(0), 1)
+    store.add(rows, 1)
+    three = spark.createDataFrame([(3, [1.0, 0.0, 0.0])], "id long, vector array<double>")
+    for wrong in (three, rows.unionByName(three)):
+        with pytest.raises(vector.StoreMismatch):
+            store.add(wrong, 2)
+    with pytest.raises(vector.StoreMismatch):
+        store.search([1.0, 0.0, 0.0], 1)
+    with pytest.raises(vector.StoreMismatch):
+        vector.VectorStore(spark, at, "model-b")
+    again = vector.VectorStore(spark, at)
+    assert [r.id for r in again.search([0.0, 1.0], 1).collect()] == [2] and again.count() == 2
