@@ -273,6 +273,19 @@ def coerce(column: Column, kind: str) -> Column:
     return column.cast("string")
 
 
+def decode_json(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """JSON columns that hold text, as the type that the schema states for them (``as:``); text of another shape is null."""
+    kinds = {f.name: f.spark for f in spec.fields if f.kind == "json" and f.spark}
+    texts = {c for c, t in df.dtypes if t == "string"}
+    return df.select(*[F.from_json(c, kinds[c]).alias(c) if c in kinds and c in texts else F.col(c) for c in df.columns])
+
+
+def encode_json(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """JSON columns as text, for stores that have no nested types; the inverse of ``decode_json``."""
+    kinds = {f.name for f in spec.fields if f.kind == "json"}
+    return df.select(*[F.to_json(c).alias(c) if c in kinds and t != "string" else F.col(c) for c, t in df.dtypes])
+
+
 def violations(df: DataFrame, spec: TableSpec) -> DataFrame:
     """Rows with ``_reason``: which not-null or choice rule each breaks (good rows do not come out)."""
     reasons = []

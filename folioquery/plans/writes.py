@@ -96,6 +96,19 @@ def validate_rows(spark, d):
     return sc.violations(loader(spark, d)("orders").select("o_orderkey", "o_orderpriority"), spec).select("o_orderkey", "_reason")
 
 
+@query("""
+SELECT c_custkey, '["' || string_agg(DISTINCT o_orderstatus, '","' ORDER BY o_orderstatus) || '"]' AS tags, count(DISTINCT o_orderstatus)::BIGINT AS n, min(year(o_orderdate)) AS first_year
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_custkey
+""")
+def json_columns(spark, d):
+    """Arrays as JSON text and back: what is stored, and what is read from it."""
+    rows = loader(spark, d)("customer_tags")
+    spec = star_catalog()["customer_tags"]
+    text = sc.encode_json(rows, spec)
+    back = sc.decode_json(text, spec).select("c_custkey", F.size("tags").cast("long").alias("n"), F.array_min("years").alias("first_year"))
+    return text.select("c_custkey", "tags").join(back, "c_custkey")
+
+
 @query("""
 SELECT event_id, CASE WHEN regexp_full_match(s, '\\d+') THEN CAST(s AS BIGINT) END AS as_int,
        CASE WHEN lower(s) IN ('1', 't', 'true', 'y', 'yes') THEN true WHEN lower(s) IN ('0', 'f', 'false', 'n', 'no') THEN false END AS as_bool
