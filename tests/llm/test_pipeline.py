@@ -45,3 +45,39 @@ def test_run(spark, sf):
     rows = cp.run(spark, sf)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
     assert cp.ORACLE_SQL is None and "op1_substring_dedup" in queries.queries()
+
+
+def edges(spark, rows):
+    """Documents with columns whose names the stages use themselves."""
+    wide = [(i, t, c, "s", len(t) if t is not None else None, 1, "x", "y", [1], True) for i, t, c in rows]
+    return spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, n_words int, kept_text string, lang_pred string, leaks array<int>, kept boolean")
+
+
+def test_stages_on_unusual_documents(spark, sf):
+    """Nulls, empty and very long texts, repeated rows and clashing columns: what has letters stays, copies go but for one, rows of one id stay together."""
+    english = "the house and the garden of the king were old and they had been there for a long time before the war " * 2
+    other = "we walked along the river with our friends and then we went home because it was late and cold " * 2
+    long = " ".join(f"word{k % 5000} and" for k in range(120_000))
+    rows = [(1, english, "en"), (1, english, "en"), (2, None, "en"), (3, "", "en"), (4, "12 34 !?", None), (5, long, None), (6, other, "en"), (None, other + "by the sea", None), (7, english, None), (8, "a", None)]
+    docs = edges(spark, rows)
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=repr)
+    lang = cp.identify_language(spark, docs, sf)
+    assert lang.columns == cp.COLUMNS and ids(lang) == sorted([1, 1, 5, 6, None, 7, 8], key=repr) and {r.lang for r in lang.collect()} == {"en"}
+    lines = cp.drop_lines(spark, edges(spark, rows), sf)
+    assert lines.columns == cp.COLUMNS and lines.count() == len(rows) and {r.doc_id: r.n_chars for r in lines.collect() if r.doc_id in (2, 3)} == {2: 0, 3: 0}
+    near = cp.drop_near_duplicates(spark, docs, sf)
+    assert near.columns == cp.COLUMNS and ids(near) == sorted([1, 1, 2, 3, 4, 5, 6, None, 8], key=repr)
+    item = read(sf, "benchmark")[0][1]
+    leaked = edges(spark, [*rows, (9, f"{other} {item} {english}", "en"), (10, f"{long} {item}", "en")])
+    clean = cp.decontaminate(spark, leaked, sf)
+    assert clean.columns == cp.COLUMNS and ids(clean) == ids(docs)
+    packed = cp.pack(spark, docs.select(*cp.COLUMNS), sf).collect()
+    assert sorted({repr(r.doc_id) for r in packed}) == sorted({repr(i) for i, _, _ in rows})
+    assert sum(r.length for r in packed if r.doc_id == 2) == 1 and max(r.piece for r in packed if r.doc_id == 5) > 100
+
+
+def test_stages_on_an_empty_table(spark, sf):
+    docs = edges(spark, [])
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs.select(*cp.COLUMNS) if name == "packing" else docs, sf)
+        assert out.count() == 0 and (name == "packing" or out.columns == cp.COLUMNS)
