@@ -157,6 +157,25 @@ def flow_annual_reports(spark, d):
     return flows.process(_ten_k(spark, d), known)["filing_section_chunks"].select("filing_id", "section", "index", "page", "embedding")
 
 
+@query("""
+SELECT c_custkey AS filing_id, CASE WHEN c_custkey % 3 = 2 THEN 'proxy_statement' ELSE 'current_report' END AS section, CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 2 END AS page,
+       CASE WHEN c_custkey % 3 = 2 THEN 2 ELSE 1 END::BIGINT AS chunk_pages, 2 AS num_pages, c_custkey % 3 = 0 AND c_custkey % 2 = 0 AS press_release, true AS synced
+FROM customer
+""")
+def flow_other_reports(spark, d):
+    """Current reports without their cover, proxy statements whole; 8-Ks with item 9.01 are press releases."""
+    c = loader(spark, d)("customer")
+    k = F.col("c_custkey")
+    page = F.concat(F.lit('<p>cover</p><p style="page-break-after:always"></p><p>news of '), "c_name", F.lit("</p>"))
+    form = F.when(k % 3 == 0, F.when(k % 5 == 0, "8-K/A").otherwise("8-K")).when(k % 3 == 1, "6-K").otherwise("DEF 14A")
+    none = lambda t: F.lit(None).cast(t)
+    filings = spread(c.select(k.alias("filing_id"), F.col("c_nationkey").cast("long").alias("company_id"), form.alias("form"), F.when(k % 2 == 0, F.array(F.lit("2.02"), F.lit("9.01"))).otherwise(F.array(F.lit("2.02"))).alias("items"), page.alias("html")))
+    known = loader(spark, d)("nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), none("array<string>").alias("symbols"), none("array<string>").alias("exchanges"), none("string").alias("sector"), none("string").alias("industry"))
+    out = flows.process(filings, known)
+    chunks = out["filing_section_chunks"].select("filing_id", "section", "page", F.size("pages").cast("long").alias("chunk_pages"))
+    return chunks.join(out["filings"].select("filing_id", "num_pages", "press_release", "synced"), "filing_id")
+
+
 @query("SELECT c_custkey AS filing_id, 'PART II' AS part, 'ITEM 7' AS item, 'Analysis' AS title FROM customer")
 def section_lookup(spark, d):
     """One section of every filing, asked for in any case and spacing."""

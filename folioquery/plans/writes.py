@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import schema as sc
 from ..operators import writes as wr
 from ..operators.keyed import KeyedTable
+from ..operators.store import Store
 from ..storage import shared_dir
 from .fixtures import loader, star_catalog
 from .registry import query
@@ -67,6 +68,19 @@ def upsert_touched(spark, d):
     return table.read().select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
 
 
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 'debt' END AS note FROM supplier WHERE s_suppkey % 3 <> 0")
+def store_commits(spark, d):
+    """A store is provisioned, filled, changed and opened again by its catalog."""
+    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    catalog = sc.Catalog().add_table(sc.define("s", "id serial\ns_suppkey integer !\ns_name text\ns_acctbal float\nnote text"))
+    rows = loader(spark, d)("supplier").select("s_suppkey", "s_name", "s_acctbal")
+    store = Store(spark, root if "://" in root else f"file://{root}", catalog)
+    store.commit("s", lambda q: q.insert(rows, ["s_suppkey"]))
+    store.commit("s", lambda q: q.lt("s_acctbal", 0.0).update({"note": "debt"}))
+    store.commit("s", lambda q: wr.delete_where(q.frame(), F.col("s_suppkey") % 3 == 0))
+    return Store(spark, store.root, catalog).load("s").select("s_suppkey", "s_name", "note")
+
+
 _KEPT = "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE NOT (c_mktsegment = 'BUILDING'))"
 
 
