@@ -195,8 +195,16 @@ class SubstringIndex:
         """Add rows, or their new texts. The order of parts does not matter, so writers do not conflict."""
         folded = F.translate(F.col(text), string.ascii_uppercase + _ODD, string.ascii_lowercase + _PLAIN)
         some = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), folded.alias("t"))
-        with self.log.part(anywhere=True) as part:
-            self._write(some.mapInArrow(_postings, _POSTING), part.path)
+        cores = self.spark.sparkContext.defaultParallelism
+        if some.rdd.getNumPartitions() < cores:  # a small table's few splits would leave cores idle; runs of keys stay together
+            some = some.repartition(cores, F.shiftright("key", 6))
+        raw = self.log.begin()
+        try:  # cutting ranges looks at the rows twice, so texts are cut into grams before
+            some.mapInArrow(_postings, _POSTING).write.parquet(f"{self.root}/{raw}/rows")
+            with self.log.part(anywhere=True) as part:
+                self._write(self.spark.read.schema(_POSTING).parquet(f"{self.root}/{raw}/rows"), part.path)
+        finally:
+            self.log.delete(raw)
 
     def fold(self) -> None:
         """Bring all parts together; where another writer has just done so, nothing is to do."""
