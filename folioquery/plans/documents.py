@@ -23,7 +23,7 @@ def html_deep(spark, d):
     n = (F.col("page_id") * 37 % 5000).cast("int") + 1
     tag = F.when(F.col("page_id") % 3 == 0, "<div>").when(F.col("page_id") % 3 == 1, "<span>").otherwise("<ul><li>")
     made = F.concat(F.repeat(tag, n), F.lit("deep "), F.col("page_id").cast("string"))
-    rows = loader(spark, d)("pages").select("page_id", n.cast("long").alias("depth"), made.alias("html"))
+    rows = spread(loader(spark, d)("pages").select("page_id")).select("page_id", n.cast("long").alias("depth"), made.alias("html"))
     work = lambda r: [{"page_id": r["page_id"], "depth": r["depth"], "content": p["content"].replace("- ", "")} for p in html.to_pages(r["html"])]
     return flat_map(rows, work, "page_id long, depth long, content string")
 
@@ -31,7 +31,7 @@ def html_deep(spark, d):
 @query()
 def html_retention(spark, d):
     """How much of each document's visible text comes out."""
-    rows = loader(spark, d)("pages").select("page_id", "html")
+    rows = spread(loader(spark, d)("pages").select("page_id", "html"))
     return flat_map(rows, lambda r: [{"page_id": r["page_id"], "retention": html.retention(r["html"], html.to_pages(r["html"]))}], "page_id long, retention double")
 
 

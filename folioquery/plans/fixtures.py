@@ -68,7 +68,10 @@ def loader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where a small table has fewer splits, for work that is dear by the row."""
+    """Rows dealt over all cores where a small table has fewer splits, for work that is dear by the row.
+
+    For scans: to count the partitions of what a shuffle gives, Spark would run that shuffle, and again with the query.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

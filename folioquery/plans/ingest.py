@@ -30,7 +30,7 @@ def _folder(spark, name: str) -> str:
 
 def _markdown(rows: DataFrame, key: str) -> DataFrame:
     """(key, content): the first page of each row's ``html``."""
-    return flat_map(spread(rows.select(key, "html")), lambda r: [{key: r[key], "content": html.to_pages(r["html"])[0]["content"]}], f"`{key}` long, content string")
+    return flat_map(rows.select(key, "html"), lambda r: [{key: r[key], "content": html.to_pages(r["html"])[0]["content"]}], f"`{key}` long, content string")
 
 
 def _by_order(spark, d, *parts, join: str = "") -> DataFrame:
@@ -70,7 +70,7 @@ def html_banners(spark, d):
     """Tables of one row are headings or bullets, not tables."""
     o = loader(spark, d)("orders")
     page = F.concat(F.lit("<table><tr><td>Item 1A.</td><td>Risk of "), F.col("o_orderkey").cast("string"), F.lit("</td></tr></table><table><tr><td>Part ii</td></tr></table><table><tr><td>•</td><td>bullet "), "o_orderstatus", F.lit("</td></tr></table>"))
-    return _markdown(o.select("o_orderkey", page.alias("html")), "o_orderkey")
+    return _markdown(spread(o.select("o_orderkey", page.alias("html"))), "o_orderkey")
 
 
 @query(f"SELECT l_orderkey, string_agg('Note ' || l_linenumber || ' on ' || l_partkey, chr(10) || chr(10) ORDER BY {_AT}) AS content FROM lineitem GROUP BY l_orderkey")
@@ -79,7 +79,7 @@ def note_flatten(spark, d):
     n, p, _ = _shown()
     rows = _by_order(spark, d, F.lit("<tr><td><p>Note "), n, F.lit(" on "), p, F.lit("</p></td></tr>"))
     made = rows.select("l_orderkey", F.concat(F.lit("<table><tbody>"), "lines", F.lit("</tbody></table>")).alias("html"))
-    return flat_map(spread(made), lambda r: [{"l_orderkey": r["l_orderkey"], "content": html.flatten_note(r["html"])}], "l_orderkey long, content string")
+    return flat_map(made, lambda r: [{"l_orderkey": r["l_orderkey"], "content": html.flatten_note(r["html"])}], "l_orderkey long, content string")
 
 
 _CELL = "CAST(l_linenumber AS VARCHAR)"
