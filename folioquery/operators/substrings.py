@@ -37,8 +37,10 @@ _POSTING = "gram int, block long, bits long"
 GRAMS = 12
 #: Bytes of text whose grams a task makes at once.
 _BYTES = 1 << 20
-#: Rows that are named one by one in the scan; more are joined.
-NAMED = 1000
+#: Rows that are named one by one in the scan, and whose keys are sent to all tasks (8 MB); with more the scan looks at all rows.
+NAMED, SENT = 1000, 1_000_000
+#: Raw postings that one task groups and sorts.
+GROUPED = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -188,7 +190,9 @@ class SubstringIndex:
 
     @staticmethod
     def _write(postings: DataFrame, at: str) -> None:
-        ranged = postings.repartitionByRange("gram", "block").groupBy("gram", "block").agg(F.bit_or("bits").alias("bits"))
+        # a number that grows with the rows: sorted bits are packed so well that ranges by bytes would be large ones in memory
+        n = max(postings.sparkSession.sparkContext.defaultParallelism, -(-postings.count() // GROUPED))
+        ranged = postings.repartitionByRange(n, "gram", "block").groupBy("gram", "block").agg(F.bit_or("bits").alias("bits"))
         ranged.sortWithinPartitions("gram", "block").write.mode("append").option("parquet.block.size", 1 << 20).parquet(at)
 
     def update(self, rows: DataFrame, key: str, text: str) -> None:
@@ -226,9 +230,11 @@ class SubstringIndex:
         return bits.select("block", F.explode(named).alias("bit")).select((F.col("block") * 64 + F.col("bit")).alias("key"))
 
     def narrow(self, rows: DataFrame, key: str, need: Need) -> DataFrame:
-        """Rows that may hold what is needed: a few are named in the scan, more are joined by their keys."""
+        """Rows that may hold what is needed: a few are named in the scan, the keys of more are sent to it. Texts are never shuffled: beyond ``SENT`` all rows are looked at."""
         found = self.candidates(need)
         few = [r.key for r in found.limit(NAMED + 1).collect()]
         if len(few) <= NAMED:
             return rows.where(F.col(key).isin(few)) if few else rows.where(F.lit(False))
-        return rows.join(found.withColumnRenamed("key", "__key"), F.col(key).cast("long") == F.col("__key"), "left_semi")
+        if found.limit(SENT + 1).count() > SENT:
+            return rows
+        return rows.join(F.broadcast(found.withColumnRenamed("key", "__key")), F.col(key).cast("long") == F.col("__key"), "left_semi")

@@ -105,3 +105,23 @@ def test_only_candidates_reach_the_pattern(spark, sf):
     named = database(spark, sf).substrings("documents", "text").candidates(sub.need_of_regex(r"\bidiot\b")).count()
     assert len(want) <= named < docs.count() / 2
     assert sorted(r.id for r in want) == sorted(r.doc_id for r in docs.where(F.col("text").rlike(r"(?i)\bidiot\b")).collect())
+
+
+def test_texts_are_not_shuffled_to_the_rows_that_are_named(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS * 30)], "id long, t string")
+    index = sub.SubstringIndex(spark, f"{tmp_path}/index")
+    monkeypatch.setattr(sub, "GROUPED", 50)
+    index.update(rows, "id", "t")
+    ranges = {f for f in index._read(index.log.live()).inputFiles()}
+    assert len(ranges) > 10  # as many ranges as the postings ask for
+    need = sub.need_of_regex("quick")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for named, sent in ((1000, 1000), (1, 1000), (1, 1)):
+            monkeypatch.setattr(sub, "NAMED", named)
+            monkeypatch.setattr(sub, "SENT", sent)
+            found = index.narrow(rows, "id", need)
+            assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+            assert {r.id for r in found.where(F.col("t").rlike("(?i)quick")).collect()} == {i for i, t in enumerate(TEXTS * 30) if "quick" in (t or "")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
