@@ -220,7 +220,9 @@ class Query(Filters):
         found = self.db.vectors(table, name)
         if isinstance(found, PivotIndex):
             return found.search(query, k, ids).withColumnRenamed("score", score)
-        return vector.top_k(found.join(ids, "id", "left_semi"), "id", "vector", query, k, score)
+        # scores move to the ids, not vectors
+        scored = vector.scores(found, "id", "vector", query, score).select("id", score)
+        return scored.join(ids, "id", "left_semi").orderBy(F.desc(score), F.asc("id")).limit(k)
 
     def _keyword_ranks(self, terms: list[tx.Term], column: str, most: int | None = None) -> DataFrame:
         """Ranks over the whole column, before any predicate; from its index where there is one. Without a predicate the ``most`` best will do."""

@@ -188,3 +188,11 @@ def test_a_store_is_for_one_dimension_and_model(spark, tmp_path):
         vector.VectorStore(spark, at, "model-b")
     again = vector.VectorStore(spark, at)
     assert [r.id for r in again.search([0.0, 1.0], 1).collect()] == [2] and again.count() == 2
+
+
+def test_scores_meet_the_filtered_rows_not_vectors(spark):
+    from folioquery.plans.fixtures import database
+
+    q = database(spark, "/root/testdata/sf0.001").table("docs").eq("lang", "en").vector_search([1.0] * 64, "embedding", 15).select("id").frame()
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("LeftSemi") < plan.index("MapInArrow")
