@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.documents import chunker, flat_map, headers, html, positioned, sections, tables, transcripts
-from .fixtures import loader, spread
+from .fixtures import loader, spread, spread_by_rows
 from .registry import query
 
 
@@ -136,7 +136,7 @@ UNION ALL SELECT k, 'PART II', 'ITEM 7', 'Analysis', 'md&a', 3, 'ITEM 7. Analysi
 """)
 def sections_extract(spark, d):
     """Orders as 10-K filings: three pages of items made from each order, sections cut from them, one row a page."""
-    o = spread(loader(spark, d)("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
+    o = spread_by_rows(loader(spark, d)("orders").select("o_orderkey", "o_orderstatus", "o_totalprice"))
     k = F.col("o_orderkey").cast("string")
     page = lambda n, *parts: F.struct(F.lit(n).alias("page"), F.concat(*parts).alias("content"))
     pages = F.array(page(1, F.lit("PART I\nITEM 1. Business\nWe fill order "), k), page(2, F.lit("and more of it.\nITEM 1A. Risk Factors\nStatus "), F.col("o_orderstatus")), page(3, F.lit("PART II\nITEM 7. Analysis\n17\nTotal "), F.format_string("%.2f", F.col("o_totalprice"))))

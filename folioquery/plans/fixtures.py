@@ -76,6 +76,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def spread_by_rows(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """Scanned rows dealt out so that a task has about ``rows`` of them, for work that is dear by the row over narrow columns: splits are cut by bytes."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows)))
+
+
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The stored index of the documents' texts, built at first use; files that were written anew get an index of their own."""
     source = Folder(spark, f"{sf_dir}/documents.parquet")

@@ -60,3 +60,11 @@ def test_sections_shuffle_nothing(spark):
 def test_a_quarterly_view_reads_twice_and_joins_once(spark, sf):
     text = plan(spark, sf, "stmt_quarterly_view")
     assert text.count("FileScan") <= 3 and text.count("Join") <= 2 and text.count("Union") == 0 and text.count("Exchange") <= 14
+
+
+def test_rows_that_are_dear_are_dealt_out_by_their_number(spark, tmp_path):
+    from folioquery.plans.fixtures import spread_by_rows
+
+    spark.range(10_000).coalesce(1).write.parquet(f"{tmp_path}/ids")
+    dealt = spread_by_rows(spark.read.parquet(f"{tmp_path}/ids"), 500)
+    assert dealt.rdd.getNumPartitions() == 20 and dealt.count() == 10_000
