@@ -1,13 +1,14 @@
 """A stored full-text index: postings clustered by token, kept in step with the table by deltas.
 
 An index is a folder of committed parts. A part has the postings of the documents that it adds or replaces, in blocks: a token's postings in a run of
-64 keys, with the largest count, the smallest length and a bit for each key beside them. Blocks are sorted and
+1,024 keys, and for each piece of 64 keys the largest count, the smallest length and a bit for each key. The documents of a run are cut into tokens
+in one task, which makes its blocks, so that no posting moves alone. Blocks are sorted and
 range-partitioned by token, so that a look-up reads the row groups of its tokens alone; one short row for each document that it touches; and
 how many documents and tokens it adds, signed. A posting counts unless a later part touches its document. ``compact`` folds all parts into a base, in
 which every posting counts.
 
-A search for the best k reads the blocks' figures first: these bound the score of every document in a run, and give how many documents hold a term. The
-runs of the highest bounds are scored; of the others only those are read whose bound reaches the k-th score found there.
+A search for the best k reads the blocks' figures first: these bound the score of every document in a piece, and give how many documents hold a term. The
+pieces of the highest bounds are scored; of the others only those are read whose bound reaches the k-th score found there.
 
 Queries read their tokens' postings, the parts' totals and the keys that later parts touch; never the text.
 """
@@ -18,6 +19,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,41 +27,139 @@ from ..functions import text as tx
 from ..storage import BASE, Log, again
 
 _STATS = "documents long, tokens long"
-_POSTING = "token string, key long, tf int, n int, positions array<int>"
-#: A block: largest tf, smallest n and the keys' bits, then the postings; positions apart, as few queries read them.
-_BLOCK = "token string, run long, top int, least int, bits long, docs array<struct<key:long,tf:int,n:int>>, places array<array<int>>"
-#: Runs that are named one by one in the scan; more are joined.
+#: A block: figures of its pieces (largest tf, smallest n, the keys' bits; none in a short block), then the postings side by side; the positions of all, one after the other (tf of each).
+_BLOCK = "token string, run long, heads array<struct<piece:long,top:int,least:int,bits:long>>, keys array<long>, tfs array<int>, ns array<int>, places array<int>"
+_COLUMNS = ["token", "run", "heads", "keys", "tfs", "ns", "places"]
+_HEAD = {"piece": pa.int64(), "top": pa.int32(), "least": pa.int32(), "bits": pa.int64()}
+#: Bits of a key within its piece, and within its run.
+_PIECE, _RUN = 6, 10
+#: Postings from which on a block has figures of its pieces; of fewer, each stands for itself.
+_MANY = 32
+#: Pieces that are named one by one in the scan; more are joined.
 _NAMED = 2000
-#: Tokens whose postings a task makes at once, but for a longer document.
-_TOKENS = 1 << 19
+#: Tokens that are sorted at once, but for more of them in one run.
+_TOKENS = 1 << 16
 
 
 def _minus(k: int) -> Callable[[Column], Column]:
     return lambda p: p - k
 
 
-def _postings_in_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, key, tf, n, positions) from (key, t): the tokens of some documents, sorted by document and token."""
-    for whole in batches:
-        ends = np.cumsum(whole.column("t").value_lengths().to_numpy(zero_copy_only=False))
-        row = 0
-        while row < whole.num_rows:
-            done = ends[row - 1] if row else 0
-            stop = max(row + 1, int(np.searchsorted(ends, done + _TOKENS, "right")))
-            batch = whole.slice(row, stop - row)
-            row = stop
-            size = batch.column("t").value_lengths().to_numpy(zero_copy_only=False)
-            coded = batch.column("t").flatten().dictionary_encode()
-            document = np.repeat(np.arange(len(size)), size)
-            place = (np.arange(len(document)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            group = document * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(group, kind="stable")
-            group = group[order]
-            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            edge = np.r_[first, len(group)].astype(np.int32)
-            document, token = np.divmod(group[first], len(coded.dictionary))
-            columns = [coded.dictionary.take(pa.array(token)), batch.column("key").take(pa.array(document)), pa.array(np.diff(edge)), pa.array(size[document].astype(np.int32)), pa.ListArray.from_arrays(pa.array(edge), pa.array(place[order]))]
-            yield pa.RecordBatch.from_arrays(columns, ["token", "key", "tf", "n", "positions"])
+def _whole_groups(batches: Iterator[pa.RecordBatch], start: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut between groups, with the rows at which their groups start. ``start``: whether a row, but the first, begins a group."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = batch if kept is None else pa.concat_batches([kept, batch])
+        first = np.flatnonzero(np.r_[True, start(whole)])
+        kept = whole.slice(first[-1])
+        if len(first) > 1:
+            yield whole.slice(0, first[-1]), first[:-1]
+    if kept is not None:
+        yield kept, np.zeros(1, np.int64)
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lists(edges: np.ndarray, values: np.ndarray, mask: np.ndarray | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values, mask=mask))
+
+
+def _order(codes: np.ndarray, below: int) -> np.ndarray:
+    """A stable order of whole numbers under ``below``, by digits of 16 bits, which numpy sorts by radix."""
+    order = np.argsort(codes.astype(np.uint16), kind="stable")
+    for digit in range(16, below.bit_length(), 16):
+        order = order[np.argsort((codes[order] >> digit).astype(np.uint16), kind="stable")]
+    return order
+
+
+def _batch_of_blocks(token: pa.Array, first: np.ndarray, key: np.ndarray, tf: np.ndarray, n: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Blocks that start at the postings ``first``, from postings sorted by block and key."""
+    edge, upto, piece = np.r_[first, len(key)], np.r_[0, np.cumsum(tf)], key >> _PIECE
+    new = np.r_[True, piece[1:] != piece[:-1]]
+    new[first] = True
+    head = np.flatnonzero(new & np.repeat(np.diff(edge) >= _MANY, np.diff(edge)))
+    if len(head):
+        starts = np.flatnonzero(new)
+        here = np.searchsorted(starts, head)
+        of = lambda f, values: f.reduceat(values, starts)[here]
+        figures = [piece[head], of(np.maximum, tf).astype(np.int32), of(np.minimum, n).astype(np.int32), of(np.bitwise_or, np.left_shift(np.int64(1), key & 63))]
+    else:
+        figures = [np.zeros(0, t.to_pandas_dtype()) for t in _HEAD.values()]
+    heads = pa.StructArray.from_arrays(list(map(pa.array, figures)), list(_HEAD))
+    edges = pa.array(np.searchsorted(head, edge).astype(np.int32))
+    lists = [_lists(edge, key), _lists(edge, tf.astype(np.int32)), _lists(edge, n.astype(np.int32)), _lists(upto[edge], places.astype(np.int32))]
+    return pa.RecordBatch.from_arrays([token, pa.array(key[first] >> _RUN), pa.ListArray.from_arrays(edges, heads), *lists], _COLUMNS)
+
+
+def _blocks_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks from (run, key, t) sorted by run and key, where of several rows with one key the last counts; and for each run a block without a token: its documents, with null lengths where t is null."""
+    differ = lambda x: x[1:] != x[:-1]
+    for whole, _ in _whole_groups(batches, lambda b: differ(b.column("run").to_numpy())):
+        key = whole.column("key").to_numpy()
+        last = np.r_[differ(key), True]
+        if not last.all():
+            whole, key = whole.filter(pa.array(last)), key[last]
+        run, texts = key >> _RUN, whole.column("t")
+        first = np.flatnonzero(np.r_[True, differ(run)])
+        edge, size = np.r_[first, len(key)], _sizes(texts)
+        none = np.zeros(len(first) + 1)
+        heads = pa.ListArray.from_arrays(pa.array(none.astype(np.int32)), pa.StructArray.from_arrays([pa.array([], t) for t in _HEAD.values()], list(_HEAD)))
+        empty, lengths = _lists(none, np.zeros(0, np.int32)), _lists(edge, size.astype(np.int32), texts.is_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.string()), pa.array(run[first]), heads, _lists(edge, key), empty, lengths, empty], _COLUMNS)
+        ends = np.r_[0, np.cumsum(size)]
+        at = 0
+        while at < len(first):
+            stop = max(at + 1, int(np.searchsorted(ends[edge], ends[edge[at]] + _TOKENS, "right")) - 1)
+            rows = slice(edge[at], edge[stop])
+            at = stop
+            n, keys = size[rows], key[rows]
+            if not n.any():
+                continue
+            coded = texts.slice(rows.start, rows.stop - rows.start).flatten().dictionary_encode()
+            code, document = coded.indices.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(n)), n)
+            order = _order(code, len(coded.dictionary))
+            part = np.cumsum(np.r_[0, differ(keys >> _RUN)])
+            if part[-1]:
+                order = order[_order(part[document[order]], int(part[-1]) + 1)]
+            code, document = code[order], document[order]
+            place = order - (np.cumsum(n) - n)[document]
+            posting = np.flatnonzero(np.r_[True, differ(code) | differ(document)])
+            tf = np.diff(np.r_[posting, len(code)])
+            code, document = code[posting], document[posting]
+            block = np.flatnonzero(np.r_[True, differ(code) | differ(part[document])])
+            yield _batch_of_blocks(coded.dictionary.take(pa.array(code[block])), block, keys[document], tf, n[document], place)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block a (token, run) from blocks sorted by these, without the postings whose bit is in ``stale``."""
+
+    def start(b: pa.RecordBatch) -> np.ndarray:
+        token, run = b.column("token"), b.column("run").to_numpy()
+        return (run[1:] != run[:-1]) | pc.not_equal(token.slice(1), token.slice(0, len(token) - 1)).to_numpy(zero_copy_only=False)
+
+    for whole, first in _whole_groups(batches, start):
+        flat = {c: whole.column(c).flatten().to_numpy() for c in ("keys", "tfs", "ns", "places")}
+        row = np.repeat(np.arange(whole.num_rows), _sizes(whole.column("keys")))
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, whole.num_rows]))[row]
+        key, tf = flat["keys"], flat["tfs"].astype(np.int64)
+        words = whole.column("stale")
+        size, masks = _sizes(words), words.flatten().to_numpy()
+        some, masked = np.ones(len(key), bool), np.flatnonzero(size[row])
+        word = (np.cumsum(size) - size)[row[masked]] + ((key[masked] >> _PIECE) & ((1 << _RUN - _PIECE) - 1))
+        some[masked] = (masks[word] >> (key[masked] & 63)) & 1 == 0
+        some = np.flatnonzero(some)
+        if not len(some):
+            continue
+        some = some[np.argsort((group[some] << _RUN) + (key[some] & ((1 << _RUN) - 1)), kind="stable")]
+        n = tf[some]
+        begins = (np.cumsum(tf) - tf)[some] - (np.cumsum(n) - n)  # where a posting's places are, less where they go
+        places = flat["places"][np.repeat(begins, n) + np.arange(n.sum())]
+        block = np.flatnonzero(np.r_[True, np.diff(group[some]) != 0])
+        yield _batch_of_blocks(whole.column("token").take(pa.array(first[group[some][block]])), block, key[some], n, flat["ns"][some], places)
 
 
 class TextIndex:
@@ -89,60 +189,56 @@ class TextIndex:
         return self._read("blocks", _BLOCK, names)
 
     @staticmethod
-    def _opened(blocks: DataFrame) -> DataFrame:
+    def _opened(blocks: DataFrame, places: bool = True) -> DataFrame:
         """Blocks as postings."""
-        each = blocks.select("token", "seq", F.explode(F.arrays_zip("docs", "places")).alias("p"))
-        return each.select("token", "p.docs.key", "p.docs.tf", "p.docs.n", F.col("p.places").alias("positions"), "seq")
+        lists = ["keys", "tfs", "ns"]
+        if places:
+            upto = lambda i: F.aggregate(F.slice("tfs", F.lit(1), i), F.lit(0), lambda a, x: a + x)
+            blocks = blocks.withColumn("at", F.transform("tfs", lambda x, i: F.slice("places", upto(i) + 1, x)))
+            lists.append("at")
+        each = blocks.select("token", "seq", F.explode(F.arrays_zip(*lists)).alias("p"))
+        return each.select("token", F.col("p.keys").alias("key"), F.col("p.tfs").alias("tf"), F.col("p.ns").alias("n"), *[F.col("p.at").alias("positions")] * places, "seq")
 
     def _documents(self, names: Sequence[str]) -> DataFrame:
         return self._read("documents", "key long, n int", names)
 
     def update(self, rows: DataFrame, key: str, text: str) -> None:
         """Add documents, or replace those that are there."""
-        docs = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.max(text).alias("text"))
-        self._commit(docs.select("key", tx.tokens(F.coalesce("text", F.lit(""))).alias("t")))
+        docs = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        self._commit(docs)
 
     def delete(self, keys: DataFrame, key: str) -> None:
         """Take documents out; unknown ones change nothing."""
         gone = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key")).distinct()
-        self._commit(gone.select("key", F.lit(None).cast("array<string>").alias("t")))
+        self._commit(gone.withColumn("text", F.lit(None).cast("string")))
 
     def _commit(self, docs: DataFrame) -> None:
-        """Write a part from (key, tokens); null tokens delete. What it changes in the totals depends on the parts before, so after a conflict it is written again."""
+        """Write a part from (key, text); null texts delete. What it changes in the totals depends on the parts before, so after a conflict it is written again."""
         again(lambda: self._commit_once(docs))
 
     def _commit_once(self, docs: DataFrame) -> None:
         with self.folder.part() as part:
             at, live, seq = part.path, part.live, part.number
-            docs.write.parquet(f"{at}/tokens")  # texts are cut into tokens once, though several plans read them
-            docs = self.spark.read.schema("key long, t array<string>").parquet(f"{at}/tokens")
-            self._write_postings(docs, at, seq)
-            touched = docs.select("key", F.when(F.col("t").isNotNull(), F.size("t")).alias("n"))
-            touched.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{at}/documents")
+            # the documents of a run come together, so its blocks are made in its task and no posting moves alone; once, though several plans read them
+            runs = docs.withColumn("run", F.shiftright("key", _RUN)).repartition("run").sortWithinPartitions("run", "key", "text")
+            runs.select("run", "key", tx.tokens(F.col("text")).alias("t")).mapInArrow(_blocks_of_runs, _BLOCK).write.parquet(f"{at}/made")
+            made = self.spark.read.schema(_BLOCK).parquet(f"{at}/made")
+            number = F.lit(seq).cast("long").alias("seq")
+            self._sorted(made.where("token IS NOT NULL").select("*", number)).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
+            touched = made.where("token IS NULL").select(F.explode(F.arrays_zip("keys", "ns")).alias("d"))
+            touched.select(F.col("d.keys").alias("key"), F.col("d.ns").alias("n"), number).write.parquet(f"{at}/documents")
             # what these documents counted before
             mine = self.spark.read.parquet(f"{at}/documents")
             old = self._newest(live).join(mine.select("key"), "key", "left_semi").where("n IS NOT NULL")
             change = mine.where("n IS NOT NULL").select(F.lit(1).alias("d"), "n").unionByName(old.select(F.lit(-1).alias("d"), "n"))
             total = change.agg(F.coalesce(F.sum("d"), F.lit(0)).cast("long").alias("documents"), F.coalesce(F.sum(F.col("d") * F.col("n")), F.lit(0)).cast("long").alias("tokens"))
             total.withColumn("seq", F.lit(seq).cast("long")).write.parquet(f"{at}/stats")
-            self.folder.delete(f"{at.rpartition('/')[2]}/tokens")
-
-    @staticmethod
-    def _write_postings(docs: DataFrame, at: str, seq: int) -> None:
-        # a document's occurrences become postings within its row, so one row a posting moves
-        found = docs.where(F.size("t") > 0).mapInArrow(_postings_in_row, _POSTING)
-        TextIndex._write_blocks(found, at, seq)
+            self.folder.delete(f"{at.rpartition('/')[2]}/made")
 
     @staticmethod
-    def _write_blocks(postings: DataFrame, at: str, seq: int) -> None:
-        """One shuffle: ranges of (token, run) are groups of (token, run) already, and a frequent token spans several ranges."""
-        ranged = postings.withColumn("run", F.shiftright("key", 6)).repartitionByRange("token", "run")
-        bit = F.expr("shiftleft(1L, cast(key & 63 as int))")
-        held = F.array_sort(F.collect_list(F.struct("key", "tf", "n", "positions"))).alias("d")
-        blocks = ranged.groupBy("token", "run").agg(F.max("tf").alias("top"), F.min("n").alias("least"), F.bit_or(bit).alias("bits"), held)
-        docs = F.transform("d", lambda x: F.struct(x["key"].alias("key"), x["tf"].alias("tf"), x["n"].alias("n"))).alias("docs")
-        out = blocks.select("token", "run", "top", "least", "bits", docs, F.col("d.positions").alias("places"), F.lit(seq).cast("long").alias("seq"))
-        out.sortWithinPartitions("token", "run").write.option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
+    def _sorted(blocks: DataFrame) -> DataFrame:
+        """By ranges of (token, run), so that a frequent token spans several."""
+        return blocks.repartitionByRange("token", "run").sortWithinPartitions("token", "run")
 
     def _newest(self, names: Sequence[str]) -> DataFrame:
         return self._documents(names).groupBy("key").agg(F.max_by("n", "seq").alias("n"), F.max("seq").alias("seq"))
@@ -155,13 +251,23 @@ class TextIndex:
         touched = self._documents(later).groupBy(F.col("key").alias("__k")).agg(F.max("seq").alias("__s"))
         return rows.join(touched, (F.col("key") == F.col("__k")) & (F.col("seq") < F.col("__s")), "left_anti")
 
+    def _with_stale(self, names: Sequence[str]) -> DataFrame:
+        """Blocks, with the bits of the keys that a later part touches in ``stale``, a word a piece: a row a run and part is joined, not one a document."""
+        touched = self._documents(names).groupBy("key").agg(F.max("seq").alias("newest"), F.collect_list("seq").alias("seqs"))
+        stale = touched.where(F.size("seqs") > 1).select("key", "newest", F.explode("seqs").alias("seq")).where("seq < newest")
+        piece, bit = F.shiftright("key", _PIECE).bitwiseAND(F.lit((1 << _RUN - _PIECE) - 1)), F.expr("shiftleft(1L, cast(key & 63 as int))")
+        words = [F.coalesce(F.bit_or(F.when(piece == i, bit)), F.lit(0).cast("long")) for i in range(1 << _RUN - _PIECE)]
+        stale = stale.groupBy(F.shiftright("key", _RUN).alias("run"), "seq").agg(F.array(*words).alias("stale"))
+        return self._blocks(names).join(stale, ["run", "seq"], "left")
+
     def compact(self) -> None:
         """Fold all parts into a base; readers take it from its rename on."""
         if len(self.folder.live()) < 2:
             return
         with self.folder.base() as base:
             at, live, number = base.path, base.live, F.lit(base.number).cast("long")
-            self._write_blocks(self._counting(self._opened(self._blocks(live)), live), at, base.number)
+            blocks = self._sorted(self._with_stale(live)).select("stale", *_COLUMNS).mapInArrow(_merged, _BLOCK)
+            blocks.select("*", number.alias("seq")).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
             self._newest(live).where("n IS NOT NULL").select("key", "n", number.alias("seq")).write.parquet(f"{at}/documents")
             self._read("stats", _STATS, live).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).withColumn("seq", number).write.parquet(f"{at}/stats")
 
@@ -171,13 +277,13 @@ class TextIndex:
         """One row: documents and tokens."""
         return self._read("stats", _STATS, self.folder.live()).agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
 
-    def postings(self, wanted: Column) -> DataFrame:
-        """(token, key, tf, n, positions) of counting postings where a condition on ``token`` and ``run`` holds."""
+    def postings(self, wanted: Column, places: bool = True) -> DataFrame:
+        """(token, key, tf, n, positions) of counting postings where a condition on ``token`` and ``run`` holds; positions if ``places``."""
         live = self.folder.live()
-        return self._counting(self._opened(self._blocks(live).where(wanted)), live).drop("seq")
+        return self._counting(self._opened(self._blocks(live).where(wanted), places), live).drop("seq")
 
-    def occurrences(self, terms: Sequence[tx.Term], runs: Column | None = None) -> DataFrame:
-        """(key, n, tf0, tf1, ...) of documents that hold any of the terms' words: how often each term occurs. ``runs``: a condition on ``run``."""
+    def occurrences(self, terms: Sequence[tx.Term], pieces: Sequence[int] | None = None) -> DataFrame:
+        """(key, n, tf0, tf1, ...) of documents that hold any of the terms' words: how often each term occurs. ``pieces``: only their documents."""
         token = F.col("token")
         one = _is
         wanted, columns, phrases = F.lit(False), [], {}
@@ -190,7 +296,12 @@ class TextIndex:
             for k, w in enumerate(t.words):
                 wanted = wanted | (token == w)
                 columns.append(F.first(F.when(token == w, F.col("positions")), True).alias(f"p{i}_{k}"))
-        found = self.postings(wanted if runs is None else wanted & runs).groupBy("key").agg(F.first("n").alias("n"), *columns)
+        if pieces is not None:
+            wanted = wanted & F.col("run").isin(sorted({p >> _RUN - _PIECE for p in pieces}))
+        found = self.postings(wanted, bool(phrases))
+        if pieces is not None:
+            found = found.where(F.shiftright("key", _PIECE).isin(list(pieces)))
+        found = found.groupBy("key").agg(F.first("n").alias("n"), *columns)
         for i, words in phrases.items():
             starts = F.col(f"p{i}_0")
             for k in range(1, len(words)):
@@ -220,7 +331,9 @@ class TextIndex:
         wanted = _is(terms[0])
         for t in terms[1:]:
             wanted = wanted | _is(t)
-        heads = self._blocks(live).where(wanted).groupBy("run").agg(
+        each = F.transform(F.arrays_zip("keys", "tfs", "ns"), lambda p: F.struct(F.shiftright(p["keys"], _PIECE).alias("piece"), p["tfs"].alias("top"), p["ns"].alias("least"), F.call_function("shiftleft", F.lit(1).cast("long"), p["keys"].bitwiseAND(F.lit(63)).cast("int")).alias("bits")))
+        heads = F.when(F.size("keys") < _MANY, each).otherwise(F.col("heads"))
+        heads = self._blocks(live).where(wanted).select("token", F.inline(heads)).groupBy("piece").agg(
             F.min("least").alias("n"),
             *[F.coalesce(F.sum(F.when(_is(t), F.col("top"))), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)],
             *[F.coalesce(F.bit_or(F.when(_is(t), F.col("bits"))), F.lit(0).cast("long")).alias(f"bits{i}") for i, t in enumerate(terms)],
@@ -231,18 +344,18 @@ class TextIndex:
         if not facts["__n"]:
             return self.bm25(terms, key)
         score = lambda rows: rows.withColumns({c: F.lit(v) for c, v in facts.items()}).withColumn("__s", tx.bm25_score([F.col(f"tf{i}") for i in range(len(terms))], F.col("n")))
-        bounds = score(heads).select("run", (F.col("__s") * (1 + 1e-9)).alias("bound"))
-        first = [r.run for r in bounds.orderBy(F.desc("bound"), "run").limit(k).collect()]  # each has a document at least
+        bounds = score(heads).select("piece", (F.col("__s") * (1 + 1e-9)).alias("bound"))
+        first = [r.piece for r in bounds.orderBy(F.desc("bound"), "piece").limit(k).collect()]  # each has a document at least
         if not first:
             return self.bm25(terms, key)
-        some = score(self.occurrences(terms, F.col("run").isin(first)).where(_any_of(terms)))
+        some = score(self.occurrences(terms, first).where(_any_of(terms)))
         reached = [r[0] for r in some.select("__s").orderBy(F.desc("__s")).limit(k).collect()]
-        runs = bounds.where(F.col("bound") >= (reached[-1] if len(reached) == k else 0.0)).select("run")
-        few = [r.run for r in runs.limit(_NAMED + 1).collect()]
+        pieces = bounds.where(F.col("bound") >= (reached[-1] if len(reached) == k else 0.0)).select("piece")
+        few = [r.piece for r in pieces.limit(_NAMED + 1).collect()]
         if len(few) <= _NAMED:
-            found = self.occurrences(terms, F.col("run").isin(few))
+            found = self.occurrences(terms, few)
         else:
-            found = self.occurrences(terms).withColumn("run", F.shiftright("key", 6)).join(runs, "run", "left_semi")
+            found = self.occurrences(terms).withColumn("piece", F.shiftright("key", _PIECE)).join(pieces, "piece", "left_semi")
         return score(found.where(_any_of(terms))).select(F.col("key").alias(key), (-F.col("__s")).alias("rank"))
 
 

@@ -84,7 +84,7 @@ def spread_by_rows(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The stored index of the documents' texts, built at first use; files that were written anew get an index of their own."""
     source = Folder(spark, f"{sf_dir}/documents.parquet")
-    index = TextIndex(spark, f"{shared_dir(spark)}/text-blocks-{hashlib.sha256(f'{sf_dir} {source.stamp()}'.encode()).hexdigest()[:24]}")
+    index = TextIndex(spark, f"{shared_dir(spark)}/text-runs-{hashlib.sha256(f'{sf_dir} {source.stamp()}'.encode()).hexdigest()[:24]}")
     if not index.exists:
         with contextlib.suppress(WriteConflict):  # another session has just built it
             index.update(loader(spark, sf_dir)("documents"), "doc_id", "text")

@@ -110,7 +110,7 @@ def text_index_build(spark, d):
     """A full-text index from scratch: documents, tokens and postings."""
     index = TextIndex(spark, f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}")
     index.update(loader(spark, d)("documents"), "doc_id", "text")
-    return index.statistics().join(F.broadcast(index.postings(F.lit(True)).agg(F.count("*").alias("postings"))))  # one row
+    return index.statistics().join(F.broadcast(index.postings(F.lit(True), places=False).agg(F.count("*").alias("postings"))))  # one row
 
 
 _CHANGED = """SELECT doc_id, lang, CASE WHEN doc_id % 7 = 0 THEN 'a worthless note of the ' || lang WHEN doc_id % 13 = 0 THEN NULL ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0

@@ -137,3 +137,49 @@ def test_an_index_that_awaits_compaction_ranks_all(spark, tmp_path):
     before = ranks()
     index.compact()
     assert [i for i, _ in before] == [1, 3] and set(ranks()) <= set(before)
+
+
+def test_a_run_of_documents_becomes_one_block_a_token(spark, tmp_path):
+    """The rows that an index shuffles and stores are tokens of runs, not postings of 64 keys."""
+    index = _index(spark, tmp_path, [(i, "common filler") for i in range(2048)])
+    stored = spark.read.parquet(f"file://{tmp_path}/i/000000000001/blocks")
+    assert stored.groupBy("token").count().orderBy("token").collect() == [("common", 2), ("filler", 2)]
+    assert index.postings(F.col("token") == "common").count() == 2048
+
+
+def test_blocks_hold_every_posting_whatever_the_batches(spark, tmp_path):
+    """Runs cut by batches, repeated and negative keys, empty texts; replaced, emptied and deleted documents; then compacted."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = {i: " ".join(rng.choices(["of", "the", "a", "rare", "odd"], k=rng.randint(0, 30))) for i in [*range(-70, 200), *range(5000, 5100), 10**12, -(10**12)]}
+    texts[7] = " ".join(f"w{i}" for i in range(70)) + " of the w69"
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = _index(spark, tmp_path, [*texts.items(), (3, ""), (-4, None), (None, "of")])
+        change = {k: "of the new" for k in texts if k % 3 == 0} | {k: "" for k in texts if k % 3 == 1 and k % 5 == 0}
+        change[900] = "of of the"
+        index.update(spark.createDataFrame([(k, v or None) for k, v in change.items()], "id long, t string"), "id", "t")
+        gone = [k for k in texts if k % 11 == 0] + [123456]
+        index.delete(spark.createDataFrame([(k,) for k in gone], "id long"), "id")
+        want = {k: v.split() for k, v in (texts | change).items() if k not in gone}
+        postings = sorted((t, k, n, len(v), [i for i, x in enumerate(v) if x == t]) for k, v in want.items() for t, n in Counter(v).items())
+        for _ in range(2):
+            assert tuple(index.statistics().first()) == (len(want), sum(map(len, want.values())))
+            assert sorted((r.token, r.key, r.tf, r.n, r.positions) for r in index.postings(F.lit(True)).collect()) == postings
+            index.compact()
+        heads = index._blocks(index.folder.live()).where("size(keys) >= 32").select("token", F.inline("heads"), "keys", "tfs").where("bit_count(bits) <> size(filter(keys, k -> shiftright(k, 6) = piece))")
+        assert heads.count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_order_of_more_tokens_than_a_digit_holds():
+    import numpy as np
+
+    from folioquery.operators.fulltext import _order
+
+    codes = np.random.default_rng(1).integers(0, 200_000, 50_000)
+    assert (_order(codes, 200_000) == np.argsort(codes, kind="stable")).all()
