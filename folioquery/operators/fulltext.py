@@ -221,7 +221,7 @@ class TextIndex:
             at, live, seq = part.path, part.live, part.number
             # the documents of a run come together, so its blocks are made in its task and no posting moves alone; once, though several plans read them
             runs = docs.withColumn("run", F.shiftright("key", _RUN)).repartition("run").sortWithinPartitions("run", "key", "text")
-            runs.select("run", "key", tx.tokens(F.col("text")).alias("t")).mapInArrow(_blocks_of_runs, _BLOCK).write.parquet(f"{at}/made")
+            runs.select("run", "key", tx.tokens(F.col("text")).alias("t")).mapInArrow(_blocks_of_runs, _BLOCK).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/made")
             made = self.spark.read.schema(_BLOCK).parquet(f"{at}/made")
             number = F.lit(seq).cast("long").alias("seq")
             self._sorted(made.where("token IS NOT NULL").select("*", number)).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
