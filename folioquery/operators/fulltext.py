@@ -2,7 +2,7 @@
 
 An index is a folder of committed parts. A part has the postings of the documents that it adds or replaces, in blocks: a token's postings in a run of
 1,024 keys, and for each piece of 64 keys the largest count, the smallest length and a bit for each key. The documents of a run are cut into tokens
-in one task, which makes its blocks, so that no posting moves alone. Blocks are sorted and
+in one task, which makes its blocks, so that no posting moves alone. Blocks move packed into bytes, without what a later part takes back. They are sorted and
 range-partitioned by token, so that a look-up reads the row groups of its tokens alone; one short row for each document that it touches; and
 how many documents and tokens it adds, signed. A posting counts unless a later part touches its document. ``compact`` folds all parts into a base, in
 which every posting counts.
@@ -24,12 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..storage import BASE, Log, again
+from ..storage import BASE, Log, again, shuffles_released
 
 _STATS = "documents long, tokens long"
 #: A block: figures of its pieces (largest tf, smallest n, the keys' bits; none in a short block), then the postings side by side; the positions of all, one after the other (tf of each).
 _BLOCK = "token string, run long, heads array<struct<piece:long,top:int,least:int,bits:long>>, keys array<long>, tfs array<int>, ns array<int>, places array<int>"
 _COLUMNS = ["token", "run", "heads", "keys", "tfs", "ns", "places"]
+#: A block on its way: its postings as one string of whole numbers of 7 bits a byte.
+_PACKED = "token string, run long, packed binary"
+#: Packed blocks, and for each run a row without a token: its documents, with null lengths of deleted ones.
+_MADE = f"{_PACKED}, keys array<long>, ns array<int>"
 _HEAD = {"piece": pa.int64(), "top": pa.int32(), "least": pa.int32(), "bits": pa.int64()}
 #: Bits of a key within its piece, and within its run.
 _PIECE, _RUN = 6, 10
@@ -39,6 +43,10 @@ _MANY = 32
 _NAMED = 2000
 #: Tokens that are sorted at once, but for more of them in one run.
 _TOKENS = 1 << 16
+#: Rows of changed keys, one a run and part, that are broadcast when parts are folded (64 MB); more are joined by a shuffle.
+_BROADCAST = 1 << 18
+#: Blocks are sorted in so many ranges of tokens at most, one after the other, each of so many stored bytes at least: only one of them is in shuffle files at a time.
+_PASSES, _PASS_BYTES = 4, 32 << 20
 
 
 def _minus(k: int) -> Callable[[Column], Column]:
@@ -95,8 +103,70 @@ def _batch_of_blocks(token: pa.Array, first: np.ndarray, key: np.ndarray, tf: np
     return pa.RecordBatch.from_arrays([token, pa.array(key[first] >> _RUN), pa.ListArray.from_arrays(edges, heads), *lists], _COLUMNS)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whole numbers from each start on, as many as its size."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _steps(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each value less the one before it; those at ``first`` as they are."""
+    out = np.diff(values, prepend=0)
+    out[first] = values[first]
+    return out
+
+
+def _sums(steps: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of ``_steps``."""
+    total = np.cumsum(steps)
+    return total - np.repeat(total[first] - steps[first], sizes)
+
+
+def _packed(first: np.ndarray, key: np.ndarray, tf: np.ndarray, n: np.ndarray, places: np.ndarray) -> pa.Array:
+    """Blocks that start at the postings ``first``, as bytes: how many postings, then their keys (as steps), counts, lengths and places (as steps)."""
+    count = np.diff(np.r_[first, len(key)])
+    held = np.add.reduceat(tf, first)
+    size = 1 + 3 * count + held
+    begin = np.cumsum(size) - size
+    values = np.empty(int(size.sum()), np.int32)
+    values[begin] = count
+    values[_ranges(begin + 1, count)] = _steps(key & ((1 << _RUN) - 1), first)
+    values[_ranges(begin + 1 + count, count)] = tf
+    values[_ranges(begin + 1 + 2 * count, count)] = n
+    values[_ranges(begin + 1 + 3 * count, held)] = _steps(places, np.cumsum(tf) - tf)
+    long = np.ones(len(values), np.uint8)
+    for bits in (7, 14, 21, 28):
+        long += values >> bits > 0
+    upto = np.r_[0, np.cumsum(long, dtype=np.int64)]
+    data = np.empty(upto[-1], np.uint8)
+    at, left = upto[:-1], np.arange(len(values))
+    for byte in range(int(long.max())):
+        left = left[long[left] > byte]
+        data[at[left] + byte] = (values[left] >> 7 * byte) & 127 | (long[left] > byte + 1).astype(np.uint8) << 7
+    edges = upto[np.r_[begin, len(values)]].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(data)])
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, ...]:
+    """How many postings each block has; and of all postings the keys within their runs, the counts and the lengths; and the places of all."""
+    edges = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1].astype(np.int64)
+    data = np.frombuffer(packed.buffers()[2], np.uint8)[edges[0] : edges[-1]]
+    last = np.flatnonzero(data < 128)
+    start = np.r_[0, last[:-1] + 1]
+    long, values = last - start + 1, (data[start] & 127).astype(np.int32)
+    for byte in range(1, int(long.max())):
+        some = np.flatnonzero(long > byte)
+        values[some] |= (data[start[some] + byte] & 127).astype(np.int32) << 7 * byte
+    begin = np.searchsorted(start, edges - edges[0])
+    count = values[begin[:-1]].astype(np.int64)
+    first = np.cumsum(count) - count
+    part = lambda i: values[_ranges(begin[:-1] + 1 + i * count, count)].astype(np.int64)
+    key, tf, n = _sums(part(0), first, count), part(1), part(2)
+    places = values[_ranges(begin[:-1] + 1 + 3 * count, np.diff(begin) - 1 - 3 * count)].astype(np.int64)
+    return count, key, tf, n, _sums(places, np.cumsum(tf) - tf, tf)
+
+
 def _blocks_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks from (run, key, t) sorted by run and key, where of several rows with one key the last counts; and for each run a block without a token: its documents, with null lengths where t is null."""
+    """Packed blocks from (run, key, t) sorted by run and key, where of several rows with one key the last counts; and for each run a row without a token: its documents, with null lengths where t is null."""
     differ = lambda x: x[1:] != x[:-1]
     for whole, _ in _whole_groups(batches, lambda b: differ(b.column("run").to_numpy())):
         key = whole.column("key").to_numpy()
@@ -106,10 +176,8 @@ def _blocks_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         run, texts = key >> _RUN, whole.column("t")
         first = np.flatnonzero(np.r_[True, differ(run)])
         edge, size = np.r_[first, len(key)], _sizes(texts)
-        none = np.zeros(len(first) + 1)
-        heads = pa.ListArray.from_arrays(pa.array(none.astype(np.int32)), pa.StructArray.from_arrays([pa.array([], t) for t in _HEAD.values()], list(_HEAD)))
-        empty, lengths = _lists(none, np.zeros(0, np.int32)), _lists(edge, size.astype(np.int32), texts.is_null().to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.string()), pa.array(run[first]), heads, _lists(edge, key), empty, lengths, empty], _COLUMNS)
+        lengths = _lists(edge, size.astype(np.int32), texts.is_null().to_numpy(zero_copy_only=False))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(first), pa.string()), pa.array(run[first]), pa.nulls(len(first), pa.binary()), _lists(edge, key), lengths], ["token", "run", "packed", "keys", "ns"])
         ends = np.r_[0, np.cumsum(size)]
         at = 0
         while at < len(first):
@@ -131,22 +199,17 @@ def _blocks_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             tf = np.diff(np.r_[posting, len(code)])
             code, document = code[posting], document[posting]
             block = np.flatnonzero(np.r_[True, differ(code) | differ(part[document])])
-            yield _batch_of_blocks(coded.dictionary.take(pa.array(code[block])), block, keys[document], tf, n[document], place)
-
+            token, key_of = coded.dictionary.take(pa.array(code[block])), keys[document]
+            none = [pa.nulls(len(block), pa.list_(t)) for t in (pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([token, pa.array(key_of[block] >> _RUN), _packed(block, key_of, tf, n[document], place), *none], ["token", "run", "packed", "keys", "ns"])
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block a (token, run) from blocks sorted by these, without the postings whose bit is in ``stale``."""
 
-    def start(b: pa.RecordBatch) -> np.ndarray:
-        token, run = b.column("token"), b.column("run").to_numpy()
-        return (run[1:] != run[:-1]) | pc.not_equal(token.slice(1), token.slice(0, len(token) - 1)).to_numpy(zero_copy_only=False)
-
-    for whole, first in _whole_groups(batches, start):
+def _counting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed blocks from stored ones, without the postings whose bit is in ``stale``."""
+    for whole in batches:
         flat = {c: whole.column(c).flatten().to_numpy() for c in ("keys", "tfs", "ns", "places")}
         row = np.repeat(np.arange(whole.num_rows), _sizes(whole.column("keys")))
-        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, whole.num_rows]))[row]
-        key, tf = flat["keys"], flat["tfs"].astype(np.int64)
-        words = whole.column("stale")
+        key, tf, words = flat["keys"], flat["tfs"].astype(np.int64), whole.column("stale")
         size, masks = _sizes(words), words.flatten().to_numpy()
         some, masked = np.ones(len(key), bool), np.flatnonzero(size[row])
         word = (np.cumsum(size) - size)[row[masked]] + ((key[masked] >> _PIECE) & ((1 << _RUN - _PIECE) - 1))
@@ -154,12 +217,29 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.flatnonzero(some)
         if not len(some):
             continue
-        some = some[np.argsort((group[some] << _RUN) + (key[some] & ((1 << _RUN) - 1)), kind="stable")]
-        n = tf[some]
-        begins = (np.cumsum(tf) - tf)[some] - (np.cumsum(n) - n)  # where a posting's places are, less where they go
-        places = flat["places"][np.repeat(begins, n) + np.arange(n.sum())]
-        block = np.flatnonzero(np.r_[True, np.diff(group[some]) != 0])
-        yield _batch_of_blocks(whole.column("token").take(pa.array(first[group[some][block]])), block, key[some], n, flat["ns"][some], places)
+        places = flat["places"][_ranges((np.cumsum(tf) - tf)[some], tf[some])]
+        block = np.flatnonzero(np.r_[True, np.diff(row[some]) != 0])
+        left = pa.array(row[some][block])
+        yield pa.RecordBatch.from_arrays([whole.column("token").take(left), whole.column("run").take(left), _packed(block, key[some], tf[some], flat["ns"][some], places)], ["token", "run", "packed"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block a (token, run) from packed blocks sorted by these."""
+
+    def start(b: pa.RecordBatch) -> np.ndarray:
+        token, run = b.column("token"), b.column("run").to_numpy()
+        return (run[1:] != run[:-1]) | pc.not_equal(token.slice(1), token.slice(0, len(token) - 1)).to_numpy(zero_copy_only=False)
+
+    for whole, first in _whole_groups(batches, start):
+        count, key, tf, n, places = _unpacked(whole.column("packed"))
+        group = np.repeat(np.repeat(np.arange(len(first)), np.diff(np.r_[first, whole.num_rows])), count)
+        key += np.repeat(whole.column("run").to_numpy() << _RUN, count)
+        if len(first) < whole.num_rows:
+            order = np.argsort((group << _RUN) + (key & ((1 << _RUN) - 1)), kind="stable")
+            places = places[_ranges((np.cumsum(tf) - tf)[order], tf[order])]
+            group, key, tf, n = group[order], key[order], tf[order], n[order]
+        block = np.flatnonzero(np.r_[True, np.diff(group) != 0])
+        yield _batch_of_blocks(whole.column("token").take(pa.array(first)), block, key, tf, n, places)
 
 
 class TextIndex:
@@ -217,14 +297,16 @@ class TextIndex:
         again(lambda: self._commit_once(docs))
 
     def _commit_once(self, docs: DataFrame) -> None:
-        with self.folder.part() as part:
+        with self.folder.part() as part, shuffles_released(self.spark):
             at, live, seq = part.path, part.live, part.number
             # the documents of a run come together, so its blocks are made in its task and no posting moves alone; once, though several plans read them
             runs = docs.withColumn("run", F.shiftright("key", _RUN)).repartition("run").sortWithinPartitions("run", "key", "text")
-            runs.select("run", "key", tx.tokens(F.col("text")).alias("t")).mapInArrow(_blocks_of_runs, _BLOCK).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/made")
-            made = self.spark.read.schema(_BLOCK).parquet(f"{at}/made")
+            self._write(runs.select("run", "key", tx.tokens(F.col("text")).alias("t")).mapInArrow(_blocks_of_runs, _MADE), f"{at}/made")
+            made = self.spark.read.schema(_MADE).parquet(f"{at}/made")
             number = F.lit(seq).cast("long").alias("seq")
-            self._sorted(made.where("token IS NOT NULL").select("*", number)).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
+            packed = made.where("token IS NOT NULL").select("token", "run", "packed")
+            for part_of in self._passes(packed, F.length("packed"), [f"{at.rpartition('/')[2]}/made"]):
+                self._write(self._sorted(packed.where(part_of)).select("*", number), f"{at}/blocks")
             touched = made.where("token IS NULL").select(F.explode(F.arrays_zip("keys", "ns")).alias("d"))
             touched.select(F.col("d.keys").alias("key"), F.col("d.ns").alias("n"), number).write.parquet(f"{at}/documents")
             # what these documents counted before
@@ -236,9 +318,27 @@ class TextIndex:
             self.folder.delete(f"{at.rpartition('/')[2]}/made")
 
     @staticmethod
-    def _sorted(blocks: DataFrame) -> DataFrame:
-        """By ranges of (token, run), so that a frequent token spans several."""
-        return blocks.repartitionByRange("token", "run").sortWithinPartitions("token", "run")
+    def _sorted(packed: DataFrame) -> DataFrame:
+        """Whole blocks by ranges of (token, run), so that a frequent token spans several."""
+        return packed.repartitionByRange("token", "run").sortWithinPartitions("token", "run").mapInArrow(_merged, _BLOCK)
+
+    def _passes(self, blocks: DataFrame, weight: Column, stored: Sequence[str]) -> list[Column]:
+        """Conditions on ``token``, of which each block meets one, so that they part the blocks about evenly. Some 4,096 blocks tell where; only the balance depends on them."""
+        n = min(_PASSES, 1 + self.folder.bytes(list(stored)) // _PASS_BYTES)
+        if n < 2:
+            return [F.lit(True)]
+        step = max(1, blocks.count() // 4096)
+        some = blocks.where(F.pmod(F.xxhash64("token", "run"), F.lit(step)) == 0).select("token", weight.alias("w")).collect()
+        some.sort(key=lambda r: r.token.encode())
+        upto = np.cumsum([r.w for r in some])
+        at = np.searchsorted(upto, [upto[-1] * i // n for i in range(1, n)]) if some else []
+        bounds = sorted({some[i].token for i in at}, key=str.encode)
+        token = F.col("token")
+        return [(F.lit(True) if a is None else token >= a) & (F.lit(True) if b is None else token < b) for a, b in zip([None, *bounds], [*bounds, None], strict=True)]
+
+    @staticmethod
+    def _write(blocks: DataFrame, at: str) -> None:
+        blocks.write.option("parquet.block.size", 8 << 20).option("compression", "zstd").mode("append").parquet(at)
 
     def _newest(self, names: Sequence[str]) -> DataFrame:
         return self._documents(names).groupBy("key").agg(F.max_by("n", "seq").alias("n"), F.max("seq").alias("seq"))
@@ -251,25 +351,32 @@ class TextIndex:
         touched = self._documents(later).groupBy(F.col("key").alias("__k")).agg(F.max("seq").alias("__s"))
         return rows.join(touched, (F.col("key") == F.col("__k")) & (F.col("seq") < F.col("__s")), "left_anti")
 
-    def _with_stale(self, names: Sequence[str]) -> DataFrame:
-        """Blocks, with the bits of the keys that a later part touches in ``stale``, a word a piece: a row a run and part is joined, not one a document."""
+    def _stale(self, names: Sequence[str]) -> DataFrame:
+        """The bits of the keys that a later part touches, a word a piece, in a row a run and part."""
         touched = self._documents(names).groupBy("key").agg(F.max("seq").alias("newest"), F.collect_list("seq").alias("seqs"))
         stale = touched.where(F.size("seqs") > 1).select("key", "newest", F.explode("seqs").alias("seq")).where("seq < newest")
         piece, bit = F.shiftright("key", _PIECE).bitwiseAND(F.lit((1 << _RUN - _PIECE) - 1)), F.expr("shiftleft(1L, cast(key & 63 as int))")
         words = [F.coalesce(F.bit_or(F.when(piece == i, bit)), F.lit(0).cast("long")) for i in range(1 << _RUN - _PIECE)]
-        stale = stale.groupBy(F.shiftright("key", _RUN).alias("run"), "seq").agg(F.array(*words).alias("stale"))
-        return self._blocks(names).join(stale, ["run", "seq"], "left")
+        return stale.groupBy(F.shiftright("key", _RUN).alias("run"), "seq").agg(F.array(*words).alias("stale"))
 
     def compact(self) -> None:
         """Fold all parts into a base; readers take it from its rename on."""
         if len(self.folder.live()) < 2:
             return
-        with self.folder.base() as base:
+        with self.folder.base() as base, shuffles_released(self.spark):
             at, live, number = base.path, base.live, F.lit(base.number).cast("long")
-            blocks = self._sorted(self._with_stale(live)).select("stale", *_COLUMNS).mapInArrow(_merged, _BLOCK)
-            blocks.select("*", number.alias("seq")).write.option("parquet.block.size", 8 << 20).parquet(f"{at}/blocks")
+            # joined where blocks are read, and gone before they move: of these rows there is one for a run, so they are few
+            self._stale(live).write.parquet(f"{at}/stale")
+            stale = self.spark.read.schema("run long, seq long, stale array<long>").parquet(f"{at}/stale")
+            if stale.count() <= _BROADCAST:
+                stale = F.broadcast(stale)
+            blocks = self._blocks(live)
+            for part_of in self._passes(blocks, F.size("keys"), [f"{n}/blocks" for n in live]):
+                packed = blocks.where(part_of).join(stale, ["run", "seq"], "left").select("token", "run", "keys", "tfs", "ns", "places", "stale").mapInArrow(_counting_blocks, _PACKED)
+                self._write(self._sorted(packed).select("*", number.alias("seq")), f"{at}/blocks")
             self._newest(live).where("n IS NOT NULL").select("key", "n", number.alias("seq")).write.parquet(f"{at}/documents")
             self._read("stats", _STATS, live).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).withColumn("seq", number).write.parquet(f"{at}/stats")
+            self.folder.delete(f"{at.rpartition('/')[2]}/stale")
 
     # -- reading
 

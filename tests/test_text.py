@@ -176,6 +176,78 @@ def test_blocks_hold_every_posting_whatever_the_batches(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+def test_an_index_leaves_no_shuffle_files(spark, tmp_path):
+    import gc
+
+    held = lambda: sum(f.getName().startswith("shuffle_") for f in files())
+    files = lambda: spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())
+    gc.disable()  # what is left to the collector stays
+    try:
+        before = held()
+        index = _index(spark, tmp_path, [(i, f"common w{i}") for i in range(3000)])
+        index.delete(spark.createDataFrame([(5,), (7,)], "id long"), "id")
+        index.compact()
+        assert held() <= before
+    finally:
+        gc.enable()
+    assert index.postings(F.col("token") == "common").count() == 2998
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_blocks_move_packed_and_without_what_is_taken_back(spark, tmp_path, monkeypatch):
+    """What goes through the shuffle of a compaction, with no broadcast by Spark's own estimate: blocks as bytes, once, the row of a run's changed keys not beside each."""
+    from folioquery.operators.fulltext import TextIndex
+
+    plans, sort = [], TextIndex._sorted
+    monkeypatch.setattr(TextIndex, "_sorted", staticmethod(lambda blocks: plans.append(blocks) or sort(blocks)))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = _index(spark, tmp_path, [(i, "common filler " * 20) for i in range(3000)])
+        index.update(spark.createDataFrame([(i, "common new") for i in range(0, 3000, 3)], "id long, t string"), "id", "t")
+        index.compact()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert all(p.columns == ["token", "run", "packed"] for p in plans) and len(plans) == 3
+    assert sum(index.postings(F.col("token") == t).count() for t in ("common", "filler", "new")) == 3000 + 2000 + 1000
+
+
+def test_blocks_sorted_in_passes_are_the_same(spark, tmp_path, monkeypatch):
+    from folioquery.operators import fulltext
+
+    texts = [(i, " ".join(f"{w}{(i * k) % 97}" for k, w in enumerate("of the é 漢 𝒳 a zz".split()))) for i in range(2000)]
+    found = []
+    for bytes_of_a_pass in (1 << 40, 1):
+        monkeypatch.setattr(fulltext, "_PASS_BYTES", bytes_of_a_pass)
+        index = _index(spark, tmp_path / str(bytes_of_a_pass), texts)
+        index.update(spark.createDataFrame([(3, "of0 new"), (4, None), (9999, "zz")], "id long, t string"), "id", "t")
+        each = lambda: sorted(map(str, index.postings(F.lit(True)).collect()))  # noqa: B023, E731
+        found.append(each())
+        index.compact()
+        assert each() == found[-1]
+        assert index._blocks(index.folder.live()).groupBy("token", "run").count().where("count > 1").count() == 0
+    assert found[0] == found[1] and len(found[0]) > 2000
+    many = fulltext.TextIndex(spark, f"file://{tmp_path}/1/i")
+    blocks = many._blocks(many.folder.live())
+    ranges = many._passes(blocks, F.size("keys"), [f"{n}/blocks" for n in many.folder.live()])
+    assert len(ranges) == 4 and blocks.where(sum((r.cast("int") for r in ranges), F.lit(0)) != 1).count() == 0
+
+
+def test_packed_blocks_come_back():
+    import numpy as np
+
+    from folioquery.operators.fulltext import _packed, _unpacked
+
+    rng = np.random.default_rng(2)
+    count = rng.integers(1, 30, 50)
+    first = np.cumsum(count) - count
+    key = np.concatenate([np.sort(rng.choice(1024, c, replace=False)) - 2048 for c in count])
+    tf, n = rng.choice([1, 2, 300], len(key)), rng.integers(1, 2**31 - 1, len(key))
+    places = np.concatenate([np.sort(rng.integers(0, 2**31 - 1, k)) for k in tf])
+    for got, want in zip(_unpacked(_packed(first, key, tf, n, places)), (count, key & 1023, tf, n, places), strict=True):
+        assert (got == want).all()
+
+
 def test_order_of_more_tokens_than_a_digit_holds():
     import numpy as np
 
